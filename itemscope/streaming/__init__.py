@@ -1,0 +1 @@
+"""No streaming operator exists: every input is a finite table that is read once."""
