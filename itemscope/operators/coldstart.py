@@ -13,10 +13,11 @@ from pyspark.sql import functions as F, types as T
 
 from itemscope.functions.scalar import (
     logistic_loss, rasch_probability, safe_logit, sigmoid, standardized_residual)
-from itemscope.operators.design import encode_features
+from itemscope.operators.design import (
+    BLOCK, design_block, encode_features, partial_rows, sum_rows)
 from itemscope.operators.performance import binary_metrics
 from itemscope.operators.ranks import hash_positions
-from itemscope.operators.residuals import factor_subjects, sum_rows
+from itemscope.operators.residuals import factor_subjects
 from itemscope.operators.responses import eligible_items
 from itemscope.session import written
 
@@ -27,7 +28,6 @@ _COARSE = 10
 MIN_FACTORS = 8
 ITEM_MEAN = "oracle_item_mean_not_coldstart"
 SUBJECT_MEAN = "model_mean_only"
-_BLOCK = 4096
 
 
 def method_name(k):
@@ -106,30 +106,6 @@ def item_targets(z, factors, kmax):
                        F.array("b", *[f"v{i}" for i in range(kmax)]).alias("t"))
 
 
-def _design_block(batch, first_number, width, start, stop):
-    """Dense rows start..stop of the design, with a last column of ones."""
-    cat, num = batch.column("cat"), batch.column("num")
-    n = stop - start
-    a = np.zeros((n, width + 1))
-    pos = cat.slice(start, n).flatten().to_numpy(zero_copy_only=False)
-    if len(pos):
-        a[np.repeat(np.arange(n), len(pos) // n), pos] = 1.0
-    if width > first_number:
-        a[:, first_number:width] = num.slice(start, n).flatten().to_numpy(
-            zero_copy_only=False).reshape(n, -1)
-    a[:, width] = 1.0
-    return a
-
-
-def _partial_rows(sums):
-    for split, matrix in sums.items():
-        n = len(matrix)
-        yield pa.RecordBatch.from_pydict({
-            "split": pa.array(np.full(n, split), pa.int32()),
-            "i": pa.array(np.arange(n), pa.int32()),
-            "row": pa.array(list(matrix), pa.list_(pa.float64()))})
-
-
 _ALL = -1  # split number of the sums over all items
 
 
@@ -139,9 +115,9 @@ def _design_moments(first_number, width):
         sums = {}
         for batch in batches:
             held = batch.column("test_splits").to_pylist()
-            for start in range(0, batch.num_rows, _BLOCK):
-                stop = min(start + _BLOCK, batch.num_rows)
-                a = _design_block(batch, first_number, width, start, stop)
+            for start in range(0, batch.num_rows, BLOCK):
+                stop = min(start + BLOCK, batch.num_rows)
+                a = design_block(batch, first_number, width, start, stop)
                 sums[_ALL] = sums.get(_ALL, 0.0) + a.T @ a
                 members = {}
                 for r, splits in enumerate(held[start:stop]):
@@ -149,7 +125,7 @@ def _design_moments(first_number, width):
                         members.setdefault(s, []).append(r)
                 for s, rows in members.items():
                     sums[s] = sums.get(s, 0.0) + a[rows].T @ a[rows]
-        yield from _partial_rows(sums)
+        yield from partial_rows(sums)
     return run
 
 
@@ -161,14 +137,14 @@ def _target_products(first_number, width):
             split = batch.column("split").to_numpy(zero_copy_only=False)
             t_all = batch.column("t").flatten().to_numpy(zero_copy_only=False).reshape(
                 batch.num_rows, -1)
-            for start in range(0, batch.num_rows, _BLOCK):
-                stop = min(start + _BLOCK, batch.num_rows)
+            for start in range(0, batch.num_rows, BLOCK):
+                stop = min(start + BLOCK, batch.num_rows)
                 t = t_all[start:stop]
-                at = np.hstack([_design_block(batch, first_number, width, start, stop), t])
+                at = np.hstack([design_block(batch, first_number, width, start, stop), t])
                 for s in np.unique(split[start:stop]):
                     here = split[start:stop] == s
                     sums[s] = sums.get(s, 0.0) + at[here].T @ t[here]
-        yield from _partial_rows(sums)
+        yield from partial_rows(sums)
     return run
 
 

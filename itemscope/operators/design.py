@@ -1,6 +1,10 @@
 """Encoded item features: levels of the categorical columns and filled numbers."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import StringIndexerModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from itemscope.operators.metadata import feature_frame
@@ -8,6 +12,8 @@ from itemscope.schema import CATEGORICAL, NUMERIC
 
 # The normal equations are solved in one task up to this many design columns.
 DESIGN_COLUMNS = 4096
+# Rows made dense at a time.
+BLOCK = 4096
 
 
 class Encoding:
@@ -67,3 +73,33 @@ def encode_features(flat):
     num = F.array(*[F.coalesce(c, F.lit(0.0)) for c in encoding.nums])
     return indexed.select("item_id", cat.alias("cat"),
                           num.cast("array<double>").alias("num")), encoding
+
+
+def design_block(batch, first_number, width, start, stop):
+    """Dense rows start..stop of the design, with a last column of ones."""
+    cat, num = batch.column("cat"), batch.column("num")
+    n = stop - start
+    a = np.zeros((n, width + 1))
+    pos = cat.slice(start, n).flatten().to_numpy(zero_copy_only=False)
+    if len(pos):
+        a[np.repeat(np.arange(n), len(pos) // n), pos] = 1.0
+    if width > first_number:
+        a[:, first_number:width] = num.slice(start, n).flatten().to_numpy(
+            zero_copy_only=False).reshape(n, -1)
+    a[:, width] = 1.0
+    return a
+
+
+def partial_rows(sums):
+    for split, matrix in sums.items():
+        n = len(matrix)
+        yield pa.RecordBatch.from_pydict({
+            "split": pa.array(np.full(n, split), pa.int32()),
+            "i": pa.array(np.arange(n), pa.int32()),
+            "row": pa.array(list(matrix), pa.list_(pa.float64()))})
+
+
+def sum_rows(partials, keys):
+    """Element-wise sum of the arrays `row` per key, combined on the map side first."""
+    return partials.groupBy(*keys).agg(
+        vector_to_array(Summarizer.sum(array_to_vector(F.col("row")))).alias("row"))

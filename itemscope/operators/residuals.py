@@ -6,14 +6,12 @@ table lose nothing.
 """
 
 import numpy as np
-import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import functions as F
 
 from itemscope.functions.scalar import rasch_probability, safe_logit, standardized_residual
+from itemscope.operators.design import partial_rows, sum_rows
 from itemscope.operators.ranks import hash_positions
 from itemscope.session import written
 
@@ -93,22 +91,14 @@ def _partial_gram(m):
                     part = block[split[start:stop] == s]
                     sums[s] = sums.get(s, 0.0) + part.T @ part
                     items[s] = items.get(s, 0) + len(part)
-        for s, g in sums.items():
-            last = np.zeros(m)
-            last[0] = items[s]
-            yield pa.RecordBatch.from_pydict({
-                "split": pa.array(np.full(m + 1, s), pa.int32()),
-                "i": pa.array(np.arange(m + 1), pa.int32()),
-                "row": pa.array([*g, last], pa.list_(pa.float64()))})
+        for s in sums:
+            last = np.zeros((1, m))
+            last[0, 0] = items[s]
+            sums[s] = np.vstack([sums[s], last])
+        yield from partial_rows(sums)
     return run
 
 
-def sum_rows(partials, keys):
-    """Element-wise sum of the arrays `row` per key, combined on the map side first."""
-    return partials.groupBy(*keys).agg(
-        vector_to_array(Summarizer.sum(array_to_vector(F.col("row")))).alias("row"))
-
-
 def gram_rows(rows, m):
     """Rows (split, i, row) of the subject x subject matrix sum(z_i z_j).
 

@@ -1,17 +1,13 @@
 """Construct validity: rank correlations of difficulty, and a cross-fitted label model."""
 
-from multiprocessing.pool import ThreadPool
-
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from itemscope.functions.pvalues import correlation_p_udf
 from itemscope.functions.scalar import ambiguity, clip, surprisal
-from itemscope.operators.design import fit_encoding, index_levels
-from itemscope.operators.metadata import feature_frame
+from itemscope.operators.design import BLOCK, design_block, encode_features, partial_rows, sum_rows
 from itemscope.operators.performance import binary_metrics
 from itemscope.operators.ranks import average_ranks, hash_positions
 from itemscope.session import written
@@ -67,63 +63,134 @@ def stratified_folds(flat, n_splits=5, seed=2026):
         "fold", (F.col("position") % n_splits).cast("int")).drop("position")
 
 
-def _fold_scaling(indexed, nums, n_splits):
-    """Mean and population sd of every number over each fold's train rows, as {fold: [(m, s)]}."""
-    per_fold = indexed.groupBy("fold").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{c}") for c in nums],
-        *[F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in nums]).collect()
+def _fold_scaling(coded, n_numbers, n_splits):
+    """Mean and population sd of every number over each fold's train rows: {fold: (means, sds)}."""
+    if not n_numbers:
+        return {f: (np.zeros(0), np.ones(0)) for f in range(n_splits)}
+    at = [F.col("num")[i] for i in range(n_numbers)]
+    rows = coded.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in at]).alias("s"),
+        F.array(*[F.sum(c * c) for c in at]).alias("q")).collect()
     out = {}
     for fold in range(n_splits):
-        train = [r for r in per_fold if r["fold"] != fold]
+        train = [r for r in rows if r["fold"] != fold]
         n = sum(r["n"] for r in train)
-        out[fold] = []
-        for c in nums:
-            mean = sum(r[f"s_{c}"] or 0.0 for r in train) / n
-            var = sum(r[f"q_{c}"] or 0.0 for r in train) / n - mean * mean
-            out[fold].append((mean, var ** 0.5 if var > 1e-12 * max(1.0, mean * mean) else 1.0))
-        out[fold].append(n)
+        mean = np.sum([r["s"] for r in train], axis=0) / n
+        var = np.sum([r["q"] for r in train], axis=0) / n - mean ** 2
+        out[fold] = mean, np.sqrt(np.where(var > 1e-12 * np.maximum(1.0, mean ** 2), var, 1.0))
     return out
 
 
+def _scaled_block(batch, encoding, start, stop, scaling):
+    a = design_block(batch, encoding.first_number, encoding.width, start, stop)
+    numbers = slice(encoding.first_number, encoding.width)
+    a[:, numbers] = (a[:, numbers] - scaling[0]) / scaling[1]
+    return a
+
+
+def _newton_sums(encoding, scaling, w):
+    """Per partition and fold: [Hessian, gradient] of the train log-loss, and a row with the loss."""
+    def run(batches):
+        sums = {}
+        for batch in batches:
+            fold = batch.column("fold").to_numpy(zero_copy_only=False)
+            label = batch.column("label").to_numpy(zero_copy_only=False)
+            for start in range(0, batch.num_rows, BLOCK):
+                stop = min(start + BLOCK, batch.num_rows)
+                for f, coefficients in w.items():
+                    train = fold[start:stop] != f
+                    a = _scaled_block(batch, encoding, start, stop, scaling[f])[train]
+                    y = label[start:stop][train]
+                    eta = a @ coefficients
+                    p = 1 / (1 + np.exp(-eta))
+                    hessian = (a * (p * (1 - p))[:, None]).T @ a
+                    loss = np.sum(np.logaddexp(0, eta) - y * eta)
+                    top = np.hstack([hessian, (a.T @ (p - y))[:, None]])
+                    last = np.zeros((1, top.shape[1]))
+                    last[0, 0] = loss
+                    sums[f] = sums.get(f, 0.0) + np.vstack([top, last])
+        yield from partial_rows(sums)
+    return run
+
+
+def _newton_step(w):
+    def run(pdf):
+        fold = int(pdf["split"].iloc[0])
+        m = np.vstack(pdf.sort_values("i")["row"].to_numpy())
+        size = m.shape[1] - 1
+        penalty = np.ones(size)
+        penalty[-1] = 0.0  # the intercept is free
+        loss = m[size, 0] + 0.5 * np.sum(penalty * w[fold] ** 2)
+        step = np.linalg.solve(m[:size, :size] + np.diag(penalty),
+                               m[:size, size] + penalty * w[fold])
+        return pd.DataFrame({"fold": [fold], "loss": [loss], "step": [step]})
+    return run
+
+
+def _fit_folds(coded, encoding, scaling, n_splits, max_steps=50, tol=1e-10):
+    """Logistic coefficients per fold with unit ridge penalty, on scaled columns.
+
+    One pass over the items makes a Newton step for every fold: partitions add up their Hessians,
+    and each fold's system is solved in its own task. A step that raises the loss is halved.
+    """
+    rows = coded.select("fold", "label", "cat", "num")
+    w = {f: np.zeros(encoding.width + 1) for f in range(n_splits)}
+    good, best, step = dict(w), dict.fromkeys(w, np.inf), {}
+    active = dict(w)
+    for _ in range(max_steps):
+        sums = sum_rows(rows.mapInArrow(_newton_sums(encoding, scaling, active),
+                                        "split int, i int, row array<double>"), ["split", "i"])
+        solved = sums.groupBy("split").applyInPandas(
+            _newton_step(active), "fold int, loss double, step array<double>").collect()
+        for r in solved:
+            f = r["fold"]
+            if r["loss"] <= best[f] + 1e-12 * abs(r["loss"]):
+                done = best[f] - r["loss"] < tol * max(1.0, abs(r["loss"]))
+                good[f], best[f], step[f] = w[f], r["loss"], np.array(r["step"])
+                if done:
+                    del active[f]
+                    continue
+            else:
+                step[f] = step[f] / 2
+            w[f] = good[f] - step[f]
+        active = {f: w[f] for f in active}
+        if not active:
+            break
+    return good
+
+
+def _fold_probability(encoding, scaling, w):
+    def run(batches):
+        for batch in batches:
+            fold = batch.column("fold").to_numpy(zero_copy_only=False)
+            p = np.zeros(batch.num_rows)
+            for start in range(0, batch.num_rows, BLOCK):
+                stop = min(start + BLOCK, batch.num_rows)
+                for f in np.unique(fold[start:stop]):
+                    here = fold[start:stop] == f
+                    a = _scaled_block(batch, encoding, start, stop, scaling[f])[here]
+                    p[start:stop][here] = 1 / (1 + np.exp(-(a @ w[f])))
+            yield pa.RecordBatch.from_pydict({"item_id": batch.column("item_id"), "p": pa.array(p)})
+    return run
+
+
 def feature_label_scores(flat, n_splits=5, seed=2026):
     """Out-of-fold probability of the long label from features alone, and what it says of items.
 
     Adds feature_p_long, feature_label_surprisal and feature_ambiguity to `flat`. Levels are
-    indexed over all items: a level absent from a train fold has a zero coefficient there, as an
-    unseen level would. The folds' models are fitted side by side.
+    numbered over all items: a level absent from a train fold has a zero coefficient there, as an
+    unseen level would.
     """
-    features = feature_frame(flat)
-    encoding = fit_encoding(features)
-    indexed = index_levels(features, encoding)
-    hot = [f"{c}__hot" for c in encoding.cats]
-    index = [f"{c}__index" for c in encoding.cats]
-    coded = OneHotEncoder(inputCols=index, outputCols=hot, dropLast=False).fit(indexed).transform(
-        indexed) if hot else indexed
-    coded = coded.join(
-        stratified_folds(flat.select("item_id", "true_long"), n_splits, seed), "item_id")
-    coded = coded.select("item_id", "fold", F.col("true_long").cast("double").alias("label"),
-                         *hot, *encoding.nums).persist()
-    scaling = _fold_scaling(coded, encoding.nums, n_splits)
-
-    def score(fold):
-        *moments, n_train = scaling[fold]
-        scaled = coded.select("item_id", "fold", "label", *hot, *[
-            ((F.col(c) - m) / s).alias(c) for c, (m, s) in zip(encoding.nums, moments)])
-        data = VectorAssembler(inputCols=hot + encoding.nums, outputCol="features").transform(scaled)
-        lr = LogisticRegression(regParam=1.0 / n_train, elasticNetParam=0.0, standardization=False,
-                                maxIter=2000, tol=1e-9, family="binomial")
-        model = lr.fit(data.filter(F.col("fold") != fold).select("label", "features"))
-        return model.transform(data.filter(F.col("fold") == fold).select("item_id", "features")) \
-            .select("item_id", vector_to_array("probability")[1].alias("p"))
-
-    with ThreadPool(n_splits) as pool:
-        parts = pool.map(inheritable_thread_target(flat.sparkSession)(score), range(n_splits))
-    scores = parts[0]
-    for part in parts[1:]:
-        scores = scores.unionByName(part)
-    scores = written(scores.withColumn("feature_p_long", clip("p", 1e-6, 1 - 1e-6)).drop("p"),
-                     "label-scores")
+    encoded, encoding = encode_features(flat)
+    folds = stratified_folds(flat.select("item_id", "true_long"), n_splits, seed)
+    coded = encoded.join(folds, "item_id").select(
+        "item_id", "fold", F.col("true_long").cast("double").alias("label"), "cat", "num").persist()
+    scaling = _fold_scaling(coded, len(encoding.nums), n_splits)
+    w = _fit_folds(coded, encoding, scaling, n_splits)
+    scores = written(coded.mapInArrow(
+        _fold_probability(encoding, scaling, w), "item_id string, p double"), "label-scores")
     coded.unpersist()
+    scores = scores.select("item_id", clip("p", 1e-6, 1 - 1e-6).alias("feature_p_long"))
     return flat.join(scores, "item_id").withColumn(
         "feature_label_surprisal", surprisal("true_long", "feature_p_long")).withColumn(
         "feature_ambiguity", ambiguity("feature_p_long"))
