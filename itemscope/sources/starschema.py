@@ -6,6 +6,7 @@ cell; cells without an order line are missing.
 
 from pyspark.sql import functions as F
 
+from itemscope.operators.metadata import add_severity_scores
 from itemscope.schema import LONG, SHORT
 
 
@@ -78,3 +79,72 @@ def observations(spark, sf_dir):
 
 def responses(spark, sf_dir):
     return observations(spark, sf_dir).select("subject", "item_id", "y")
+
+
+def flat_items(spark, sf_dir):
+    """Flat metadata with label and severity scores."""
+    return add_severity_scores(items(spark, sf_dir).withColumn(
+        "true_long", (F.col("ground_truth_mapped") == LONG).cast("int")))
+
+
+def case_metadata(spark, sf_dir):
+    """Item metadata whose household record is a text cell, written in five ways by part key:
+    JSON, Python literal with None, JSON in the fallback column, single quotes there, nothing."""
+    key = F.col("p_partkey")
+    kind = key % 5
+    damage = _choose(key % 4, ["No Damage", "Some Damage", "Moderate Damage"], "A lot of Damage")
+    json = F.to_json(F.struct(
+        F.struct(F.col("p_brand").alias("State"), F.col("p_type").alias("Tenure"),
+                 F.when(key % 17 != 0, F.col("p_size")).alias("Occupants"))
+        .alias("SocioEconomicParameters"),
+        damage.alias("BuildingDamage"), F.lit("Never").alias("WaterAccess"),
+        F.lit("Less than a week").alias("DisplacementDuration")))
+    literal = lambda msa: F.concat(
+        F.lit("{'SocioEconomicParameters': {'State': '"), "p_brand", F.lit("', 'Tenure': '"),
+        "p_type", F.lit(msa), F.col("p_size").cast("string"), F.lit("}, 'BuildingDamage': '"),
+        damage, F.lit("', 'WaterAccess': 'A lot'}"))
+    return table(spark, sf_dir, "part").select(
+        item_id("p_partkey").alias("item_id"),
+        F.when(_true_long(), LONG).otherwise(SHORT).alias("ground_truth_mapped"),
+        F.when(kind == 0, json).when(kind == 1, literal("', 'MSA': None, 'Occupants': "))
+        .when(kind == 3, "not a dict").otherwise("").alias("feature_key"),
+        F.when(kind == 2, json).when(kind == 3, literal("', 'Occupants': "))
+        .alias("household_attributes"))
+
+
+def wide_metadata(spark, sf_dir):
+    """Item rows with one `<subject>_prediction` text column per nation."""
+    cells = _cells(spark, sf_dir)
+    label = F.when(F.col("decision") == 1, LONG).when(F.col("decision") == 0, SHORT).otherwise("?")
+    # nations are a fixed, small set: 25 keys in every scale
+    return cells.groupBy(item_id("l_partkey").alias("item_id")).agg(*[
+        F.max(F.when(F.col("s_nationkey") == n, label)).alias(f"n{n:02d}_prediction")
+        for n in range(25)])
+
+
+def households(spark, sf_dir):
+    """Household records from orders and customers, with unknown fields and odd disaster counts."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    customers = table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
+    key = F.col("o_orderkey")
+    unless = lambda n, c: F.when(key % n != 0, c)
+    disasters = F.when(key % 7 == 0, F.array().cast("array<string>")).when(
+        key % 7 == 1, F.array(F.lit("Flood"), F.lit("Fire"))).when(
+        key % 7 != 2, F.array(_choose(key % 3, ["Hurricane", "Flood"], "Tornado")))
+    socio = F.struct(
+        F.col("c_mktsegment").alias("State"),
+        F.concat(F.lit("MSA-"), F.col("c_nationkey").cast("string")).alias("MSA"),
+        F.lit("Owned").alias("Tenure"),
+        F.when(F.col("c_acctbal") >= 0, "positive").alias("Income"),
+        (key % 6).cast("double").alias("Occupants"), F.lit(0.0).alias("Kids5years"),
+        F.lit(0.0).alias("Kids5-11years"), F.lit(1.0).alias("Kids12-17years"),
+        F.lit("Employed").alias("EmploymentStatus"))
+    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
+        key.alias("household_id"), socio.alias("SocioEconomicParameters"),
+        unless(11, F.lit("Some Damage")).alias("BuildingDamage"), disasters.alias("DisasterType"),
+        unless(13, _choose(key % 2, ["Less than a week"], "More than a month"))
+        .alias("DisplacementDuration"),
+        F.lit("Never").alias("WaterAccess"), F.lit("Some").alias("PowerAccess"),
+        F.lit("No shortage").alias("FoodAccess"), F.col("o_orderpriority").alias(
+            "UnsanitaryConditions"), F.lit(None).cast("string").alias("InformGPTMethod"))
