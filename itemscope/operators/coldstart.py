@@ -9,7 +9,7 @@ subjects, design columns or grid points are shuffled.
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Window, functions as F, types as T
 
 from itemscope.functions.scalar import (
     logistic_loss, rasch_probability, safe_logit, sigmoid, standardized_residual)
@@ -18,12 +18,13 @@ from itemscope.operators.design import (
 from itemscope.operators.performance import binary_metrics
 from itemscope.operators.ranks import hash_positions
 from itemscope.operators.residuals import factor_subjects
-from itemscope.operators.responses import eligible_items
 from itemscope.session import written
 
 # The grid of factor scales, from -2 to 2 in 161 steps.
 GRID_POINTS, GRID_START, GRID_STEP = 161, -2.0, 0.025
 _COARSE = 10
+# Answers per packed list.
+PACKED = 65_536
 # Fixed value: factors kept at least.
 MIN_FACTORS = 8
 ITEM_MEAN = "oracle_item_mean_not_coldstart"
@@ -34,9 +35,12 @@ def method_name(k):
     return "feature_1pl_b_only_K0" if k == 0 else f"feature_K{k}_b_plus_loading"
 
 
-def held_out_items(responses, seeds, test_size, min_observed):
-    """Rows (split, item_id): per seed, the `test_size` eligible items with the smallest hash."""
-    eligible = eligible_items(responses, min_observed).select("item_id")
+def held_out_items(observed, seeds, test_size, min_observed):
+    """Rows (split, item_id): per seed, the `test_size` eligible items with the smallest hash.
+
+    `observed` has item_id and its number of answers `n_observed`.
+    """
+    eligible = observed.filter(F.col("n_observed") >= min_observed).select("item_id")
     n = eligible.count()
     if n < test_size:
         raise ValueError(f"only {n} eligible items, fewer than test_size={test_size}")
@@ -46,24 +50,45 @@ def held_out_items(responses, seeds, test_size, min_observed):
     return hash_positions(drawn, ["split"], key, first=test_size).select("split", "item_id")
 
 
-def pack_items(responses):
-    """One row per answered item: its answers `obs`, their mean and their number."""
-    return responses.filter(F.col("y").isNotNull()).groupBy("item_id").agg(
-        F.collect_list(F.struct("subject", "y")).alias("obs"),
+def pack_items(responses, n_subjects):
+    """Answers packed as `obs` rows per item, with the item's mean answer and number of answers.
+
+    Up to PACKED subjects an item is one row (part 0). More subjects are dealt by hash to as many
+    parts as keep each list near that size.
+    """
+    known = responses.filter(F.col("y").isNotNull())
+    parts = -(-n_subjects // PACKED)
+    lists = F.collect_list(F.struct("subject", "y")).alias("obs")
+    if parts <= 1:
+        return known.groupBy("item_id").agg(
+            lists, F.avg("y").alias("item_mean"), F.count("y").alias("n_observed")).withColumn(
+            "part", F.lit(0))
+    dealt = known.withColumn("part", F.pmod(F.xxhash64("subject"), F.lit(parts)).cast("int"))
+    dealt = dealt.groupBy("item_id", "part").agg(
+        lists, F.sum("y").alias("s"), F.count("y").alias("n"))
+    whole = known.groupBy("item_id").agg(
         F.avg("y").alias("item_mean"), F.count("y").alias("n_observed"))
+    # parts are numbered from 0 per item, so that part 0 stands for the item
+    number = F.dense_rank().over(Window.partitionBy("item_id").orderBy("part")) - 1
+    return dealt.withColumn("part", number).join(whole, "item_id").select(
+        "item_id", "obs", "item_mean", "n_observed", "part")
 
 
 def _train_splits(seeds):
     return F.array_except(F.array(*[F.lit(int(s)) for s in seeds]), F.col("test_splits"))
 
 
-def split_parameters(items, seeds):
+def subject_totals(responses):
+    return responses.groupBy("subject").agg(F.sum("y").alias("s"), F.count("y").alias("n")).filter(
+        F.col("n") > 0)
+
+
+def split_parameters(items, total, seeds):
     """Rows (split, subject, model_mean, theta, b_center) from the train items of every split.
 
     Train sums are the totals minus the sums of the few held-out items.
     """
-    cells = items.select("test_splits", F.explode("obs").alias("o"))
-    total = cells.groupBy("o.subject").agg(F.sum("o.y").alias("s"), F.count(F.lit(1)).alias("n"))
+    cells = items.filter(F.size("test_splits") > 0).select("test_splits", F.explode("obs").alias("o"))
     held = cells.select(F.explode("test_splits").alias("split"), "o").groupBy(
         "split", "o.subject").agg(F.sum("o.y").alias("hs"), F.count(F.lit(1)).alias("hn"))
     every = F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("split")
@@ -73,7 +98,7 @@ def split_parameters(items, seeds):
         (F.col("n") - F.coalesce("hn", F.lit(0))).cast("double")).alias("model_mean"))
     means = means.withColumn("raw", safe_logit("model_mean"))
     centre = means.groupBy("split").agg(F.avg("raw").alias("theta_center"))
-    raw_b = items.select("test_splits", (-safe_logit("item_mean")).alias("b"))
+    raw_b = items.filter(F.col("part") == 0).select("test_splits", (-safe_logit("item_mean")).alias("b"))
     b_centre = raw_b.select("b", F.explode(_train_splits(seeds)).alias("split")).groupBy(
         "split").agg(F.avg("b").alias("b_center"))
     return means.join(centre, "split").join(b_centre, "split").select(
@@ -182,11 +207,12 @@ def ridge_coefficients(items, targets, encoding, seeds, alpha):
     """
     shape = (encoding.first_number, encoding.width)
     schema = "split int, i int, row array<double>"
-    moments = sum_rows(items.select("cat", "num", "test_splits").mapInArrow(
+    one = items.filter(F.col("part") == 0)  # one row per item
+    moments = sum_rows(one.select("cat", "num", "test_splits").mapInArrow(
         _design_moments(*shape), schema), ["split", "i"])
     moments = written(moments, "moments")
     products = sum_rows(
-        targets.join(items.select("item_id", "cat", "num"), "item_id")
+        targets.join(one.select("item_id", "cat", "num"), "item_id")
         .select("split", "cat", "num", "t").mapInArrow(_target_products(*shape), schema),
         ["split", "i"])
     every = F.explode(F.array(*[F.lit(int(s)) for s in seeds]))
@@ -247,19 +273,22 @@ def _scored_cells(rows, params, ks):
         .alias("fs") if ks else F.array().cast("array<struct<k:int,f:double>>").alias("fs"))
 
 
-def _grid_losses(cells, points):
-    """Mean train log-loss per (split, k, g) for the grid numbers in the array column `points`."""
+def _best_of_grid(cells, stride, count, low=None):
+    """Per (split, k): the first of `count` grid numbers low, low + stride.. with the least mean
+    train log-loss. `low` is a table (split, k, low); without it the grid starts at 0."""
     rows = cells.select("split", "y", "eta", F.explode("fs").alias("kf")).select(
         "split", "y", "eta", "kf.k", "kf.f")
-    if not isinstance(points, list):
-        rows = rows.join(points, ["split", "k"])
-        grid = F.col("points")
-    else:
-        grid = F.array(*[F.lit(g) for g in points])
-    rows = rows.select("split", "k", "y", "eta", "f", F.explode(grid).alias("g"))
-    c = F.col("g") * F.lit(GRID_STEP) + F.lit(GRID_START)
-    return rows.groupBy("split", "k", "g").agg(
-        F.avg(logistic_loss("y", F.col("eta") + c * F.col("f"))).alias("loss"))
+    rows = rows.withColumn("low", F.lit(0)) if low is None else rows.join(low, ["split", "k"])
+
+    def loss(i):
+        c = (F.col("low") + i * stride) * F.lit(GRID_STEP) + F.lit(GRID_START)
+        return F.avg(logistic_loss("y", F.col("eta") + c * F.col("f")))
+    mean = rows.groupBy("split", "k", "low").agg(*[loss(i).alias(f"l{i}") for i in range(count)])
+    points = F.array(*[F.struct(
+        F.col(f"l{i}").alias("loss"), (F.col("low") + i * stride).alias("g"))
+        for i in range(count)])
+    inside = F.filter(points, lambda s: s["g"] < GRID_POINTS)
+    return mean.select("split", "k", F.array_min(inside)["g"].alias("g"))
 
 
 def factor_scales(cells):
@@ -268,14 +297,11 @@ def factor_scales(cells):
     The loss is convex in c, so a coarse pass brackets the least point and a fine pass over the
     bracket finds it: two passes over 36 points in place of one over 161.
     """
-    best = lambda losses: losses.groupBy("split", "k").agg(
-        F.min_by("g", F.struct("loss", "g")).alias("g"))
-    coarse = best(_grid_losses(cells, list(range(0, GRID_POINTS, _COARSE))))
+    coarse = _best_of_grid(cells, _COARSE, (GRID_POINTS - 1) // _COARSE + 1)
     low = F.greatest(F.col("g") - (_COARSE - 1), F.lit(0))
-    high = F.least(F.col("g") + (_COARSE - 1), F.lit(GRID_POINTS - 1))
-    bracket = written(coarse.select("split", "k", F.sequence(low, high).alias("points")), "bracket")
-    return best(_grid_losses(cells, bracket)).select(
-        "split", "k", (F.col("g") * F.lit(GRID_STEP) + F.lit(GRID_START)).alias("c"))
+    low = written(coarse.select("split", "k", low.alias("low")), "bracket")
+    fine = _best_of_grid(cells, 1, 2 * _COARSE - 1, low)
+    return fine.select("split", "k", (F.col("g") * F.lit(GRID_STEP) + F.lit(GRID_START)).alias("c"))
 
 
 class ColdStart:
@@ -311,17 +337,20 @@ def run_cold_start(responses, flat, seeds=(2026, 2027, 2028, 2029, 2030), ks=(0,
     used = [k for k in ks if k > 0]
 
     encoded, encoding = encode_features(flat)
-    held = held_out_items(responses, seeds, test_size, min_observed).groupBy("item_id").agg(
+    totals = written(subject_totals(responses), "subject-totals")
+    packed = pack_items(responses, totals.count()).join(encoded, "item_id").persist()
+    observed = packed.filter(F.col("part") == 0).select("item_id", "n_observed")
+    held = held_out_items(observed, seeds, test_size, min_observed).groupBy("item_id").agg(
         F.collect_set("split").alias("test_splits"))
-    items = pack_items(responses).join(held, "item_id", "left").join(encoded, "item_id").select(
-        "item_id", "obs", "item_mean",
+    # the few held-out items are a small written table, so the packed items need not move again
+    items = packed.join(written(held, "held-out"), "item_id", "left").select(
+        "item_id", "part", "obs", "item_mean",
         F.coalesce("test_splits", F.array().cast("array<int>")).alias("test_splits"), "cat", "num")
-    items = items.persist()
 
-    params = written(split_parameters(items, seeds), "split-parameters")
+    params = written(split_parameters(items, totals, seeds), "split-parameters")
     z = train_residuals(items, params, seeds)
     factors = written(
-        factor_subjects(z, kmax, subjects=params.filter(F.col("split") == seeds[0])),
+        factor_subjects(z, kmax, subjects=totals),
         "split-factors")
     targets = item_targets(z, factors, kmax)
     coefficients = ridge_coefficients(items, targets, encoding, seeds, alpha)
@@ -330,7 +359,7 @@ def run_cold_start(responses, flat, seeds=(2026, 2027, 2028, 2029, 2030), ks=(0,
     predicted = written(items.select(
         "item_id", "obs", "item_mean", "test_splits", predict("cat", "num").alias("pred")),
         "predicted-items")
-    items.unpersist()
+    packed.unpersist()
     params = written(params.join(factors.select("split", "subject", "u"), ["split", "subject"],
                                  "left").select("split", "subject", "theta", "model_mean", "u"),
                      "subject-parameters")

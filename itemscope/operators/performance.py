@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from itemscope.functions.pvalues import fair_coin_p_udf
-from itemscope.functions.scalar import clip, log_loss, tenth_bin, tenth_label
-from itemscope.operators.ranks import auc_by_group, with_min_rank
+from itemscope.functions.scalar import clip, tenth_bin, tenth_label
+from itemscope.operators.ranks import auc_from_counts, outcome_counts, with_min_ranks
 from itemscope.schema import LONG
 
 # The subject pairs compared when none are given.
@@ -66,8 +66,8 @@ def model_performance(obs, n_items, subjects=None):
         F.try_divide(tp + fp, n).alias("predicted_long_rate"),
         F.try_divide(tp + fn, n).alias("true_long_rate_observed"),
         known("tp"), known("tn"), known("fp"), known("fn"))
-    ranked = with_min_rank(out, "accuracy", "accuracy_rank")
-    return ranked.orderBy(F.desc_nulls_last("accuracy"), F.desc_nulls_last("coverage"))
+    return with_min_ranks(out, {"accuracy": "accuracy_rank"}).orderBy(
+        F.desc_nulls_last("accuracy"), F.desc_nulls_last("coverage"))
 
 
 def subject_summary(responses, ability, n_items, irt_model="1pl"):
@@ -82,8 +82,8 @@ def subject_summary(responses, ability, n_items, irt_model="1pl"):
         (F.lit(n_items).cast("long") - F.col("observed_total")).alias("missing_total"),
         (F.col("observed_total") / F.lit(float(n_items))).alias("coverage"),
         F.try_divide("correct", "observed_total").alias("accuracy"))
-    return with_min_rank(with_min_rank(out, "ability", "ability_rank"),
-                         "accuracy", "accuracy_rank").orderBy(F.desc("ability"))
+    return with_min_ranks(out, {"ability": "ability_rank", "accuracy": "accuracy_rank"}).orderBy(
+        F.desc("ability"))
 
 
 def paired_comparisons(responses, pairs=None):
@@ -141,16 +141,15 @@ def binary_metrics(df, group, y, p, threshold=0.5, accuracy="accuracy", clip_auc
     Brier score and log-loss use `p` clipped to [1e-6, 1 - 1e-6]; the AUC does so only with
     `clip_auc`.
     """
-    q = clip(p, 1e-6, 1 - 1e-6)
-    scored = df.select(*group, F.col(y).cast("int").alias("__y"), F.col(p).alias("__p"),
-                       q.alias("__q"))
-    sums = scored.groupBy(*group).agg(
-        F.count("__y").alias("n"),
-        F.avg(((F.col("__p") >= threshold).cast("int") == F.col("__y")).cast("int")).alias(accuracy),
-        F.avg((F.col("__q") - F.col("__y")) * (F.col("__q") - F.col("__y"))).alias("brier"),
-        F.avg(log_loss("__y", "__p")).alias("logloss"))
-    auc = auc_by_group(scored, group, "__y", "__q" if clip_auc else "__p")
-    if not group:
-        return sums.withColumn("__one", F.lit(1)).join(
-            auc.withColumn("__one", F.lit(1)), "__one", "left").drop("__one")
-    return sums.join(auc, list(group), "left")
+    scored = df.select(*group, F.col(y).cast("int").alias("y"),
+                       (clip(p, 1e-6, 1 - 1e-6) if clip_auc else F.col(p)).alias("p"))
+    # everything follows from the counts per distinct probability, so the input is read once
+    counts = outcome_counts(scored, group, "y", "p")
+    pos, neg, n = F.col("pos"), F.col("neg"), F.sum(F.col("pos") + F.col("neg"))
+    q = clip("p", 1e-6, 1 - 1e-6)
+    return counts.groupBy(*group).agg(
+        n.alias("n"),
+        (F.sum(F.when(F.col("p") >= threshold, pos).otherwise(neg)) / n).alias(accuracy),
+        (F.sum(pos * (1 - q) * (1 - q) + neg * q * q) / n).alias("brier"),
+        (-F.sum(pos * F.log(q) + neg * F.log(1 - q)) / n).alias("logloss"),
+        auc_from_counts().alias("auc"))

@@ -57,21 +57,31 @@ def value_counts(df, group, value):
         F.count(F.lit(1)).alias("cnt"))
 
 
-def average_ranks(df, group, value):
-    """One row per (group, value) with `rank` (ties share the mean rank) and the group's size `n`."""
-    sums = running_sums(value_counts(df, group, value), group, value, ["cnt"])
+def average_ranks(counts, group, value):
+    """One row per (group, value) with `rank` (ties share the mean rank) and the group's size `n`.
+
+    `counts` holds the number `cnt` of rows per (group, value).
+    """
+    sums = running_sums(counts, group, value, ["cnt"])
     return sums.select(*group, value, "cnt",
                        (F.col("cnt_before") + (F.col("cnt") + 1) / 2).alias("rank"),
                        F.col("cnt_total").alias("n"))
 
 
-def with_min_rank(df, value, out):
-    """SQL RANK over the whole table, largest first; NULL values get a NULL rank."""
-    sums = running_sums(value_counts(df, [], value), [], value, ["cnt"])
-    ranks = sums.select(
-        F.col(value).alias("__value"),
-        (F.col("cnt_total") - F.col("cnt_before") - F.col("cnt") + 1).cast("int").alias(out))
-    return df.join(ranks, F.col(value) == F.col("__value"), "left").drop("__value")
+def with_min_ranks(df, ranks):
+    """Add SQL RANK columns over the whole table, largest value first; NULL has a NULL rank.
+
+    `ranks` maps a value column to the rank's name. The table is written once, since it is both
+    counted and joined.
+    """
+    out = df = written(df, "to-rank")
+    for value, name in ranks.items():
+        sums = running_sums(value_counts(df, [], value), [], value, ["cnt"])
+        rank = sums.select(
+            F.col(value).alias("__value"),
+            (F.col("cnt_total") - F.col("cnt_before") - F.col("cnt") + 1).cast("int").alias(name))
+        out = out.join(rank, F.col(value) == F.col("__value"), "left").drop("__value")
+    return out
 
 
 def exact_quantiles(df, group, value, probabilities):
@@ -101,15 +111,18 @@ def exact_quantiles(df, group, value, probabilities):
                     lambda s: s["x"]).alias("edges"))
 
 
-def auc_by_group(df, group, y, score):
-    """ROC AUC per group, ties counting one half; NULL when a group holds a single class."""
-    counts = df.groupBy(*group, score).agg(
+def outcome_counts(df, group, y, score):
+    """Running counts of positive and negative outcomes per (group, score)."""
+    counts = df.filter(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*group, score).agg(
         F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(y) == 0, 1).otherwise(0)).alias("neg"))
-    sums = running_sums(counts, group, score, ["pos", "neg"])
-    return sums.groupBy(*group).agg(F.try_divide(
-        F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)),
-        F.max("pos_total").cast("double") * F.max("neg_total")).alias("auc"))
+    return running_sums(counts, group, score, ["pos", "neg"])
+
+
+def auc_from_counts():
+    """Aggregate over `outcome_counts`: ROC AUC, ties count one half, NULL for a single class."""
+    return F.try_divide(F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)),
+                        F.max("pos_total").cast("double") * F.max("neg_total"))
 
 
 # Rows are spread over 16**_HEX hash buckets for counting and ordering.

@@ -108,9 +108,9 @@ def gram_rows(rows, m):
                     ["split", "i"])
 
 
-def residual_gram(z):
+def residual_gram(z, subjects=None):
     """Upper triangle of the Gram matrix, as rows (split, subject_a, subject_b, dot)."""
-    roster, m, small = subject_index(z)
+    roster, m, small = subject_index(z if subjects is None else subjects)
     if not small:
         raise ValueError(f"the Gram table is limited to {GRAM_SUBJECTS} subjects")
     g = gram_rows(residual_rows(z, roster), m)
@@ -195,7 +195,7 @@ def residual_factor_analysis(responses, ability, item_params, n_factors=5):
     Returns a dict of three DataFrames. `ability` has columns subject, ability.
     """
     z = residuals(responses, ability, item_params)
-    factors = written(factor_subjects(z, n_factors), "factors")
+    factors = written(factor_subjects(z, n_factors, subjects=ability), "factors")
     first = factors.first()
     k = len(first["s"]) if first else 0
     names = [f"factor{i + 1}" for i in range(k)]

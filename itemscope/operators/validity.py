@@ -34,10 +34,11 @@ def difficulty_validity_correlations(item_table, difficulty="difficulty"):
         F.col(c).cast("double").alias(c) for _, c in present]).unpivot(
         "d", [c for _, c in present], "column", "v").filter("d is not null and v is not null")
     # equal pairs collapse before ranks are looked up
-    joint = pairs.groupBy("column", "d", "v").agg(F.count(F.lit(1)).alias("c"))
-    rank_d = average_ranks(pairs, ["column"], "d").select(
+    joint = written(pairs.groupBy("column", "d", "v").agg(F.count(F.lit(1)).alias("c")), "pairs")
+    counts = lambda value: joint.groupBy("column", value).agg(F.sum("c").alias("cnt"))
+    rank_d = average_ranks(counts("d"), ["column"], "d").select(
         "column", "d", F.col("rank").alias("rd"), "n")
-    rank_v = average_ranks(pairs, ["column"], "v").select(
+    rank_v = average_ranks(counts("v"), ["column"], "v").select(
         "column", "v", F.col("rank").alias("rv"))
     x = F.col("rd") - (F.col("n") + 1) / 2
     y = F.col("rv") - (F.col("n") + 1) / 2
@@ -123,15 +124,17 @@ def _newton_step(w):
         loss = m[size, 0] + 0.5 * np.sum(penalty * w[fold] ** 2)
         step = np.linalg.solve(m[:size, :size] + np.diag(penalty),
                                m[:size, size] + penalty * w[fold])
-        return pd.DataFrame({"fold": [fold], "loss": [loss], "step": [step]})
+        gain = 0.5 * step @ (m[:size, size] + penalty * w[fold])
+        return pd.DataFrame({"fold": [fold], "loss": [loss], "gain": [gain], "step": [step]})
     return run
 
 
-def _fit_folds(coded, encoding, scaling, n_splits, max_steps=50, tol=1e-10):
+def _fit_folds(coded, encoding, scaling, n_splits, max_steps=50, tol=1e-9):
     """Logistic coefficients per fold with unit ridge penalty, on scaled columns.
 
     One pass over the items makes a Newton step for every fold: partitions add up their Hessians,
-    and each fold's system is solved in its own task. A step that raises the loss is halved.
+    and each fold's system is solved in its own task. A step that raises the loss is halved; a step
+    that promises less than `tol` of the loss is the last one.
     """
     rows = coded.select("fold", "label", "cat", "num")
     w = {f: np.zeros(encoding.width + 1) for f in range(n_splits)}
@@ -141,19 +144,18 @@ def _fit_folds(coded, encoding, scaling, n_splits, max_steps=50, tol=1e-10):
         sums = sum_rows(rows.mapInArrow(_newton_sums(encoding, scaling, active),
                                         "split int, i int, row array<double>"), ["split", "i"])
         solved = sums.groupBy("split").applyInPandas(
-            _newton_step(active), "fold int, loss double, step array<double>").collect()
+            _newton_step(active), "fold int, loss double, gain double, step array<double>").collect()
         for r in solved:
             f = r["fold"]
+            last = False
             if r["loss"] <= best[f] + 1e-12 * abs(r["loss"]):
-                done = best[f] - r["loss"] < tol * max(1.0, abs(r["loss"]))
-                good[f], best[f], step[f] = w[f], r["loss"], np.array(r["step"])
-                if done:
-                    del active[f]
-                    continue
+                good[f], best[f], step[f] = active[f], r["loss"], np.array(r["step"])
+                last = r["gain"] < tol * max(1.0, abs(r["loss"]))
             else:
                 step[f] = step[f] / 2
-            w[f] = good[f] - step[f]
-        active = {f: w[f] for f in active}
+            active[f] = good[f] - step[f]
+            if last:
+                good[f] = active.pop(f)
         if not active:
             break
     return good

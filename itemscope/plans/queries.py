@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from itemscope.functions.scalar import rounded
 from itemscope.operators import (
     coldstart, difficulty, fits, households, metadata, performance, residuals, responses, validity)
-from itemscope.session import shared_dir
+from itemscope.session import shared_dir, written
 from itemscope.sources import starschema, tables
 
 PAIRS = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(24)]
@@ -85,6 +85,11 @@ def _item_table(spark, sf_dir):
     return difficulty.item_difficulty_table(params, starschema.flat_items(spark, sf_dir))
 
 
+def _written_cells(spark, sf_dir):
+    """The response rows as a table of their own, for queries that read them several times."""
+    return written(starschema.responses(spark, sf_dir), "responses")
+
+
 def item_difficulty_table(spark, sf_dir):
     return rounded(_item_table(spark, sf_dir).select(
         "item_id", "difficulty", "empirical_accuracy", "empirical_difficulty", "BuildingDamage",
@@ -92,7 +97,8 @@ def item_difficulty_table(spark, sf_dir):
 
 
 def difficulty_decile_summary(spark, sf_dir):
-    return rounded(difficulty.difficulty_decile_summary(_item_table(spark, sf_dir)))
+    table = written(_item_table(spark, sf_dir), "item-table")
+    return rounded(difficulty.difficulty_decile_summary(table))
 
 
 def damage_label_difficulty(spark, sf_dir):
@@ -127,22 +133,22 @@ def moment_1pl_subjects(spark, sf_dir):
     return rounded(_ability(spark, sf_dir))
 
 
-def _residuals(spark, sf_dir):
-    cells = starschema.responses(spark, sf_dir)
+def _residuals(cells):
     return residuals.residuals(cells, residuals.moment_abilities(cells),
                                residuals.moment_difficulties(cells))
 
 
 def residual_long(spark, sf_dir):
-    return rounded(_residuals(spark, sf_dir).drop("split"))
+    return rounded(_residuals(_written_cells(spark, sf_dir)).drop("split"))
 
 
 def residual_gram(spark, sf_dir):
-    return rounded(residuals.residual_gram(_residuals(spark, sf_dir)).drop("split"), 5)
+    cells = _written_cells(spark, sf_dir)
+    return rounded(residuals.residual_gram(_residuals(cells), cells).drop("split"), 5)
 
 
 def _factors(spark, sf_dir, name):
-    cells = starschema.responses(spark, sf_dir)
+    cells = _written_cells(spark, sf_dir)
     return rounded(residuals.residual_factor_analysis(
         cells, residuals.moment_abilities(cells), residuals.moment_difficulties(cells))[name])
 
@@ -203,8 +209,8 @@ def missing_item_ids(spark, sf_dir):
 
 
 def coldstart_split(spark, sf_dir):
-    return coldstart.held_out_items(starschema.responses(spark, sf_dir), SEEDS,
-                                    _test_size(spark, sf_dir), MIN_OBSERVED)
+    observed = responses.observer_counts(starschema.responses(spark, sf_dir))
+    return coldstart.held_out_items(observed, SEEDS, _test_size(spark, sf_dir), MIN_OBSERVED)
 
 
 _runs = {}
@@ -291,13 +297,13 @@ def run_accuracy(spark, sf_dir):
 
 
 def subject_summary(spark, sf_dir):
-    cells = starschema.responses(spark, sf_dir)
+    cells = _written_cells(spark, sf_dir)
     return rounded(performance.subject_summary(
         cells, residuals.moment_abilities(cells), _n_items(spark, sf_dir)))
 
 
 def rasch_fit(spark, sf_dir):
-    cells = starschema.responses(spark, sf_dir)
+    cells = _written_cells(spark, sf_dir)
     subjects, _ = fits.rasch_fit(cells)
     return rounded(performance.subject_summary(cells, subjects, _n_items(spark, sf_dir)))
 
@@ -307,14 +313,14 @@ def rasch_fit_items(spark, sf_dir):
 
 
 def twopl_fit(spark, sf_dir):
-    cells = starschema.responses(spark, sf_dir)
+    cells = _written_cells(spark, sf_dir)
     subjects, _ = fits.twopl_fit(cells)
     return rounded(performance.subject_summary(cells, subjects, _n_items(spark, sf_dir), "2pl"))
 
 
 def kfactor_fit(spark, sf_dir):
-    cells = starschema.responses(spark, sf_dir)
-    start = residuals.factor_subjects(_residuals(spark, sf_dir), 2)
+    cells = _written_cells(spark, sf_dir)
+    start = residuals.factor_subjects(_residuals(cells), 2, cells)
     subjects, _ = fits.kfactor_fit(cells, 2, start)
     return rounded(fits.factor_table(subjects, cells, _n_items(spark, sf_dir), 2))
 
