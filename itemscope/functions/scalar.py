@@ -85,7 +85,7 @@ def tenth_bin(c):
 
 
 def tenth_label(bin_number):
-    return F.element_at(F.array(*[F.lit(t) for t in TENTH_LABELS]), _col(bin_number))
+    return F.get(F.array(*[F.lit(t) for t in TENTH_LABELS]), _col(bin_number) - 1)
 
 
 def rounded(df, digits=6):

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Window, functions as F, types as T
 
 from itemscope.functions.scalar import (
-    logistic_loss, rasch_probability, safe_logit, sigmoid, standardized_residual)
+    rasch_probability, safe_logit, sigmoid, standardized_residual)
 from itemscope.operators.design import (
     BLOCK, design_block, encode_features, partial_rows, sum_rows)
 from itemscope.operators.performance import binary_metrics
@@ -281,13 +281,11 @@ def _best_of_grid(cells, stride, count, low=None):
     rows = rows.withColumn("low", F.lit(0)) if low is None else rows.join(low, ["split", "k"])
 
     def loss(i):
-        c = (F.col("low") + i * stride) * F.lit(GRID_STEP) + F.lit(GRID_START)
-        return F.avg(logistic_loss("y", F.col("eta") + c * F.col("f")))
-    mean = rows.groupBy("split", "k", "low").agg(*[loss(i).alias(f"l{i}") for i in range(count)])
-    points = F.array(*[F.struct(
-        F.col(f"l{i}").alias("loss"), (F.col("low") + i * stride).alias("g"))
-        for i in range(count)])
-    inside = F.filter(points, lambda s: s["g"] < GRID_POINTS)
+        eta = f"(eta + ((low + {i * stride}) * {GRID_STEP}D + {GRID_START}D) * f)"
+        return F.expr(f"avg(greatest({eta}, 0D) + log1p(exp(-abs({eta}))) - y * {eta}) as l{i}")
+    mean = rows.groupBy("split", "k", "low").agg(*[loss(i) for i in range(count)])
+    points = ", ".join(f"struct(l{i} as loss, low + {i * stride} as g)" for i in range(count))
+    inside = F.expr(f"filter(array({points}), s -> s.g < {GRID_POINTS})")
     return mean.select("split", "k", F.array_min(inside)["g"].alias("g"))
 
 

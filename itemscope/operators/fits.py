@@ -59,7 +59,10 @@ class TwoPL(_Model):
 
 
 class KFactor(_Model):
-    """log-odds = bias + u . v; subject parameters (bias, u), item parameters v."""
+    """log-odds = bias + u . v; subject parameters (bias, u), item parameters v.
+
+    Only the product u . v is determined, so each column of u is kept at unit mean square.
+    """
 
     def __init__(self, k):
         super().__init__(np.zeros(k), np.ones(k), np.zeros(k + 1), np.r_[0.01, np.full(k, 0.1)])
@@ -71,7 +74,8 @@ class KFactor(_Model):
         return np.zeros(len(i)), np.column_stack([np.ones(len(i)), i])
 
     def fix_scale(self, s):
-        return s
+        size = np.sqrt(np.mean(s[:, 1:] ** 2, axis=0))
+        return np.hstack([s[:, :1], s[:, 1:] / np.maximum(size, 1e-6)])
 
 
 def _solve(h, g):
@@ -231,8 +235,8 @@ def kfactor_fit(responses, k, start_loadings, max_sweeps=40, tol=1e-3):
     model = KFactor(k)
     loads = {r["subject"]: list(r["u"])[:k] for r in start_loadings.select("subject", "u").collect()}
     u = np.array([loads.get(n, []) + [0.0] * (k - len(loads.get(n, []))) for n in names])
-    u = u / np.maximum(np.abs(u).max(axis=0), 1e-6)
-    s = _fit(packed, model, np.hstack([_start_abilities(responses, names), u]), max_sweeps, tol)
+    start = model.fix_scale(np.hstack([_start_abilities(responses, names), u]))
+    s = _fit(packed, model, start, max_sweeps, tol)
     items = packed.select("item_id", "who", "ys").mapInPandas(
         _item_rows(model, s), "item_id string, beta array<double>")
     columns = ", ".join(["subject string", "bias double"]
