@@ -326,15 +326,18 @@ class ColdStart:
 
 
 def run_cold_start(responses, flat, seeds=(2026, 2027, 2028, 2029, 2030), ks=(0, 1, 2, 4, 8),
-                   test_size=500, alpha=10.0, min_observed=10):
-    """Hold out whole items per seed, learn metadata -> item parameters, predict their answers."""
+                   test_size=500, alpha=10.0, min_observed=10, encoded=None):
+    """Hold out whole items per seed, learn metadata -> item parameters, predict their answers.
+
+    `encoded`, the result of `encode_features(flat)`, spares encoding the same metadata again.
+    """
     seeds, ks = [int(s) for s in seeds], [int(k) for k in ks]
     if not seeds or not ks or test_size <= 0:
         raise ValueError("seeds and ks must be given and test_size be positive")
     kmax = max(MIN_FACTORS, *ks)
     used = [k for k in ks if k > 0]
 
-    encoded, encoding = encode_features(flat)
+    encoded, encoding = encoded or encode_features(flat)
     totals = written(subject_totals(responses), "subject-totals")
     packed = pack_items(responses, totals.count()).join(encoded, "item_id").persist()
     observed = packed.filter(F.col("part") == 0).select("item_id", "n_observed")

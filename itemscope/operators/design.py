@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from itemscope.operators.metadata import feature_frame
 from itemscope.schema import CATEGORICAL, NUMERIC
+from itemscope.session import written
 
 # The normal equations are solved in one task up to this many design columns.
 DESIGN_COLUMNS = 4096
@@ -64,15 +65,18 @@ def index_levels(features, encoding):
 
 
 def encode_features(flat):
-    """(encoded, encoding): per item the design positions that are 1 (`cat`) and the numbers."""
+    """(encoded, encoding): per item the design positions that are 1 (`cat`) and the numbers.
+
+    The encoded table is written, so that the models built on it start from a short plan.
+    """
     features = feature_frame(flat)
     encoding = fit_encoding(features)
     indexed = index_levels(features, encoding)
     cat = F.array(*[(F.col(f"{c}__index").cast("int") + o)
                     for c, o in zip(encoding.cats, encoding.offsets)])
     num = F.array(*[F.coalesce(c, F.lit(0.0)) for c in encoding.nums])
-    return indexed.select("item_id", cat.alias("cat"),
-                          num.cast("array<double>").alias("num")), encoding
+    encoded = indexed.select("item_id", cat.alias("cat"), num.cast("array<double>").alias("num"))
+    return written(encoded, "encoded-items"), encoding
 
 
 def design_block(batch, first_number, width, start, stop):

@@ -176,22 +176,22 @@ def _fold_probability(encoding, scaling, w):
     return run
 
 
-def feature_label_scores(flat, n_splits=5, seed=2026):
+def feature_label_scores(flat, n_splits=5, seed=2026, encoded=None):
     """Out-of-fold probability of the long label from features alone, and what it says of items.
 
     Adds feature_p_long, feature_label_surprisal and feature_ambiguity to `flat`. Levels are
     numbered over all items: a level absent from a train fold has a zero coefficient there, as an
-    unseen level would.
+    unseen level would. `encoded`, the result of `encode_features(flat)`, spares encoding again.
     """
-    encoded, encoding = encode_features(flat)
+    encoded, encoding = encoded or encode_features(flat)
     folds = stratified_folds(flat.select("item_id", "true_long"), n_splits, seed)
-    coded = encoded.join(folds, "item_id").select(
-        "item_id", "fold", F.col("true_long").cast("double").alias("label"), "cat", "num").persist()
+    coded = written(encoded.join(folds, "item_id").select(
+        "item_id", "fold", F.col("true_long").cast("double").alias("label"), "cat", "num"),
+        "label-rows")
     scaling = _fold_scaling(coded, len(encoding.nums), n_splits)
     w = _fit_folds(coded, encoding, scaling, n_splits)
     scores = written(coded.mapInArrow(
         _fold_probability(encoding, scaling, w), "item_id string, p double"), "label-scores")
-    coded.unpersist()
     scores = scores.select("item_id", clip("p", 1e-6, 1 - 1e-6).alias("feature_p_long"))
     return flat.join(scores, "item_id").withColumn(
         "feature_label_surprisal", surprisal("true_long", "feature_p_long")).withColumn(

@@ -1,24 +1,31 @@
 """The full analysis: from the core tables to all result tables."""
 
 from itemscope.operators import coldstart, difficulty, metadata, performance, residuals, validity
+from itemscope.operators.design import encode_features
 from itemscope.operators.responses import align_metadata, decisions_from_metadata
+from itemscope.session import written
 from itemscope.sources.tables import load_core_tables, save_tables
 
 
 def analysis_tables(core, seeds=(2026, 2027, 2028, 2029, 2030), ks=(0, 1, 2, 4, 8), test_size=500,
                     residual_factors=5, pairs=None, min_observed=10):
-    """Dict of the result tables computed from the tables of `load_core_tables`."""
-    responses = core["responses"].persist()
-    meta = align_metadata(core["case_metadata"], responses).persist()
-    flat = metadata.flatten_metadata(meta).persist()
+    """Dict of the result tables computed from the tables of `load_core_tables`.
+
+    Tables that several results share are written once: later plans stay short and know the size
+    of what they read.
+    """
+    responses = written(core["responses"], "responses")
+    meta = written(align_metadata(core["case_metadata"], responses), "metadata")
+    flat = written(metadata.flatten_metadata(meta), "flat-metadata")
+    encoded = encode_features(flat)
     n_items = (core["matrix_items"] if "matrix_items" in core else
                responses.select("item_id").distinct()).count()
-    decisions = decisions_from_metadata(meta, responses.select("subject")).persist()
+    decisions = written(decisions_from_metadata(meta, responses.select("subject")), "decisions")
 
     obs = performance.observations(responses, meta, decisions)
-    perf = performance.model_performance(obs, n_items).persist()
-    scored = validity.feature_label_scores(flat).persist()
-    item_table = difficulty.item_difficulty_table(core["item_params"], scored)
+    perf = performance.model_performance(obs, n_items)
+    scored = validity.feature_label_scores(flat, encoded=encoded)
+    item_table = written(difficulty.item_difficulty_table(core["item_params"], scored), "items")
     ability = core["subject_ability"].withColumnRenamed("model", "subject")
     factors = residuals.residual_factor_analysis(
         responses, ability, core["item_params"], residual_factors)
@@ -40,7 +47,7 @@ def analysis_tables(core, seeds=(2026, 2027, 2028, 2029, 2030), ks=(0, 1, 2, 4,
     for target, cells in (("correctness", responses),
                           ("decision", decisions.withColumnRenamed("decision", "y"))):
         run = coldstart.run_cold_start(cells, flat, seeds, ks, test_size,
-                                       min_observed=min_observed)
+                                       min_observed=min_observed, encoded=encoded)
         tables[f"kfactor_{target}_coldstart_summary"] = run.summary
         tables[f"kfactor_{target}_coldstart_by_split"] = run.metrics_by_split
         tables[f"kfactor_{target}_coldstart_diagnostics_summary"] = run.diagnostics_summary
