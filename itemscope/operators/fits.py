@@ -8,9 +8,11 @@ state is the subject table alone, so neither lineage nor item state grows.
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from itemscope.functions.scalar import safe_logit
+from itemscope.session import local_table
 
 FIT_SUBJECTS = 1_000_000  # subject parameters are held by the driver between passes
 _EDGE = 1e-4  # mean answers are kept this far from 0 and 1
@@ -157,7 +159,8 @@ def pack_for_fit(responses):
         FIT_SUBJECTS + 1).collect())
     if len(names) > FIT_SUBJECTS:
         raise ValueError(f"the fits are limited to {FIT_SUBJECTS} subjects")
-    roster = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "subject string, idx int")
+    roster = local_table(spark, [(n, i) for i, n in enumerate(names)],
+                         {"subject": pa.string(), "idx": pa.int32()})
     packed = known.join(roster, "subject").groupBy("item_id").agg(
         F.collect_list("idx").alias("who"), F.collect_list("y").alias("ys"))
     return packed.persist(), names
@@ -202,8 +205,8 @@ def rasch_fit(responses, max_sweeps=30, tol=1e-5):
     s = _fit(packed, model, _start_abilities(responses, names), max_sweeps, tol)
     items = packed.select("item_id", "who", "ys").mapInPandas(
         _item_rows(model, s), "item_id string, beta array<double>")
-    subjects = responses.sparkSession.createDataFrame(
-        [(n, float(v)) for n, v in zip(names, s[:, 0])], "subject string, ability double")
+    subjects = local_table(responses.sparkSession, zip(names, s[:, 0]),
+                           {"subject": pa.string(), "ability": pa.float64()})
     return subjects, items.select("item_id", F.col("beta")[0].alias("difficulty"))
 
 
@@ -218,8 +221,8 @@ def twopl_fit(responses, max_sweeps=40, tol=1e-4):
     s = _fit(packed, model, start, max_sweeps, tol)
     items = packed.select("item_id", "who", "ys").mapInPandas(
         _item_rows(model, s), "item_id string, beta array<double>")
-    subjects = responses.sparkSession.createDataFrame(
-        [(n, float(v)) for n, v in zip(names, s[:, 0])], "subject string, ability double")
+    subjects = local_table(responses.sparkSession, zip(names, s[:, 0]),
+                           {"subject": pa.string(), "ability": pa.float64()})
     a, d = F.col("beta")[0], F.col("beta")[1]
     return subjects, items.select("item_id", a.alias("discrimination"),
                                   F.try_divide(-d, a).alias("difficulty"))
@@ -239,10 +242,9 @@ def kfactor_fit(responses, k, start_loadings, max_sweeps=40, tol=1e-3):
     s = _fit(packed, model, start, max_sweeps, tol)
     items = packed.select("item_id", "who", "ys").mapInPandas(
         _item_rows(model, s), "item_id string, beta array<double>")
-    columns = ", ".join(["subject string", "bias double"]
-                        + [f"factor_{i + 1} double" for i in range(k)])
-    subjects = responses.sparkSession.createDataFrame(
-        [(n, *map(float, row)) for n, row in zip(names, s)], columns)
+    columns = {"subject": pa.string(), "bias": pa.float64(),
+               **{f"factor_{i + 1}": pa.float64() for i in range(k)}}
+    subjects = local_table(responses.sparkSession, [(n, *row) for n, row in zip(names, s)], columns)
     return subjects, items.select("item_id", *[
         F.col("beta")[i].alias(f"factor_{i + 1}") for i in range(k)])
 

@@ -1,11 +1,13 @@
 """Subject performance, paired tests, vote calibration and probability metrics."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from itemscope.functions.pvalues import fair_coin_p_udf
 from itemscope.functions.scalar import clip, tenth_bin, tenth_label
 from itemscope.operators.ranks import auc_from_counts, outcome_counts, with_min_ranks
 from itemscope.schema import LONG
+from itemscope.session import local_table
 
 # The subject pairs compared when none are given.
 DEFAULT_PAIRS = [
@@ -94,7 +96,8 @@ def paired_comparisons(responses, pairs=None):
     """
     spark = responses.sparkSession
     pairs = DEFAULT_PAIRS if pairs is None else pairs
-    listed = spark.createDataFrame(list(dict.fromkeys(pairs)), "model_a string, model_b string")
+    listed = local_table(spark, dict.fromkeys(pairs),
+                         {"model_a": pa.string(), "model_b": pa.string()})
     cells = responses.filter(F.col("y").isNotNull()).select("subject", "item_id", "y")
     first = cells.join(listed, F.col("subject") == F.col("model_a")).select(
         "model_a", "model_b", "item_id", F.col("y").alias("a"))

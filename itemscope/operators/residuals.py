@@ -6,6 +6,7 @@ table lose nothing.
 """
 
 import numpy as np
+import pyarrow as pa
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from itemscope.functions.scalar import rasch_probability, safe_logit, standardized_residual
 from itemscope.operators.design import partial_rows, sum_rows
 from itemscope.operators.ranks import hash_positions
-from itemscope.session import written
+from itemscope.session import local_table, written
 
 # The subject x subject Gram matrix is factored in one task up to this many subjects (32 MB).
 # Beyond it, the distributed ARPACK path of RowMatrix takes over.
@@ -58,8 +59,8 @@ def subject_index(subjects):
     head = distinct.limit(GRAM_SUBJECTS + 1).collect()
     if len(head) <= GRAM_SUBJECTS:
         names = sorted(r[0] for r in head)
-        roster = subjects.sparkSession.createDataFrame(
-            [(n, i) for i, n in enumerate(names)], "subject string, idx int")
+        roster = local_table(subjects.sparkSession, [(n, i) for i, n in enumerate(names)],
+                             {"subject": pa.string(), "idx": pa.int32()})
         return roster, len(names), True
     roster = written(hash_positions(distinct, [], F.col("subject")).select(
         "subject", F.col("position").cast("int").alias("idx")), "roster")
@@ -174,8 +175,10 @@ def _factors_by_arpack(rows, m, k):
         s = svd.s.toArray()
         u = svd.V.toArray()
         u = u * np.sign(u[np.argmax(np.abs(u).round(12), axis=0), np.arange(len(s))]) * np.sqrt(s)
-        part = spark.createDataFrame(
-            [(split, i, u[i].tolist(), s.tolist(), float(total)) for i in range(m)], _FACTORS)
+        part = local_table(
+            spark, [(split, i, u[i].tolist(), s.tolist(), float(total)) for i in range(m)],
+            {"split": pa.int32(), "idx": pa.int32(), "u": pa.list_(pa.float64()),
+             "s": pa.list_(pa.float64()), "total": pa.float64()})
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -10,7 +10,7 @@ from itemscope.functions.scalar import ambiguity, clip, surprisal
 from itemscope.operators.design import BLOCK, design_block, encode_features, partial_rows, sum_rows
 from itemscope.operators.performance import binary_metrics
 from itemscope.operators.ranks import average_ranks, hash_positions
-from itemscope.session import written
+from itemscope.session import local_table, written
 
 # Labels and columns of the construct-validity variables.
 VALIDITY_VARIABLES = [
@@ -27,9 +27,9 @@ def difficulty_validity_correlations(item_table, difficulty="difficulty"):
     """Spearman correlation of difficulty with each variable present, over complete pairs."""
     present = [(label, c) for label, c in VALIDITY_VARIABLES if c in item_table.columns]
     spark = item_table.sparkSession
-    names = spark.createDataFrame(
-        [(i, label, c) for i, (label, c) in enumerate(present)],
-        "pos int, construct_validity_variable string, `column` string")
+    names = local_table(
+        spark, [(i, label, c) for i, (label, c) in enumerate(present)],
+        {"pos": pa.int32(), "construct_validity_variable": pa.string(), "column": pa.string()})
     pairs = item_table.select(F.col(difficulty).alias("d"), *[
         F.col(c).cast("double").alias(c) for _, c in present]).unpivot(
         "d", [c for _, c in present], "column", "v").filter("d is not null and v is not null")

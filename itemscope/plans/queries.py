@@ -32,12 +32,17 @@ def _performance(spark, sf_dir):
         starschema.observations(spark, sf_dir), _n_items(spark, sf_dir))
 
 
+def _written_cells(spark, sf_dir):
+    """The response rows as a table of their own, for queries that read them several times."""
+    return written(starschema.responses(spark, sf_dir), "responses")
+
+
 def model_performance(spark, sf_dir):
     return rounded(_performance(spark, sf_dir))
 
 
 def paired_comparisons(spark, sf_dir):
-    return rounded(performance.paired_comparisons(starschema.responses(spark, sf_dir), PAIRS))
+    return rounded(performance.paired_comparisons(_written_cells(spark, sf_dir), PAIRS))
 
 
 def decision_matrix_long(spark, sf_dir):
@@ -85,11 +90,6 @@ def _item_table(spark, sf_dir):
     return difficulty.item_difficulty_table(params, starschema.flat_items(spark, sf_dir))
 
 
-def _written_cells(spark, sf_dir):
-    """The response rows as a table of their own, for queries that read them several times."""
-    return written(starschema.responses(spark, sf_dir), "responses")
-
-
 def item_difficulty_table(spark, sf_dir):
     return rounded(_item_table(spark, sf_dir).select(
         "item_id", "difficulty", "empirical_accuracy", "empirical_difficulty", "BuildingDamage",
@@ -220,8 +220,8 @@ def _cold_start(spark, sf_dir, target="y"):
     """The experiment behind the cold-start queries; its written tables are shared by them."""
     key = (spark.sparkContext.applicationId, sf_dir, target)
     if key not in _runs:
-        cells = starschema.observations(spark, sf_dir).select(
-            "subject", "item_id", F.col(target).alias("y"))
+        cells = written(starschema.observations(spark, sf_dir).select(
+            "subject", "item_id", F.col(target).alias("y")), "cells")
         _runs[key] = coldstart.run_cold_start(
             cells, starschema.flat_items(spark, sf_dir), ALL_SEEDS, KS,
             _test_size(spark, sf_dir), min_observed=MIN_OBSERVED)

@@ -3,6 +3,7 @@
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 
@@ -38,6 +39,18 @@ def shared_dir(spark):
     return own
 
 
+def local_table(spark, rows, columns):
+    """Driver rows as a local relation. `columns` maps names to Arrow types.
+
+    Unlike a DataFrame built from Python objects, its size is known to the planner, which then
+    broadcasts it when it is small and shuffles when it is not.
+    """
+    rows = list(rows)
+    return spark.createDataFrame(pa.table({
+        name: pa.array([r[i] for r in rows], kind)
+        for i, (name, kind) in enumerate(columns.items())}))
+
+
 def written(df, name):
     """Write `df` once and read it back.
 

@@ -1,8 +1,10 @@
 """Input tables as CSV or Parquet, and the sink of result tables."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from itemscope.schema import ITEM_PARAMS, SUBJECT_ABILITY
+from itemscope.session import local_table
 
 # File names tried for each core table, in this order.
 CORE_FILES = {
@@ -58,7 +60,7 @@ def read_response_matrix(spark, path):
         raise ValueError(f"no header in {path}")
     clean = lambda c: F.regexp_replace(F.trim(c), '^﻿?"|"$|^﻿|\r$', "")
     cells = F.transform(F.split("value", ",", -1), clean)
-    names = spark.createDataFrame([header], "value string").select(
+    names = local_table(spark, [header], {"value": pa.string()}).select(
         F.posexplode(cells).alias("pos", "item_id"))
     named = names.filter(F.col("item_id") == "model").agg(F.max("pos")).first()[0]
     at = named or 0
