@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from itemscope.functions.scalar import safe_logit
-from itemscope.session import local_table
+from itemscope.session import local_table, written
 
 FIT_SUBJECTS = 1_000_000  # subject parameters are held by the driver between passes
 _EDGE = 1e-4  # mean answers are kept this far from 0 and 1
@@ -163,7 +163,7 @@ def pack_for_fit(responses):
                          {"subject": pa.string(), "idx": pa.int32()})
     packed = known.join(roster, "subject").groupBy("item_id").agg(
         F.collect_list("idx").alias("who"), F.collect_list("y").alias("ys"))
-    return packed.persist(), names
+    return written(packed, "packed-answers"), names
 
 
 def _fit(packed, model, start, max_sweeps, tol):
