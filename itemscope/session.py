@@ -1,5 +1,7 @@
 """Session settings and written intermediate tables."""
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +26,21 @@ def build_session(master=None, app="itemscope", **conf):
     return builder.getOrCreate()
 
 
+_shipped = set()
+
+
+def ship_package(spark):
+    """Send this package to the executors' Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = shutil.make_archive(
+            os.path.join(tempfile.mkdtemp(prefix="itemscope-"), "itemscope"), "zip",
+            os.path.dirname(package), os.path.basename(package))
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+
+
 def shared_dir(spark):
     """The shared folder for written intermediates, as the cluster names it.
 
