@@ -3,8 +3,8 @@
 import public_tokenizers
 
 from itemscope.llm import (
-    decontamination, exact_dedup, extraction, packing, secret_scan, sharding, simhash, token_counts,
-    toxicity)
+    decontamination, exact_dedup, extraction, language_model, packing, secret_scan, sharding, simhash,
+    token_counts, toxicity)
 from itemscope.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_html_extraction(spark, sf_dir):
     return extraction.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op5_katz_scores(spark, sf_dir):
+    return language_model.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"),
                           public_tokenizers.path("byte_bpe_50k.json"), length=1024)
@@ -48,5 +52,5 @@ def op10_secret_scan(spark, sf_dir):
 
 
 ALL = {f.__name__: f for f in (
-    op1_token_counts, op2_simhash_near_dedup, op3_sharding, op4_html_extraction, op6_packing,
-    op7_decontamination, op8_exact_dedup, op9_toxicity, op10_secret_scan)}
+    op1_token_counts, op2_simhash_near_dedup, op3_sharding, op4_html_extraction, op5_katz_scores,
+    op6_packing, op7_decontamination, op8_exact_dedup, op9_toxicity, op10_secret_scan)}
