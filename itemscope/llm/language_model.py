@@ -33,7 +33,7 @@ MAX_DISCOUNTED = 5
 #: Counts above that lose this little, so that every history leaves some mass to unseen words.
 LEAST_DISCOUNT = 0.01
 #: Bytes of text of a slice, and of a bucket on average.
-SLICE, BUCKET = 32 << 20, 32 << 20
+SLICE, BUCKET = 16 << 20, 16 << 20
 #: A word is frequent if it occurs once in this many bytes of the corpus. A token and its space
 #: take two bytes at least, so there are at most 2**18 frequent words and the end.
 FREQUENT = 1 << 19
