@@ -1,5 +1,7 @@
 """Helpers shared by the corpus operators."""
 
+import ctypes
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
@@ -56,3 +58,16 @@ def byte_characters():
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     spare = iter(range(256, 512))
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+
+
+def release():
+    """Give memory that is no longer used back to the system.
+
+    Idle Python workers live on beside the executor's heap; what their allocators hold back counts
+    against the executor.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):    # another C library
+        pass

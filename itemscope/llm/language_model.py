@@ -26,14 +26,14 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from itemscope.llm.common import arrow, slices, texts
+from itemscope.llm.common import arrow, release, slices, texts
 from itemscope.session import written
 
 MAX_DISCOUNTED = 5
 #: Counts above that lose this little, so that every history leaves some mass to unseen words.
 LEAST_DISCOUNT = 0.01
-#: Bytes of text of a slice, and of a bucket on average.
-SLICE, BUCKET = 16 << 20, 16 << 20
+#: Bytes of text of a slice, and of a bucket on average; a bucket is worked on in PARTS by hash.
+SLICE, BUCKET, PARTS = 16 << 20, 48 << 20, 8
 #: A word is frequent if it occurs once in this many bytes of the corpus. A token and its space
 #: take two bytes at least, so there are at most 2**18 frequent words and the end.
 FREQUENT = 1 << 19
@@ -41,6 +41,7 @@ END, START = (np.uint64(xxhash.xxh64_intdigest(w)) for w in (b"\n", b"\n\n"))
 
 _RANKS = np.arange(1, MAX_DISCOUNTED + 1)
 _DOCS, _SUMS, _SHARES, _QUESTIONS, _COUNTS = range(5)
+_PAIRS = 8    # and the number of the part
 _PACKED = "kind int, at long, slice long, packed binary"
 
 
@@ -109,7 +110,7 @@ def _split(at):
 def _slice_batches(batches):
     task = TaskContext.get().partitionId()
     for i, part in enumerate(slices(batches, limit=SLICE)):
-        yield task << 24 | i, part
+        yield task << 20 | i, part
 
 
 def _discounts(counts):
@@ -170,6 +171,7 @@ def _unigrams(docs, n_buckets, n_bytes):
             yield from (_rows([(_COUNTS, at, number, _pack(
                 hashes=hashes[own[where]], counts=counts[own[where]].astype(np.int32)))])
                 for at, where in _split(_bucket(hashes[own], n_buckets)))
+            release()
 
     def total(table):
         parts = [_unpack(b) for b in table.column("packed").to_pylist()]
@@ -207,88 +209,102 @@ def _pairs(docs, n_buckets, unigrams):
             before[begins] = len(hashes) - 1
             doc = np.repeat(np.arange(len(sizes)), sizes)
             often, _ = unigrams.frequent(hashes)
-            at = _bucket(hashes, n_buckets)[codes]
+            at = _bucket(hashes, n_buckets * PARTS)[codes]
             dealt = often[codes]
-            at[dealt] = _bucket(_pair(hashes[before[dealt]], hashes[codes[dealt]]), n_buckets)
+            at[dealt] = _bucket(_pair(hashes[before[dealt]], hashes[codes[dealt]]),
+                                n_buckets * PARTS)
             for to, where in _split(at):
                 used = np.zeros(len(hashes), bool)
                 used[before[where]] = used[codes[where]] = True
                 code = np.cumsum(used) - 1
-                in_doc = np.bincount(doc[where], minlength=len(sizes))
-                yield _rows([(_COUNTS, to, number, _pack(
+                own, in_own = np.unique(doc[where], return_counts=True)
+                yield _rows([(_PAIRS + to % PARTS, to // PARTS, number, _pack(
                     hashes=hashes[used], history=_planes(code[before[where]]),
-                    word=_planes(code[codes[where]]), in_doc=in_doc.astype(np.int32),
-                    learn=learn))])
+                    word=_planes(code[codes[where]]), doc=own.astype(np.int32),
+                    in_doc=in_own.astype(np.int32), learn=learn[own]))])
+            release()
     return docs.mapInArrow(deal, _PACKED)
 
 
+def _part(parts, numbers, unigrams):
+    """What the pairs of one part come to: sums of documents, shares, questions, counts of counts.
+
+    `parts` are packed pairs of slices with `numbers`. A document is named slice << 24 | place.
+    """
+    history = np.concatenate([p["hashes"][_joined(p["history"])] for p in parts])
+    word = np.concatenate([p["hashes"][_joined(p["word"])] for p in parts])
+    names = np.concatenate([(n << 24) + p["doc"].astype(np.int64) for p, n in zip(parts, numbers)])
+    doc = np.repeat(np.arange(len(names)), np.concatenate([p["in_doc"] for p in parts]))
+    learn = np.concatenate([p["learn"] for p in parts])[doc]
+    words, at_word = np.unique(word, return_inverse=True)
+    counts = np.bincount(at_word, learn, len(words)).astype(np.int64)
+    often, known = unigrams.frequent(words)
+    counts = np.where(often, known, counts)
+    below = unigrams.probability(counts)
+    pairs, one, at_pair = np.unique(_pair(history, word), return_index=True, return_inverse=True)
+    del word
+    seen = np.bincount(at_pair, learn, len(pairs)).astype(np.int64)
+
+    # Each token, without the factors of Good-Turing: its own part, and its part as a history.
+    large = np.where(seen > MAX_DISCOUNTED, seen - LEAST_DISCOUNT, np.maximum(seen, 1))
+    own = np.log10(np.where(seen > 0, large, below[at_word[one]]))
+    later = np.where((counts > 0) & (words != END), -np.log10(np.maximum(counts, 1)), 0)
+    n = len(names)
+    rank = np.where(seen <= MAX_DISCOUNTED, seen, 0)[at_pair]
+    sums = (names, np.bincount(doc, own[at_pair] + later[at_word], n),
+            np.bincount(doc, np.log10(counts + 1.0)[at_word], n),
+            np.bincount(doc, (counts > 0)[at_word], n),
+            np.bincount(doc * (MAX_DISCOUNTED + 1) + rank, minlength=n * (MAX_DISCOUNTED + 1))
+            .reshape(n, -1)[:, 1:].astype(np.int32))
+
+    # Shares of backoff weights: sums over the distinct seen pairs of each history.
+    types = np.flatnonzero(seen)
+    heads, at = np.unique(history[one[types]], return_inverse=True)
+    small = np.minimum(seen[types], MAX_DISCOUNTED + 1) - 1
+    shares = (heads, np.bincount(at, below[at_word[one[types]]], len(heads)),
+              np.bincount(at * (MAX_DISCOUNTED + 1) + small,
+                          minlength=len(heads) * (MAX_DISCOUNTED + 1))
+              .reshape(len(heads), -1).astype(np.int32))
+    asked = np.flatnonzero(seen[at_pair] == 0)
+    return sums, shares, (history[asked], names[doc[asked]]), _count_of_counts(seen)
+
+
 def _counted(unigrams, n_buckets):
     """What a bucket makes of its pairs."""
     def run(table):
-        out, parts, numbers = [], [], []
-        for kind, number, packed in zip(*(table.column(c).to_pylist()
-                                          for c in ("kind", "slice", "packed"))):
-            if kind == _DOCS:
-                out.append((_DOCS, 0, number, packed))
+        out, by_part, counts = [], {}, 0
+        for row in zip(*(table.column(c).to_pylist() for c in ("kind", "slice", "packed"))):
+            if row[0] == _DOCS:
+                out.append((_DOCS, 0, row[1], row[2]))
             else:
-                parts.append(_unpack(packed))
-                numbers.append(number)
-        if not parts:
-            return pa.Table.from_batches([_rows(out)])
-        history = np.concatenate([p["hashes"][_joined(p["history"])] for p in parts])
-        word = np.concatenate([p["hashes"][_joined(p["word"])] for p in parts])
-        n_docs = [len(p["learn"]) for p in parts]
-        first = np.cumsum([0, *n_docs])
-        doc = np.repeat(np.arange(first[-1]), np.concatenate([p["in_doc"] for p in parts]))
-        learn = np.concatenate([p["learn"] for p in parts])[doc]
-        words, at_word = np.unique(word, return_inverse=True)
-        counts = np.bincount(at_word, learn, len(words)).astype(np.int64)
-        often, known = unigrams.frequent(words)
-        counts = np.where(often, known, counts)
-        below = unigrams.probability(counts)
-        pairs, one, at_pair = np.unique(_pair(history, word), return_index=True, return_inverse=True)
-        seen = np.bincount(at_pair, learn, len(pairs)).astype(np.int64)
-
-        # Each token, without the factors of Good-Turing: its own part, and its part as a history.
-        own = np.where(seen > MAX_DISCOUNTED, np.log10(np.maximum(seen, 1) - LEAST_DISCOUNT * (seen > 1)),
-                       np.log10(np.maximum(seen, 1)))
-        own = np.where(seen > 0, own, np.log10(below)[at_word[one]])
-        later = np.where((counts > 0) & (words != END), -np.log10(np.maximum(counts, 1)), 0)
-        n = first[-1]
-        score = np.bincount(doc, own[at_pair] + later[at_word], n)
-        base = np.bincount(doc, np.log10(counts + 1.0)[at_word], n)
-        n_known = np.bincount(doc, (counts > 0)[at_word], n).astype(np.int32)
-        rank = np.where(seen <= MAX_DISCOUNTED, seen, 0)[at_pair]
-        ranks = np.bincount(doc * (MAX_DISCOUNTED + 1) + rank, minlength=n * (MAX_DISCOUNTED + 1)) \
-            .reshape(n, -1)[:, 1:].astype(np.int32)
-        tokens = np.bincount(doc, minlength=n)
-        for number, begin, end in zip(numbers, first, first[1:]):
-            here = begin + np.flatnonzero(tokens[begin:end])
-            out.append((_SUMS, 0, number, _pack(
-                doc=(here - begin).astype(np.int32), score=score[here], base=base[here],
-                known=n_known[here], ranks=np.ascontiguousarray(ranks[here].T))))
-
-        # Shares of backoff weights: sums over the distinct seen pairs of each history.
-        types = np.flatnonzero(seen)
-        names, at = np.unique(history[one[types]], return_inverse=True)
-        mass = np.bincount(at, below[at_word[one[types]]], len(names))
-        small = np.minimum(seen[types], MAX_DISCOUNTED + 1) - 1
-        by_rank = np.bincount(at * (MAX_DISCOUNTED + 1) + small,
-                              minlength=len(names) * (MAX_DISCOUNTED + 1)) \
-            .reshape(len(names), -1).astype(np.int32)
-        for to, where in _split(_bucket(names, n_buckets)):
-            out.append((_SHARES, to, 0, _pack(names=names[where], mass=mass[where],
-                                              ranks=np.ascontiguousarray(by_rank[where].T))))
-        # Questions of unseen tokens.
-        asked = np.flatnonzero(seen[at_pair] == 0)
-        source = np.searchsorted(first, doc[asked], side="right") - 1
-        for to, where in _split(_bucket(history[asked], n_buckets)):
-            mine = asked[where]
-            out.append((_QUESTIONS, to, 0, _pack(
-                names=history[mine], slice=np.array(numbers)[source[where]],
-                doc=(doc[mine] - first[source[where]]).astype(np.int32))))
-        out.append((_COUNTS, 0, 0, _pack(counts=_count_of_counts(seen))))
-        return pa.Table.from_batches([_rows(out)])
+                by_part.setdefault(row[0], []).append(row[1:])
+        all_sums = []
+        for part in sorted(by_part):
+            rows = by_part.pop(part)
+            sums, (heads, mass, ranks), (asked, docs), found = _part(
+                [_unpack(p) for _, p in rows], [n for n, _ in rows], unigrams)
+            all_sums.append(sums)
+            counts = counts + found
+            for to, where in _split(_bucket(heads, n_buckets)):
+                out.append((_SHARES, to, 0, _pack(names=heads[where], mass=mass[where],
+                                                  ranks=np.ascontiguousarray(ranks[where].T))))
+            for to, where in _split(_bucket(asked, n_buckets)):
+                out.append((_QUESTIONS, to, 0, _pack(names=asked[where], doc=docs[where])))
+            release()
+        if all_sums:
+            out.append((_COUNTS, 0, 0, _pack(counts=counts)))
+            named, score, base, known, ranks = (np.concatenate(c) for c in zip(*all_sums))
+            names, at = np.unique(named, return_inverse=True)
+            n = len(names)
+            score, base, known = (np.bincount(at, x, n) for x in (score, base, known))
+            ranks = np.array([np.bincount(at, r, n) for r in ranks.T]).astype(np.int32)
+            for number, here in _split(names >> 24):
+                out.append((_SUMS, 0, number, _pack(
+                    doc=(names[here] & 0xFFFFFF).astype(np.int32), score=score[here],
+                    base=base[here], known=known[here].astype(np.int32), ranks=ranks[:, here])))
+        result = pa.Table.from_batches([_rows(out)])
+        release()
+        return result
     return run
 
 
@@ -310,13 +326,13 @@ def _answered(factors):
         where = np.minimum(np.searchsorted(names, asked), len(names) - 1)
         # A history that was never seen has no words of its own: all mass is the unigrams'.
         answer = np.where(names[where] == asked, weight[where], 0.0)
-        number = np.concatenate([q["slice"] for q in questions])
-        doc = np.concatenate([q["doc"] for q in questions])
-        out = []
-        for to, mine in _split(number):
-            score = np.bincount(doc[mine], answer[mine])
-            out.append((_QUESTIONS, 0, to, _pack(score=score)))
-        return pa.Table.from_batches([_rows(out)])
+        docs, at = np.unique(np.concatenate([q["doc"] for q in questions]), return_inverse=True)
+        score = np.bincount(at, answer, len(docs))
+        result = pa.Table.from_batches([_rows([
+            (_QUESTIONS, 0, to, _pack(doc=(docs[mine] & 0xFFFFFF).astype(np.int32),
+                                      score=score[mine])) for to, mine in _split(docs >> 24)])])
+        release()
+        return result
     return run
 
 
@@ -336,8 +352,8 @@ def _assembled(unigrams, factors, n_learned):
                 base[part["doc"]] += part["base"]
                 known[part["doc"]] += part["known"]
             elif kind == _QUESTIONS:
-                part = _unpack(packed)["score"]
-                score[:len(part)] += part
+                part = _unpack(packed)
+                score[part["doc"]] += part["score"]
         base -= sizes * np.log10(unigrams.n + unigrams.types + 1)
         return pa.table({
             "doc_id": pa.array(docs["doc_id"], pa.int64()), "held_out": pa.array(~docs["learn"]),
