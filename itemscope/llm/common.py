@@ -15,9 +15,22 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of the Arrow batches that tasks hand to Python and back.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(df):
+    """`df`, after its session was told to keep Arrow batches small: both sides hold them twice."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name).rstrip("b")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def texts(docs, *more):
     """`doc_id`, `text` (NULL as empty) and the columns named, all others pruned."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
+    return bounded_batches(docs).select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
 def slices(batches, column="text", limit=SLICE_BYTES):

@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from itemscope.llm.common import arrow, slices, texts
+from itemscope.llm.common import arrow, bounded_batches, slices, texts
 from itemscope.session import written
 
 WINDOW, GRAM = 10, 5
@@ -106,7 +106,7 @@ def _judged(docs, benchmark):
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"),
                              F.xxhash64(F.coalesce("text", F.lit(""))).alias("item"))
     # Equal texts have one key, so copies meet the items once.
-    docs = docs.select(F.struct(*docs.columns).alias("row"),
+    docs = bounded_batches(docs).select(F.struct(*docs.columns).alias("row"),
                        F.coalesce("text", F.lit("")).alias("text")) \
         .withColumn("key", F.xxhash64("text"))
     theirs = written(_fingerprint_table(items, "item", None)

@@ -12,7 +12,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from itemscope.llm.common import arrow, slices
+from itemscope.llm.common import arrow, bounded_batches, slices
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -236,5 +236,5 @@ def main_texts(pages):
             yield arrow(page_id=part.column("page_id"), url=part.column("url"),
                         text=(found, pa.string()), n_chars=([len(t) for t in found], pa.int64()))
 
-    return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")) \
+    return bounded_batches(pages).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")) \
         .mapInArrow(run, "page_id long, url string, text string, n_chars long")

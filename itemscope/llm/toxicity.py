@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from itemscope.llm.common import arrow, slices
+from itemscope.llm.common import arrow, bounded_batches, slices
 from itemscope.llm.decontamination import words
 
 #: Bounds of the sample a model is fitted on, and of its features. Rows come in hash order.
@@ -113,8 +113,7 @@ def fit(docs, labels, learn):
     Without a positive row every score is 0. The sample is bounded by POSITIVES and UNLABELLED and
     the features by FEATURES; only their numbers, never texts, come to the driver.
     """
-    spark = docs.sparkSession
-    sample = _sample(docs, labels, learn).select("text", "side")
+    sample = _sample(bounded_batches(docs), labels, learn).select("text", "side")
     counts = sample.mapInArrow(_counted, "feature long, pos long, any long") \
         .groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("any").alias("any"))
     marked = docs.select("doc_id").where(learn).join(labels, "doc_id").agg(
@@ -144,7 +143,7 @@ def fit(docs, labels, learn):
 
 def _scored(docs, model):
     """The columns of `docs` in a struct `row`, and the score of each text."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"),
+    rows = bounded_batches(docs).select(F.struct(*docs.columns).alias("row"),
                        F.coalesce("text", F.lit("")).alias("text"))
     names = {n: i for n, i in model.index.items()}
 
