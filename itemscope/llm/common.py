@@ -4,8 +4,11 @@ import ctypes
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from itemscope.session import written
+
 #: UTF-8 bytes of text handled at once inside a task, so that its memory does not follow the
 #: length of the texts in an Arrow batch. A single longer text is a slice of its own.
 SLICE_BYTES = 8 << 20
@@ -55,15 +58,22 @@ def arrow(**columns):
         names=list(columns))
 
 
-
 def prefix(key, bits):
     """The first `bits` (at most 63) of a 64-bit hash as a non-negative number."""
     return F.shiftrightunsigned(key, 64 - bits)
 
 
-def in_parts(df, rows):
-    """`df` split evenly over tasks of about `rows` rows; for tables that were just written."""
-    return df.repartition(max(1, -(-df.count() // rows)))
+def numbered(docs):
+    """`docs` with a row number `__row` that stays the same when the rows are read again.
+
+    Rows straight from files are numbered by their place in the files; others are written first.
+    """
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    try:
+        docs.select("_metadata.row_index").schema
+    except AnalysisException:
+        return written(rows, "numbered")
+    return rows
 
 
 def byte_characters():

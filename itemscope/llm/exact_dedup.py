@@ -9,7 +9,7 @@ hash, their bytes are compared, and different texts under one hash form a chain.
 
 from pyspark.sql import Window, functions as F
 
-from itemscope.llm.common import prefix, texts
+from itemscope.llm.common import numbered, prefix, texts
 from itemscope.session import written
 
 #: Entries that a bucket may hold. An entry is some 100 bytes, so an owner task stays small.
@@ -47,16 +47,17 @@ def directory(entries, capacity=BUCKET_ENTRIES):
             return leaves, deep
 
 
-def dedup_index(docs, capacity=BUCKET_ENTRIES):
+def dedup_index(docs, capacity=BUCKET_ENTRIES, row=None):
     """Rows of `docs` and the index of those texts that several rows have.
 
     Rows: doc_id, row (numbers rows, also those that repeat a doc_id), h, sha (binary SHA-256 of
-    the normalised text). Index: bits, bucket, h, link (place in the chain of the hash), sha,
+    the normalised text). `row` names a column of unique numbers, if there is one. Index: bits, bucket, h, link (place in the chain of the hash), sha,
     group_size, keep_id, keep_row.
     """
-    base = texts(docs).withColumn("norm", normalised(F.col("text"))) \
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    base = texts(docs, number.alias("row")).withColumn("norm", normalised(F.col("text"))) \
         .withColumn("h", F.xxhash64("norm"))
-    rows = written(base.select("doc_id", F.monotonically_increasing_id().alias("row"), "h",
+    rows = written(base.select("doc_id", "row", "h",
                                F.unhex(F.sha2("norm", 256)).alias("sha")), "dedup-rows")
     entries = written(rows.groupBy("h").agg(F.count("*").alias("n")), "dedup-entries")
     slots, deep = directory(entries, capacity)
@@ -77,7 +78,7 @@ def dedup_index(docs, capacity=BUCKET_ENTRIES):
     return rows, written(index, "dedup-index")
 
 
-def exact_duplicates(docs, capacity=BUCKET_ENTRIES):
+def exact_duplicates(docs, capacity=BUCKET_ENTRIES, row=None):
     """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256, row.
 
     Texts are equal when identical after each run of ASCII white space became one space; NULL is
@@ -85,7 +86,7 @@ def exact_duplicates(docs, capacity=BUCKET_ENTRIES):
     group without others; of rows that repeat the doc_id, exactly one). An empty table gives no
     rows. Further columns are dropped, whatever their names. Whole texts are compared.
     """
-    rows, index = dedup_index(docs, capacity)
+    rows, index = dedup_index(docs, capacity, row)
     found = index.where("group_size > 1").select("h", "sha", "group_size", "keep_id", "keep_row")
     return rows.join(found, ["h", "sha"], "left").select(
         "doc_id",
@@ -99,9 +100,9 @@ def exact_duplicates(docs, capacity=BUCKET_ENTRIES):
 def without_copies(docs, capacity=BUCKET_ENTRIES):
     """`docs` with one row of each group of equal texts, all its columns unchanged.
 
-    The rows are numbered and written first, so that the decision meets the very row it is about.
+    Of rows that repeat the smallest doc_id of a group exactly one stays.
     """
-    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "dedup-input")
-    decided = exact_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text"), capacity) \
-        .where("not kept").select(F.col("doc_id").alias("__row"))
-    return numbered.join(decided, "__row", "left_anti").drop("__row")
+    rows = numbered(docs)
+    named = exact_duplicates(rows.select("doc_id", "text", F.col("__row")), capacity, row="__row")
+    return rows.join(named.where("not kept").select(F.col("row").alias("__row")), "__row",
+                     "left_anti").drop("__row")

@@ -373,7 +373,6 @@ def katz_scores(docs):
     learned) each. Without training rows all mass is the unknown class and both scores are 0. An
     empty table gives no rows; further columns are dropped. Whole texts are read and scored.
     """
-    spark = docs.sparkSession
     learn = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 != 2
     docs = texts(docs).withColumn("learn", learn)
     size = docs.agg(F.sum(F.octet_length("text") + 2).alias("n"),

@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from itemscope.llm.common import arrow, slices, texts
+from itemscope.llm.common import arrow, numbered, slices, texts
 from itemscope.llm.components import components
 from itemscope.session import written
 
@@ -145,14 +145,15 @@ def near_duplicates(docs):
 def without_near_copies(docs):
     """One row of `docs` of each component, the one with the smallest doc_id; columns unchanged.
 
-    Rows are numbered and written first, in order of nothing but their place, so that of rows that
-    repeat the smallest doc_id exactly one stays.
+    Of rows that repeat the smallest doc_id exactly one stays.
     """
-    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "near-input")
-    marked = near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text"))
-    ids = numbered.select("__row", "doc_id").join(
+    rows = numbered(docs)
+    marked = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
+    ids = rows.select("__row", "doc_id").join(
         marked.select(F.col("doc_id").alias("__row"), "component_id"), "__row")
-    kept = ids.groupBy("component_id").agg(F.min(F.struct(
-        F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")) \
-        .select(F.col("first.__row").alias("__row"))
-    return numbered.join(kept, "__row", "left_semi").drop("__row")
+    ids = written(ids, "near-rows")
+    first = ids.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"),
+        F.count("*").alias("n")).where("n > 1")
+    dropped = ids.join(first, "component_id").where("__row != first.__row").select("__row")
+    return rows.join(dropped, "__row", "left_anti").drop("__row")

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from itemscope.llm.common import arrow, bounded_batches, slices
 from itemscope.llm.decontamination import words
+from itemscope.session import written
 
 #: Bounds of the sample a model is fitted on, and of its features. Rows come in hash order.
 POSITIVES, UNLABELLED, FEATURES = 6_000, 12_000, 4_096
+#: Tasks over the sample, whose size is bounded.
+SAMPLE_PARTS = 24
 #: Beginnings of words, in bytes, that are features beside the whole word.
 STEMS = (4, 5, 6)
 #: A feature's share among positives exceeds its share among all by this factor.
@@ -31,14 +34,21 @@ def _features(word):
 
 
 def _sample(docs, labels, learn):
-    """Rows to fit on: text and toxic, at most POSITIVES toxic ones and UNLABELLED of any label."""
+    """Rows to fit on: text and side, 1 for at most POSITIVES toxic rows, 0 for at most UNLABELLED.
+
+    Rows are chosen by id alone. Their ids, of a number these bounds prove, are broadcast, so that
+    no other text moves.
+    """
     marked = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(learn)
-    rows = rows.join(marked, "doc_id")
+    rows = docs.select("doc_id").where(learn).distinct().join(marked, "doc_id")
     order = F.xxhash64("doc_id")
-    return rows.where("toxic = 1").orderBy(order, "doc_id").limit(POSITIVES) \
-        .withColumn("side", F.lit(1)).unionByName(
-            rows.orderBy(order, "doc_id").limit(UNLABELLED).withColumn("side", F.lit(0)))
+    chosen = written(rows.where("toxic = 1").orderBy(order, "doc_id").limit(POSITIVES)
+                     .withColumn("side", F.lit(1)).unionByName(
+                         rows.orderBy(order, "doc_id").limit(UNLABELLED)
+                         .withColumn("side", F.lit(0))).select("doc_id", "side"), "toxicity-ids")
+    texts_of = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return written(texts_of.join(F.broadcast(chosen), "doc_id").select("text", "side"),
+                   "toxicity-sample").repartition(SAMPLE_PARTS)
 
 
 def _counted(batches):
@@ -77,7 +87,7 @@ class Model:
 
     def score(self, text):
         logit = self.bias + sum(self.weights[i] for i in self.present(text))
-        return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(logit, -30, 30)))) if logit > -np.inf else 0.0
 
 
 def _nnpu(rows, side, n_features, prior):
@@ -116,13 +126,14 @@ def fit(docs, labels, learn):
     sample = _sample(bounded_batches(docs), labels, learn).select("text", "side")
     counts = sample.mapInArrow(_counted, "feature long, pos long, any long") \
         .groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("any").alias("any"))
-    marked = docs.select("doc_id").where(learn).join(labels, "doc_id").agg(
-        F.avg(F.col("toxic").cast("double")).alias("prior"), F.sum("toxic").alias("pos"),
-        F.count("toxic").alias("any")).first()
+    marked = docs.select("doc_id").where(learn).distinct().join(
+        labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").agg(
+        F.avg(F.col("toxic").cast("double")).alias("prior"), F.sum("toxic").alias("pos")).first()
     if not marked["pos"]:
         return Model([], np.zeros(0), -np.inf)
-    n_pos, n_any = min(marked["pos"], POSITIVES), min(marked["any"], UNLABELLED)
-    expected = F.col("any") / F.lit(n_any) * F.lit(n_pos)
+    sizes = sample.agg(F.sum("side"), F.sum(1 - F.col("side"))).first()
+    n_pos, n_any = sizes
+    expected = F.col("any") / F.lit(int(n_any)) * F.lit(int(n_pos))
     names = [r["feature"] for r in counts.where(
         (F.col("pos") >= 3) & (F.col("pos") >= LIFT * expected))
         .orderBy(F.desc((F.col("pos") - expected) / F.sqrt(expected + 1)), "feature")
