@@ -11,6 +11,7 @@ from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import functions as F
 
+from itemscope.operators.responses import first_per_item
 from itemscope.functions.scalar import rasch_probability, safe_logit, standardized_residual
 from itemscope.operators.design import partial_rows, sum_rows
 from itemscope.operators.ranks import hash_positions
@@ -45,7 +46,7 @@ def moment_difficulties(responses):
 def residuals(responses, ability, item_params):
     """Rows (split, item_id, subject, z); cells without ability or difficulty are missing."""
     eta = (responses.filter(F.col("y").isNotNull())
-           .join(item_params.select("item_id", "difficulty"), "item_id")
+           .join(first_per_item(item_params.select("item_id", "difficulty")), "item_id")
            .join(ability.select("subject", "ability"), "subject"))
     p = rasch_probability("ability", "difficulty")
     return eta.select(F.lit(0).alias("split"), "item_id", "subject",

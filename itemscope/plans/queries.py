@@ -3,6 +3,8 @@
 A query takes (spark, sf_dir) and returns a DataFrame; numbers are rounded to six digits.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from itemscope.functions.scalar import rounded
@@ -327,7 +329,7 @@ def kfactor_fit(spark, sf_dir):
 
 def saved_table_read_back(spark, sf_dir):
     """Moment difficulties written as CSV and read with their schema."""
-    folder = f"{shared_dir(spark)}/itemscope/saved-{spark.sparkContext.applicationId}"
+    folder = f"{shared_dir(spark)}/itemscope/saved-{uuid.uuid4().hex}"
     params = residuals.moment_difficulties(starschema.responses(spark, sf_dir)).select(
         "item_id", "difficulty")
     tables.save_tables({"item_params": params}, folder)

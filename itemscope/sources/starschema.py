@@ -116,10 +116,11 @@ def wide_metadata(spark, sf_dir):
     """Item rows with one `<subject>_prediction` text column per nation."""
     cells = _cells(spark, sf_dir)
     label = F.when(F.col("decision") == 1, LONG).when(F.col("decision") == 0, SHORT).otherwise("?")
-    # nations are a fixed, small set: 25 keys in every scale
+    keys = [r["n_nationkey"] for r in table(spark, sf_dir, "nation").select("n_nationkey")
+            .distinct().orderBy("n_nationkey").collect()]
     return cells.groupBy(item_id("l_partkey").alias("item_id")).agg(*[
         F.max(F.when(F.col("s_nationkey") == n, label)).alias(f"n{n:02d}_prediction")
-        for n in range(25)])
+        for n in keys])
 
 
 def households(spark, sf_dir):

@@ -109,5 +109,5 @@ def save_tables(tables, folder, fmt="csv"):
         if hasattr(df, "write"):
             writer = df.write.mode("overwrite")
             if fmt == "csv":
-                writer = writer.option("header", True)
+                writer = writer.option("header", True).option("escape", '"')
             writer.format(fmt).save(f"{folder.rstrip('/')}/{name}")

@@ -128,3 +128,10 @@ def test_unique_cells_and_wide_table(spark):
     wide = spark.createDataFrame([("s", 1.0, None), ("t", float("nan"), 0.0)],
                                  "who string, `i.1` double, i2 double")
     assert to_rows(responses.wide_to_long(wide), "subject") == [("s", "i.1", 1), ("t", "i2", 0)]
+
+
+def test_repeated_items_do_not_double_cells(spark):
+    cells = spark.createDataFrame([("a", "i1", 1), ("a", "i2", 0)], "subject string, item_id string, y int")
+    items = spark.createDataFrame([("i1", "x"), ("i1", "x"), ("i2", "y")],
+                                  "item_id string, ground_truth_mapped string")
+    assert performance.with_truth(cells, items).count() == 2

@@ -163,3 +163,11 @@ def test_whole_analysis(spark, tmp_path):
     assert sizes["residual_factor_item_loadings"] == n and sizes["residual_factor_variance"] == 5
     assert sizes["kfactor_decision_coldstart_by_split"] == 6
     assert sizes["difficulty_decile_summary"] == 10 and sizes["paired_comparisons"] == 1
+
+
+def test_text_with_quotes_survives_csv(spark, tmp_path):
+    rows = [("i1", 'say "hi", x', 1.5), ("i2", "plain", None)]
+    df = spark.createDataFrame(rows, "item_id string, note string, v double")
+    tables.save_tables({"t": df}, str(tmp_path))
+    back = tables.read_csv(spark, f"{tmp_path}/t", df.schema)
+    assert sorted(map(tuple, back.collect())) == rows
