@@ -33,7 +33,7 @@ MAX_DISCOUNTED = 5
 #: Counts above that lose this little, so that every history leaves some mass to unseen words.
 LEAST_DISCOUNT = 0.01
 #: Bytes of text of a slice, and of a bucket on average; a bucket is worked on in PARTS by hash.
-SLICE, BUCKET, PARTS = 16 << 20, 48 << 20, 8
+SLICE, BUCKET, PARTS = 8 << 20, 48 << 20, 8
 #: A word is frequent if it occurs once in this many bytes of the corpus. A token and its space
 #: take two bytes at least, so there are at most 2**18 frequent words and the end.
 FREQUENT = 1 << 19
@@ -111,6 +111,8 @@ def _slice_batches(batches):
     task = TaskContext.get().partitionId()
     for i, part in enumerate(slices(batches, limit=SLICE)):
         yield task << 20 | i, part
+        del part
+        release()
 
 
 def _discounts(counts):
