@@ -33,7 +33,7 @@ MAX_DISCOUNTED = 5
 #: Counts above that lose this little, so that every history leaves some mass to unseen words.
 LEAST_DISCOUNT = 0.01
 #: Bytes of text of a slice, and of a bucket on average; a bucket is worked on in PARTS by hash.
-SLICE, BUCKET, PARTS = 8 << 20, 48 << 20, 8
+SLICE, BUCKET, PARTS = 16 << 20, 48 << 20, 8
 #: A word is frequent if it occurs once in this many bytes of the corpus. A token and its space
 #: take two bytes at least, so there are at most 2**18 frequent words and the end.
 FREQUENT = 1 << 19
@@ -304,7 +304,7 @@ def _counted(unigrams, n_buckets):
                 out.append((_SUMS, 0, number, _pack(
                     doc=(names[here] & 0xFFFFFF).astype(np.int32), score=score[here],
                     base=base[here], known=known[here].astype(np.int32), ranks=ranks[:, here])))
-        result = pa.Table.from_batches([_rows(out)])
+        result = pa.Table.from_batches([_rows(out[i:i + 64]) for i in range(0, len(out), 64)])
         release()
         return result
     return run
