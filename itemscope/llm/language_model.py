@@ -18,6 +18,7 @@ Logarithms of discounts are added at the end, once the counts of counts of all p
 """
 
 import pickle
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,9 @@ MAX_DISCOUNTED = 5
 #: Counts above that lose this little, so that every history leaves some mass to unseen words.
 LEAST_DISCOUNT = 0.01
 #: Bytes of text of a slice, and of a bucket on average; a bucket is worked on in PARTS by hash.
-SLICE, BUCKET, PARTS = 16 << 20, 48 << 20, 8
+SLICE, BUCKET, PARTS = 16 << 20, 12 << 20, 2
+#: Bytes of text that are words as Python objects at once; these take ten times as much.
+SPLIT = 2 << 20
 #: A word is frequent if it occurs once in this many bytes of the corpus. A token and its space
 #: take two bytes at least, so there are at most 2**18 frequent words and the end.
 FREQUENT = 1 << 19
@@ -42,6 +45,7 @@ END, START = (np.uint64(xxhash.xxh64_intdigest(w)) for w in (b"\n", b"\n\n"))
 _RANKS = np.arange(1, MAX_DISCOUNTED + 1)
 _DOCS, _SUMS, _SHARES, _QUESTIONS, _COUNTS = range(5)
 _PAIRS = 8    # and the number of the part
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _PACKED = "kind int, at long, slice long, packed binary"
 
 
@@ -69,20 +73,39 @@ def _joined(planes):
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def _word_end(raw, at):
+    """The first place from `at` on where no word of `raw` is cut."""
+    space = _SPACE.search(raw, at)
+    return space.start() if space else len(raw)
+
+
 def _tokens(batch):
     """(hashes of distinct words, code of each token, tokens of each text), an end after each."""
-    lists = [t.encode().lower().split() for t in batch]
-    coded = pa.array([w for ws in lists for w in ws], pa.binary()).dictionary_encode()
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()] + [END],
-                      np.uint64)
-    sizes = np.array([len(ws) + 1 for ws in lists])
-    codes = np.full(sizes.sum(), len(hashes) - 1, np.int64)
+    chunks, sizes, held = [], [], []
+    for text in batch:
+        n, begin, raw = 1, 0, text.encode().lower()
+        while begin < len(raw):
+            end = _word_end(raw, begin + SPLIT)
+            found = raw[begin:end].split()
+            n, begin = n + len(found), end
+            held += found
+            if len(held) * 8 >= SPLIT:
+                chunks.append(pa.array(held, pa.binary()).dictionary_encode())
+                held = []
+        sizes.append(n)
+    chunks.append(pa.array(held, pa.binary()).dictionary_encode())
+    del held
+    coded = pa.chunked_array(chunks).unify_dictionaries()
+    hashes = np.array([xxhash.xxh64_intdigest(w.as_buffer()) for w in coded.chunk(0).dictionary]
+                      + [END], np.uint64)
+    sizes = np.array(sizes, np.int64)
+    codes = np.full(sizes.sum(), len(hashes) - 1, np.int32)
     words = np.ones(len(codes), bool)
     words[np.cumsum(sizes) - 1] = False
-    codes[words] = coded.indices.to_numpy()
+    codes[words] = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
     # Codes in order of frequency are small numbers for most tokens.
     order = np.argsort(-np.bincount(codes, minlength=len(hashes)), kind="stable")
-    code = np.empty(len(order), np.int64)
+    code = np.empty(len(order), np.int32)
     code[order] = np.arange(len(order))
     return hashes[order], code[codes], sizes
 
@@ -209,9 +232,9 @@ def _pairs(docs, n_buckets, unigrams):
             begins = np.cumsum(sizes) - sizes
             hashes = np.append(hashes, START)
             before[begins] = len(hashes) - 1
-            doc = np.repeat(np.arange(len(sizes)), sizes)
+            doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
             often, _ = unigrams.frequent(hashes)
-            at = _bucket(hashes, n_buckets * PARTS)[codes]
+            at = _bucket(hashes, n_buckets * PARTS).astype(np.int32)[codes]
             dealt = often[codes]
             at[dealt] = _bucket(_pair(hashes[before[dealt]], hashes[codes[dealt]]),
                                 n_buckets * PARTS)
@@ -275,16 +298,18 @@ def _counted(unigrams, n_buckets):
     """What a bucket makes of its pairs."""
     def run(table):
         out, by_part, counts = [], {}, 0
-        for row in zip(*(table.column(c).to_pylist() for c in ("kind", "slice", "packed"))):
-            if row[0] == _DOCS:
-                out.append((_DOCS, 0, row[1], row[2]))
+        for row in zip(*(table.column(c) for c in ("kind", "slice", "packed"))):
+            kind = row[0].as_py()
+            if kind == _DOCS:
+                out.append((_DOCS, 0, row[1].as_py(), row[2].as_py()))
             else:
-                by_part.setdefault(row[0], []).append(row[1:])
+                by_part.setdefault(kind, []).append(row[1:])
         all_sums = []
         for part in sorted(by_part):
             rows = by_part.pop(part)
+            # Packed bytes are read where they lie in the table.
             sums, (heads, mass, ranks), (asked, docs), found = _part(
-                [_unpack(p) for _, p in rows], [n for n, _ in rows], unigrams)
+                [_unpack(p.as_buffer()) for _, p in rows], [n.as_py() for n, _ in rows], unigrams)
             all_sums.append(sums)
             counts = counts + found
             for to, where in _split(_bucket(heads, n_buckets)):
