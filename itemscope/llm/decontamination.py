@@ -163,11 +163,3 @@ def _short_lengths(items):
             found = {len(words(t)) for t in part.column("text").to_pylist()}
             yield arrow(n=(sorted(n for n in found if 0 < n < WINDOW), pa.int32()))
     return sorted(r["n"] for r in items.select("text").mapInArrow(run, "n int").distinct().collect())
-
-
-def without_contaminated(docs, benchmark):
-    """`docs` without the rows in which a benchmark window occurs, all columns unchanged."""
-    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "decontam-input")
-    dirty = contamination(numbered.select(F.col("__row").alias("doc_id"), "text"), benchmark) \
-        .where("contaminated").select(F.col("doc_id").alias("__row"))
-    return numbered.join(dirty, "__row", "left_anti").drop("__row")
