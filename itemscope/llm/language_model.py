@@ -8,8 +8,8 @@ Tasks work on slices of documents and exchange packed arrays with buckets of n-g
 per token would be several times as large as the text:
 
 1. Unigram counts: totals, counts of counts, and the few words that are frequent in the corpus.
-2. Every (history, word) of every slice goes to the bucket of its word; a frequent word is dealt
-   over the buckets by its history. A bucket knows the counts of its words and pairs. It writes
+2. Every (history, word) of every slice goes to the bucket of its word, frequent words by short
+   numbers; a frequent word is dealt over the buckets by its history. A bucket knows the counts of its words and pairs. It writes
    the sums of each document's seen tokens, each history's share of the backoff weight, and the
    unseen tokens, which ask for the weight of their history.
 3. Shares and questions meet in the bucket of the history, and answers go back to the slices.
@@ -173,6 +173,17 @@ class Unigrams:
         hit = self.words[at] == hashes
         return hit, np.where(hit, self.counts[at], 0)
 
+    def numbers(self, hashes, often):
+        """Short names of the frequent words among `hashes`, from 1 on; 0 for the others."""
+        return np.where(often, np.searchsorted(self.words, hashes) + 1, 0)
+
+    def hashes(self, numbers, rare):
+        """The hashes that `numbers` and the hashes of the others, in their order, stand for."""
+        out = np.empty(len(numbers), np.uint64)
+        out[numbers == 0] = rare
+        out[numbers > 0] = self.words[numbers[numbers > 0] - 1]
+        return out
+
     def probability(self, counts):
         return np.where(counts > 0, _discounted(counts, self.factors) / max(self.n, 1), self.unknown)
 
@@ -234,6 +245,7 @@ def _pairs(docs, n_buckets, unigrams):
             before[begins] = len(hashes) - 1
             doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
             often, _ = unigrams.frequent(hashes)
+            numbers = unigrams.numbers(hashes, often)
             at = _bucket(hashes, n_buckets * PARTS).astype(np.int32)[codes]
             dealt = often[codes]
             at[dealt] = _bucket(_pair(hashes[before[dealt]], hashes[codes[dealt]]),
@@ -244,9 +256,10 @@ def _pairs(docs, n_buckets, unigrams):
                 code = np.cumsum(used) - 1
                 own, in_own = np.unique(doc[where], return_counts=True)
                 yield _rows([(_PAIRS + to % PARTS, to // PARTS, number, _pack(
-                    hashes=hashes[used], history=_planes(code[before[where]]),
-                    word=_planes(code[codes[where]]), doc=own.astype(np.int32),
-                    in_doc=in_own.astype(np.int32), learn=learn[own]))])
+                    numbers=_planes(numbers[used]), rare=hashes[used & ~often],
+                    history=_planes(code[before[where]]), word=_planes(code[codes[where]]),
+                    doc=_planes(np.diff(own, prepend=0)), in_doc=_planes(in_own),
+                    learn=learn[own]))])
             release()
     return docs.mapInArrow(deal, _PACKED)
 
@@ -256,10 +269,13 @@ def _part(parts, numbers, unigrams):
 
     `parts` are packed pairs of slices with `numbers`. A document is named slice << 24 | place.
     """
-    history = np.concatenate([p["hashes"][_joined(p["history"])] for p in parts])
-    word = np.concatenate([p["hashes"][_joined(p["word"])] for p in parts])
-    names = np.concatenate([(n << 24) + p["doc"].astype(np.int64) for p, n in zip(parts, numbers)])
-    doc = np.repeat(np.arange(len(names)), np.concatenate([p["in_doc"] for p in parts]))
+    own = [unigrams.hashes(_joined(p["numbers"]), p["rare"]) for p in parts]
+    history = np.concatenate([h[_joined(p["history"])] for p, h in zip(parts, own)])
+    word = np.concatenate([h[_joined(p["word"])] for p, h in zip(parts, own)])
+    del own
+    names = np.concatenate([(n << 24) + np.cumsum(_joined(p["doc"]), dtype=np.int64)
+                            for p, n in zip(parts, numbers)])
+    doc = np.repeat(np.arange(len(names)), np.concatenate([_joined(p["in_doc"]) for p in parts]))
     learn = np.concatenate([p["learn"] for p in parts])[doc]
     words, at_word = np.unique(word, return_inverse=True)
     counts = np.bincount(at_word, learn, len(words)).astype(np.int64)
@@ -329,7 +345,7 @@ def _counted(unigrams, n_buckets):
                 out.append((_SUMS, 0, number, _pack(
                     doc=(names[here] & 0xFFFFFF).astype(np.int32), score=score[here],
                     base=base[here], known=known[here].astype(np.int32), ranks=ranks[:, here])))
-        result = pa.Table.from_batches([_rows(out[i:i + 64]) for i in range(0, len(out), 64)])
+        result = pa.Table.from_batches([_rows(out[i:i + 8]) for i in range(0, len(out), 8)])
         release()
         return result
     return run
