@@ -104,5 +104,6 @@ def without_copies(docs, capacity=BUCKET_ENTRIES):
     """
     rows = numbered(docs)
     named = exact_duplicates(rows.select("doc_id", "text", F.col("__row")), capacity, row="__row")
-    return rows.join(named.where("not kept").select(F.col("row").alias("__row")), "__row",
-                     "left_anti").drop("__row")
+    # Written, so that its size is known: texts move only where it is too large to be broadcast.
+    dropped = written(named.where("not kept").select(F.col("row").alias("__row")), "dedup-dropped")
+    return rows.join(dropped, "__row", "left_anti").drop("__row")

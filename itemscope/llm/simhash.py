@@ -155,5 +155,7 @@ def without_near_copies(docs):
     first = ids.groupBy("component_id").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"),
         F.count("*").alias("n")).where("n > 1")
-    dropped = ids.join(first, "component_id").where("__row != first.__row").select("__row")
+    # Written, so that its size is known: texts move only where it is too large to be broadcast.
+    dropped = written(ids.join(first, "component_id").where("__row != first.__row")
+                      .select("__row"), "near-dropped")
     return rows.join(dropped, "__row", "left_anti").drop("__row")
