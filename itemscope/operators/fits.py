@@ -1,9 +1,11 @@
 """Maximum-likelihood fits of the 1PL, 2PL and K-factor logistic models on a long response table.
 
-Items and subjects take turns. Given the subjects, every item is a small ridge-penalized logistic
-regression on its own answers and is solved inside its row of the packed table; the same pass then
-adds up gradient and Hessian per subject, the only rows that are shuffled. Between passes the
-state is the subject table alone, so neither lineage nor item state grows.
+Given the subjects, every item is a small ridge-penalized logistic regression on its own answers
+and is solved inside its row of the packed table. What is left is a function of the subjects
+alone: the penalized likelihood at the best items. One pass gives its value and gradient, added up
+per subject, the only rows that are shuffled. It is climbed by limited-memory quasi-Newton steps
+that count only where the likelihood rises, so a fit converges or raises. Scale and axes, which
+leave the likelihood as it is, are fixed at the end.
 """
 
 import numpy as np
@@ -15,6 +17,7 @@ from itemscope.functions.scalar import safe_logit
 from itemscope.session import local_table, written
 
 FIT_SUBJECTS = 1_000_000  # subject parameters are held by the driver between passes
+REMEMBERED_STEPS = 12  # of the quasi-Newton direction
 _EDGE = 1e-4  # mean answers are kept this far from 0 and 1
 
 
@@ -40,8 +43,9 @@ class OnePL(_Model):
     def subject_view(self, i):
         return -i[:, 0], np.ones((len(i), 1))
 
-    def fix_scale(self, s):
-        return s - s.mean(axis=0)
+    def fixed(self, s):
+        """Subjects with the scale fixed, and (m, c) that turn items into items @ m + c."""
+        return s - s.mean(axis=0), np.eye(1), -s.mean(axis=0)
 
 
 class TwoPL(_Model):
@@ -56,14 +60,16 @@ class TwoPL(_Model):
     def subject_view(self, i):
         return i[:, 1], i[:, :1]
 
-    def fix_scale(self, s):
-        return (s - s.mean(axis=0)) / max(s.std(), 1e-6)
+    def fixed(self, s):
+        mean, spread = s.mean(), max(s.std(), 1e-12)
+        return (s - mean) / spread, np.array([[spread, mean], [0.0, 1.0]]), np.zeros(2)
 
 
 class KFactor(_Model):
     """log-odds = bias + u . v; subject parameters (bias, u), item parameters v.
 
-    Only the product u . v is determined, so each column of u is kept at unit mean square.
+    Only the product u . v is determined. The columns of u are its principal axes, longest first,
+    at unit mean square and with a positive largest entry.
     """
 
     def __init__(self, k):
@@ -75,35 +81,61 @@ class KFactor(_Model):
     def subject_view(self, i):
         return np.zeros(len(i)), np.column_stack([np.ones(len(i)), i])
 
-    def fix_scale(self, s):
-        size = np.sqrt(np.mean(s[:, 1:] ** 2, axis=0))
-        return np.hstack([s[:, :1], s[:, 1:] / np.maximum(size, 1e-6)])
+    def fixed(self, s):
+        left, size, axes = np.linalg.svd(s[:, 1:], full_matrices=False)
+        size = np.maximum(size / np.sqrt(len(s)), 1e-12)
+        top = left[np.abs(left).argmax(axis=0), np.arange(len(size))]
+        sign = np.where(top < 0, -1.0, 1.0)
+        return (np.hstack([s[:, :1], left * sign * np.sqrt(len(s))]),
+                axes.T * (sign * size), np.zeros(len(size)))
 
 
 def _solve(h, g):
     return np.linalg.solve(h + 1e-9 * np.eye(h.shape[-1]), g[..., None])[..., 0]
 
 
+def _likelihood(eta, y):
+    return y * eta - np.logaddexp(0, eta)
+
+
+def _chance(eta):
+    return 1 / (1 + np.exp(-np.clip(eta, -500, 500)))
+
+
 def _sums(index, size, values):
     return np.stack([np.bincount(index, v, size) for v in values.reshape(len(index), -1).T],
                     axis=1).reshape(size, *values.shape[1:])
 
 
-def _fit_items(model, subjects, who, item, y, n_items, steps=12):
-    """Newton steps for all items of a block at once."""
+def _fit_items(model, subjects, who, item, y, n_items, steps=200):
+    """(items, likelihoods) of a block: Newton steps, halved for an item until its value rises."""
     offset, x = model.item_view(subjects)
     offset, x = offset[who], x[who]
+
+    def value(beta):
+        eta = offset + np.sum(x * beta[item], axis=1)
+        penalty = np.sum(model.item_penalty * (beta - model.item_prior) ** 2, axis=1) / 2
+        return eta, np.bincount(item, _likelihood(eta, y), n_items) - penalty
+
     beta = np.tile(model.item_prior, (n_items, 1))
+    eta, reached = value(beta)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(offset + np.sum(x * beta[item], axis=1), -30, 30)))
+        p = _chance(eta)
         g = _sums(item, n_items, x * (y - p)[:, None])
         h = _sums(item, n_items, x[:, :, None] * x[:, None, :] * (p * (1 - p))[:, None, None])
         g -= model.item_penalty * (beta - model.item_prior)
-        move = np.clip(_solve(h + np.diag(model.item_penalty), g), -2, 2)
-        beta = beta + move
-        if np.abs(move).max(initial=0) < 1e-9:
-            break
-    return beta
+        move = np.clip(_solve(h + np.diag(model.item_penalty), g), -4, 4)
+        if np.abs(move).max(initial=0) < 1e-8:
+            return beta, reached
+        size = np.ones(n_items)
+        while True:
+            eta, new = value(beta + size[:, None] * move)
+            worse = new < reached - 1e-10 * (1 + np.abs(reached))
+            if not worse.any():
+                break
+            size[worse] /= 2
+        beta, reached = beta + size[:, None] * move, new
+    raise RuntimeError(f"an item did not converge in {steps} Newton steps")
 
 
 def _block(pdf):
@@ -118,33 +150,38 @@ def _block(pdf):
 
 
 def _subject_sums(model, subjects):
+    """Gradient and Hessian sums by subject; a row with idx -1 holds the penalized likelihood."""
     size, r = len(subjects), subjects.shape[1]
 
     def run(batches):
-        total = np.zeros((size, r + r * r))
+        total, met, likelihood = np.zeros((size, r + r * r)), np.zeros(size, bool), 0.0
         for pdf in batches:
             if not len(pdf):
                 continue
             who, item, y = _block(pdf)
-            beta = _fit_items(model, subjects, who, item, y, len(pdf))
+            beta, values = _fit_items(model, subjects, who, item, y, len(pdf))
+            likelihood += values.sum()
+            met[who] = True
             offset, w = model.subject_view(beta)
             w = w[item]
-            eta = offset[item] + np.sum(w * subjects[who], axis=1)
-            p = 1 / (1 + np.exp(-np.clip(eta, -30, 30)))
+            p = _chance(offset[item] + np.sum(w * subjects[who], axis=1))
             total[:, :r] += _sums(who, size, w * (y - p)[:, None])
             total[:, r:] += _sums(who, size, (
                 w[:, :, None] * w[:, None, :] * (p * (1 - p))[:, None, None]).reshape(len(who), -1))
-        yield pd.DataFrame({"idx": np.arange(size), "row": list(total)})
+        rows = np.append(np.flatnonzero(met), -1)
+        yield pd.DataFrame({"idx": rows, "row": [
+            *total[met], np.append(likelihood, np.zeros(r + r * r - 1))]})
     return run
 
 
-def _item_rows(model, subjects):
+def _item_rows(model, subjects, m, c):
     def run(batches):
         for pdf in batches:
             if len(pdf):
                 who, item, y = _block(pdf)
-                beta = _fit_items(model, subjects, who, item, y, len(pdf))
-                yield pd.DataFrame({"item_id": pdf["item_id"].to_numpy(), "beta": list(beta)})
+                beta, _ = _fit_items(model, subjects, who, item, y, len(pdf))
+                yield pd.DataFrame({"item_id": pdf["item_id"].to_numpy(),
+                                    "beta": list(beta @ m + c)})
     return run
 
 
@@ -166,25 +203,67 @@ def pack_for_fit(responses):
     return written(packed, "packed-answers"), names
 
 
-def _fit(packed, model, start, max_sweeps, tol):
-    subjects = start
+def _climb(packed, model, subjects):
+    """Value, gradient and Hessian blocks of the penalized likelihood at these subjects."""
     r = subjects.shape[1]
-    for _ in range(max_sweeps):
-        rows = packed.select("who", "ys").mapInPandas(
-            _subject_sums(model, subjects), "idx int, row array<double>")
-        width = r + r * r
-        sums = rows.groupBy("idx").agg(
-            F.array(*[F.sum(F.col("row")[j]) for j in range(width)]).alias("row")).collect()
-        total = np.zeros((len(subjects), width))
-        for s in sums:
+    width = r + r * r
+    rows = packed.select("who", "ys").mapInPandas(
+        _subject_sums(model, subjects), "idx int, row array<double>")
+    total, value = np.zeros((len(subjects), width)), 0.0
+    for s in rows.groupBy("idx").agg(
+            F.array(*[F.sum(F.col("row")[j]) for j in range(width)]).alias("row")).collect():
+        if s["idx"] < 0:
+            value = s["row"][0]
+        else:
             total[s["idx"]] = s["row"]
-        g = total[:, :r] - model.subject_penalty * (subjects - model.subject_prior)
-        h = total[:, r:].reshape(-1, r, r) + np.diag(model.subject_penalty)
-        new = model.fix_scale(subjects + np.clip(_solve(h, g), -1, 1))
-        moved = np.abs(new - subjects).max()
-        subjects = new
-        if moved < tol:
-            break
+    away = subjects - model.subject_prior
+    value -= np.sum(model.subject_penalty * away ** 2) / 2
+    return (value, total[:, :r] - model.subject_penalty * away,
+            total[:, r:].reshape(-1, r, r) + np.diag(model.subject_penalty))
+
+
+def _uphill(g, h, steps):
+    """A limited-memory quasi-Newton direction, from the Hessian blocks and the last steps."""
+    q, used = g.copy(), []
+    for moved, turned in reversed(steps):
+        share = np.sum(moved * q) / np.sum(moved * turned)
+        q -= share * turned
+        used.append(share)
+    q = _solve(h, q)
+    for (moved, turned), share in zip(steps, reversed(used)):
+        q += (share - np.sum(turned * q) / np.sum(moved * turned)) * moved
+    return q
+
+
+def _fit(packed, model, start, max_sweeps, tol):
+    """Subjects at which the scores vanish: a Newton step by blocks moves none of them by `tol`.
+
+    A step is taken only if the likelihood rises, and halved until it does. Raises where
+    `max_sweeps` passes are not enough.
+    """
+    subjects, steps = start, []
+    value, g, h = _climb(packed, model, subjects)
+    passes = 1
+    while (left := np.abs(_solve(h, g)).max(initial=0)) >= tol:
+        move = _uphill(g, h, steps)
+        if np.sum(move * g) <= 0:
+            move, steps = _solve(h, g), []
+        move = move / max(1.0, np.abs(move).max())
+        rise = np.sum(move * g)
+        size = 1.0
+        while True:
+            if passes >= max_sweeps:
+                raise RuntimeError(f"no convergence in {max_sweeps} passes: a step still moves "
+                                   f"{left:.2g}, the tolerance is {tol:.2g}")
+            tried, passes = _climb(packed, model, subjects + size * move), passes + 1
+            if tried[0] >= value + 1e-4 * size * rise - 1e-11 * abs(value):
+                break
+            size /= 2
+        turned = g - tried[1]
+        if np.sum(turned * move) > 0:
+            steps = [*steps[1 - REMEMBERED_STEPS:], (size * move, turned)]
+        subjects = subjects + size * move
+        value, g, h = tried
     return subjects
 
 
@@ -195,32 +274,35 @@ def _start_abilities(responses, names):
     return (theta - theta.mean())[:, None]
 
 
-def rasch_fit(responses, max_sweeps=30, tol=1e-5):
+def rasch_fit(responses, max_sweeps=300, tol=1e-6):
     """Joint maximum likelihood of the 1PL model; abilities have mean zero.
 
     Returns (subjects, items): columns subject, ability and item_id, difficulty.
     """
     packed, names = pack_for_fit(responses)
     model = OnePL()
-    s = _fit(packed, model, _start_abilities(responses, names), max_sweeps, tol)
+    found = _fit(packed, model, _start_abilities(responses, names), max_sweeps, tol)
+    s, m, c = model.fixed(found)
     items = packed.select("item_id", "who", "ys").mapInPandas(
-        _item_rows(model, s), "item_id string, beta array<double>")
+        _item_rows(model, found, m, c), "item_id string, beta array<double>")
     subjects = local_table(responses.sparkSession, zip(names, s[:, 0]),
                            {"subject": pa.string(), "ability": pa.float64()})
     return subjects, items.select("item_id", F.col("beta")[0].alias("difficulty"))
 
 
-def twopl_fit(responses, max_sweeps=40, tol=1e-4):
+def twopl_fit(responses, max_sweeps=300, tol=1e-5):
     """Penalized 2PL fit; abilities have mean zero and unit spread, discriminations centre on 1.
 
     Returns (subjects, items) with discrimination and difficulty per item.
     """
     packed, names = pack_for_fit(responses)
     model = TwoPL()
-    start = model.fix_scale(_start_abilities(responses, names))
-    s = _fit(packed, model, start, max_sweeps, tol)
+    start = _start_abilities(responses, names)
+    start = start / max(start.std(), 1e-6)
+    found = _fit(packed, model, start, max_sweeps, tol)
+    s, m, c = model.fixed(found)
     items = packed.select("item_id", "who", "ys").mapInPandas(
-        _item_rows(model, s), "item_id string, beta array<double>")
+        _item_rows(model, found, m, c), "item_id string, beta array<double>")
     subjects = local_table(responses.sparkSession, zip(names, s[:, 0]),
                            {"subject": pa.string(), "ability": pa.float64()})
     a, d = F.col("beta")[0], F.col("beta")[1]
@@ -228,7 +310,7 @@ def twopl_fit(responses, max_sweeps=40, tol=1e-4):
                                   F.try_divide(-d, a).alias("difficulty"))
 
 
-def kfactor_fit(responses, k, start_loadings, max_sweeps=40, tol=1e-3):
+def kfactor_fit(responses, k, start_loadings, max_sweeps=300, tol=1e-5):
     """Ridge-penalized logistic factor model with a subject bias.
 
     `start_loadings` has columns subject and u (array), as `factor_subjects` returns them.
@@ -238,10 +320,12 @@ def kfactor_fit(responses, k, start_loadings, max_sweeps=40, tol=1e-3):
     model = KFactor(k)
     loads = {r["subject"]: list(r["u"])[:k] for r in start_loadings.select("subject", "u").collect()}
     u = np.array([loads.get(n, []) + [0.0] * (k - len(loads.get(n, []))) for n in names])
-    start = model.fix_scale(np.hstack([_start_abilities(responses, names), u]))
-    s = _fit(packed, model, start, max_sweeps, tol)
+    u = u / np.maximum(np.sqrt(np.mean(u ** 2, axis=0)), 1e-6)
+    start = np.hstack([_start_abilities(responses, names), u])
+    found = _fit(packed, model, start, max_sweeps, tol)
+    s, m, c = model.fixed(found)
     items = packed.select("item_id", "who", "ys").mapInPandas(
-        _item_rows(model, s), "item_id string, beta array<double>")
+        _item_rows(model, found, m, c), "item_id string, beta array<double>")
     columns = {"subject": pa.string(), "bias": pa.float64(),
                **{f"factor_{i + 1}": pa.float64() for i in range(k)}}
     subjects = local_table(responses.sparkSession, [(n, *row) for n, row in zip(names, s)], columns)

@@ -216,7 +216,7 @@ def test_twopl_and_kfactor_recovery(long_table):
     rng = np.random.default_rng(4)
     theta = np.linspace(-2, 2, 16)
     a, d = rng.uniform(0.3, 2.0, 200), rng.normal(size=200)
-    subjects, items = fits.twopl_fit(long_table(_simulate(theta, a, d, 5)), max_sweeps=15)
+    subjects, items = fits.twopl_fit(long_table(_simulate(theta, a, d, 5)))
     got = subjects.orderBy("subject").toPandas()["ability"].to_numpy()
     assert np.corrcoef(got, theta)[0, 1] > 0.95
     disc = items.orderBy("item_id").toPandas()["discrimination"].to_numpy()
@@ -226,8 +226,43 @@ def test_twopl_and_kfactor_recovery(long_table):
     cells = long_table(_simulate(np.zeros(16), a, 0 * d, 6, extra=1.5 * u[:, None] * v))
     z = residuals.residuals(cells, residuals.moment_abilities(cells),
                             residuals.moment_difficulties(cells))
-    subjects, items = fits.kfactor_fit(cells, 1, residuals.factor_subjects(z, 1), max_sweeps=10)
+    subjects, items = fits.kfactor_fit(cells, 1, residuals.factor_subjects(z, 1))
     got = subjects.orderBy("subject").toPandas()["factor_1"].to_numpy()
     assert abs(np.corrcoef(got, u)[0, 1]) > 0.9
     table = fits.factor_table(subjects, cells, 200, 1).first()
     assert table["k_factors"] == 1 and table["observed_total"] == 200
+
+
+@pytest.mark.parametrize("model", [fits.OnePL(), fits.TwoPL(), fits.KFactor(3)])
+def test_score_equations_hold(long_table, model):
+    rng = np.random.default_rng(9)
+    n, k = 14, 3
+    u, v = rng.normal(size=(n, k)), rng.normal(size=(300, k))
+    y = _simulate(rng.normal(size=n), np.ones(300), rng.normal(size=300), 7, extra=u @ v.T)
+    y[rng.random(y.shape) < 0.1] = np.nan
+    packed, names = fits.pack_for_fit(long_table(y))
+    wide = len(model.subject_prior)
+    start = np.hstack([np.zeros((n, 1)), u])[:, :wide] if wide > 1 else np.linspace(-1, 1, n)[:, None]
+    s = fits._fit(packed, model, start, 300, 1e-6)
+    rows = packed.mapInPandas(fits._item_rows(model, s, np.eye(len(model.item_prior)), 0.0),
+                              "item_id string, beta array<double>").orderBy("item_id").toPandas()
+    beta = np.array(rows["beta"].tolist())
+    offset, w = model.subject_view(beta)
+    seen = ~np.isnan(y)
+    mean = np.nanmean(y, axis=0)
+    error = np.where(seen, y + np.clip(mean, 1e-4, 1 - 1e-4) - mean - _sigmoid(offset + s @ w.T), 0)
+    assert names == sorted(names)
+    assert np.abs(error @ w - model.subject_penalty * (s - model.subject_prior)).max() < 1e-4
+    x = model.item_view(s)[1]
+    assert np.abs(error.T @ x - model.item_penalty * (beta - model.item_prior)).max() < 1e-4
+    # scale and axes leave every answer's probability as it is
+    fixed, m, c = model.fixed(s)
+    offset, w = model.subject_view(beta @ m + c)
+    before = model.subject_view(beta)
+    assert np.allclose(offset + fixed @ w.T, before[0] + s @ before[1].T)
+
+
+def test_a_fit_that_does_not_converge_raises(long_table):
+    y = _simulate(np.linspace(-1, 1, 6), np.ones(40), np.zeros(40), 3)
+    with pytest.raises(RuntimeError, match="no convergence"):
+        fits.twopl_fit(long_table(y), max_sweeps=2)
