@@ -63,17 +63,37 @@ def prefix(key, bits):
     return F.shiftrightunsigned(key, 64 - bits)
 
 
+def _placed(docs):
+    """Whether every row of `docs` is one row of a file, and reading again gives the same rows.
+
+    So it is for projections and filters of files under one path; a join, a sample or a path that
+    is given twice may repeat a row.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and plan.relation().location().rootPaths().size() == 1
+
+
 def numbered(docs):
-    """`docs` with a row number `__row` that stays the same when the rows are read again.
+    """`docs` with a unique key `__row` that stays the same when the rows are read again.
 
-    Rows straight from files are numbered by their place in the files; others are written first.
+    Rows straight from files have their place as the key: the hash of the file's path and the row's
+    index in the file, which do not depend on how a read is cut into tasks. Others are numbered and
+    written first.
     """
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
     try:
-        docs.select("_metadata.row_index").schema
+        place = docs.metadataColumn("_metadata")
+        path, index = place["file_path"], place["row_index"]
+        files = docs.select(path.alias("path"), index.alias("index")).select("path").distinct()
     except AnalysisException:
-        return written(rows, "numbered")
-    return rows
+        files = None
+    if files is None or not _placed(docs) or not files.groupBy(F.xxhash64("path")).count() \
+            .where("count > 1").isEmpty():
+        return written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    return docs.withColumn("__row", F.struct(F.xxhash64(path).alias("file"), index.alias("index")))
 
 
 def byte_characters():

@@ -50,9 +50,9 @@ def directory(entries, capacity=BUCKET_ENTRIES):
 def dedup_index(docs, capacity=BUCKET_ENTRIES, row=None):
     """Rows of `docs` and the index of those texts that several rows have.
 
-    Rows: doc_id, row (numbers rows, also those that repeat a doc_id), h, sha (binary SHA-256 of
-    the normalised text). `row` names a column of unique numbers, if there is one. Index: bits, bucket, h, link (place in the chain of the hash), sha,
-    group_size, keep_id, keep_row.
+    Rows: doc_id, row (tells rows apart, also those that repeat a doc_id), h, sha (binary SHA-256
+    of the normalised text). `row` names a column of unique keys, if there is one. Index: bits,
+    bucket, h, link (place in the chain of the hash), sha, group_size, keep_id, keep_row.
     """
     number = F.col(row) if row else F.monotonically_increasing_id()
     base = texts(docs, number.alias("row")).withColumn("norm", normalised(F.col("text"))) \

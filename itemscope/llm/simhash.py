@@ -50,7 +50,8 @@ def fingerprints(docs):
         for part in slices(batches):
             fps = np.array([_fingerprint(t) for t in part.column("text").to_pylist()], np.uint64)
             yield arrow(doc_id=part.column("doc_id"), fp=(fps.view(np.int64), pa.int64()))
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return texts(docs).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def _keys(fps):

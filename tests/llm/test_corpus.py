@@ -14,6 +14,7 @@ import corpus_pipeline
 from itemscope.llm import (
     components, decontamination, exact_dedup, extraction, language_model, oracles, packing, queries,
     secret_scan, sharding, simhash, token_counts, toxicity)
+from itemscope.llm import common
 
 SF = "/root/testdata/sf0.001"
 WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -285,6 +286,58 @@ def test_exact_duplicates(odd):
     assert kept.count() == len(groups) and kept.columns == odd.columns
 
 
+@pytest.fixture
+def cut(spark, tmp_path):
+    """A folder of files, and a function that sets into how many tasks the next reads cut it."""
+    texts = [f"text {i // 2} " + " ".join(f"w{i // 2 * 31 + k}" for k in range(9)) for i in range(120)]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string") \
+        .repartition(7).write.parquet(f"{tmp_path}/docs")
+    names = ("spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    spark.conf.set(names[0], "1")
+    yield f"{tmp_path}/docs", lambda n: spark.conf.set(names[1], str(n))
+    for name in names:
+        spark.conf.unset(name)
+
+
+def test_row_keys_of_two_reads(spark, cut):
+    folder, tasks = cut
+    tasks(1)
+    rows = common.numbered(spark.read.parquet(folder))
+    found = []
+    for n in (1, 7):
+        tasks(n)
+        found.append({r.doc_id: r["__row"] for r in rows.select("doc_id", "__row").collect()})
+    assert found[0] == found[1] and len(set(found[0].values())) == 120
+
+
+@pytest.mark.parametrize("module, stage, name", [
+    (exact_dedup, "without_copies", "dedup-dropped"),
+    (simhash, "without_near_copies", "near-dropped")])
+def test_copies_go_when_reads_are_cut_anew(spark, cut, monkeypatch, module, stage, name):
+    folder, tasks = cut
+    tasks(1)
+    plain_written = module.written
+
+    def written(df, at):
+        out = plain_written(df, at)
+        if at == name:
+            tasks(7)
+        return out
+    monkeypatch.setattr(module, "written", written)
+    kept = getattr(module, stage)(spark.read.parquet(folder)).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 120, 2))
+
+
+def test_row_keys_where_rows_repeat(spark, cut):
+    folder, _ = cut
+    docs = spark.read.parquet(folder)
+    for repeated in (docs.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))),
+                     spark.read.parquet(folder, folder), docs.union(docs),
+                     docs.crossJoin(spark.range(2))):
+        rows = common.numbered(repeated)
+        assert rows.select("__row").distinct().count() == 240 == rows.count()
+
+
 def test_secrets_with_odd_rows(spark):
     texts = [None, "", 'é token = "abcdef0123"', "secret:token: abcdef", "AKIA" + "A1" * 9,
              "f" * 24, "password=12345 api_key:'aB9xY7aB9xY7aB9xY7aB9xY7'"]
