@@ -7,6 +7,7 @@ cut between the terminals is the labelling of least total cost.
 """
 
 import html
+import math
 import re
 
 import pyarrow as pa
@@ -49,41 +50,82 @@ NAMES = {
     3: "article post entry content main story body text prose",
 }
 HINTS = {word: weight for weight, line in NAMES.items() for word in line.split()}
-TEXT_WEIGHT, LINK_WEIGHT, PLAIN, LONG_WORDS = 1.0, -4.0, -1.0, 30
-#: Smoothness between blocks that follow each other, with one parent and without.
+#: Length weighs by the logarithm of the words (of WORD characters on average, so that scripts
+#: without spaces count) outside links: 1 at SOME words, LONGEST at most. It outgrows what elements
+#: that are not made for text lose by PLAIN, and by UNENDED if no sentence ends in them, but not
+#: what navigation loses.
+LINK_WEIGHT, PLAIN, UNENDED, WORD, SOME, LONGEST = -4.0, -1.0, -0.5, 6, 10, 3.0
+#: Where the elements around come to this or less, those inside of them tell nothing good.
+OUTSIDE = -5.0
+_SENTENCE = re.compile(r"[.!?…][\"'”’»)\]]*(?:\s|$)|[。！？]")
+#: Smoothness between blocks that follow each other: alike and with one parent, and else.
 SIBLINGS, NEIGHBOURS = 1.0, 0.3
 
 
 class _Block:
-    __slots__ = ("text", "linked", "tag", "score", "parent")
+    __slots__ = ("text", "linked", "tag", "marks", "parent", "score")
 
-    def __init__(self, text, linked, tag, score, parent):
-        self.text, self.linked, self.tag, self.score, self.parent = text, linked, tag, score, parent
+    def __init__(self, text, linked, tag, marks, parent):
+        self.text, self.linked, self.tag, self.marks, self.parent = text, linked, tag, marks, parent
+        self.score = 0
+
+    def words(self):
+        return len(self.text) * (1 - self.linked) / WORD
 
 
 def _hint(tag, attributes):
-    score = ELEMENT.get(tag, 0)
+    """Log-odds of an element, and the part of them that does not hold for a wrapper of the page."""
+    score, loose = ELEMENT.get(tag, 0), ELEMENT["form"] if tag == "form" else 0
     for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         for word in _WORD.findall(value.lower()):
             if tag not in ("body", "html"):
-                score += HINTS.get(word, 0)
-    return score
+                hint = HINTS.get(word, 0)
+                score, loose = score + hint, loose + min(hint, 0)
+    return score, loose
+
+
+def _weigh(found):
+    """Sets the scores of blocks from the marks (number, log-odds, loose part) of their ancestors.
+
+    Names like "no-sidebar" on an element around most of the page's text tell of its layout. Such
+    an element keeps its penalty only if the page's text begins outside of it, as that of comments
+    does.
+    """
+    free = [b for b in found if all(h >= loose for _, h, loose in b.marks)]
+    total, held = sum(b.words() for b in free), {}
+    for block in free:
+        for number, _, loose in block.marks:
+            if loose:
+                held[number] = held.get(number, 0) + block.words()
+    wide = {number for number, words in held.items() if 2 * words > total}
+    wrappers = set()
+    if wide:
+        open_ = [b for b in free if all(not loose or n in wide for n, _, loose in b.marks)]
+        first = next((b for b in open_ if b.words() >= SOME), None) or \
+            next((b for b in open_ if any(h - loose >= ELEMENT["main"] for _, h, loose in b.marks)), None)
+        wrappers = wide.intersection(n for n, _, _ in first.marks) if first else wrappers
+    for block in found:
+        for number, hint, loose in block.marks:
+            hint -= loose if number in wrappers else 0
+            # An article inside of comments is a comment.
+            if hint < 0 or block.score > OUTSIDE:
+                block.score += hint
 
 
 def blocks(page):
     """Text blocks of an HTML page in page order."""
-    out, open_, parts = [], [], []     # open_: (tag, hint, number)
+    out, open_, parts = [], [], []     # open_: (tag, hint and its loose part, number)
     state = {"linked": 0, "unread": 0, "links": 0, "number": 0}
 
     def close():
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            score = sum(h for _, h, _ in open_)
+            marks = [(n, *hint) for _, hint, n in open_ if any(hint)]
             holders = [(t, n) for t, _, n in open_ if t in BLOCKS]
             parent = holders[-2][1] if len(holders) > 1 else 0
             tag = holders[-1][0] if holders else ""
-            out.append(_Block(text, min(1.0, state["linked"] / len(text)), tag, score, parent))
+            out.append(_Block(text, min(1.0, state["linked"] / len(text)), tag, marks, parent))
         state["linked"] = 0
 
     def read(piece):
@@ -142,15 +184,18 @@ def blocks(page):
             ended = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = ended.start() if ended else len(page)
     close()
+    _weigh(out)
     return out
 
 
 def _cost(block):
     """Log-odds that a block is content."""
-    length = min(1.0, block.text.count(" ") / LONG_WORDS)
-    plain = PLAIN if block.tag not in ("p", "h1", "h2", "h3", "h4", "blockquote", "pre", "li",
-                                       "td", "dd", "figcaption") else 0.5
-    return block.score + TEXT_WEIGHT * length + LINK_WEIGHT * block.linked + plain
+    length = min(LONGEST, math.log2(1 + block.words() / SOME))
+    if block.tag in ("p", "h1", "h2", "h3", "h4", "blockquote", "pre", "li", "td", "dd", "figcaption"):
+        plain = 0.5
+    else:
+        plain = PLAIN if _SENTENCE.search(block.text) else PLAIN + UNENDED
+    return block.score + length + LINK_WEIGHT * block.linked + plain
 
 
 def minimum_cut(costs, edges):
@@ -215,7 +260,9 @@ def main_text(page):
     for i, block in enumerate(found):
         before = last.get(block.parent)
         if before is not None:
-            edges.append((before, i, SIBLINGS))
+            alike = found[before].score == block.score and \
+                (found[before].linked > 0.5) == (block.linked > 0.5)
+            edges.append((before, i, SIBLINGS if alike else NEIGHBOURS))
         if i and before != i - 1:
             edges.append((i - 1, i, NEIGHBOURS))
         last[block.parent] = i

@@ -149,6 +149,40 @@ def test_extraction():
     assert extraction.main_text("") == extraction.main_text("<nav>a</nav>") == ""
 
 
+ONE, TWO, THREE = (
+    "The river rose in the night, and by the morning it had taken the lower fields. " * 3,
+    "Nobody in the village had seen it so high, the old miller said when he was asked. " * 2,
+    "It fell again on the third day. The fields were grey, and the road to the mill was gone. " * 2)
+SITE = ('<nav><a href=/>Home</a> <a href=/n>News</a></nav><div class="cookie-banner">We use cookies to '
+        'make this site better for you and for all of our many partners, please accept them.</div>')
+END = ('<div id="comments"><div>What a river, I have never seen it so high, and I live here.</div></div>'
+       '<div><a href=/t>Terms</a> <a href=/p>Privacy</a></div><footer>(c) The Paper</footer>')
+
+
+@pytest.mark.parametrize("page, wanted", [
+    # Plain elements.
+    (f"<body>{SITE}<div>{ONE}</div><div>{TWO}</div><div>{THREE}</div>{END}", [ONE, TWO, THREE]),
+    (f"<body>{SITE}<section><center>{ONE}</center></section><div><div>{TWO}</div></div>{END}", [ONE, TWO]),
+    # Bare text of the body.
+    (f"<body>{SITE}{ONE}<br><br>{TWO}<br><br>{THREE}{END}", [f"{ONE} {TWO} {THREE}"]),
+    # Without spaces.
+    (f"<body>{SITE}<div>{'河水在夜里上涨，到了早晨已经淹没了低处的田地。' * 9}</div>{END}",
+     ["河水在夜里上涨，到了早晨已经淹没了低处的田地。" * 9]),
+    # Class names that tell of the layout, and a form around the page.
+    (f'<div class="no-sidebar">{SITE}<article><p>{ONE}<p>{TWO}</article>{END}</div>', [ONE, TWO]),
+    (f'<form id=f><div class="page no-sidebar"><div class="sticky-menu">{SITE}<div>{ONE}</div>'
+     f'<div>{TWO}</div></div>{END}</div></form>', [ONE, TWO]),
+    ('<div class="no-sidebar"><article><p>A short note.</article></div>', ["A short note."]),
+    # Comments, and other text of the site, that are longer than the text.
+    (f'{SITE}<div>{THREE}</div><div id="comments"><div>{ONE * 3}</div><div>{TWO}</div></div>', [THREE]),
+    (f'{SITE}<article><p>{THREE}</article><ol class="comments"><li><article><p>{ONE * 3}</article></ol>',
+     [THREE]),
+    (f'<aside><p>{ONE * 3}</aside><div>{THREE}</div><footer><div>{TWO * 3}</div></footer>', [THREE]),
+    (f"<body>{SITE}<div>Welcome</div>{END}", [])])
+def test_extraction_of_unmarked_pages(page, wanted):
+    assert extraction.main_text(page).split("\n") == [" ".join(t.split()) for t in wanted or [""]]
+
+
 def test_minimum_cut_is_least():
     rng = np.random.default_rng(1)
     for _ in range(200):
