@@ -18,6 +18,7 @@ from itemscope.operators.design import (
 from itemscope.operators.performance import binary_metrics
 from itemscope.operators.ranks import hash_positions
 from itemscope.operators.residuals import factor_subjects
+from itemscope.operators.responses import require_metadata
 from itemscope.session import written
 
 # The grid of factor scales, from -2 to 2 in 161 steps.
@@ -330,7 +331,9 @@ def run_cold_start(responses, flat, seeds=(2026, 2027, 2028, 2029, 2030), ks=(0,
     """Hold out whole items per seed, learn metadata -> item parameters, predict their answers.
 
     `encoded`, the result of `encode_features(flat)`, spares encoding the same metadata again.
+    Answers to an item that `flat` lacks are an error.
     """
+    require_metadata(responses, flat)
     seeds, ks = [int(s) for s in seeds], [int(k) for k in ks]
     if not seeds or not ks or test_size <= 0:
         raise ValueError("seeds and ks must be given and test_size be positive")

@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from itemscope.operators.responses import first_per_item
+from itemscope.operators.responses import first_per_item, require_metadata
 from itemscope.functions.pvalues import fair_coin_p_udf
 from itemscope.functions.scalar import clip, tenth_bin, tenth_label
 from itemscope.operators.ranks import auc_from_counts, outcome_counts, with_min_ranks
@@ -22,7 +22,11 @@ DEFAULT_PAIRS = [
 
 
 def with_truth(cells, items):
-    """Add `true_long`, from the label of the cell's item; of repeated items one row counts."""
+    """Add `true_long`, from the label of the cell's item; of repeated items one row counts.
+
+    A cell whose item is not among `items` is an error.
+    """
+    require_metadata(cells, items)
     truth = first_per_item(items.select("item_id", "ground_truth_mapped")).select(
         "item_id", F.coalesce((F.col("ground_truth_mapped") == LONG).cast("int"), F.lit(0))
         .alias("true_long"))

@@ -57,15 +57,20 @@ def missing_item_ids(responses, metadata):
         metadata.select("item_id"), "item_id", "left_anti")
 
 
+def require_metadata(cells, metadata):
+    """Raises if an item of `cells` has no row in `metadata`: a join would lose its cells."""
+    missing = missing_item_ids(cells, metadata)
+    examples = [r[0] for r in missing.orderBy("item_id").limit(5).collect()]
+    if examples:
+        raise ValueError(f"metadata lacks {missing.count()} item ids, e.g. {examples}")
+
+
 def align_metadata(metadata, responses, ordinal=None):
     """Metadata restricted to the items that were answered; an answered item without metadata is
     an error."""
     _require(metadata, "item_id")
     md = first_per_item(metadata, ordinal)
-    missing = missing_item_ids(responses, md)
-    examples = [r[0] for r in missing.orderBy("item_id").limit(5).collect()]
-    if examples:
-        raise ValueError(f"metadata lacks {missing.count()} item ids, e.g. {examples}")
+    require_metadata(responses, md)
     return md.join(responses.select("item_id").distinct(), "item_id", "left_semi")
 
 

@@ -2,7 +2,7 @@
 
 from itemscope.operators import coldstart, difficulty, metadata, performance, residuals, validity
 from itemscope.operators.design import encode_features
-from itemscope.operators.responses import align_metadata, decisions_from_metadata
+from itemscope.operators.responses import decisions_from_metadata, first_per_item, require_metadata
 from itemscope.session import written
 from itemscope.sources.tables import load_core_tables, save_tables
 
@@ -12,14 +12,18 @@ def analysis_tables(core, seeds=(2026, 2027, 2028, 2029, 2030), ks=(0, 1, 2, 4,
     """Dict of the result tables computed from the tables of `load_core_tables`.
 
     Tables that several results share are written once: later plans stay short and know the size
-    of what they read.
+    of what they read. Items that nobody answered are described and scored like the others; only
+    the cold start of the answers keeps to the items of the matrix. An item of the matrix without
+    metadata is an error.
     """
     responses = written(core["responses"], "responses")
-    meta = written(align_metadata(core["case_metadata"], responses), "metadata")
+    asked = core["matrix_items"] if "matrix_items" in core else responses.select("item_id").distinct()
+    meta = written(first_per_item(core["case_metadata"]), "metadata")
+    require_metadata(asked.select("item_id").unionByName(responses.select("item_id")), meta)
     flat = written(metadata.flatten_metadata(meta), "flat-metadata")
     encoded = encode_features(flat)
-    n_items = (core["matrix_items"] if "matrix_items" in core else
-               responses.select("item_id").distinct()).count()
+    n_items = asked.count()
+    in_matrix = written(flat.join(asked, "item_id", "left_semi"), "matrix-metadata")
     decisions = written(decisions_from_metadata(meta, responses.select("subject")), "decisions")
 
     obs = performance.observations(responses, meta, decisions)
@@ -44,10 +48,11 @@ def analysis_tables(core, seeds=(2026, 2027, 2028, 2029, 2030), ks=(0, 1, 2, 4,
         "residual_factor_item_loadings": factors["item_factors"],
         "residual_factor_variance": factors["variance"],
     }
-    for target, cells in (("correctness", responses),
-                          ("decision", decisions.withColumnRenamed("decision", "y"))):
-        run = coldstart.run_cold_start(cells, flat, seeds, ks, test_size,
-                                       min_observed=min_observed, encoded=encoded)
+    for target, cells, items, coded in (
+            ("correctness", responses, in_matrix, None),
+            ("decision", decisions.withColumnRenamed("decision", "y"), flat, encoded)):
+        run = coldstart.run_cold_start(cells, items, seeds, ks, test_size,
+                                       min_observed=min_observed, encoded=coded)
         tables[f"kfactor_{target}_coldstart_summary"] = run.summary
         tables[f"kfactor_{target}_coldstart_by_split"] = run.metrics_by_split
         tables[f"kfactor_{target}_coldstart_diagnostics_summary"] = run.diagnostics_summary

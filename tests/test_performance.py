@@ -1,8 +1,9 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
-from itemscope.operators import performance, responses
+from itemscope.operators import coldstart, performance, responses
 from itemscope.schema import LONG, SHORT
 from tests.conftest import to_rows
 
@@ -130,6 +131,18 @@ def test_unique_cells_and_wide_table(spark):
     assert to_rows(responses.wide_to_long(wide), "subject") == [("s", "i.1", 1), ("t", "i2", 0)]
 
 
+def test_answers_to_items_without_metadata(spark):
+    cells = spark.createDataFrame([("a", "i1", 1), ("a", "i2", 0)], "subject string, item_id string, y int")
+    items = spark.createDataFrame([("i1", LONG)], "item_id string, ground_truth_mapped string")
+    votes = cells.withColumnRenamed("y", "decision")
+    flat = items.withColumn("State", F.lit("TX"))
+    for lost in (lambda: performance.observations(cells, items),
+                 lambda: performance.vote_fraction_summary(votes, items),
+                 lambda: coldstart.run_cold_start(cells, flat, (1,), (0,), 1)):
+        with pytest.raises(ValueError, match="1 item ids.*i2"):
+            lost()
+
+
 def test_repeated_items_do_not_double_cells(spark):
     cells = spark.createDataFrame([("a", "i1", 1), ("a", "i2", 0)], "subject string, item_id string, y int")
     items = spark.createDataFrame([("i1", "x"), ("i1", "x"), ("i2", "y")],

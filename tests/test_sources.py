@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from itemscope.operators import households
-from itemscope.plans.analysis import run_analysis
+from itemscope.plans.analysis import analysis_tables, run_analysis
 from itemscope.schema import ITEM_PARAMS, LONG, SHORT, household
 from itemscope.sources import runs, tables
 from tests.conftest import to_rows
@@ -165,6 +165,40 @@ def test_whole_analysis(spark, tmp_path):
     assert sizes["difficulty_decile_summary"] == 10 and sizes["paired_comparisons"] == 1
 
 
+def test_analysis_of_items_without_answers_or_metadata(spark):
+    rng = np.random.default_rng(3)
+    m, n = 10, 60
+    y, truth = rng.integers(0, 2, (m, n)), rng.integers(0, 2, n)
+    items, names = [f"i{j:02d}" for j in range(n)], [f"m{k}" for k in range(m)]
+    label = lambda long: LONG if long else SHORT
+    key = lambda j: repr({"SocioEconomicParameters": {"State": f"S{j % 3}", "Occupants": j % 5},
+                          "BuildingDamage": "Some Damage" if j % 2 else "No Damage"})
+    meta = spark.createDataFrame(
+        [(items[j], label(truth[j]), key(j), *[label(y[k, j] == truth[j]) for k in range(m)])
+         for j in range(n)], ["item_id", "ground_truth_mapped", "feature_key",
+                              *[f"{s}_prediction" for s in names]])
+    core = {
+        "responses": spark.createDataFrame(    # the last item has no answers
+            [(names[k], items[j], int(y[k, j])) for k in range(m) for j in range(n - 1)],
+            "subject string, item_id string, y int"),
+        "case_metadata": meta,
+        "item_params": spark.createDataFrame(
+            [(i, j / 10 - 3, 0.5, j / 20) for j, i in enumerate(items)],
+            "item_id string, difficulty double, empirical_accuracy double, empirical_difficulty double"),
+        "subject_ability": spark.createDataFrame(
+            [("1pl", s, k / 10 - 0.45, 3) for k, s in enumerate(names)],
+            "irt_model string, model string, ability double, correct long")}
+    options = dict(seeds=(1,), ks=(0, 1), test_size=10, min_observed=5, pairs=[("m0", "m1")])
+    found = analysis_tables(core, **options)
+    assert found["flattened_case_metadata"].count() == n
+    assert sum(r.n_cases for r in found["vote_fraction_summary"].collect()) == n
+    scored = found["item_table_with_validity_features"].where("feature_label_surprisal is not null")
+    assert scored.count() == n
+    assert found["model_performance"].first()["missing_total"] == 0
+    with pytest.raises(ValueError, match="1 item ids.*i07"):
+        analysis_tables(core | {"case_metadata": meta.where("item_id != 'i07'")}, **options)
+
+
 def test_text_with_quotes_survives_csv(spark, tmp_path):
     rows = [("i1", 'say "hi", x', 1.5), ("i2", "plain", None)]
     df = spark.createDataFrame(rows, "item_id string, note string, v double")
