@@ -3,8 +3,9 @@
 The index has one entry per distinct hash of a normalised text. A bucket is a range of hashes,
 named by their first bits. The directory is a table on shared files that leads from the first
 bits of a hash to its bucket; while a bucket has more entries than it may hold, it is split by one
-more bit, which doubles the directory. Owner tasks hold whole buckets. Where several rows share a
-hash, their bytes are compared, and different texts under one hash form a chain.
+more bit, which doubles the directory. Where several rows share a hash, their bytes are compared by
+grouping on them. The groups are then laid out by bucket, where different texts under one hash form
+a chain; which rows are copies does not depend on that layout.
 """
 
 from pyspark.sql import Window, functions as F
