@@ -35,6 +35,32 @@ select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_item
 from d left join hit using (doc_id) left join ids using (doc_id)
 """
 
+SUFFIX_DEDUP = r"""
+with d as (select doc_id, encode(coalesce(text, '')) as b, octet_length(b) as n from documents),
+starts as (
+  select doc_id, i, md5(b[i:i + 399]) as h
+  from (select doc_id, b, unnest(range(1, n - 398)) as i from d where n >= 400)),
+hits as (
+  select doc_id, i from starts join (select h from starts group by h having count(*) > 1) using (h)),
+runs as (
+  select doc_id, i, sum(cast(fresh as int)) over (partition by doc_id order by i) as run
+  from (select doc_id, i, coalesce(i > lag(i) over (partition by doc_id order by i) + 400, true) as fresh
+        from hits)),
+spans as (select doc_id, run, min(i) as a, max(i) + 399 as z from runs group by doc_id, run),
+kept as (
+  select doc_id, lead(a, 1, n + 1) over w as until, z + 1 as begin
+  from (select doc_id, a, z from spans union all select doc_id, 0, 0 from d) join d using (doc_id)
+  window w as (partition by doc_id order by a)),
+texts as (
+  select doc_id, string_agg(case when until > begin then hex(b[begin:until - 1]) else '' end, ''
+                            order by begin) as t
+  from kept join d using (doc_id) group by doc_id),
+sizes as (select doc_id, sum(z - a + 1) as removed, count(*) as runs from spans group by doc_id)
+select d.doc_id, cast(n as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed,
+       coalesce(runs, 0) as n_spans, sha256(unhex(t)) as kept_sha256
+from d join texts using (doc_id) left join sizes using (doc_id)
+"""
+
 # Positions of matches as in the query: lengths of the texts between and of the matches.
 _PATTERNS = [
     ("assign", r"(?i)(?:password|passwd|secret|token|api_?key)[\x22']?\x20*[:=]\x20*[\x22']?"
@@ -85,4 +111,4 @@ from documents left join per_doc using (doc_id)
 
 def all_sql():
     return {"op7_decontamination": DECONTAMINATION, "op8_exact_dedup": EXACT_DEDUP,
-            "op10_secret_scan": SECRETS}
+            "op10_secret_scan": SECRETS, "op13_suffix_dedup": SUFFIX_DEDUP}

@@ -1,10 +1,11 @@
 """Registered queries of the corpus operators, with production parameters, over whole tables."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from itemscope.llm import (
     decontamination, exact_dedup, extraction, language_model, packing, secret_scan, sharding, simhash,
-    token_counts, toxicity)
+    suffix_dedup, token_counts, toxicity)
 from itemscope.llm.common import table
 
 
@@ -51,6 +52,13 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.secret_spans(table(spark, sf_dir, "documents"), owner="source")
 
 
+def op13_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), length=400).select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 ALL = {f.__name__: f for f in (
     op1_token_counts, op2_simhash_near_dedup, op3_sharding, op4_html_extraction, op5_katz_scores,
-    op6_packing, op7_decontamination, op8_exact_dedup, op9_toxicity, op10_secret_scan)}
+    op6_packing, op7_decontamination, op8_exact_dedup, op9_toxicity, op10_secret_scan,
+    op13_suffix_dedup)}
