@@ -61,6 +61,92 @@ select d.doc_id, cast(n as bigint) as n_bytes, cast(coalesce(removed, 0) as bigi
 from d join texts using (doc_id) left join sizes using (doc_id)
 """
 
+
+
+def _repair():
+    """The repair as a walk over the rows that keeps the least 'cost, audit' text of each state."""
+    def add(weight, cost, letter):
+        return (f"(lpad(cast(cast({weight}[1:9] as int) + {cost} as varchar), 9, '0') || {weight}[10:]"
+                f" || '{letter}')")
+    more, open_ = "(case when f[i] = 3 then 1 else 0 end)", "f[i] not in (1, 2)"
+    ready = "least(v0, v1, v3)"
+    inserted = """
+    select *, w0 as v0, w1 as v1, least(w2, i2, {j2}) as v2, least(w3, i3, {j3}) as v3
+    from (select *, {i2} as i2, {i3} as i3 from {{0}})""".format(
+        i2=add("least(w0, w1, w3)", 2, "I"), i3=add("w2", 2, "I"), j2=add("i3", 2, "I"), j3=add("i2", 2, "I"))
+    step = f"""
+    select conv_id, r, f, i + 1 as i, {add('v0', 3, 'D')} as w0,
+           least({add('v1', 3, 'D')}, case when {open_} and r[i] = 's' then {add('v0', more, 'K')} end) as w1,
+           least({add('v2', 3, 'D')}, case when {open_} then {add(ready, f'2 + {more}', 'R')} end,
+                 case when {open_} and r[i] = 'u' then {add(ready, more, 'K')} end) as w2,
+           least({add('v3', 3, 'D')}, case when {open_} then {add('v2', f'2 + {more}', 'R')} end,
+                 case when {open_} and r[i] = 'a' then {add('v2', more, 'K')} end) as w3
+    from ({inserted.format("walk")}) where i <= len(r)"""
+    return rf"""
+with recursive crc(t) as (
+  select list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0],
+         lambda c, z: case when c % 2 = 1 then xor(3988292384, c >> 1) else c >> 1 end))),
+keyed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k
+  from conversations),
+numbered as (
+  select *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''),
+         lambda x: cast(ascii(x) as bigint))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 as d
+  from keyed, crc),
+damaged as (
+  select conv_id, turn, case when d = 4 then 'user' else role end as role,
+         case when d = 1 then '' when d = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+         unnest(range(case when d = 3 then 2 else 1 end)) as copy
+  from numbered where d <> 0),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as place,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))[-1:] as final from damaged),
+rows as (
+  select *, case when final = '' then 1
+                 when row_number() over (partition by conv_id, role, text order by place) > 1 then 2
+                 when final not in ('.', '!', '?') then 3 else 0 end as fault,
+         lag(role[1:1]) over (partition by conv_id order by place) || role[1:1] as pair
+  from placed),
+talks as (
+  select conv_id, list(role[1:1] order by place) as r, list(fault order by place) as f,
+         coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+         count(*) filter (fault = 1) as blank, count(*) filter (fault = 2) as duplicate,
+         count(*) filter (fault = 3) as truncated,
+         count(*) filter (pair not in ('su', 'ua', 'au')) as illegal
+  from rows group by conv_id),
+walk(conv_id, r, f, i, w0, w1, w2, w3) as (
+    select conv_id, r, f, 1, '000000000', cast(null as varchar), cast(null as varchar), cast(null as varchar)
+    from talks
+    union all {step}),
+ended as (
+  select conv_id, r, least(v0, v3) as w
+  from ({inserted.format("(select * from walk where i > len(r))")})),
+letters as (
+  select conv_id, r, w, k, w[9 + k:9 + k] as c, length(replace(w[10:9 + k], 'I', '')) as place,
+         length(replace(w[10:9 + k], 'D', '')) as j
+  from (select conv_id, r, w, unnest(range(1, length(w) - 8)) as k from ended)),
+turns as (
+  select l.conv_id, k, c, rows.role, rows.text,
+         j - max(case when j = 1 and c = 'K' and r[l.place] = 's' then 1 else 0 end) over (partition by l.conv_id)
+           as j
+  from letters l left join rows on l.conv_id is not distinct from rows.conv_id and l.place = rows.place
+                 and c <> 'I' where c <> 'D'),
+texts as (
+  select conv_id, string_agg(case when c = 'K' then role when j % 2 = 1 then 'user' else 'assistant' end
+         || ':' || case when c = 'I' then '' else text end, chr(10) order by k) as t
+  from (select conv_id, k, c, role, text, j from turns) group by conv_id),
+ids as (select distinct conv_id from conversations)
+select ids.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank,
+       coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+       coalesce(illegal, 0) as illegal, cast(coalesce(w[1:9], '0') as bigint) as cost,
+       coalesce(w[10:], '') as audit, sha256(coalesce(t, '')) as repaired_sha256
+from ids left join talks on ids.conv_id is not distinct from talks.conv_id
+left join ended on ids.conv_id is not distinct from ended.conv_id
+left join texts on ids.conv_id is not distinct from texts.conv_id
+"""
+
+
 # Positions of matches as in the query: lengths of the texts between and of the matches.
 _PATTERNS = [
     ("assign", r"(?i)(?:password|passwd|secret|token|api_?key)[\x22']?\x20*[:=]\x20*[\x22']?"
@@ -111,4 +197,5 @@ from documents left join per_doc using (doc_id)
 
 def all_sql():
     return {"op7_decontamination": DECONTAMINATION, "op8_exact_dedup": EXACT_DEDUP,
-            "op10_secret_scan": SECRETS, "op13_suffix_dedup": SUFFIX_DEDUP}
+            "op10_secret_scan": SECRETS, "op12_conversation_repair": _repair(),
+            "op13_suffix_dedup": SUFFIX_DEDUP}

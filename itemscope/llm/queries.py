@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from itemscope.llm import (
-    decontamination, exact_dedup, extraction, language_model, packing, secret_scan, sharding, simhash,
+    conversation_repair, decontamination, exact_dedup, extraction, language_model, packing, secret_scan, sharding, simhash,
     suffix_dedup, token_counts, toxicity)
 from itemscope.llm.common import table
 
@@ -52,6 +52,11 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.secret_spans(table(spark, sf_dir, "documents"), owner="source")
 
 
+def op12_conversation_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(conversation_repair.damaged(conversations), conversations)
+
+
 def op13_suffix_dedup(spark, sf_dir):
     return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), length=400).select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
@@ -61,4 +66,4 @@ def op13_suffix_dedup(spark, sf_dir):
 ALL = {f.__name__: f for f in (
     op1_token_counts, op2_simhash_near_dedup, op3_sharding, op4_html_extraction, op5_katz_scores,
     op6_packing, op7_decontamination, op8_exact_dedup, op9_toxicity, op10_secret_scan,
-    op13_suffix_dedup)}
+    op12_conversation_repair, op13_suffix_dedup)}
