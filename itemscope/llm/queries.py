@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from itemscope.llm import (
     conversation_repair, decontamination, exact_dedup, extraction, language_model, packing, secret_scan, sharding, simhash,
-    suffix_dedup, token_counts, toxicity)
+    suffix_dedup, token_counts, toxicity,
+    whitening)
 from itemscope.llm.common import table
 
 
@@ -52,6 +53,10 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.secret_spans(table(spark, sf_dir, "documents"), owner="source")
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), components=16)
+
+
 def op12_conversation_repair(spark, sf_dir):
     conversations = table(spark, sf_dir, "conversations")
     return conversation_repair.repair_report(conversation_repair.damaged(conversations), conversations)
@@ -66,4 +71,4 @@ def op13_suffix_dedup(spark, sf_dir):
 ALL = {f.__name__: f for f in (
     op1_token_counts, op2_simhash_near_dedup, op3_sharding, op4_html_extraction, op5_katz_scores,
     op6_packing, op7_decontamination, op8_exact_dedup, op9_toxicity, op10_secret_scan,
-    op12_conversation_repair, op13_suffix_dedup)}
+    op11_embedding_whitening, op12_conversation_repair, op13_suffix_dedup)}
