@@ -5,32 +5,40 @@ Sadakane's doubling, Kasai's rule gives the common prefixes, and runs of `length
 the strings that start several times in the shard.
 
 Shards are merged without moving their texts. Every window of `length` bytes has an anchor: the
-`GRAM` bytes of least hash in it, which are the same bytes wherever the window occurs. A shard names
-its anchors by hashes; only strings around an anchor that two shards share can be equal, and the
-surroundings of those are brought together and go through a suffix array again. Where too many
-surroundings meet at one anchor, the windows' places around it are bisected: a binary search for
-how far strings of different shards agree, in which each half is keyed by the bytes that all its
-windows share. It needs no caps, since at the end of it a key is a whole window, and equal
-surroundings always become one row first.
+first `GRAM` bytes of least hash in it, which are the same bytes wherever the window occurs, and
+every window belongs to one anchor. A shard names its anchors by hashes; only windows of anchors
+that two shards share can be equal. The bytes of those windows are brought together and ordered by
+what follows the anchor and by what precedes it. Common prefixes of neighbours in both orders give
+each window the number of its class, and a binary search in the classes that occur twice tells
+which windows repeat. Where too many rows meet at one anchor, the windows' places around it are
+bisected, in which each half is keyed by the bytes that all its windows share. That needs no caps,
+since at the end of it a key is a whole window, and rows of equal bytes always become one first.
 """
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from itemscope.llm.common import arrow, bounded_batches, numbered, release, slices
 from itemscope.session import written
 
 #: Bytes of text in one suffix array.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Bytes at which longer texts are cut into pieces; window starts are dealt, so none is lost.
 PIECE_BYTES = 1 << 20
 #: Bytes of an anchor.
 GRAM = 32
-#: Bytes of surroundings that may meet at one anchor before its windows are bisected.
-GROUP_BYTES = 1 << 20
+#: Bytes that may meet at one anchor before its windows are bisected.
+GROUP_BYTES = 8 << 20
+#: Pairs of suffixes that are compared one by one rather than all at once.
+FEW = 48
+#: Bits of a place in a shard.
+PLACE_BITS = 22
 
 
 def words(text):
@@ -77,9 +85,21 @@ def suffix_array(text, word=None):
         depth *= 2
 
 
-def common_prefixes(text, order, word=None):
+def _agree(a, b, step=4096):
+    """Bytes in which two byte arrays begin alike."""
+    n = min(len(a), len(b))
+    for at in range(0, n, step):
+        differ = a[at:min(at + step, n)] != b[at:min(at + step, n)]
+        if differ.any():
+            return at + int(differ.argmax())
+    return n
+
+
+def common_prefixes(text, order, word=None, exact=0):
     """Bytes that each suffix shares with the one before it in `order` (0 for the first).
 
+    Numbers below `exact` need not be right, only below it.
+
     By Kasai's rule the suffix one byte later shares one byte less, if the bytes before the two
     agree. So strings are compared only where they do not, all of these at once, eight bytes a step.
     """
@@ -94,56 +114,57 @@ def common_prefixes(text, order, word=None):
     shared = np.zeros(n, np.int32)
     p = at[fresh & (before >= 0)]
     q, done = before[p], 0
-    while len(p):
-        room = np.minimum(n - done - np.maximum(p, q), 8)
+    while len(p) > FEW:
         differ = word[np.minimum(p + done, n - 1)] ^ word[np.minimum(q + done, n - 1)]
-        equal = np.zeros(len(p), np.int32)
-        for k in range(1, 9):
-            equal += differ < np.uint64(1 << 64 - 8 * k) if k < 8 else differ == 0
-        equal = np.minimum(equal, np.maximum(room, 0))
-        shared[p] = done + equal
-        going = equal == 8
+        room = n - done - np.maximum(p, q)
+        going = (differ == 0) & (room > 8)
+        ends = ~going
+        if done + 8 < exact:
+            shared[p[ends]] = done
+        else:
+            last, equal = differ[ends], np.zeros(np.count_nonzero(ends), np.int32)
+            for k in range(1, 8):
+                equal += last < np.uint64(1 << 64 - 8 * k)
+            equal += last == 0
+            shared[p[ends]] = done + np.minimum(equal, np.maximum(room[ends], 0))
         p, q, done = p[going], q[going], done + 8
+    for a, b in zip(p.tolist(), q.tolist()):
+        shared[a] = done + _agree(text[a + done:], text[b + done:])
     source = np.maximum.accumulate(np.where(fresh, at, 0))
     return (shared[source] - (at - source))[order]
 
 
-def repeated_starts(text, valid, length, place=None):
+def repeated_starts(text, valid, length):
     """Whether the `length` bytes from each place on start at another place as well.
 
-    Only `valid` places count. `place` gives each place the number of what it stands for; places of
-    one number are the same place.
+    Only `valid` places count.
     """
     out = np.zeros(len(text), bool)
     if np.count_nonzero(valid) < 2:
         return out
     word = words(text)
     order = suffix_array(text, word)
-    same = common_prefixes(text, order, word) >= length
+    same = common_prefixes(text, order, word, exact=length) >= length
     held = same.copy()
     held[:-1] |= same[1:]
     run, same = order[held], same[held]
     keep = valid[run]
     run, group = run[keep], np.cumsum(~same)[keep]
-    if not len(run):
-        return out
-    number = run if place is None else place[run]
-    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    several = np.minimum.reduceat(number, first) != np.maximum.reduceat(number, first)
-    out[run] = np.repeat(several, np.diff(np.append(first, len(run))))
+    if len(run):
+        several = np.bincount(group) > 1
+        out[run] = several[group]
     return out
 
 
-def _sliding(values, width, best):
-    """`best` (minimum or maximum) of each `width` values on from a place; fewer at the end."""
+def _sliding_minimum(values, width):
+    """The least of each `width` values on from a place; of fewer at the end."""
     n = len(values)
-    edge = values.dtype.type(np.iinfo(values.dtype).max if best is np.minimum else 0)
-    rows = np.full((n // width + 2) * width, edge, values.dtype)
+    rows = np.full((n // width + 2) * width, np.iinfo(values.dtype).max, values.dtype)
     rows[:n] = values
     rows = rows.reshape(-1, width)
-    ahead = best.accumulate(rows, axis=1).ravel()
-    back = best.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return best(back[:n], ahead[width - 1:width - 1 + n])
+    ahead = np.minimum.accumulate(rows, axis=1).ravel()
+    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[:n], ahead[width - 1:width - 1 + n])
 
 
 def gram_hashes(text):
@@ -158,13 +179,15 @@ def gram_hashes(text):
 
 
 def anchors(text, valid, length):
-    """Places whose gram has the least hash in some window of `length` bytes at a `valid` start."""
-    width = length - GRAM + 1
+    """(place, first and last start of its windows, hash) of each anchor of windows at `valid` starts."""
     hashes = gram_hashes(text)
-    least = np.where(valid, _sliding(hashes, width, np.minimum), np.uint64(0))
-    # The windows that hold a place start up to width - 1 before it.
-    most = _sliding(least[::-1], width, np.maximum)[::-1]
-    return np.flatnonzero((hashes == most) & (most > 0)), hashes
+    spare = np.uint64((1 << PLACE_BITS) - 1)
+    keyed = (hashes & ~spare) | np.arange(len(text), dtype=np.uint64)
+    starts = np.flatnonzero(valid)
+    at = (_sliding_minimum(keyed, length - GRAM + 1)[starts] & spare).astype(np.int64)
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), at[1:] != at[:-1])))
+    last = np.append(first[1:], len(at))[:len(first)] - 1
+    return at[first], starts[first], starts[last], hashes[at[first]]
 
 
 def runs(starts, length):
@@ -200,22 +223,22 @@ _ANCHORS = pa.list_(pa.struct([("gram", pa.int64()), ("ctx", pa.binary()), ("pos
 def _shard(parts, length):
     """Of each part: covered runs, and the anchors that the shard sends out.
 
-    Equal surroundings are sent once a shard. `asks` says that some window at the anchor is not
-    known to repeat, so that other shards have to be asked.
+    An anchor's windows reach from `left` bytes before it to `right` bytes on. Anchors whose windows
+    hold equal bytes are sent once a shard. `asks` says that some window is not known to repeat, so
+    that other shards have to be asked.
     """
     text, bounds = _layout(parts)
     valid = _whole_windows(bounds, length)
     repeated = repeated_starts(text, valid, length)
-    at, hashes = anchors(text, valid, length)
+    at, first, last, hashes = anchors(text, valid, length)
     owner = np.searchsorted(bounds, at, "right") - 1
-    left = np.minimum(at - bounds[owner], length - GRAM)
-    right = np.minimum(bounds[owner + 1] - at, length)
     open_before = np.concatenate(([0], np.cumsum(valid & ~repeated)))
-    asks = open_before[at + right - length + 1] > open_before[at - left]
+    asks = open_before[last + 1] > open_before[first]
     raw, sent = text.tobytes(), [[] for _ in parts]
     seen = set()
-    for p, o, lo, hi, ask, gram in zip(at.tolist(), owner.tolist(), left.tolist(), right.tolist(),
-                                       asks.tolist(), hashes[at].astype(np.int64).tolist()):
+    for p, o, lo, hi, ask, gram in zip(
+            at.tolist(), owner.tolist(), (at - first).tolist(), (last + length - at).tolist(),
+            asks.tolist(), hashes.astype(np.int64).tolist()):
         ctx = xxhash.xxh3_128_digest(raw[p - lo:p + hi], seed=lo)
         if ctx not in seen:
             seen.add(ctx)
@@ -263,57 +286,102 @@ def _sharder(length, shard_bytes):
     return work
 
 
+def _packed(batches):
+    """Texts as zstd frames, which travel at half the size."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in slices(batches):
+        texts = pa.array([pack(t.as_buffer() if t.is_valid else b"") for t in batch.column("text")], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=batch.schema.names)
+
+
 def _cut(batches):
-    """The bytes around each anchor that was asked for, out of its text."""
+    """The bytes of each asked anchor's windows, out of its text."""
     for batch in slices(batches):
         out = {name: [] for name in ("key", "piece", "pos", "left", "asks", "bytes")}
         for text, begin, piece, asked in zip(batch.column("text"), batch.column("begin").to_pylist(),
                                              batch.column("piece").to_pylist(),
                                              batch.column("asked").to_pylist()):
-            whole = text.as_buffer()
+            whole = zstandard.decompress(text.as_buffer())
             for r in asked:
                 at = begin + r["pos"]
                 for name in ("key", "pos", "left", "asks"):
                     out[name].append(r[name])
                 out["piece"].append(piece)
-                out["bytes"].append(bytes(whole[at - r["left"]:at + r["right"]]))
+                out["bytes"].append(whole[at - r["left"]:at + r["right"]])
         yield arrow(key=(out["key"], pa.int64()), piece=(out["piece"], pa.int64()),
                     pos=(out["pos"], pa.int32()), left=(out["left"], pa.int32()),
                     asks=(out["asks"], pa.bool_()), bytes=(out["bytes"], pa.binary()))
 
 
+def _classes(keys, sides, depths):
+    """[depth, row]: rows of one key whose `sides` agree in so many first bytes have one number."""
+    order = sorted(range(len(keys)), key=lambda i: (keys[i], sides[i]))
+    sizes = np.array([len(s) for s in sides])
+    width = max(1, int(sizes.max()))
+    table = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in sides), np.uint8).reshape(-1, width)[order]
+    equal = table[1:] == table[:-1]
+    shared = np.where(equal.all(1), width, equal.argmin(1))
+    sizes, key = sizes[order], np.array(keys)[order]
+    shared = np.minimum(shared, np.minimum(sizes[1:], sizes[:-1]))
+    shared[key[1:] != key[:-1]] = -1
+    out = np.empty((len(depths), len(keys)), np.int64)
+    out[:, order] = np.cumsum(np.concatenate(([-1], shared))[None, :] < depths[:, None], axis=1)
+    return out
+
+
+def shared_windows(keys, lefts, rows, length):
+    """For each row, the windows, by their start in it, whose bytes another row of its key has.
+
+    A row has the bytes around an anchor, `lefts` of them before it. All windows in it hold the
+    anchor, and those of another row can only be equal at the same distance before the anchor.
+    """
+    lefts = np.array(lefts)
+    sizes = np.array([len(r) for r in rows])
+    before = np.arange(int(lefts.max()) + 1)
+    ahead = _classes(keys, [r[n:] for r, n in zip(rows, lefts)], length - before)
+    behind = _classes(keys, [r[:n][::-1] for r, n in zip(rows, lefts)], before)
+    count = sizes - length + 1
+    row = np.repeat(np.arange(len(rows)), count)
+    start = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    away = lefts[row] - start
+    n = len(rows) + 1
+    code = (away * n + ahead[away, row]) * n + behind[away, row]
+    ranked = np.sort(code)
+    twice = ranked[1:][ranked[1:] == ranked[:-1]]
+    place = np.searchsorted(twice, code)
+    found = np.zeros(len(code), bool)
+    inside = place < len(twice)
+    found[inside] = twice[place[inside]] == code[inside]
+    return row[found], start[found]
+
+
 def _merger(length, full):
-    """Windows of surroundings that start at different places; batches are sorted by key."""
+    """Covered runs of rows that meet at their anchors; batches are sorted by key."""
     def work(batches):
-        parts, piece, pos, left, asks, held, last = [], [], [], [], [], 0, None
+        names = ("key", "piece", "pos", "left", "asks", "bytes")
+        held, last, kept = 0, None, {name: [] for name in names}
 
         def flush():
-            text, bounds = _layout(parts)
-            valid = _whole_windows(bounds, length)
-            begin = (np.array(piece, np.int64) << 21) + np.array(pos) - np.array(left)
-            place = np.repeat(begin - bounds[:-1], np.diff(bounds)) + np.arange(len(text))
-            starts = np.flatnonzero(repeated_starts(text, valid, length, place))
-            cut = np.searchsorted(starts, bounds)
-            found = [(i, a, z) for i in range(len(parts)) if asks[i]
-                     for a, z in runs(starts[cut[i]:cut[i + 1]] - bounds[i] + pos[i] - left[i],
+            row, start = shared_windows(kept["key"], kept["left"], kept["bytes"], length)
+            cut = np.searchsorted(row, np.arange(len(kept["key"]) + 1))
+            found = [(kept["piece"][i], a, z) for i in range(len(kept["key"])) if kept["asks"][i]
+                     for a, z in runs(start[cut[i]:cut[i + 1]] + kept["pos"][i] - kept["left"][i],
                                       length).tolist()]
-            return arrow(piece=pa.array([piece[i] for i, _, _ in found], pa.int64()),
+            for values in kept.values():
+                values.clear()
+            return arrow(piece=pa.array([p for p, _, _ in found], pa.int64()),
                          a=pa.array([a for _, a, _ in found], pa.int32()),
                          z=pa.array([z for _, _, z in found], pa.int32()))
 
         for batch in slices(batches, "bytes"):
-            columns = [batch.column(c).to_pylist()
-                       for c in ("key", "piece", "pos", "left", "asks", "bytes")]
-            for key, *row, data in zip(*columns):
-                if held >= full and key != last:
+            for values in zip(*(batch.column(name).to_pylist() for name in names)):
+                if held >= full and values[0] != last:
                     yield flush()
-                    for kept in (parts, piece, pos, left, asks):
-                        kept.clear()
                     held = 0
-                for kept, value in zip((piece, pos, left, asks, parts), (*row, data)):
-                    kept.append(value)
-                held, last = held + len(data), key
-        if parts:
+                for name, value in zip(names, values):
+                    kept[name].append(value)
+                held, last = held + len(values[-1]), values[0]
+        if held:
             yield flush()
         release()
     return work
@@ -362,45 +430,43 @@ def _across(pieces, docs, length, shard_bytes, group_bytes):
                                     ["gram", "ctx"], "left_semi")
     spans = [equal.select("piece", (F.col("pos") - F.col("left")).alias("a"),
                           (F.col("pos") + F.col("right")).alias("z"))]
-    asked = classes.groupBy("gram").agg(F.count("*").alias("n"), F.max(F.expr("n = 1 and asks")).alias("open")) \
-        .where("n > 1 and open").select("gram")
-    wanted = classes.join(asked, "gram", "left_semi").select(
-        "of.piece", F.struct(F.col("gram").alias("key"), "of.pos", "of.left", "of.right",
-                             (F.col("asks") & (F.col("n") == 1)).alias("asks")).alias("r"))
-    wanted = written(wanted.groupBy("piece").agg(F.collect_list("r").alias("asked")), "suffix-wanted")
-    placed = wanted.join(pieces.select("piece", "row", "begin"), "piece")
-    rows = written(placed.join(docs.select("row", "text"), "row").select("text", "begin", "piece", "asked")
-                   .mapInArrow(_cut, "key long, piece long, pos int, left int, asks boolean, bytes binary"),
-                   "suffix-surroundings").withColumns(
-        {"low": F.lit(0), "high": F.lit(length - GRAM)})
-    ready = []
-    while True:
-        sizes = rows.groupBy("low", "high", "key").agg(
-            F.count("*").alias("n"), F.sum(F.length("bytes")).alias("held"), F.max("asks").alias("asks")) \
-            .where("n > 1 and asks")
-        sizes = written(sizes.select("low", "high", "key", (F.col("held") > group_bytes).alias("large")),
-                        "suffix-sizes")
-        rows = rows.join(sizes, ["low", "high", "key"])
-        ready.append(rows.where("not large"))
-        ranges = sizes.where("large").select("low", "high").distinct().collect()    # at most 2 * length
-        if not ranges:
-            break
-        halves = [_bisected(rows.where(F.col("large") & (F.col("low") == r.low) & (F.col("high") == r.high)),
-                            r.low, r.high, length, spans) for r in ranges]
-        rows = halves[0]
-        for half in halves[1:]:
-            rows = rows.unionByName(half)
-        rows = written(rows, "suffix-rows")
-    merged = ready[0]
-    for more in ready[1:]:
-        merged = merged.unionByName(more)
-    merged = merged.select("key", "piece", "pos", "left", "asks", "bytes").repartition("key") \
-        .sortWithinPartitions("key")
-    spans.append(merged.mapInArrow(_merger(length, shard_bytes - group_bytes), "piece long, a int, z int"))
-    out = spans[0]
-    for more in spans[1:]:
-        out = out.unionByName(more)
-    return out
+    asked = classes.groupBy("gram").agg(
+        F.count("*").alias("n"), F.max(F.expr("n = 1 and asks")).alias("open"),
+        F.sum(F.col("of.left") + F.col("of.right")).alias("held")) \
+        .where("n > 1 and open").select("gram", (F.col("held") > group_bytes).alias("large"))
+    wanted = written(classes.join(asked, "gram").select(
+        "large", "of.piece", F.struct(F.col("gram").alias("key"), "of.pos", "of.left", "of.right",
+                                      (F.col("asks") & (F.col("n") == 1)).alias("asks")).alias("r")),
+        "suffix-wanted")
+
+    def cut(wanted):
+        placed = wanted.groupBy("piece").agg(F.collect_list("r").alias("asked")) \
+            .join(pieces.select("piece", "row", "begin"), "piece")
+        packed = docs.select("row", "text").mapInArrow(_packed, f"row {_kind(docs, 'row')}, text binary")
+        return placed.join(packed, "row").select("text", "begin", "piece", "asked").mapInArrow(
+            _cut, "key long, piece long, pos int, left int, asks boolean, bytes binary")
+
+    ready = [cut(wanted.where("not large"))]
+    if not wanted.where("large").isEmpty():
+        rows = written(cut(wanted.where("large")), "suffix-rows").withColumns(
+            {"low": F.lit(0), "high": F.lit(length - GRAM)})
+        ranges = [(0, length - GRAM)]
+        while ranges:    # at most 2 * length of them
+            halves = [_bisected(rows.where((F.col("low") == a) & (F.col("high") == z)), a, z, length, spans)
+                      for a, z in ranges]
+            rows = written(reduce(DataFrame.unionByName, halves), "suffix-rows")
+            sizes = rows.groupBy("low", "high", "key").agg(
+                F.count("*").alias("n"), F.sum(F.length("bytes")).alias("held"), F.max("asks").alias("asks")) \
+                .where("n > 1 and asks")
+            rows = written(rows.join(sizes.select(
+                "low", "high", "key", (F.col("held") > group_bytes).alias("large")), ["low", "high", "key"]),
+                "suffix-rows")
+            ready.append(rows.where("not large").select("key", "piece", "pos", "left", "asks", "bytes"))
+            rows = rows.where("large").drop("large")
+            ranges = [tuple(r) for r in rows.select("low", "high").distinct().collect()]
+    merged = reduce(DataFrame.unionByName, ready).repartition("key").sortWithinPartitions("key")
+    spans.append(merged.mapInArrow(_merger(length, shard_bytes), "piece long, a int, z int"))
+    return reduce(DataFrame.unionByName, spans)
 
 
 def _keep(batches):
@@ -408,7 +474,7 @@ def _keep(batches):
     for batch in slices(batches):
         found, size, kept = [], [], []
         for text, covers in zip(batch.column("text"), batch.column("covers").to_pylist()):
-            whole = text.as_buffer() if text.is_valid else b""
+            whole = zstandard.decompress(text.as_buffer())
             merged, at, rest = [], 0, []
             for a, z in sorted((c["begin"] + s["a"], c["begin"] + s["z"])
                                for c in covers or () for s in c["spans"]):
@@ -417,9 +483,9 @@ def _keep(batches):
                 else:
                     merged.append([a, z])
             for a, z in merged:
-                rest.append(bytes(whole[at:a]))
+                rest.append(whole[at:a])
                 at = z
-            rest.append(bytes(whole[at:]))
+            rest.append(whole[at:])
             found.append([{"start": a, "end": z} for a, z in merged])
             size.append(len(whole))
             kept.append(b"".join(rest))
@@ -428,6 +494,10 @@ def _keep(batches):
                     kept=(kept, pa.binary()))
 
 
+def _kind(df, name):
+    return df.schema[name].dataType.simpleString()
+
+
 def without_repeats(docs, length=400, shard_bytes=SHARD_BYTES, group_bytes=GROUP_BYTES):
     """doc_id, n_bytes, spans (start, end of the maximal removed runs of bytes) and kept (binary).
 
@@ -438,15 +508,18 @@ def without_repeats(docs, length=400, shard_bytes=SHARD_BYTES, group_bytes=GROUP
     table gives no rows, and further columns are dropped, whatever their names. Surroundings of an
     anchor are told apart by 128 bits of hash.
     """
-    if length < 2 * GRAM:
-        raise ValueError(f"strings of fewer than {2 * GRAM} bytes have no anchors")
+    if length < 2 * GRAM or shard_bytes > 1 << PLACE_BITS - 1 or PIECE_BYTES + length > 1 << PLACE_BITS - 1:
+        raise ValueError(f"strings have at least {2 * GRAM} bytes, and shards at most {1 << PLACE_BITS - 1}")
     docs = numbered(bounded_batches(docs).select("doc_id", "text")).withColumnRenamed("__row", "row")
-    kind = docs.schema["row"].dataType.simpleString()
+    kind = _kind(docs, "row")
     pieces = written(docs.select("row", "text").mapInArrow(_sharder(length, shard_bytes), PIECES.format(kind)),
                      "suffix-pieces")
-    found = pieces.select("piece", F.inline("spans")).unionByName(_across(pieces, docs, length, shard_bytes, group_bytes))
+    across = written(_across(pieces, docs, length, shard_bytes, group_bytes), "suffix-spans")
+    found = pieces.select("piece", F.inline("spans")).unionByName(across)
     found = found.groupBy("piece").agg(F.collect_set(F.struct("a", "z")).alias("spans"))
     covers = written(found.join(pieces.select("piece", "row", "begin"), "piece").groupBy("row")
                      .agg(F.collect_list(F.struct("begin", "spans")).alias("covers")), "suffix-covers")
-    return docs.join(covers, "row", "left").select("doc_id", "text", "covers").mapInArrow(
-        _keep, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    packed = docs.select("row", "doc_id", "text").mapInArrow(
+        _packed, f"row {kind}, doc_id {_kind(docs, 'doc_id')}, text binary")
+    return packed.join(covers, "row", "left").select("doc_id", "text", "covers").mapInArrow(
+        _keep, f"doc_id {_kind(docs, 'doc_id')}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
