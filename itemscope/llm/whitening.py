@@ -1,10 +1,11 @@
 """Whitening of embeddings by incremental eigendecomposition.
 
-Every partition keeps the count, the mean and the spectrum of its vectors' scatter. A vector is a
-centred rank-one update: the new eigenvalues are the roots of the secular equation between the old
-ones, and directions that the update does not reach are deflated. Spectra are combined by one such
-update for each eigenvector of the other and one for the distance of the means, sixteen partitions
-at a time. The rotation found so is refined in one more distributed pass, a Rayleigh-Ritz step over
+Every partition keeps the count, the mean and the spectrum of its vectors' scatter, and changes them
+by centred rank-one updates: the new eigenvalues are the roots of the secular equation between the
+old ones, and directions that the update does not reach are deflated. A block of vectors is centred
+and reduced to its triangular factor, which has the same scatter in at most d rows; these are the
+updates, and one more for the distance of the means. So are spectra combined, with an update for
+each scaled eigenvector of the other, sixteen partitions at a time. The rotation found so is refined in one more distributed pass, a Rayleigh-Ritz step over
 all its directions, which gives eigenvalues and components to double precision.
 
 Only d x d sums leave a task: no vector does.
@@ -20,6 +21,8 @@ from itemscope.session import written
 
 #: Entries are rounded down to this many steps a unit, and moved up to be positive.
 STEPS, SHIFT = 64, 1_000_000
+#: Vectors that one triangular factor stands for.
+BLOCK = 4096
 #: Partials that one task adds up.
 FAN = 16
 _EPS = np.finfo(float).eps
@@ -124,21 +127,23 @@ class Spectrum:
     def add(self, u):
         self.values, self.vectors = rank_one_update(self.values, self.vectors, u)
 
-    def vector(self, x):
-        away = x - self.mean
-        if self.count:
-            self.add(away * np.sqrt(self.count / (self.count + 1)))
-        self.count += 1
-        self.mean = self.mean + away / self.count
+    def block(self, x):
+        """Take in the rows of `x`. The rows of their triangular factor have the same scatter."""
+        mean = x.mean(0)
+        self.take(len(x), mean, np.linalg.qr(x - mean, mode="r"))
+
+    def take(self, count, mean, rows):
+        """Take in vectors of this count and mean, whose scatter is that of `rows`."""
+        away, total = mean - self.mean, self.count + count
+        for row in rows:
+            self.add(row)
+        self.add(away * np.sqrt(self.count * (count / total)))
+        self.mean = self.mean + away * (count / total)
+        self.count = total
 
     def merge(self, other):
-        away, total = other.mean - self.mean, self.count + other.count
-        for value, direction in zip(other.values, other.vectors.T):
-            if value > 0:
-                self.add(np.sqrt(value) * direction)
-        self.add(away * np.sqrt(self.count * (other.count / total)))
-        self.mean = self.mean + away * (other.count / total)
-        self.count = total
+        live = other.values > 0
+        self.take(other.count, other.mean, (other.vectors[:, live] * np.sqrt(other.values[live])).T)
 
     def state(self):
         return np.concatenate(([self.count], self.mean, self.values, self.vectors.ravel()))
@@ -168,8 +173,9 @@ def _spectra(base, d):
     def work(batches):
         spectrum = Spectrum(d)
         for batch in batches:
-            for x in (_matrix(batch.column("x"), d) - base).astype(float):
-                spectrum.vector(x)
+            x = (_matrix(batch.column("x"), d) - base).astype(float)
+            for begin in range(0, len(x), BLOCK):
+                spectrum.block(x[begin:begin + BLOCK])
         if spectrum.count:
             yield _states(spectrum.state())
     return work

@@ -48,8 +48,8 @@ def test_merged_spectra_equal_one():
     parts = []
     for cut in (x[:3], x[3:4], x[4:150], x[150:]):
         spectrum = whitening.Spectrum(9)
-        for row in cut:
-            spectrum.vector(row)
+        for begin in range(0, len(cut), 40):
+            spectrum.block(cut[begin:begin + 40])
         parts.append(spectrum.state())
     merged = whitening.Spectrum.of(whitening._merged_spectra(9)(parts), 9)
     assert merged.count == 200 and np.allclose(merged.mean, x.mean(0), atol=1e-12)
