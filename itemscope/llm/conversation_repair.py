@@ -286,7 +286,9 @@ def _walked_batch(kind, rows, turns):
 
 
 def _in_order(rows):
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "place")
+    """Conversations in order. The number of tasks is given, since small rows mean much work here."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "conv_id").sortWithinPartitions("conv_id", "place")
 
 
 def _repair(rows, ids, turns):
