@@ -7,21 +7,13 @@ table lose nothing.
 
 import numpy as np
 import pyarrow as pa
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from itemscope.operators.responses import first_per_item
 from itemscope.functions.scalar import rasch_probability, safe_logit, standardized_residual
 from itemscope.operators.design import partial_rows, sum_rows
-from itemscope.operators.ranks import hash_positions
 from itemscope.session import local_table, written
 
-# The subject x subject Gram matrix is factored in one task up to this many subjects (32 MB).
-# Beyond it, the distributed ARPACK path of RowMatrix takes over.
-GRAM_SUBJECTS = 2048
-_BLOCK = 2048
-
 
 def moment_abilities(responses):
     """ability = logit of the subject's mean answer, centred over subjects."""
@@ -53,135 +45,181 @@ def residuals(responses, ability, item_params):
                       standardized_residual("y", p).alias("z")).filter(F.col("z").isNotNull())
 
 
-def subject_index(subjects):
-    """(roster, size, small): subjects numbered from 0, their number, and whether they fit the
-    one-task Gram path. Small rosters are numbered by name."""
-    distinct = subjects.select("subject").distinct()
-    head = distinct.limit(GRAM_SUBJECTS + 1).collect()
-    if len(head) <= GRAM_SUBJECTS:
-        names = sorted(r[0] for r in head)
-        roster = local_table(subjects.sparkSession, [(n, i) for i, n in enumerate(names)],
-                             {"subject": pa.string(), "idx": pa.int32()})
-        return roster, len(names), True
-    roster = written(hash_positions(distinct, [], F.col("subject")).select(
-        "subject", F.col("position").cast("int").alias("idx")), "roster")
-    return roster, roster.count(), False
+def residual_gram(z):
+    """Upper triangle of the Gram matrix, as rows (split, subject_a, subject_b, dot).
+
+    Pairs of subjects meet at the items that both answered and are added up where they meet.
+    """
+    a, b = (z.select("split", "item_id", F.col("subject").alias(f"subject_{x}"), F.col("z").alias(x))
+            for x in "ab")
+    return a.join(b, ["split", "item_id"]).where("subject_a <= subject_b").groupBy(
+        "split", "subject_a", "subject_b").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
 
 
-def residual_rows(z, roster):
-    """One row per (split, item): subject numbers and residuals; at most one entry per subject."""
-    return z.join(roster, "subject").groupBy("split", "item_id").agg(
-        F.collect_list("idx").alias("idx"), F.collect_list("z").alias("z"))
+def _times_gram(z, x, width):
+    """Rows (split, subject, y): the subjects' Gram matrix times the columns of `x`.
 
+    `x` has rows (split, subject, x). Residuals move once, to their items; a window adds up the
+    item's side, and what goes back to the subjects is combined within tasks first.
+    """
+    item = Window.partitionBy("split", "item_id")
+    cells = z.repartition("split", "item_id").join(x, ["split", "subject"])
+    cells = cells.select("split", "subject", "z", *[
+        F.sum(F.col("z") * F.col("x")[i]).over(item).alias(f"v{i}") for i in range(width)])
+    sums = cells.groupBy("split", "subject").agg(
+        *[F.sum(F.col("z") * F.col(f"v{i}")).alias(f"v{i}") for i in range(width)])
+    return sums.select("split", "subject", F.array(*[f"v{i}" for i in range(width)]).alias("y"))
 
-def _partial_gram(m):
+
+def _cross(column):
+    """Per partition and split: sums of the outer product of `column` with itself."""
     def run(batches):
-        sums, items = {}, {}
+        sums = {}
         for batch in batches:
             split = batch.column("split").to_numpy(zero_copy_only=False)
-            lists = batch.column("idx")
-            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-            idx = lists.flatten().to_numpy(zero_copy_only=False)
-            z = batch.column("z").flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(lengths)
-            for start in range(0, len(split), _BLOCK):
-                stop = min(start + _BLOCK, len(split))
-                cells = slice(ends[start] - lengths[start], ends[stop - 1])
-                block = np.zeros((stop - start, m))
-                block[np.repeat(np.arange(stop - start), lengths[start:stop]), idx[cells]] = z[cells]
-                for s in np.unique(split[start:stop]):
-                    part = block[split[start:stop] == s]
-                    sums[s] = sums.get(s, 0.0) + part.T @ part
-                    items[s] = items.get(s, 0) + len(part)
-        for s in sums:
-            last = np.zeros((1, m))
-            last[0, 0] = items[s]
-            sums[s] = np.vstack([sums[s], last])
+            x = batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(len(split), -1)
+            for s in np.unique(split):
+                part = x[split == s]
+                sums[s] = sums.get(s, 0.0) + part.T @ part
         yield from partial_rows(sums)
     return run
 
 
-def gram_rows(rows, m):
-    """Rows (split, i, row) of the subject x subject matrix sum(z_i z_j).
-
-    The extra row i = m holds the number of items in its first element.
-    """
-    return sum_rows(rows.mapInArrow(_partial_gram(m), "split int, i int, row array<double>"),
-                    ["split", "i"])
-
-
-def residual_gram(z, subjects=None):
-    """Upper triangle of the Gram matrix, as rows (split, subject_a, subject_b, dot)."""
-    roster, m, small = subject_index(z if subjects is None else subjects)
-    if not small:
-        raise ValueError(f"the Gram table is limited to {GRAM_SUBJECTS} subjects")
-    g = gram_rows(residual_rows(z, roster), m)
-    long = g.select("split", "i", F.posexplode("row").alias("j", "dot")).filter(
-        (F.col("i") <= F.col("j")) & (F.col("i") < m))
-    names = roster.select(F.col("idx").alias("i"), F.col("subject").alias("subject_a"))
-    others = roster.select(F.col("idx").alias("j"), F.col("subject").alias("subject_b"))
-    return long.join(names, "i").join(others, "j").select(
-        "split", "subject_a", "subject_b", "dot")
-
-
-def _factor_gram(k):
-    def run(pdf):
-        pdf = pdf.sort_values("i")
-        stacked = np.vstack(pdf["row"].to_numpy())
-        g, n_items = stacked[:-1], int(stacked[-1, 0])
-        pdf = pdf.iloc[:-1]
-        values, vectors = np.linalg.eigh((g + g.T) / 2)
-        order = np.argsort(values)[::-1][:min(k, n_items)]
-        s = np.sqrt(np.clip(values[order], 0.0, None))
-        u = vectors[:, order]
-        # the largest loading of a factor is positive
-        u = u * np.sign(u[np.argmax(np.abs(u).round(12), axis=0), np.arange(len(order))])
-        out = pdf[["split", "i"]].rename(columns={"i": "idx"})
-        out["u"] = list(u * np.sqrt(s))
-        out["s"] = [s] * len(out)
-        out["total"] = float(np.trace(g))
-        return out
-    return run
-
+def _crossed(rows, column):
+    """{split: matrix} of the sums of outer products over the rows of each split."""
+    sums = sum_rows(rows.select("split", column).mapInArrow(
+        _cross(column), "split int, i int, row array<double>"), ["split", "i"])
+    out = {}
+    for r in sums.collect():    # a row for each column of the block and split
+        out.setdefault(r["split"], {})[r["i"]] = r["row"]
+    return {s: np.array([rows[i] for i in range(len(rows))]) for s, rows in out.items()}
 
-_FACTORS = "split int, idx int, u array<double>, s array<double>, total double"
 
+def _mixed(rows, column, mixes, names):
+    """The columns of the array `column` of each row, mixed by the matrices of the row's split.
 
-def factor_subjects(z, k, subjects=None):
+    `mixes` is {split: [a matrix for each of `names`]}.
+    """
+    def run(batches):
+        for batch in batches:
+            split = batch.column("split").to_numpy(zero_copy_only=False)
+            x = batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(len(split), -1)
+            out = [[None] * len(split) for _ in names]
+            for s in np.unique(split):
+                here = np.flatnonzero(split == s)
+                for values, mix in zip(out, mixes[s]):
+                    for at, row in zip(here, x[here] @ mix):
+                        values[at] = row
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("split"), batch.column("subject"),
+                 *(pa.array(values, pa.list_(pa.float64())) for values in out)],
+                ["split", "subject", *names])
+    return rows.select("split", "subject", column).mapInArrow(
+        run, "split int, subject string, " + ", ".join(f"{n} array<double>" for n in names))
+
+
+def _independent(gram):
+    """A matrix that turns columns with this Gram matrix into orthonormal ones, without the rest."""
+    size = np.sqrt(np.diag(gram))
+    scale = np.divide(1.0, size, out=np.zeros_like(size), where=size > 0)
+    values, vectors = np.linalg.eigh(gram * np.outer(scale, scale))
+    keep = values > 1e-11 * values[-1] if len(values) else values > 0
+    return scale[:, None] * vectors[:, keep] / np.sqrt(values[keep])
+
+
+def _padded(columns, width):
+    return np.hstack([columns, np.zeros((len(columns), max(0, width - columns.shape[1])))])[:, :width]
+
+
+def _ritz(crossed, width):
+    """Of a split's [Q | A Q]: values, and mixes that give the next basis.
+
+    That is the best vectors, their residuals and the directions that led to them.
+    """
+    n = len(crossed) // 2
+    gram, product = crossed[:n, :n], crossed[:n, n:]
+    basis = _independent(gram)
+    inner = basis.T @ (product + product.T) / 2 @ basis
+    values, turn = np.linalg.eigh(inner)
+    values, turn = values[::-1][:width], turn[:, ::-1][:, :width]
+    best = basis @ turn
+    residual = np.vstack([-best * values, best])
+    led = best.copy()
+    led[:width] = 0.0
+    zero = np.zeros_like(best)
+    return values, (
+        _padded(np.vstack([best, zero]), width), _padded(np.vstack([zero, best]), width),
+        _padded(residual, width), _padded(np.vstack([led, zero]), width),
+        _padded(np.vstack([zero, led]), width))
+
+
+#: Columns of a block beyond the factors that are asked for.
+SPARE = 24
+
+
+def factor_subjects(z, k, subjects=None, tolerance=1e-12, max_rounds=200):
     """Leading `k` factors per split: rows (split, subject, u, s, total).
 
     `u` is the subject's loading times the root of the singular value, `s` the singular values,
-    `total` the sum of squared residuals. There are never more factors than items. `subjects`
-    may name a smaller table to read the subjects from.
+    `total` the sum of squared residuals. There are never more factors than items or subjects.
+    `subjects` may name a smaller table to read the subjects from; those without residuals load
+    nothing.
+
+    A block of random columns, a row of numbers for each subject, is multiplied by Z and its
+    transpose and improved over the span of the block, its residuals and its last step, until the
+    residuals of all k vectors are below `tolerance` of the largest value; a block that does not get
+    there raises. Only sums of 6 x (k + SPARE) columns reach the driver, however many subjects.
     """
-    roster, m, small = subject_index(z if subjects is None else subjects)
-    rows = residual_rows(z, roster)
+    z = written(z, "residual-cells")
+    totals = {r["split"]: r for r in z.groupBy("split", "item_id").agg(
+        F.sum(F.col("z") * F.col("z")).alias("q")).groupBy("split").agg(
+        F.sum("q").alias("total"), F.count("*").alias("items")).collect()}    # a row for each split
+    roster = (z if subjects is None else subjects).select("subject").distinct()
+    seats = local_table(z.sparkSession, [(s,) for s in totals], {"split": pa.int32()})
+    roster = written(seats.join(roster), "roster")
+    m = roster.groupBy("split").count().agg(F.max("count")).first()[0] or 0
+    if not m:
+        return roster.select("split", "subject", F.lit(None).cast("array<double>").alias("u"),
+                             F.lit(None).cast("array<double>").alias("s"), F.lit(None).cast("double").alias("total"))
     k = min(k, m)
-    if small:
-        found = gram_rows(rows, m).groupBy("split").applyInPandas(_factor_gram(k), _FACTORS)
+    width = min(m, k + SPARE)
+    noise = F.array(*[(F.xxhash64("subject", F.lit(i)) / F.lit(2.0 ** 63)) for i in range(width)])
+    start = written(roster.select("split", "subject", noise.alias("x")), "factor-block")
+    mixes = {s: [_padded(_independent(g), width)] for s, g in _crossed(start, "x").items()}
+    block = written(_mixed(start, "x", mixes, ["x"]), "factor-block")
+
+    def multiplied(block, column):
+        return block.join(_times_gram(z, block.select("split", "subject", F.col(column).alias("x")), width),
+                          ["split", "subject"], "left").withColumn(
+            "y", F.coalesce("y", F.array_repeat(F.lit(0.0), width)))
+    state = written(multiplied(block, "x").select("split", "subject", F.concat("x", "y").alias("x")),
+                    "factor-state")
+    for _ in range(max_rounds):
+        found = {s: _ritz(c, width) for s, c in _crossed(state, "x").items()}
+        mixed = written(_mixed(state, "x", {s: mixes for s, (_, mixes) in found.items()},
+                               ["x", "ax", "r", "p", "ap"]), "factor-block")
+        off = mixed.select("split", F.posexplode(F.slice("r", 1, k)).alias("i", "r")).groupBy("split", "i").agg(
+            F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("off")).groupBy("split").agg(F.max("off").alias("off"))
+        if all(r["off"] <= tolerance * found[r["split"]][0][0] for r in off.collect()):
+            break
+        state = written(multiplied(mixed, "r").select(
+            "split", "subject", F.concat("x", "r", "p", "ax", "y", "ap").alias("x")), "factor-state")
     else:
-        found = _factors_by_arpack(written(rows, "residual-rows"), m, k)
-    return found.join(roster, "idx").select("split", "subject", "u", "s", "total")
-
-
-def _factors_by_arpack(rows, m, k):
-    spark = rows.sparkSession
-    out = None
-    for (split,) in rows.select("split").distinct().collect():
-        here = rows.filter(F.col("split") == split)
-        total = here.agg(F.sum(F.aggregate("z", F.lit(0.0), lambda a, v: a + v * v))).first()[0]
-        vectors = here.select("idx", "z").rdd.map(
-            lambda r: Vectors.sparse(m, sorted(zip(r["idx"], r["z"]))))
-        svd = RowMatrix(vectors, numCols=m).computeSVD(min(k, here.count()))
-        s = svd.s.toArray()
-        u = svd.V.toArray()
-        u = u * np.sign(u[np.argmax(np.abs(u).round(12), axis=0), np.arange(len(s))]) * np.sqrt(s)
-        part = local_table(
-            spark, [(split, i, u[i].tolist(), s.tolist(), float(total)) for i in range(m)],
-            {"split": pa.int32(), "idx": pa.int32(), "u": pa.list_(pa.float64()),
-             "s": pa.list_(pa.float64()), "total": pa.float64()})
-        out = part if out is None else out.unionByName(part)
-    return out
+        raise ValueError(f"the factors have not settled after {max_rounds} rounds")
+    counts = {s: min(k, totals[s]["items"], len(found[s][0])) for s in found}
+    singular = {s: np.sqrt(np.clip(found[s][0][:n], 0.0, None)) for s, n in counts.items()}
+    vectors = mixed.select("split", "subject", "x").withColumnRenamed("x", "u")
+    # The largest loading of a factor is positive; of equal ones, that of the first subject.
+    most = vectors.select("split", "subject", F.posexplode("u").alias("i", "v")).groupBy("split", "i").agg(
+        F.min_by(F.signum("v"), F.struct(-F.round(F.abs("v"), 12), "subject")).alias("sign"))
+    signs = {}
+    for r in most.collect():    # a row for each factor
+        signs.setdefault(r["split"], {})[r["i"]] = r["sign"]
+    turned = {s: [np.eye(width)[:, :len(v)] * [signs[s][i] * np.sqrt(x) for i, x in enumerate(v)]]
+              for s, v in singular.items()}
+    sizes = local_table(z.sparkSession, [(s, v.tolist(), float(totals[s]["total"])) for s, v in singular.items()],
+                        {"split": pa.int32(), "s": pa.list_(pa.float64()), "total": pa.float64()})
+    return _mixed(vectors, "u", turned, ["u"]).join(sizes, "split").select("split", "subject", "u", "s", "total")
 
 
 def item_loadings(z, factors, k):

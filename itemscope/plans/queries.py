@@ -146,7 +146,7 @@ def residual_long(spark, sf_dir):
 
 def residual_gram(spark, sf_dir):
     cells = _written_cells(spark, sf_dir)
-    return rounded(residuals.residual_gram(_residuals(cells), cells).drop("split"), 5)
+    return rounded(residuals.residual_gram(_residuals(cells)).drop("split"), 5)
 
 
 def _factors(spark, sf_dir, name):

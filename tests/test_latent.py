@@ -36,10 +36,10 @@ def small():
     return y
 
 
-@pytest.mark.parametrize("limit", [2048, 3])
-def test_residual_factors_against_dense_svd(long_table, small, monkeypatch, limit):
-    # the small limit takes the distributed ARPACK path
-    monkeypatch.setattr(residuals, "GRAM_SUBJECTS", limit)
+@pytest.mark.parametrize("spare", [24, 0])
+def test_residual_factors_against_dense_svd(long_table, small, monkeypatch, spare):
+    # without spare columns the block does not span all subjects at once
+    monkeypatch.setattr(residuals, "SPARE", spare)
     cells = long_table(small)
     ability, items = residuals.moment_abilities(cells), residuals.moment_difficulties(cells)
     theta, b = _moments(small)
@@ -59,6 +59,34 @@ def test_residual_factors_against_dense_svd(long_table, small, monkeypatch, limi
         assert np.allclose(item[f"factor{k + 1}"], sign * vt[k] * np.sqrt(s[k]))
 
 
+def test_factors_of_many_subjects_and_splits(spark):
+    rng = np.random.default_rng(11)
+    n, m = 40, 5000
+    dense = {s: rng.normal(size=(m, 3)) @ rng.normal(size=(3, n)) * 2 + rng.normal(size=(m, n)) for s in (0, 7)}
+    frames = [pd.DataFrame({"split": np.int32(s), "item_id": np.tile([f"i{j}" for j in range(n)], m),
+                            "subject": np.repeat([f"s{i:04d}" for i in range(m)], n), "z": z.ravel()})
+              for s, z in dense.items()]
+    z = spark.createDataFrame(pd.concat(frames), "split int, item_id string, subject string, z double")
+    got = residuals.factor_subjects(z, 3).toPandas()
+    for s, matrix in dense.items():
+        u, values, _ = np.linalg.svd(matrix, full_matrices=False)
+        own = got[got.split == s].sort_values("subject")
+        assert np.allclose(own["s"].iloc[0], values[:3], rtol=1e-10)
+        assert own["total"].iloc[0] == pytest.approx(np.sum(matrix ** 2))
+        loadings = np.vstack(own["u"].to_numpy())
+        for k in range(3):
+            sign = np.sign(u[np.argmax(np.abs(u[:, k])), k])
+            assert np.abs(loadings[:, k] - sign * u[:, k] * np.sqrt(values[k])).max() < 1e-8
+
+
+def test_factors_that_do_not_settle_raise(long_table, small, monkeypatch):
+    monkeypatch.setattr(residuals, "SPARE", 0)
+    cells = long_table(small)
+    z = residuals.residuals(cells, residuals.moment_abilities(cells), residuals.moment_difficulties(cells))
+    with pytest.raises(ValueError):
+        residuals.factor_subjects(z, 2, max_rounds=1)
+
+
 def test_gram_table(long_table, small):
     cells = long_table(small)
     zl = residuals.residuals(cells, residuals.moment_abilities(cells),
