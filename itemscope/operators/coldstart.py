@@ -14,7 +14,7 @@ from pyspark.sql import Window, functions as F, types as T
 from itemscope.functions.scalar import (
     rasch_probability, safe_logit, sigmoid, standardized_residual)
 from itemscope.operators.design import (
-    BLOCK, design_block, encode_features, partial_rows, sum_rows)
+    BLOCK, DESIGN_COLUMNS, design_block, encode_features, partial_rows, sum_rows)
 from itemscope.operators.performance import binary_metrics
 from itemscope.operators.ranks import hash_positions
 from itemscope.operators.residuals import factor_subjects
@@ -206,6 +206,8 @@ def ridge_coefficients(items, targets, encoding, seeds, alpha):
     Sums over items are taken per partition and added up; a split's train moments are those of
     all items minus those of its held-out items.
     """
+    if encoding.width > DESIGN_COLUMNS:
+        raise ValueError(f"more than {DESIGN_COLUMNS} design columns; drop or coarsen columns")
     shape = (encoding.first_number, encoding.width)
     schema = "split int, i int, row array<double>"
     one = items.filter(F.col("part") == 0)  # one row per item
@@ -352,7 +354,7 @@ def run_cold_start(responses, flat, seeds=(2026, 2027, 2028, 2029, 2030), ks=(0,
         F.coalesce("test_splits", F.array().cast("array<int>")).alias("test_splits"), "cat", "num")
 
     params = written(split_parameters(items, totals, seeds), "split-parameters")
-    z = train_residuals(items, params, seeds)
+    z = written(train_residuals(items, params, seeds), "train-residuals")
     factors = written(
         factor_subjects(z, kmax, subjects=totals),
         "split-factors")

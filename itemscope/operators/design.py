@@ -45,11 +45,11 @@ def level_text(c):
 def fit_encoding(features):
     cats = [c for c in CATEGORICAL if c in features.columns]
     nums = [c for c in NUMERIC if c in features.columns]
+    if not cats:
+        return Encoding(cats, nums, [])
     marked = features.select(*[level_text(c).alias(c) for c in cats])
-    found = marked.unpivot([], cats, "name", "level").filter(
-        F.col("level") != _MISSING).distinct().limit(DESIGN_COLUMNS + 1).collect()
-    if len(found) > DESIGN_COLUMNS:
-        raise ValueError(f"more than {DESIGN_COLUMNS} categorical levels; drop or coarsen columns")
+    # The levels' names stand in the models of the encoding, so the driver has them.
+    found = marked.unpivot([], cats, "name", "level").filter(F.col("level") != _MISSING).distinct().collect()
     levels = [sorted(r["level"] for r in found if r["name"] == c) for c in cats]
     return Encoding(cats, nums, levels)
 
@@ -73,7 +73,7 @@ def encode_features(flat):
     encoding = fit_encoding(features)
     indexed = index_levels(features, encoding)
     cat = F.array(*[(F.col(f"{c}__index").cast("int") + o)
-                    for c, o in zip(encoding.cats, encoding.offsets)])
+                    for c, o in zip(encoding.cats, encoding.offsets)]).cast("array<int>")
     num = F.array(*[F.coalesce(c, F.lit(0.0)) for c in encoding.nums])
     encoded = indexed.select("item_id", cat.alias("cat"), num.cast("array<double>").alias("num"))
     return written(encoded, "encoded-items"), encoding

@@ -2,7 +2,7 @@
 
 import time
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F, types as T
 
 from itemscope.operators.ranks import hash_positions
@@ -72,13 +72,12 @@ def decide_households(households, decide, stop_on_error=False):
 
     A failing row keeps its fields and gets the error's type and message instead of a decision.
     """
-    columns = households.columns
     schema = T.StructType(list(households.schema) + _DECISION)
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             found = []
-            for record in pdf.to_dict("records"):
+            for record in batch.to_pylist():
                 begun = time.perf_counter()
                 try:
                     answer = (decide(record), None, None)
@@ -87,10 +86,11 @@ def decide_households(households, decide, stop_on_error=False):
                         raise
                     answer = (None, type(error).__name__, str(error))
                 found.append((*answer, time.perf_counter() - begun))
-            more = pd.DataFrame(found, columns=[f.name for f in _DECISION], index=pdf.index)
-            yield pd.concat([pdf[columns], more], axis=1)
+            kinds = [pa.string()] * 3 + [pa.float64()]
+            more = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [f.name for f in schema])
 
-    return households.mapInPandas(run, schema)
+    return households.mapInArrow(run, schema)
 
 
 def split_errors(decided):
@@ -106,6 +106,7 @@ def run_accuracy(decided, truth="truth"):
     return decided.agg(
         F.count(F.lit(1)).alias("n_selected"), F.count_if(ok).alias("n_decided"),
         F.count_if(~ok).alias("n_errors"),
+        F.count_if(ok & (F.col("decision") == F.col(truth))).alias("n_correct"),
         F.avg(F.when(ok, (F.col("decision") == F.col(truth)).cast("int"))).alias("accuracy"),
         F.sum("elapsed_s").alias("total_runtime_s"),
         F.avg("elapsed_s").alias("average_runtime_s"))

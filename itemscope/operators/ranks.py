@@ -87,24 +87,22 @@ def with_min_ranks(df, ranks):
 def exact_quantiles(df, group, value, probabilities):
     """Quantiles with linear interpolation; one row per group with the array `edges`.
 
-    The order statistics next to each quantile are picked from the running counts, so no task
-    ever holds all values of a group.
+    The order statistics next to each quantile are picked from the running counts: a value leaves
+    its task only where it is one of them, so no task ever holds all values of a group.
     """
     sums = running_sums(value_counts(df, group, value), group, value, ["cnt"])
-    wanted = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q"))
-        for i, q in enumerate(probabilities)]))
-    hits = (
-        sums.select(*group, value, "cnt", "cnt_before", "cnt_total", wanted.alias("__w"))
-        .withColumn("__h", (F.col("cnt_total") - 1) * F.col("__w.q"))
-        .withColumn("__lo", F.floor("__h"))
-        .withColumn("__hi", F.ceil("__h")))
-    inside = lambda at: (F.col(at) >= F.col("cnt_before")) & (
-        F.col(at) < F.col("cnt_before") + F.col("cnt"))
+    at = [(F.col("cnt_total") - 1) * F.lit(float(q)) for q in probabilities]
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(end).alias("end"), side(h).alias("place"),
+                                (h - F.floor(h)).alias("t"))
+                       for i, h in enumerate(at) for end, side in (("lo", F.floor), ("hi", F.ceil))])
+    # Few values cover a wanted place; only those become rows.
+    held = F.filter(wanted, lambda w: (w["place"] >= F.col("cnt_before"))
+                    & (w["place"] < F.col("cnt_before") + F.col("cnt")))
+    hits = sums.select(*group, value, F.explode(held).alias("__w"))
     ends = hits.groupBy(*group, F.col("__w.i").alias("__i")).agg(
-        F.max(F.when(inside("__lo"), F.col(value))).alias("__a"),
-        F.max(F.when(inside("__hi"), F.col(value))).alias("__b"),
-        F.max(F.col("__h") - F.col("__lo")).alias("__t"))
+        F.max(F.when(F.col("__w.end") == "lo", F.col(value))).alias("__a"),
+        F.max(F.when(F.col("__w.end") == "hi", F.col(value))).alias("__b"),
+        F.max("__w.t").alias("__t"))
     point = F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__t")
     return ends.groupBy(*group).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("__i", point.alias("x")))),

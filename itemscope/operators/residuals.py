@@ -163,14 +163,13 @@ def factor_subjects(z, k, subjects=None, tolerance=1e-12, max_rounds=200):
     `u` is the subject's loading times the root of the singular value, `s` the singular values,
     `total` the sum of squared residuals. There are never more factors than items or subjects.
     `subjects` may name a smaller table to read the subjects from; those without residuals load
-    nothing.
+    nothing. `z` is read many times, so it should be a written table.
 
     A block of random columns, a row of numbers for each subject, is multiplied by Z and its
     transpose and improved over the span of the block, its residuals and its last step, until the
     residuals of all k vectors are below `tolerance` of the largest value; a block that does not get
     there raises. Only sums of 6 x (k + SPARE) columns reach the driver, however many subjects.
     """
-    z = written(z, "residual-cells")
     totals = {r["split"]: r for r in z.groupBy("split", "item_id").agg(
         F.sum(F.col("z") * F.col("z")).alias("q")).groupBy("split").agg(
         F.sum("q").alias("total"), F.count("*").alias("items")).collect()}    # a row for each split
@@ -236,7 +235,7 @@ def residual_factor_analysis(responses, ability, item_params, n_factors=5):
 
     Returns a dict of three DataFrames. `ability` has columns subject, ability.
     """
-    z = residuals(responses, ability, item_params)
+    z = written(residuals(responses, ability, item_params), "residual-cells")
     factors = written(factor_subjects(z, n_factors, subjects=ability), "factors")
     first = factors.first()
     k = len(first["s"]) if first else 0

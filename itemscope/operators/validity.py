@@ -1,13 +1,19 @@
 """Construct validity: rank correlations of difficulty, and a cross-fitted label model."""
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import functions as F
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, functions as F
 
 from itemscope.functions.pvalues import correlation_p_udf
 from itemscope.functions.scalar import ambiguity, clip, surprisal
-from itemscope.operators.design import BLOCK, design_block, encode_features, partial_rows, sum_rows
+from itemscope.operators.design import encode_features
 from itemscope.operators.performance import binary_metrics
 from itemscope.operators.ranks import average_ranks, hash_positions
 from itemscope.session import local_table, written
@@ -82,106 +88,51 @@ def _fold_scaling(coded, n_numbers, n_splits):
     return out
 
 
-def _scaled_block(batch, encoding, start, stop, scaling):
-    a = design_block(batch, encoding.first_number, encoding.width, start, stop)
-    numbers = slice(encoding.first_number, encoding.width)
-    a[:, numbers] = (a[:, numbers] - scaling[0]) / scaling[1]
-    return a
-
-
-def _newton_sums(encoding, scaling, w):
-    """Per partition and fold: [Hessian, gradient] of the train log-loss, and a row with the loss."""
-    def run(batches):
-        sums = {}
-        for batch in batches:
-            fold = batch.column("fold").to_numpy(zero_copy_only=False)
-            label = batch.column("label").to_numpy(zero_copy_only=False)
-            for start in range(0, batch.num_rows, BLOCK):
-                stop = min(start + BLOCK, batch.num_rows)
-                for f, coefficients in w.items():
-                    train = fold[start:stop] != f
-                    a = _scaled_block(batch, encoding, start, stop, scaling[f])[train]
-                    y = label[start:stop][train]
-                    eta = a @ coefficients
-                    p = 1 / (1 + np.exp(-eta))
-                    hessian = (a * (p * (1 - p))[:, None]).T @ a
-                    loss = np.sum(np.logaddexp(0, eta) - y * eta)
-                    top = np.hstack([hessian, (a.T @ (p - y))[:, None]])
-                    last = np.zeros((1, top.shape[1]))
-                    last[0, 0] = loss
-                    sums[f] = sums.get(f, 0.0) + np.vstack([top, last])
-        yield from partial_rows(sums)
-    return run
-
-
-def _newton_step(w):
-    def run(pdf):
-        fold = int(pdf["split"].iloc[0])
-        m = np.vstack(pdf.sort_values("i")["row"].to_numpy())
-        size = m.shape[1] - 1
-        penalty = np.ones(size)
-        penalty[-1] = 0.0  # the intercept is free
-        loss = m[size, 0] + 0.5 * np.sum(penalty * w[fold] ** 2)
-        step = np.linalg.solve(m[:size, :size] + np.diag(penalty),
-                               m[:size, size] + penalty * w[fold])
-        gain = 0.5 * step @ (m[:size, size] + penalty * w[fold])
-        return pd.DataFrame({"fold": [fold], "loss": [loss], "gain": [gain], "step": [step]})
-    return run
-
-
-def _fit_folds(coded, encoding, scaling, n_splits, max_steps=50, tol=1e-9):
-    """Logistic coefficients per fold with unit ridge penalty, on scaled columns.
-
-    One pass over the items makes a Newton step for every fold: partitions add up their Hessians,
-    and each fold's system is solved in its own task. A step that raises the loss is halved; a step
-    that promises less than `tol` of the loss is the last one.
-    """
-    rows = coded.select("fold", "label", "cat", "num")
-    w = {f: np.zeros(encoding.width + 1) for f in range(n_splits)}
-    good, best, step = dict(w), dict.fromkeys(w, np.inf), {}
-    active = dict(w)
-    for _ in range(max_steps):
-        sums = sum_rows(rows.mapInArrow(_newton_sums(encoding, scaling, active),
-                                        "split int, i int, row array<double>"), ["split", "i"])
-        solved = sums.groupBy("split").applyInPandas(
-            _newton_step(active), "fold int, loss double, gain double, step array<double>").collect()
-        for r in solved:
-            f = r["fold"]
-            last = False
-            if r["loss"] <= best[f] + 1e-12 * abs(r["loss"]):
-                good[f], best[f], step[f] = active[f], r["loss"], np.array(r["step"])
-                last = r["gain"] < tol * max(1.0, abs(r["loss"]))
-            else:
-                step[f] = step[f] / 2
-            active[f] = good[f] - step[f]
-            if last:
-                good[f] = active.pop(f)
-        if not active:
-            break
-    return good
-
-
-def _fold_probability(encoding, scaling, w):
-    def run(batches):
-        for batch in batches:
-            fold = batch.column("fold").to_numpy(zero_copy_only=False)
-            p = np.zeros(batch.num_rows)
-            for start in range(0, batch.num_rows, BLOCK):
-                stop = min(start + BLOCK, batch.num_rows)
-                for f in np.unique(fold[start:stop]):
-                    here = fold[start:stop] == f
-                    a = _scaled_block(batch, encoding, start, stop, scaling[f])[here]
-                    p[start:stop][here] = 1 / (1 + np.exp(-(a @ w[f])))
-            yield pa.RecordBatch.from_pydict({"item_id": batch.column("item_id"), "p": pa.array(p)})
-    return run
-
-
-def feature_label_scores(flat, n_splits=5, seed=2026, encoded=None):
+def _vectors(coded, encoding):
+    """`coded` with the sparse vector `levels`: a one for each level that an item has."""
+    columns = [f"cat{i}" for i in range(len(encoding.cats))]
+    if not columns:
+        return coded.withColumn("levels", array_to_vector(F.array().cast("array<double>")))
+    numbered = coded.withColumns({c: F.col("cat")[i] - encoding.offsets[i] for i, c in enumerate(columns)})
+    ones = [f"{c}_one" for c in columns]
+    dealt = OneHotEncoder(inputCols=columns, outputCols=ones, dropLast=False).fit(numbered).transform(numbered)
+    return VectorAssembler(inputCols=ones, outputCol="levels").transform(dealt).drop(*columns, *ones)
+
+
+def _fold_features(coded, scaling):
+    """`coded` with the vector `x`: levels, and numbers as this fold's train rows scale them."""
+    means, sds = scaling
+    numbers = F.array(*[(F.col("num")[j] - F.lit(float(m))) / F.lit(float(d))
+                        for j, (m, d) in enumerate(zip(means, sds))])
+    return VectorAssembler(inputCols=["levels", "numbers"], outputCol="x").transform(
+        coded.withColumn("numbers", array_to_vector(numbers.cast("array<double>"))))
+
+
+def _fold_scores(coded, fold, scaling, max_steps, tolerance):
+    """Rows (item_id, p) of one fold, from a logistic model of the others with unit ridge penalty."""
+    rows = _fold_features(coded, scaling)
+    train = rows.where(F.col("fold") != fold)
+    n, positive = train.agg(F.count("*"), F.sum("label")).first()
+    test = rows.where(F.col("fold") == fold)
+    if not n or positive in (0, n):    # one class: no odds to fit
+        return test.select("item_id", F.lit(float(bool(positive))).alias("p"))
+    model = LogisticRegression(
+        featuresCol="x", labelCol="label", regParam=1.0 / n, elasticNetParam=0.0, standardization=False,
+        maxIter=max_steps, tol=tolerance).fit(train)
+    if model.summary.totalIterations >= max_steps:
+        raise ValueError(f"the label model of fold {fold} has not settled after {max_steps} steps")
+    return model.transform(test).select("item_id", vector_to_array("probability")[1].alias("p"))
+
+
+def feature_label_scores(flat, n_splits=5, seed=2026, encoded=None, max_steps=1000, tolerance=1e-12):
     """Out-of-fold probability of the long label from features alone, and what it says of items.
 
     Adds feature_p_long, feature_label_surprisal and feature_ambiguity to `flat`. Levels are
     numbered over all items: a level absent from a train fold has a zero coefficient there, as an
     unseen level would. `encoded`, the result of `encode_features(flat)`, spares encoding again.
+    The models are fitted side by side on sparse vectors; only gradients, a number for each level,
+    are added up. A fold whose model does not settle raises; one whose train rows are of one class
+    predicts that class.
     """
     encoded, encoding = encoded or encode_features(flat)
     folds = stratified_folds(flat.select("item_id", "true_long"), n_splits, seed)
@@ -189,9 +140,11 @@ def feature_label_scores(flat, n_splits=5, seed=2026, encoded=None):
         "item_id", "fold", F.col("true_long").cast("double").alias("label"), "cat", "num"),
         "label-rows")
     scaling = _fold_scaling(coded, len(encoding.nums), n_splits)
-    w = _fit_folds(coded, encoding, scaling, n_splits)
-    scores = written(coded.mapInArrow(
-        _fold_probability(encoding, scaling, w), "item_id string, p double"), "label-scores")
+    coded = written(_vectors(coded, encoding), "label-vectors")
+    with ThreadPoolExecutor(n_splits) as pool:
+        parts = list(pool.map(inheritable_thread_target(coded.sparkSession)(
+            lambda fold: _fold_scores(coded, fold, scaling[fold], max_steps, tolerance)), range(n_splits)))
+    scores = written(reduce(DataFrame.unionByName, parts), "label-scores")
     scores = scores.select("item_id", clip("p", 1e-6, 1 - 1e-6).alias("feature_p_long"))
     return flat.join(scores, "item_id").withColumn(
         "feature_label_surprisal", surprisal("true_long", "feature_p_long")).withColumn(

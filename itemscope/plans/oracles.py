@@ -412,14 +412,24 @@ numbered as (
     as position from complete)""") + """
 select * from numbered
 where position >= 10 and position < (select count(*) * 3 // 4 from complete)"""
-    out["agent_batch_decide"] = _with(households) + """
-select household_id, truth, case when household_id % 10 <> 3 then truth end as decision,
-  case when household_id % 10 = 3 then 'RuntimeError' end as error_type,
-  case when household_id % 10 = 3 then 'no answer' end as error_message from complete"""
-    out["run_accuracy"] = _with(households) + """
-select count(*) as n_selected, count(*) filter (where household_id % 10 <> 3) as n_decided,
-  count(*) filter (where household_id % 10 = 3) as n_errors, 1.0::double as accuracy
-from complete"""
+    decided = households + """,
+decided as (
+  select household_id, truth, case when household_id % 10 = 3 then null
+    when household_id % 5 = 1 then 'LeaveHomeForLessThanAWeek' else truth end as decision
+  from complete)"""
+    out["agent_batch_decide"] = _with(decided) + """
+select household_id, truth, decision,
+  case when decision is null then 'RuntimeError' end as error_type,
+  case when decision is null then 'no answer' end as error_message from decided"""
+    totals = """count(*) as n_selected, count(decision) as n_decided,
+  count(*) - count(decision) as n_errors, count(*) filter (where decision = truth) as n_correct,
+  {} from decided""".format(_r("count(*) filter (where decision = truth) / count(decision)", "accuracy"))
+    out["run_accuracy"] = _with(decided) + f" select {totals}"
+    out["run_metadata"] = _with(decided) + f" select 'mock' as Model, 42 as Seed, {totals}"
+    out["agent_decisions_round_trip"] = _with(decided) + """
+select 'mock' as model, household_id, decision,
+  row_number() over (order by household_id) - 1 as row_number
+from decided where decision is not null"""
 
     out["subject_summary"] = _with(_BASE, _MOMENTS, """
 totals as (

@@ -11,7 +11,7 @@ from itemscope.functions.scalar import rounded
 from itemscope.operators import (
     coldstart, difficulty, fits, households, metadata, performance, residuals, responses, validity)
 from itemscope.session import shared_dir, written
-from itemscope.sources import starschema, tables
+from itemscope.sources import runs, starschema, tables
 
 PAIRS = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(24)]
 DIFFICULTIES = [-2.0, -1.0, 0.0, 0.5, 1.0, 2.0]
@@ -281,7 +281,7 @@ def household_sample(spark, sf_dir):
 def _mock(record):
     if record["household_id"] % 10 == 3:
         raise RuntimeError("no answer")
-    return record["truth"]
+    return "LeaveHomeForLessThanAWeek" if record["household_id"] % 5 == 1 else record["truth"]
 
 
 def _decided(spark, sf_dir):
@@ -295,7 +295,20 @@ def agent_batch_decide(spark, sf_dir):
 
 def run_accuracy(spark, sf_dir):
     return rounded(households.run_accuracy(_decided(spark, sf_dir)).select(
-        "n_selected", "n_decided", "n_errors", "accuracy"))
+        "n_selected", "n_decided", "n_errors", "n_correct", "accuracy"))
+
+
+def run_metadata(spark, sf_dir):
+    found = runs.run_metadata(_decided(spark, sf_dir), {"Model": "mock", "Seed": 42})
+    return rounded(found.drop("total_runtime_s", "average_runtime_s"))
+
+
+def agent_decisions_round_trip(spark, sf_dir):
+    """Decisions of a run that was written as files, as its reader gives them."""
+    folder = f"{shared_dir(spark)}/itemscope/runs-{uuid.uuid4().hex}"
+    decided = written(_decided(spark, sf_dir), "decided")
+    runs.write_run(decided, runs.run_metadata(decided, {"Seed": 42}), f"{folder}/mock", "household_id")
+    return runs.run_decisions(spark, folder, "household_id long, decision string, row_number int")
 
 
 def subject_summary(spark, sf_dir):
@@ -322,7 +335,7 @@ def twopl_fit(spark, sf_dir):
 
 def kfactor_fit(spark, sf_dir):
     cells = _written_cells(spark, sf_dir)
-    start = residuals.factor_subjects(_residuals(cells), 2, cells)
+    start = residuals.factor_subjects(written(_residuals(cells), "residual-cells"), 2, cells)
     subjects, _ = fits.kfactor_fit(cells, 2, start)
     return rounded(fits.factor_table(subjects, cells, _n_items(spark, sf_dir), 2))
 
@@ -347,5 +360,5 @@ ALL = {f.__name__: f for f in (
     missing_item_ids, coldstart_split, coldstart_baselines, coldstart_predictions,
     coldstart_by_split, coldstart_summary, coldstart_diagnostics, coldstart_diagnostics_summary,
     coldstart_decision_summary, household_complete, household_sample, agent_batch_decide,
-    run_accuracy, subject_summary, rasch_fit, rasch_fit_items, twopl_fit, kfactor_fit,
+    run_accuracy, run_metadata, agent_decisions_round_trip, subject_summary, rasch_fit, rasch_fit_items, twopl_fit, kfactor_fit,
     saved_table_read_back)}

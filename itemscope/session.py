@@ -68,13 +68,13 @@ def local_table(spark, rows, columns):
         for i, (name, kind) in enumerate(columns.items())}))
 
 
-def written(df, name):
-    """Write `df` once and read it back.
+def written(df, name, *partitions):
+    """Write `df` once, in folders by `partitions` if any are named, and read it back.
 
     This cuts lineage, survives the loss of executors, and gives the planner the true size of the
     table, so that joins with it are broadcast exactly when it is small enough.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/itemscope/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*partitions) if partitions else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

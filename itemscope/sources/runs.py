@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from itemscope.operators.households import decide_households, split_errors
-from itemscope.operators.ranks import hash_positions
+from itemscope.operators.households import decide_households, run_accuracy, split_errors
+from itemscope.operators.ranks import hash_positions, running_sums
 from itemscope.schema import RUN_RESULT
+from itemscope.session import written
 
 
 def subject_from_path(path):
@@ -52,29 +53,51 @@ def run_rows(spark, paths):
 def decide_in_chunks(households, key, decide, path, chunk_size=10000, stop_on_error=False):
     """Decide all households not yet in `path`, one written chunk after the other.
 
-    A finished chunk is committed as a whole, so a lost run goes on where it stopped. Returns the
-    table of all decided households.
+    What is left to decide is laid out by chunk once; every chunk then reads its own part and is
+    committed as a whole, so the table is read once however many chunks there are, and a lost run
+    goes on after its last chunk. Returns the table of all decided households.
     """
     spark = households.sparkSession
-    numbered = hash_positions(households, [], F.col(key).cast("string")).withColumn(
-        "chunk", F.floor(F.col("position") / chunk_size).cast("long")).drop("position")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        done = spark.read.parquet(path).select(key).distinct()
-        numbered = numbered.join(done, key, "left_anti")
-    chunks = [r[0] for r in numbered.select("chunk").distinct().orderBy("chunk").collect()]
-    for chunk in chunks:
-        here = numbered.filter(F.col("chunk") == chunk)
-        decide_households(here, decide, stop_on_error).write.mode("append").partitionBy(
-            "chunk").parquet(path)
+        households = households.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti")
+    numbered = hash_positions(households, [], F.col(key).cast("string")).withColumn(
+        "chunk", F.floor(F.col("position") / chunk_size).cast("long")).drop("position")
+    staged = written(numbered.repartition("chunk"), "run-chunks", "chunk")
+    sizes = staged.select("chunk").distinct().orderBy("chunk")
+    for (chunk,) in sizes.collect():    # a row for each of the caller's chunks
+        decide_households(staged.where(F.col("chunk") == chunk), decide, stop_on_error).write.mode(
+            "append").parquet(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        decide_households(staged, decide).write.parquet(path)
     return spark.read.parquet(path)
 
 
-def write_run(decided, metadata, path):
+def numbered_by(df, key):
+    """`df` with `row_number`, from 0 in the order of its unique `key`."""
+    places = running_sums(df.select(key).withColumn("one", F.lit(1)), [], key, ["one"])
+    return df.join(places.select(key, F.col("one_before").cast("int").alias("row_number")), key)
+
+
+def write_run(decided, metadata, path, key):
     """Write a run as JSON lines under `decisions`, `errors` and `metadata`.
 
-    The writers' commit makes each of them appear as a whole or not at all.
+    Decisions carry `row_number`, their place by `key` among the decisions, as the positions of an
+    array would. The writers' commit makes each of the three appear as a whole or not at all.
     """
     decisions, errors = split_errors(decided)
-    for name, df in (("decisions", decisions), ("errors", errors), ("metadata", metadata)):
+    for name, df in (("decisions", numbered_by(decisions, key)), ("errors", errors), ("metadata", metadata)):
         df.write.mode("overwrite").json(f"{path.rstrip('/')}/{name}")
+
+
+def run_decisions(spark, folder, schema="decision string, row_number int"):
+    """Rows (model, then `schema`) of the runs that `write_run` put into sub-folders of `folder`."""
+    rows = spark.read.schema(schema).json(f"{folder.rstrip('/')}/*/decisions")
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/decisions/[^/]*$", 1)
+    return rows.select(F.url_decode(name).alias("model"), *rows.columns)
+
+
+def run_metadata(decided, settings, truth="truth"):
+    """One row: the run's settings (a dict of plain values) and its totals."""
+    return run_accuracy(decided, truth).select(
+        *[F.lit(v).alias(k) for k, v in settings.items()], "*")

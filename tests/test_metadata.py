@@ -3,6 +3,7 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from itemscope.operators import difficulty, metadata, validity
 from itemscope.schema import LONG, SHORT
@@ -137,3 +138,23 @@ def test_label_model_against_numpy(spark):
             assert r["feature_ambiguity"] == pytest.approx(1 - abs(2 * p - 1), abs=1e-5)
     metrics = validity.feature_label_metrics(scored).first()
     assert metrics["n_items"] == n and metrics["feature_label_auc"] > 0.6
+
+
+def test_label_model_of_many_levels(spark):
+    rng = np.random.default_rng(4)
+    n = 20_400
+    flat = spark.createDataFrame(pd.DataFrame({
+        "item_id": [f"i{j}" for j in range(n)], "State": [f"level {j % 20_000}" for j in range(n)],
+        "Occupants": rng.integers(1, 6, n).astype(float)})).withColumn(
+        "true_long", F.expr("cast(Occupants >= 3 as int)"))
+    scored = validity.feature_label_scores(flat, n_splits=2)
+    assert scored.count() == n
+    assert validity.feature_label_metrics(scored).first()["feature_label_auc"] > 0.99
+
+
+def test_label_model_that_does_not_settle_raises(spark):
+    # without any categorical column
+    flat = spark.createDataFrame([(f"i{j}", float(j % 7), j % 3 % 2) for j in range(60)],
+                                 "item_id string, Occupants double, true_long int")
+    with pytest.raises(ValueError):
+        validity.feature_label_scores(flat, n_splits=2, max_steps=1)

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import numpy as np
@@ -82,8 +83,11 @@ def test_decisions_errors_and_accuracy(spark, tmp_path):
     row = households.run_accuracy(decided).first()
     assert (row["n_selected"], row["n_decided"], row["n_errors"]) == (6, 5, 1)
     assert row["accuracy"] == pytest.approx(2 / 5)
-    runs.write_run(decided, spark.createDataFrame([(42,)], "Seed int"), str(tmp_path / "run"))
-    assert spark.read.json(str(tmp_path / "run" / "decisions")).count() == 5
+    runs.write_run(decided, spark.createDataFrame([(42,)], "Seed int"), str(tmp_path / "run one"), "id")
+    back = runs.run_decisions(spark, str(tmp_path), "decision string, row_number int, id long")
+    assert to_rows(back, "row_number") == [
+        ("run one", LONG if i % 2 else SHORT, n, i) for n, i in enumerate((0, 1, 2, 4, 5))]
+    assert spark.read.json(str(tmp_path / "run one" / "decisions")).count() == 5
     with pytest.raises(Exception, match="lost"):
         households.decide_households(df, _decide, stop_on_error=True).collect()
     empty = households.run_accuracy(decided.filter("id < 0")).first()
@@ -98,6 +102,28 @@ def test_chunks_resume(spark, tmp_path):
     assert sorted(r["id"] for r in out.collect()) == list(range(10))
 
 
+def test_lost_run_goes_on_after_its_last_chunk(spark, tmp_path):
+    path, marker = str(tmp_path / "chunks"), tmp_path / "calls"
+    marker.mkdir()
+
+    def counted(record, lost):
+        if record["id"] in lost:
+            raise KeyError("lost")
+        with open(marker / str(record["id"]), "a") as f:
+            f.write("x")
+        return LONG
+    df = spark.range(40).withColumn("n", F.when(F.col("id") % 2 == 0, F.col("id")))
+    order = sorted(range(40), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    with pytest.raises(Exception, match="lost"):
+        runs.decide_in_chunks(df, "id", lambda r: counted(r, {order[25]}), path, 10, stop_on_error=True)
+    assert spark.read.parquet(path).count() == 20    # two chunks were committed
+    out = runs.decide_in_chunks(df, "id", lambda r: counted(r, ()), path, 10)
+    assert sorted(r["id"] for r in out.collect()) == list(range(40))
+    assert dict(out.dtypes)["n"] == "bigint" and out.where("n is null").count() == 20
+    assert all((marker / str(i)).read_text() == "x" for i in order[:20])
+    assert runs.decide_in_chunks(df.limit(0), "id", _decide, str(tmp_path / "none")).count() == 0
+
+
 def test_select_households(spark):
     df = spark.range(50)
     pick = lambda *a, **k: [r["id"] for r in households.select_households(
