@@ -314,6 +314,44 @@ select a.subject as subject_a, b.subject as subject_b, {_r('sum(a.z * b.z)', 'do
 from residuals a join residuals b on a.item_id = b.item_id and a.subject <= b.subject
 group by 1, 2"""
 
+    # Factors: a matrix squared again and again tends to the projection on its leading vector, which
+    # is then taken off.
+    steps = ["""
+g1 as (
+  select a.subject as i, b.subject as j, sum(a.z * b.z) as x
+  from residuals a join residuals b on a.item_id = b.item_id group by 1, 2)"""]
+    for k in range(1, 6):
+        steps.append(f"""
+p{k}(step, i, j, x) as (
+  select 0, i, j, x / (select sum(x) from g{k} where i = j) from g{k}
+  union all
+  select step + 1, i, j, x / sum(case when i = j then x end) over ()
+  from (select a.step, a.i, b.j, sum(a.x * b.x) as x from p{k} a join p{k} b on a.j = b.i
+        where a.step < 40 group by a.step, a.i, b.j)),
+c{k} as (
+  select i, x / sqrt(max(case when i = j then x end) over ()) as v
+  from p{k} where step = 40 and j = (select arg_max(i, x) from p{k} where step = 40 and i = j)),
+v{k} as (
+  select i, v * (select sign(arg_max(v, struct_pack(a := round(abs(v), 12), b := -ord(i)))) from c{k}) as v
+  from c{k}),
+l{k} as (
+  select sum(x * a.v * b.v) as value from g{k} join v{k} a on a.i = g{k}.i join v{k} b on b.i = g{k}.j),
+g{k + 1} as (
+  select g{k}.i, g{k}.j, x - value * a.v * b.v as x
+  from l{k}, g{k} join v{k} a on a.i = g{k}.i join v{k} b on b.i = g{k}.j)""")
+    factor = _with(_BASE, _MOMENTS, _RESIDUALS, *steps).replace("with ", "with recursive ", 1)
+    out["residual_factor_variance"] = factor + " union all ".join(f"""
+select {k} as factor, {_r('sqrt(value)', 'singular_value')},
+  {_r('value / (select sum(z * z) from residuals)', 'residual_variance_share')} from l{k}"""
+        for k in range(1, 6))
+    out["residual_factor_subject"] = factor + " select v1.i as model, " + ", ".join(
+        _r(f"v{k}.v * power((select value from l{k}), 0.25)", f"factor{k}") for k in range(1, 6)) \
+        + " from v1 " + " ".join(f"join v{k} on v{k}.i = v1.i" for k in range(2, 6))
+    out["residual_factor_item"] = factor + " select item_id, " + ", ".join(
+        _r(f"sum(z * v{k}.v) / power((select value from l{k}), 0.25)", f"factor{k}") for k in range(1, 6)) \
+        + " from residuals " + " ".join(f"join v{k} on v{k}.i = subject" for k in range(1, 6)) \
+        + " group by item_id"
+
     out["label_folds"] = _with(_BASE, _FLAT) + """
 select item_id, true_long, (row_number() over (
     partition by true_long order by md5(concat('2026:', item_id))) - 1) % 5 as fold
