@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from itemscope.llm.common import arrow, bounded_batches, slices
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -26,6 +25,7 @@ _SPACE = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNREAD = frozenset("script style noscript template iframe object svg math canvas head title "
                    "select textarea button".split())
+HEAD = frozenset("title script style meta link base noscript template".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset "
@@ -43,7 +43,7 @@ NAMES = {
     -8: "ad ads advert adverts advertisement advertising adsense banner banners breadcrumb "
         "breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr login "
         "masthead menu modal nav navbar navigation newsletter notice notices pagination pager "
-        "popup promo promotion related recommended recommendations respond responses replies "
+        "feedback popup promo promotion related recommended recommendations respond responses replies "
         "search share sharing sidebar signup skip social sponsor sponsored subscribe subscription "
         "teaser toolbar topbar widget widgets alert disclaimer copyright privacy",
     -3: "header tags tag meta byline outbrain taboola rail reply",
@@ -63,16 +63,74 @@ SIBLINGS, NEIGHBOURS = 1.0, 0.3
 
 
 class _Block:
-    __slots__ = ("text", "linked", "tag", "marks", "parent", "score")
+    __slots__ = ("text", "linked", "tag", "mark", "parent", "score")
 
-    def __init__(self, text, linked, tag, marks, parent):
-        self.text, self.linked, self.tag, self.marks, self.parent = text, linked, tag, marks, parent
+    def __init__(self, text, linked, tag, mark, parent):
+        self.text, self.linked, self.tag, self.mark, self.parent = text, linked, tag, mark, parent
         self.score = 0
 
     def words(self):
         return len(self.text) * (1 - self.linked) / WORD
 
 
+def _markup(page):
+    """(start, end, closing, tag, attributes) of the markup of a page; comments have no tag.
+
+    A quote that nothing ends, or that ends in front of more of a value, does not hide the end of
+    its tag. A tag without an end is text. Every sign is looked for once, so long pages of any kind
+    are read in linear time.
+    """
+    ahead = dict.fromkeys(">\"'", -1)    # the next one of each; none at the length of the page
+    n = len(page)
+
+    def after(sign, at):
+        if ahead[sign] < at:
+            ahead[sign] = page.find(sign, at)
+            if ahead[sign] < 0:
+                ahead[sign] = n
+        return ahead[sign]
+
+    at = 0
+    while (at := page.find("<", at)) >= 0:
+        start, name = at, None
+        for opens, ends in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+            if page.startswith(opens, at):
+                end = page.find(ends, at + len(opens))
+                at = n if end < 0 else end + len(ends)
+                break
+        else:
+            name = _NAME.match(page, at + 1)
+            end = after(">", at)
+            if not (name or page[at + 1:at + 2] in ("!", "?")) or end == n:
+                at += 1
+                continue
+            if name:
+                stop = name.end()
+                while (found := _STOP.search(page, stop)) and found.group() != ">":
+                    close = after(found.group(), found.end())
+                    if close >= n - 1 or page[close + 1] not in " \t\r\n\f/>":
+                        stop = after(">", found.end())
+                        break
+                    stop = close + 1
+                else:
+                    stop = found.start() if found else n
+                if stop == n:
+                    at += 1
+                    continue
+                end = stop
+            at = end + 1
+        if not name:
+            yield start, at, False, "", ""
+            continue
+        tag = name.group().lower()
+        closing = tag[0] == "/"
+        tag = tag.lstrip("/")
+        yield start, at, closing, tag, page[name.end():end]
+        if not closing and tag in RAW:
+            ended = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = ended.start() if ended else n
+
+
 def _hint(tag, attributes):
     """Log-odds of an element, and the part of them that does not hold for a wrapper of the page."""
     score, loose = ELEMENT.get(tag, 0), ELEMENT["form"] if tag == "form" else 0
@@ -84,48 +142,59 @@ def _hint(tag, attributes):
     return score, loose
 
 
-def _weigh(found):
-    """Sets the scores of blocks from the marks (number, log-odds, loose part) of their ancestors.
+def _weigh(found, marks):
+    """Sets the scores of blocks from the marks (parent, log-odds, loose part) of their ancestors.
 
     Names like "no-sidebar" on an element around most of the page's text tell of its layout. Such
     an element keeps its penalty only if the page's text begins outside of it, as that of comments
-    does.
+    does. Marks come after their parents, so all is added up along the tree.
     """
-    free = [b for b in found if all(h >= loose for _, h, loose in b.marks)]
-    total, held = sum(b.words() for b in free), {}
-    for block in free:
-        for number, _, loose in block.marks:
-            if loose:
-                held[number] = held.get(number, 0) + block.words()
-    wide = {number for number, words in held.items() if 2 * words > total}
+    free, held = [True], [0.0] * len(marks)
+    for parent, hint, loose in marks[1:]:
+        free.append(free[parent] and hint >= loose)
+    for block in found:
+        if free[block.mark]:
+            held[block.mark] += block.words()
+    for i in range(len(marks) - 1, 0, -1):
+        held[marks[i][0]] += held[i]
+    wide = {i for i, (_, _, loose) in enumerate(marks) if loose and 2 * held[i] > held[0]}
     wrappers = set()
     if wide:
-        open_ = [b for b in free if all(not loose or n in wide for n, _, loose in b.marks)]
+        clear, good = [True], [False]
+        for i, (parent, hint, loose) in enumerate(marks[1:], 1):
+            clear.append(clear[parent] and (not loose or i in wide))
+            good.append(good[parent] or hint - loose >= ELEMENT["main"])
+        open_ = [b for b in found if free[b.mark] and clear[b.mark]]
         first = next((b for b in open_ if b.words() >= SOME), None) or \
-            next((b for b in open_ if any(h - loose >= ELEMENT["main"] for _, h, loose in b.marks)), None)
-        wrappers = wide.intersection(n for n, _, _ in first.marks) if first else wrappers
+            next((b for b in open_ if good[b.mark]), None)
+        at = first.mark if first else 0
+        while at:
+            wrappers.add(at)
+            at = marks[at][0]
+        wrappers &= wide
+    scores = [0]
+    for i, (parent, hint, loose) in enumerate(marks[1:], 1):
+        hint -= loose if i in wrappers else 0
+        # An article inside of comments is a comment.
+        scores.append(scores[parent] + (hint if hint < 0 or scores[parent] > OUTSIDE else 0))
     for block in found:
-        for number, hint, loose in block.marks:
-            hint -= loose if number in wrappers else 0
-            # An article inside of comments is a comment.
-            if hint < 0 or block.score > OUTSIDE:
-                block.score += hint
+        block.score = scores[block.mark]
 
 
 def blocks(page):
     """Text blocks of an HTML page in page order."""
-    out, open_, parts = [], [], []     # open_: (tag, hint and its loose part, number)
+    out, parts = [], []
+    open_, holders, count = [], [], {}     # open_: (tag, mark); holders: (tag, number, place in open_)
+    marks = [(0, 0, 0)]                    # the first stands for the page
     state = {"linked": 0, "unread": 0, "links": 0, "number": 0}
 
     def close():
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            marks = [(n, *hint) for _, hint, n in open_ if any(hint)]
-            holders = [(t, n) for t, _, n in open_ if t in BLOCKS]
             parent = holders[-2][1] if len(holders) > 1 else 0
-            tag = holders[-1][0] if holders else ""
-            out.append(_Block(text, min(1.0, state["linked"] / len(text)), tag, marks, parent))
+            out.append(_Block(text, min(1.0, state["linked"] / len(text)), holders[-1][0] if holders else "",
+                              open_[-1][1] if open_ else 0, parent))
         state["linked"] = 0
 
     def read(piece):
@@ -135,32 +204,36 @@ def blocks(page):
                 state["linked"] += len(piece.strip())
 
     def end(index):
-        if any(t in BLOCKS for t, _, _ in open_[index:]):
+        if holders and holders[-1][2] >= index:
             close()
-        for t, _, _ in open_[index:]:
+        while holders and holders[-1][2] >= index:
+            holders.pop()
+        for t, _ in open_[index:]:
+            count[t] -= 1
             state["unread"] -= t in UNREAD
             state["links"] -= t == "a"
         del open_[index:]
 
+    def end_tag(tag):
+        index = len(open_) - 1
+        while open_[index][0] != tag:
+            index -= 1
+        end(index)
+
     at = 0
-    while True:
-        found = _MARKUP.search(page, at)
-        read(page[at:found.start()] if found else page[at:])
-        if not found:
-            break
-        at = found.end()
-        closing, tag, attributes = found.group(1), (found.group(2) or "").lower(), found.group(3)
+    for start, after, closing, tag, attributes in _markup(page):
+        read(page[at:start])
+        at = after
         if not tag:
             continue
         if closing:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == tag:
-                    end(i)
-                    break
-            else:
-                if tag == "br":
-                    read(" ")
+            if count.get(tag):
+                end_tag(tag)
+            elif tag == "br":
+                read(" ")
             continue
+        if count.get("head") and tag not in HEAD and not count.get("noscript") and not count.get("template"):
+            end_tag("head")     # its end tag may be left out
         if tag in VOID:
             if tag == "hr":
                 close()
@@ -168,23 +241,24 @@ def blocks(page):
             continue
         if tag in BLOCKS:
             close()
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == "p" or open_[i][0] in CLOSES.get(tag, ()):
-                    end(i)
-                    break
-                if open_[i][0] in BLOCKS:
-                    break
+            if holders and (holders[-1][0] == "p" or holders[-1][0] in CLOSES.get(tag, ())):
+                end(holders[-1][2])
         if attributes.rstrip().endswith("/") and tag not in BLOCKS:
             continue
         state["number"] += 1
-        open_.append((tag, _hint(tag, attributes), state["number"]))
+        mark, hint = open_[-1][1] if open_ else 0, _hint(tag, attributes)
+        if any(hint):
+            marks.append((mark, *hint))
+            mark = len(marks) - 1
+        if tag in BLOCKS:
+            holders.append((tag, state["number"], len(open_)))
+        open_.append((tag, mark))
+        count[tag] = count.get(tag, 0) + 1
         state["unread"] += tag in UNREAD
         state["links"] += tag == "a"
-        if tag in RAW:
-            ended = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = ended.start() if ended else len(page)
+    read(page[at:])
     close()
-    _weigh(out)
+    _weigh(out, marks)
     return out
 
 
@@ -202,7 +276,7 @@ def minimum_cut(costs, edges):
     """Labels of least cost: True pays 0 or -cost, False pays 0 or cost, an edge cut its weight.
 
     A node whose own cost outweighs all its edges keeps its label in a minimum cut, and is folded
-    into its neighbours first; augmenting paths settle the rest.
+    into its neighbours first; a maximum flow settles the rest.
     """
     near = [{} for _ in costs]
     for i, j, weight in edges:
@@ -222,34 +296,60 @@ def minimum_cut(costs, edges):
     left = [i for i, label in enumerate(labels) if label is None]
     if not left:
         return labels
-    source, sink = -1, -2
-    room = {i: dict(near[i]) for i in left} | {source: {}, sink: {}}
+    number = {i: k for k, i in enumerate(left)}
+    source, sink = len(left), len(left) + 1
+    edges = [[] for _ in range(sink + 1)]      # numbers into heads and room; the pair of e is e ^ 1
+    heads, room = [], []
+
+    def join(i, j, there, back):
+        for a, b, capacity in ((i, j, there), (j, i, back)):
+            edges[a].append(len(heads))
+            heads.append(b)
+            room.append(capacity)
     for i in left:
         if costs[i] > 0:
-            room[source][i], room[i][source] = costs[i], 0
+            join(source, number[i], costs[i], 0.0)
         else:
-            room[i][sink], room[sink][i] = -costs[i], 0
+            join(number[i], sink, -costs[i], 0.0)
+        for j, weight in near[i].items():
+            if i < j:
+                join(number[i], number[j], weight, weight)
+    # Dinic: paths of one length are filled together, along levels that are found anew each time.
     while True:
-        came, queue = {source: source}, [source]
+        level, queue = [-1] * (sink + 1), [source]
+        level[source] = 0
         for i in queue:
-            for j, capacity in room[i].items():
-                if capacity > 1e-12 and j not in came:
-                    came[j] = i
-                    queue.append(j)
-            if sink in came:
-                break
-        if sink not in came:
+            for e in edges[i]:
+                if room[e] > 1e-12 and level[heads[e]] < 0:
+                    level[heads[e]] = level[i] + 1
+                    queue.append(heads[e])
+        if level[sink] < 0:
             break
-        path, j = [], sink
-        while j != source:
-            path.append((came[j], j))
-            j = came[j]
-        flow = min(room[i][j] for i, j in path)
-        for i, j in path:
-            room[i][j] -= flow
-            room[j][i] += flow
+        tried, path, at = [0] * (sink + 1), [], source
+        while True:
+            if at == sink:
+                flow = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                keep = next(k for k, e in enumerate(path) if room[e] <= 1e-12)
+                at = heads[path[keep] ^ 1]
+                del path[keep:]
+            while tried[at] < len(edges[at]):
+                e = edges[at][tried[at]]
+                if room[e] > 1e-12 and level[heads[e]] == level[at] + 1:
+                    path.append(e)
+                    at = heads[e]
+                    break
+                tried[at] += 1
+            else:
+                if not path:
+                    break
+                level[at] = -1
+                at = heads[path.pop() ^ 1]
+                tried[at] += 1
     for i in left:
-        labels[i] = i in came
+        labels[i] = level[number[i]] >= 0
     return labels
 
 
