@@ -77,8 +77,21 @@ def _placed(docs):
     return plan.nodeName() == "LogicalRelation" and plan.relation().location().rootPaths().size() == 1
 
 
-def numbered(docs):
-    """`docs` with a unique key `__row` that stays the same when the rows are read again.
+def unused(docs, name):
+    """`name`, with as many underscores before it as set it apart from the columns of `docs`."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def whole_row(docs):
+    """All columns of `docs` in a struct `row`, whatever their names."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row")
+
+
+def numbered(docs, name="__row"):
+    """`docs` with a unique key `name` that stays the same when the rows are read again.
 
     Rows straight from files have their place as the key: the hash of the file's path and the row's
     index in the file, which do not depend on how a read is cut into tasks. Others are numbered and
@@ -92,8 +105,8 @@ def numbered(docs):
         files = None
     if files is None or not _placed(docs) or not files.groupBy(F.xxhash64("path")).count() \
             .where("count > 1").isEmpty():
-        return written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    return docs.withColumn("__row", F.struct(F.xxhash64(path).alias("file"), index.alias("index")))
+        return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    return docs.withColumn(name, F.struct(F.xxhash64(path).alias("file"), index.alias("index")))
 
 
 def byte_characters():

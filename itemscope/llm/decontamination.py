@@ -10,9 +10,9 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
-from itemscope.llm.common import arrow, bounded_batches, slices, texts
+from itemscope.llm.common import arrow, bounded_batches, slices, texts, whole_row
 from itemscope.session import written
 
 WINDOW, GRAM = 10, 5
@@ -106,8 +106,7 @@ def _judged(docs, benchmark):
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"),
                              F.xxhash64(F.coalesce("text", F.lit(""))).alias("item"))
     # Equal texts have one key, so copies meet the items once.
-    docs = bounded_batches(docs).select(F.struct(*docs.columns).alias("row"),
-                       F.coalesce("text", F.lit("")).alias("text")) \
+    docs = bounded_batches(docs).select(whole_row(docs), F.coalesce("text", F.lit("")).alias("text")) \
         .withColumn("key", F.xxhash64("text"))
     theirs = written(_fingerprint_table(items, "item", None)
                      .withColumnRenamed("key", "item"), "item-fingerprints")
@@ -131,9 +130,10 @@ def _judged(docs, benchmark):
                         n_hit=(n_hit, pa.int64()), n_items=(n_items, pa.int64()),
                         items_sha256=(digest, pa.string()))
 
-    kind = docs.schema["row"].dataType.simpleString()
+    shape = T.StructType([docs.schema["row"], *(T.StructField(n, T.LongType()) for n in (
+        "n_words", "n_hit", "n_items")), T.StructField("items_sha256", T.StringType())])
     return docs.join(candidates, "key", "left").select("row", "text", "items").mapInArrow(
-        run, f"row {kind}, n_words long, n_hit long, n_items long, items_sha256 string") \
+        run, shape) \
         .withColumn("contaminated", F.col("n_hit") > 0)
 
 
@@ -152,7 +152,11 @@ def contamination(docs, benchmark):
 
 
 def without_contaminated(docs, benchmark):
-    """`docs` without the rows in which a benchmark window occurs, all columns unchanged."""
+    """`docs` without the rows in which a benchmark window occurs, all columns unchanged.
+
+    NULL and empty texts stay, as they have no words; rows that repeat are judged each; an empty
+    table on either side loses nothing. Columns may have any names.
+    """
     return _judged(docs, benchmark).where("not contaminated").select("row.*")
 
 

@@ -10,7 +10,7 @@ a chain; which rows are copies does not depend on that layout.
 
 from pyspark.sql import Window, functions as F
 
-from itemscope.llm.common import numbered, prefix, texts
+from itemscope.llm.common import numbered, prefix, texts, unused
 from itemscope.session import written
 
 #: Entries that a bucket may hold. An entry is some 100 bytes, so an owner task stays small.
@@ -101,10 +101,12 @@ def exact_duplicates(docs, capacity=BUCKET_ENTRIES, row=None):
 def without_copies(docs, capacity=BUCKET_ENTRIES):
     """`docs` with one row of each group of equal texts, all its columns unchanged.
 
-    Of rows that repeat the smallest doc_id of a group exactly one stays.
+    Of rows that repeat the smallest doc_id of a group exactly one stays, and of those without one
+    too. NULL is the empty text; an empty table stays empty; columns may have any names.
     """
-    rows = numbered(docs)
-    named = exact_duplicates(rows.select("doc_id", "text", F.col("__row")), capacity, row="__row")
+    key = unused(docs, "__row")
+    rows = numbered(docs, key)
+    named = exact_duplicates(rows.select("doc_id", "text", key), capacity, row=key)
     # Written, so that its size is known: texts move only where it is too large to be broadcast.
-    dropped = written(named.where("not kept").select(F.col("row").alias("__row")), "dedup-dropped")
-    return rows.join(dropped, "__row", "left_anti").drop("__row")
+    dropped = written(named.where("not kept").select(F.col("row").alias(key)), "dedup-dropped")
+    return rows.join(dropped, key, "left_anti").drop(key)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from itemscope.llm.common import arrow, numbered, slices, texts
+from itemscope.llm.common import arrow, numbered, slices, texts, unused
 from itemscope.llm.components import components
 from itemscope.session import written
 
@@ -146,17 +146,20 @@ def near_duplicates(docs):
 def without_near_copies(docs):
     """One row of `docs` of each component, the one with the smallest doc_id; columns unchanged.
 
-    Of rows that repeat the smallest doc_id exactly one stays.
+    Of rows that repeat the smallest doc_id exactly one stays. Texts without words, NULL too, are
+    one component with whatever links to fingerprint zero; an empty table stays empty; columns may
+    have any names.
     """
-    rows = numbered(docs)
-    marked = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))
-    ids = rows.select("__row", "doc_id").join(
-        marked.select(F.col("doc_id").alias("__row"), "component_id"), "__row")
+    key = unused(docs, "__row")
+    rows = numbered(docs, key)
+    marked = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"))
+    ids = rows.select(F.col(key).alias("row"), "doc_id").join(
+        marked.select(F.col("doc_id").alias("row"), "component_id"), "row")
     ids = written(ids, "near-rows")
     first = ids.groupBy("component_id").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"),
         F.count("*").alias("n")).where("n > 1")
     # Written, so that its size is known: texts move only where it is too large to be broadcast.
-    dropped = written(ids.join(first, "component_id").where("__row != first.__row")
-                      .select("__row"), "near-dropped")
-    return rows.join(dropped, "__row", "left_anti").drop("__row")
+    dropped = written(ids.join(first, "component_id").where("row != first.row")
+                      .select(F.col("row").alias(key)), "near-dropped")
+    return rows.join(dropped, key, "left_anti").drop(key)

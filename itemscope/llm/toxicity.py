@@ -8,9 +8,9 @@ less the prior's share of positives, and where that estimate falls below zero th
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
-from itemscope.llm.common import arrow, bounded_batches, slices
+from itemscope.llm.common import arrow, bounded_batches, slices, whole_row
 from itemscope.llm.decontamination import words
 from itemscope.session import written
 
@@ -154,8 +154,7 @@ def fit(docs, labels, learn):
 
 def _scored(docs, model):
     """The columns of `docs` in a struct `row`, and the score of each text."""
-    rows = bounded_batches(docs).select(F.struct(*docs.columns).alias("row"),
-                       F.coalesce("text", F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(whole_row(docs), F.coalesce("text", F.lit("")).alias("text"))
     names = {n: i for n, i in model.index.items()}
 
     def run(batches):
@@ -164,8 +163,7 @@ def _scored(docs, model):
             yield arrow(row=part.column("row"), score=(
                 [local.score(t) for t in part.column("text").to_pylist()], pa.float64()))
 
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {kind}, score double")
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def held_out():
@@ -188,5 +186,9 @@ def toxicity(docs, labels):
 
 
 def without_toxic(docs, labels):
-    """`docs` without the rows that the model rejects, all columns unchanged."""
+    """`docs` without the rows that the model rejects, all columns unchanged, whatever their names.
+
+    NULL and empty texts, repeated rows and missing labels count as in `toxicity`; an empty table
+    stays empty.
+    """
     return _scored(docs, fit(docs, labels, ~held_out())).where("score < 0.5").select("row.*")
