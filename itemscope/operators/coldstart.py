@@ -6,20 +6,17 @@ at most one answer per subject); from there on, work is done per item row and on
 subjects, design columns or grid points are shuffled.
 """
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Window, functions as F, types as T
+from pyspark.sql import Window, functions as F
 
 from itemscope.functions.scalar import (
     rasch_probability, safe_logit, sigmoid, standardized_residual)
-from itemscope.operators.design import (
-    BLOCK, DESIGN_COLUMNS, design_block, encode_features, partial_rows, sum_rows)
+from itemscope.operators.design import design_entries, encode_features
 from itemscope.operators.performance import binary_metrics
 from itemscope.operators.ranks import hash_positions
 from itemscope.operators.residuals import factor_subjects
 from itemscope.operators.responses import require_metadata
-from itemscope.session import written
+from itemscope.session import local_table, written
 
 # The grid of factor scales, from -2 to 2 in 161 steps.
 GRID_POINTS, GRID_START, GRID_STEP = 161, -2.0, 0.025
@@ -132,124 +129,123 @@ def item_targets(z, factors, kmax):
                        F.array("b", *[f"v{i}" for i in range(kmax)]).alias("t"))
 
 
-_ALL = -1  # split number of the sums over all items
-
-
-def _design_moments(first_number, width):
-    """Per partition: sums of a aT over all items, and over the held-out items of each split."""
-    def run(batches):
-        sums = {}
-        for batch in batches:
-            held = batch.column("test_splits").to_pylist()
-            for start in range(0, batch.num_rows, BLOCK):
-                stop = min(start + BLOCK, batch.num_rows)
-                a = design_block(batch, first_number, width, start, stop)
-                sums[_ALL] = sums.get(_ALL, 0.0) + a.T @ a
-                members = {}
-                for r, splits in enumerate(held[start:stop]):
-                    for s in splits:
-                        members.setdefault(s, []).append(r)
-                for s, rows in members.items():
-                    sums[s] = sums.get(s, 0.0) + a[rows].T @ a[rows]
-        yield from partial_rows(sums)
-    return run
-
-
-def _target_products(first_number, width):
-    """Per partition and split: sums of [a, t] tT over train items."""
-    def run(batches):
-        sums = {}
-        for batch in batches:
-            split = batch.column("split").to_numpy(zero_copy_only=False)
-            t_all = batch.column("t").flatten().to_numpy(zero_copy_only=False).reshape(
-                batch.num_rows, -1)
-            for start in range(0, batch.num_rows, BLOCK):
-                stop = min(start + BLOCK, batch.num_rows)
-                t = t_all[start:stop]
-                at = np.hstack([design_block(batch, first_number, width, start, stop), t])
-                for s in np.unique(split[start:stop]):
-                    here = split[start:stop] == s
-                    sums[s] = sums.get(s, 0.0) + at[here].T @ t[here]
-        yield from partial_rows(sums)
-    return run
-
-
-def _solve_ridge(alpha, width):
-    """Ridge on standardized columns and targets, returned as coefficients of the raw columns."""
-    def run(pdf):
-        part = {kind: np.vstack(g.sort_values("i")["row"].to_numpy())
-                for kind, g in pdf.groupby("kind")}
-        every = part["all"]
-        train = every - part["held"] if "held" in part else every
-        products = part["target"]
-        n_all, n = every[width, width], train[width, width]
-        mean = every[:width, width] / n_all
-        var = np.diag(every)[:width] / n_all - mean ** 2
-        sd = np.sqrt(np.where(var > 1e-12 * np.maximum(1.0, mean ** 2), var, 1.0))
-        # moments of the standardized columns over train rows, around their train means
-        centre = train[:width, width] / n
-        xx = (train[:width, :width] - n * np.outer(centre, centre)) / np.outer(sd, sd)
-        t_mean = products[width] / n
-        t_var = np.diag(products[width + 1:]) / n - t_mean ** 2
-        t_sd = np.sqrt(np.where(t_var > 1e-14, t_var, 1.0))
-        xt = (products[:width] - n * np.outer(centre, t_mean)) / sd[:, None] / t_sd
-        w = np.linalg.solve(xx + alpha * np.eye(width), xt) / sd[:, None] * t_sd
-        rows = np.vstack([w, t_mean - centre @ w])
-        return pd.DataFrame({"split": int(pdf["split"].iloc[0]),
-                             "i": np.arange(width + 1), "w": list(rows)})
-    return run
-
-
-def ridge_coefficients(items, targets, encoding, seeds, alpha):
-    """{split: (width + 1) x targets array}; the last row is the intercept.
-
-    Sums over items are taken per partition and added up; a split's train moments are those of
-    all items minus those of its held-out items.
+def _gram(design, seeds):
+    """Rows (split, i, j, g): train sums of the products of two design columns, where any item has both.
+
+    A split's sum is that of all items minus that of its few held-out ones. A pair of columns is
+    added up within tasks first, and only pairs that occur together exist.
+    """
+    pairs = design.select("test_splits", "row", F.explode("row").alias("l")).select(
+        "test_splits", "l", F.explode(F.filter("row", lambda e: e["i"] >= F.col("l")["i"])).alias("r"))
+    product = F.col("l.a") * F.col("r.a")
+    held = [F.sum(F.when(F.array_contains("test_splits", s), product).otherwise(0.0)) for s in seeds]
+    sums = pairs.groupBy(F.col("l.i").alias("i"), F.col("r.i").alias("j")).agg(
+        F.sum(product).alias("every"), F.array(*held).alias("held"))
+    names = F.array(*[F.lit(s) for s in seeds])
+    half = sums.select("i", "j", "every", F.explode(F.arrays_zip(
+        names.alias("split"), F.col("held"))).alias("h")).select(
+        "h.split", "i", "j", (F.col("every") - F.col("h.held")).alias("g"))
+    half = written(half, "gram-half")
+    other = half.filter("i < j").select("split", F.col("j").alias("i"), F.col("i").alias("j"), "g")
+    return written(half.unionByName(other), "gram")
+
+
+def _scaling(design, seeds, gram, alpha, width):
+    """Rows (split, i, e, f): what scales a column of the design, and its penalty at that scale.
+
+    Columns have unit deviation over all items, as the penalty sees them. On top of that they are
+    scaled to a unit diagonal of the normal equations, which changes the steps, not the solution.
     """
-    if encoding.width > DESIGN_COLUMNS:
-        raise ValueError(f"more than {DESIGN_COLUMNS} design columns; drop or coarsen columns")
-    shape = (encoding.first_number, encoding.width)
-    schema = "split int, i int, row array<double>"
-    one = items.filter(F.col("part") == 0)  # one row per item
-    moments = sum_rows(one.select("cat", "num", "test_splits").mapInArrow(
-        _design_moments(*shape), schema), ["split", "i"])
-    moments = written(moments, "moments")
-    products = sum_rows(
-        targets.join(one.select("item_id", "cat", "num"), "item_id")
-        .select("split", "cat", "num", "t").mapInArrow(_target_products(*shape), schema),
-        ["split", "i"])
-    every = F.explode(F.array(*[F.lit(int(s)) for s in seeds]))
-    parts = (
-        moments.filter(F.col("split") == _ALL).select(
-            F.lit("all").alias("kind"), every.alias("split"), "i", "row")
-        .unionByName(moments.filter(F.col("split") != _ALL).select(
-            F.lit("held").alias("kind"), "split", "i", "row"))
-        .unionByName(products.select(F.lit("target").alias("kind"), "split", "i", "row")))
-    solved = parts.groupBy("split").applyInPandas(
-        _solve_ridge(alpha, encoding.width), "split int, i int, w array<double>")
-    out = {}
-    for r in solved.collect():
-        out.setdefault(r["split"], {})[r["i"]] = r["w"]
-    return {s: np.array([rows[i] for i in sorted(rows)]) for s, rows in out.items()}
-
-
-def _predictor(coefficients, seeds, encoding):
-    """Column function: the predicted targets of all splits, one after the other."""
-    w = np.hstack([coefficients[s] for s in seeds])
-    first_number, width = encoding.first_number, encoding.width
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def predict(cat: pd.Series, num: pd.Series) -> pd.Series:
-        if not len(cat):
-            return pd.Series([], dtype=object)
-        c = np.vstack(cat.to_numpy())
-        out = np.tile(w[width], (len(cat), 1))
-        for j in range(c.shape[1]):
-            out += w[c[:, j]]
-        if width > first_number:
-            out += np.vstack(num.to_numpy()) @ w[first_number:width]
-        return pd.Series(list(out))
-    return predict
+    each = design.select(F.explode("row").alias("e")).groupBy("e.i").agg(
+        F.sum("e.a").alias("sum"), F.sum(F.col("e.a") * F.col("e.a")).alias("square"))
+    n = F.lit(float(design.count()))
+    mean = F.col("sum") / n
+    var = F.col("square") / n - mean * mean
+    own = each.select("i", F.when(F.col("i") == width, 1.0).otherwise(F.when(
+        var > 1e-12 * F.greatest(F.lit(1.0), mean * mean), 1 / F.sqrt(var)).otherwise(1.0)).alias("d"))
+    size = gram.filter("i = j").join(own, "i")
+    penalty = F.when(F.col("i") == width, 0.0).otherwise(float(alpha))
+    whole = F.col("g") * F.col("d") * F.col("d") + penalty
+    scale = F.when(whole > 0, 1 / F.sqrt(whole)).otherwise(0.0)
+    return size.select("split", "i", (F.col("d") * scale).alias("e"), (penalty * scale * scale).alias("f"))
+
+
+def _plus(column, other, factor):
+    """The array `column` plus the array `other` times the array `factor`."""
+    return F.zip_with(column, F.zip_with(other, factor, lambda a, b: a * b), lambda a, b: a + b)
+
+
+def ridge_coefficients(design, targets, encoding, seeds, alpha, tolerance=1e-11, max_rounds=5000):
+    """Rows (i, w): per design column the coefficients of all targets, one split after the other.
+
+    Ridge regression on columns of unit deviation with a free intercept, the column
+    `encoding.width`. The normal equations are never solved as a dense matrix: they are rows, and
+    conjugate gradients multiply them by a row of numbers for each column. All splits and targets
+    take their steps together; per step only a few sums for each reach the driver. Raises where
+    residuals do not fall below `tolerance` of the right-hand side. Columns without any item have
+    no row.
+    """
+    gram = _gram(design, seeds)
+    width = targets.first()
+    if width is None:
+        raise ValueError("there are no items to learn from")
+    width = len(width["t"])
+    numbers = range(width)
+    products = targets.join(design.select("item_id", "row"), "item_id").select(
+        "split", "t", F.explode("row").alias("e")).groupBy("split", F.col("e.i").alias("i")).agg(
+        *[F.sum(F.col("e.a") * F.col("t")[k]).alias(f"t{k}") for k in numbers])
+    zero = F.array_repeat(F.lit(0.0), width)
+    right = F.array(*[F.coalesce(F.col(f"t{k}"), F.lit(0.0)) * F.col("e") for k in numbers])
+    state = written(_scaling(design, seeds, gram, alpha, encoding.width).join(
+        products, ["split", "i"], "left").select(
+        "split", "i", "e", "f", zero.alias("x"), right.alias("r"), right.alias("p")), "ridge-state")
+    dot = lambda a, b, name: F.array(*[F.sum(F.col(a)[k] * F.col(b)[k]) for k in numbers]).alias(name)
+    limit = None
+    for _ in range(max_rounds):
+        steps = gram.join(state.select("split", F.col("i").alias("j"), "e", "p"), ["split", "j"])
+        product = steps.groupBy("split", "i").agg(
+            *[F.sum(F.col("g") * F.col("e") * F.col("p")[k]).alias(f"y{k}") for k in numbers])
+        image = F.array(*[F.coalesce(F.col(f"y{k}"), F.lit(0.0)) * F.col("e") + F.col("f") * F.col("p")[k]
+                          for k in numbers])
+        state = written(state.join(product, ["split", "i"], "left").select(
+            *state.columns, image.alias("y")), "ridge-step")
+        sums = state.groupBy("split").agg(
+            dot("r", "r", "rr"), dot("p", "y", "py"), dot("r", "y", "ry"), dot("y", "y", "yy")).collect()
+        limit = limit or {s["split"]: [tolerance ** 2 * v for v in s["rr"]] for s in sums}
+        moves, done = [], True
+        for s in sums:    # a row for each split
+            far, near, turn = [], [], []
+            for k in numbers:
+                going = s["rr"][k] > limit[s["split"]][k] and s["py"][k] > 0
+                a = s["rr"][k] / s["py"][k] if going else 0.0
+                left = max(s["rr"][k] - 2 * a * s["ry"][k] + a * a * s["yy"][k], 0.0)
+                far.append(a)
+                near.append(-a)
+                turn.append(left / s["rr"][k] if going else 0.0)
+                done = done and not going
+            moves.append((s["split"], far, near, turn))
+        if done:
+            break
+        arrays = pa.list_(pa.float64())
+        moves = local_table(gram.sparkSession, moves, {
+            "split": pa.int32(), "far": arrays, "near": arrays, "turn": arrays})
+        state = state.join(moves, "split").withColumn("x", _plus("x", "p", "far")).withColumn(
+            "r", _plus("r", "y", "near")).withColumn("p", _plus("r", "p", "turn")).select(
+            "split", "i", "e", "f", "x", "r", "p")
+    else:
+        raise RuntimeError(f"the ridge has not settled after {max_rounds} rounds")
+    place = F.array_position(F.array(*[F.lit(s) for s in seeds]), F.col("split"))
+    w = F.transform("x", lambda v: v * F.col("e"))
+    return state.groupBy("i").agg(F.flatten(F.transform(F.array_sort(F.collect_list(
+        F.struct(place.alias("place"), w.alias("w")))), lambda s: s["w"])).alias("w"))
+
+
+def predicted_targets(design, coefficients, width):
+    """Rows (item_id, pred): an item's predicted targets of all splits, one after the other."""
+    entries = design.select("item_id", F.explode("row").alias("e")).select(
+        "item_id", F.col("e.i").alias("i"), F.col("e.a").alias("a"))
+    return entries.join(coefficients, "i").groupBy("item_id").agg(
+        F.array(*[F.sum(F.col("a") * F.col("w")[k]) for k in range(width)]).alias("pred"))
 
 
 def _with_prediction(predicted, splits, seeds, kmax):
@@ -344,7 +340,7 @@ def run_cold_start(responses, flat, seeds=(2026, 2027, 2028, 2029, 2030), ks=(0,
 
     encoded, encoding = encoded or encode_features(flat)
     totals = written(subject_totals(responses), "subject-totals")
-    packed = pack_items(responses, totals.count()).join(encoded, "item_id").persist()
+    packed = written(pack_items(responses, totals.count()).join(encoded, "item_id"), "packed-items")
     observed = packed.filter(F.col("part") == 0).select("item_id", "n_observed")
     held = held_out_items(observed, seeds, test_size, min_observed).groupBy("item_id").agg(
         F.collect_set("split").alias("test_splits"))
@@ -352,20 +348,20 @@ def run_cold_start(responses, flat, seeds=(2026, 2027, 2028, 2029, 2030), ks=(0,
     items = packed.join(written(held, "held-out"), "item_id", "left").select(
         "item_id", "part", "obs", "item_mean",
         F.coalesce("test_splits", F.array().cast("array<int>")).alias("test_splits"), "cat", "num")
+    # one row per item
+    design = written(design_entries(items.filter(F.col("part") == 0), encoding), "design")
 
     params = written(split_parameters(items, totals, seeds), "split-parameters")
     z = written(train_residuals(items, params, seeds), "train-residuals")
     factors = written(
         factor_subjects(z, kmax, subjects=totals),
         "split-factors")
-    targets = item_targets(z, factors, kmax)
-    coefficients = ridge_coefficients(items, targets, encoding, seeds, alpha)
-
-    predict = _predictor(coefficients, seeds, encoding)
-    predicted = written(items.select(
-        "item_id", "obs", "item_mean", "test_splits", predict("cat", "num").alias("pred")),
-        "predicted-items")
-    packed.unpersist()
+    targets = written(item_targets(z, factors, kmax), "item-targets")
+    coefficients = written(ridge_coefficients(design, targets, encoding, seeds, alpha), "coefficients")
+
+    pred = predicted_targets(design, coefficients, len(seeds) * (kmax + 1))
+    predicted = written(items.select("item_id", "obs", "item_mean", "test_splits").join(pred, "item_id"),
+                        "predicted-items")
     params = written(params.join(factors.select("split", "subject", "u"), ["split", "subject"],
                                  "left").select("split", "subject", "theta", "model_mean", "u"),
                      "subject-parameters")

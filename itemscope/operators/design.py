@@ -11,11 +11,6 @@ from itemscope.operators.metadata import feature_frame
 from itemscope.schema import CATEGORICAL, NUMERIC
 from itemscope.session import written
 
-# The normal equations are solved in one task up to this many design columns.
-DESIGN_COLUMNS = 4096
-# Rows made dense at a time.
-BLOCK = 4096
-
 
 class Encoding:
     """Levels per categorical column, and the layout of the design columns.
@@ -79,19 +74,29 @@ def encode_features(flat):
     return written(encoded, "encoded-items"), encoding
 
 
-def design_block(batch, first_number, width, start, stop):
-    """Dense rows start..stop of the design, with a last column of ones."""
-    cat, num = batch.column("cat"), batch.column("num")
-    n = stop - start
-    a = np.zeros((n, width + 1))
-    pos = cat.slice(start, n).flatten().to_numpy(zero_copy_only=False)
-    if len(pos):
-        a[np.repeat(np.arange(n), len(pos) // n), pos] = 1.0
-    if width > first_number:
-        a[:, first_number:width] = num.slice(start, n).flatten().to_numpy(
-            zero_copy_only=False).reshape(n, -1)
-    a[:, width] = 1.0
-    return a
+def design_entries(items, encoding):
+    """Rows (item_id, test_splits, row) with the entries (i, a) of the item's design row.
+
+    Numbers are centred and scaled over all of `items`; the last column, `encoding.width`, is 1.
+    """
+    ones = F.transform("cat", lambda i: F.struct(i.alias("i"), F.lit(1.0).alias("a")))
+    one = F.array(F.struct(F.lit(encoding.width).alias("i"), F.lit(1.0).alias("a")))
+    numbers = range(len(encoding.nums))
+    moments = items.agg(*[m(F.col("num")[j]) for j in numbers for m in (F.avg, F.var_pop)]).first() \
+        if encoding.nums else []
+    scaled = []
+    for j in numbers:    # no items: no moments, and no row that needs them
+        mean, var = (v or 0.0 for v in moments[2 * j:2 * j + 2])
+        sd = deviation(var, mean)
+        scaled.append(F.struct(F.lit(encoding.first_number + j).alias("i"),
+                               ((F.col("num")[j] - F.lit(mean)) / F.lit(sd)).alias("a")))
+    rows = F.concat(ones, F.array(*scaled), one) if scaled else F.concat(ones, one)
+    return items.select("item_id", "test_splits", rows.alias("row"))
+
+
+def deviation(var, mean):
+    """Standard deviation of a column, 1 for a column that is constant but for rounding."""
+    return var ** 0.5 if var > 1e-12 * max(1.0, mean * mean) else 1.0
 
 
 def partial_rows(sums):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from itemscope.operators import coldstart, fits, residuals
+from itemscope.operators.design import Encoding
 
 
 def _logit(p):
@@ -212,6 +213,33 @@ def test_cold_start_ignores_partitions_and_packing(run, monkeypatch):
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
 
+def test_ridge_with_many_levels(spark):
+    levels, n, alpha = 20_000, 45_000, 10.0
+    rng = np.random.default_rng(3)
+    level = np.r_[np.arange(levels), rng.integers(0, levels, n - 2 * levels), np.zeros(levels, int)]
+    t = rng.normal(size=n) + level % 7
+    held = np.arange(n) % 11 == 0
+    pdf = pd.DataFrame({"item_id": [f"i{j}" for j in range(n)], "level": level, "t": t, "held": held})
+    items = spark.createDataFrame(pdf)
+    design = items.selectExpr(
+        "item_id", "if(held, array(7), array()) as test_splits",
+        f"array(named_struct('i', cast(level as int), 'a', 1D), named_struct('i', {levels}, 'a', 1D)) as row")
+    targets = items.filter("not held").selectExpr("7 as split", "item_id", "array(t, 2 * t) as t")
+    encoding = Encoding(["c"], [], [[""] * (levels - 1)])
+    got = {r["i"]: r["w"] for r in coldstart.ridge_coefficients(
+        design, targets, encoding, [7], alpha).collect()}
+    # One category: its levels meet only through the intercept, so the solution is in closed form.
+    share = np.bincount(level, minlength=levels) / n
+    count = np.bincount(level[~held], minlength=levels)
+    total = np.bincount(level[~held], t[~held], minlength=levels)
+    size = count + alpha * share * (1 - share)
+    constant = (total.sum() - np.sum(count * total / size)) / (count.sum() - np.sum(count ** 2 / size))
+    want = (total - count * constant) / size
+    found = np.array([got[j] for j in range(levels)])
+    assert np.allclose(found[:, 0], want, atol=1e-8) and np.allclose(found[:, 1], 2 * want, atol=1e-8)
+    assert got[levels][0] == pytest.approx(constant, abs=1e-8)
+
+
 def test_cold_start_needs_enough_items(run):
     with pytest.raises(ValueError, match="eligible"):
         coldstart.run_cold_start(run[0], run[1], (1,), (0,), 5000)
