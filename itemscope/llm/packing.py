@@ -14,15 +14,14 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from itemscope.llm.common import arrow, byte_characters, prefix, slices, texts
+from itemscope.llm.common import arrow, byte_characters, slices, texts
+from itemscope.operators.ranks import running_sums
 from itemscope.session import written
 
 DIMENSIONS, LEVELS = 4, 15
-#: Curve cells are the first bits of the Hilbert index; copies share an index, so cells are salted.
-CELL_BITS, SALTS = 10, 16
 END = 0
 REMEMBERED = 1_500_000
 #: Fixed value: how byte-level BPE cuts a text into pieces.
@@ -149,7 +148,11 @@ _tokenizers = {}
 
 
 def tokenised(docs, tokenizer_path):
-    """doc_id, curve (Hilbert index, left-aligned in 64 bits), n and ids (16-bit) of every text."""
+    """doc_id, curve (Hilbert index), n, crc and ids (16-bit) of every text, NULL as the empty one.
+
+    Rows that repeat a doc_id have rows of their own; an empty table gives none; further columns
+    are dropped.
+    """
     def run(batches):
         if tokenizer_path not in _tokenizers:
             _tokenizers[tokenizer_path] = TokenIds(tokenizer_path)
@@ -159,37 +162,28 @@ def tokenised(docs, tokenizer_path):
         for part in slices(batches, limit=4 << 20):
             found = [i + end for i in known.ids(part.column("text").to_pylist())]
             arrays = [np.frombuffer(i, "<u2") for i in found]
-            curve = _curve(arrays, signs) << (64 - DIMENSIONS * LEVELS)
-            yield arrow(doc_id=part.column("doc_id"), curve=(curve, pa.int64()),
-                        n=([len(a) for a in arrays], pa.int64()), ids=(found, pa.binary()))
-    return texts(docs).mapInArrow(run, "doc_id long, curve long, n long, ids binary")
+            yield arrow(doc_id=part.column("doc_id"), curve=(_curve(arrays, signs), pa.int64()),
+                        n=([len(a) for a in arrays], pa.int64()),
+                        crc=([zlib.crc32(i) for i in found], pa.int64()), ids=(found, pa.binary()))
+    return texts(docs).mapInArrow(run, "doc_id long, curve long, n long, crc long, ids binary")
 
 
 def packed(docs, tokenizer_path, length=1024):
     """Pieces of documents in sequences of `length` tokens.
 
-    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A document is its
-    token ids and one END, a NULL or empty text END alone. Special strings inside a text are the
+    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Documents follow
+    their whole Hilbert index, equal ones their doc_id (NULL first). A document is its token ids and one END, a NULL or empty text END alone. Special strings inside a text are the
     tokenizer's special tokens. All sequences are full but the last. Rows that repeat a doc_id are
     documents of their own, a NULL doc_id stays NULL, an empty table gives no rows, further
     columns are dropped. Texts of any length are packed whole.
     """
-    rows = written(tokenised(docs, tokenizer_path), "tokenised") \
-        .withColumn("cell", prefix("curve", CELL_BITS)) \
-        .withColumn("salt", F.pmod(F.xxhash64("doc_id", "n"), F.lit(SALTS)))
-    part = ["cell", "salt"]
-    sums = rows.groupBy(*part).agg(F.sum("n").alias("held"))
-    cells = sums.groupBy("cell").agg(F.sum("held").alias("held"))
-    # One row for each of at most 2**CELL_BITS cells.
-    order = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("cell", F.coalesce(F.sum("held").over(order), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("cell").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("inside", F.coalesce(F.sum("held").over(inside), F.lit(0))) \
-        .join(cells, "cell").select(*part, (F.col("before") + F.col("inside")).alias("begin"))
-    running = Window.partitionBy(*part).orderBy("curve", "doc_id") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("since", F.coalesce(F.sum("n").over(running), F.lit(0))) \
-        .join(starts, part).select("doc_id", "ids", (F.col("begin") + F.col("since")).alias("at"))
+    rows = written(tokenised(docs, tokenizer_path).withColumn("row", F.monotonically_increasing_id()),
+                   "tokenised")
+    # Only keys and lengths are sorted. Copies share a curve, so doc_id and contents go on from there.
+    places = rows.select(F.struct("curve", "doc_id", "crc", "row").alias("place"), "n")
+    places = written(running_sums(places, [], "place", ["n"]).select(
+        F.col("place.row").alias("row"), F.col("n_before").alias("at")), "places")
+    placed = rows.select("row", "doc_id", "ids").join(places, "row").select("doc_id", "ids", "at")
 
     def cut(batches):
         for part in slices(batches, "ids"):

@@ -305,6 +305,16 @@ def test_contamination_of_short_items_and_edges(spark):
     assert decontamination.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_packing_follows_the_curve(odd, docs):
+    for table in (odd, docs):
+        rows = packing.tokenised(table, BYTE).collect()
+        rows.sort(key=lambda r: (r.curve, r.doc_id is not None, r.doc_id, r.crc))
+        ends = np.cumsum([r.n for r in rows])
+        want = Counter((r.doc_id, r.n, end - r.n) for r, end in zip(rows, ends.tolist()))
+        got = packing.packed(table.repartition(7), BYTE, 1024).where("start = 0").collect()
+        assert Counter((r.doc_id, r.doc_tokens, r.sequence_id * 1024 + r.offset) for r in got) == want
+
+
 def test_exact_duplicates(odd):
     got = exact_dedup.exact_duplicates(odd, capacity=2).collect()
     groups = defaultdict(list)
