@@ -3,9 +3,9 @@
 The index has one entry per distinct hash of a normalised text. A bucket is a range of hashes,
 named by their first bits. The directory is a table on shared files that leads from the first
 bits of a hash to its bucket; while a bucket has more entries than it may hold, it is split by one
-more bit, which doubles the directory. Where several rows share a hash, their bytes are compared by
-grouping on them. The groups are then laid out by bucket, where different texts under one hash form
-a chain; which rows are copies does not depend on that layout.
+more bit, which doubles the directory. Texts whose hash several rows share go to the task that owns their
+bucket. It compares their bytes, chains different texts under one hash, and counts the rows of each;
+which rows are copies, and which of them stays, is read from that index.
 """
 
 from pyspark.sql import Window, functions as F
@@ -17,6 +17,8 @@ from itemscope.session import written
 BUCKET_ENTRIES = 16_384
 #: Bits of a hash that one counting pass over the index tells apart.
 PASS_BITS = 12
+#: Rows of one text that may reach its owner, however many copies there are.
+COMBINED = 32
 
 
 def normalised(text):
@@ -48,38 +50,44 @@ def directory(entries, capacity=BUCKET_ENTRIES):
             return leaves, deep
 
 
-def dedup_index(docs, capacity=BUCKET_ENTRIES, row=None):
-    """Rows of `docs` and the index of those texts that several rows have.
+def dedup_index(docs, capacity=BUCKET_ENTRIES, row=None, hashed=F.xxhash64):
+    """Rows of `docs` and the index of those texts whose hash several rows have.
 
     Rows: doc_id, row (tells rows apart, also those that repeat a doc_id), h, sha (binary SHA-256
     of the normalised text). `row` names a column of unique keys, if there is one. Index: bits,
-    bucket, h, link (place in the chain of the hash), sha, group_size, keep_id, keep_row.
+    bucket, h, link (place in the chain of the hash), sha, group_size, keep_id, keep_row. `hashed`
+    gives the 64-bit hash of a column.
     """
-    number = F.col(row) if row else F.monotonically_increasing_id()
-    base = texts(docs, number.alias("row")).withColumn("norm", normalised(F.col("text"))) \
-        .withColumn("h", F.xxhash64("norm"))
+    if row is None:    # texts are read twice, so a row's key must not depend on the read
+        row = unused(docs, "__row")
+        docs = numbered(docs, row)
+    base = texts(docs, F.col(row).alias("row")).withColumn("norm", normalised(F.col("text"))) \
+        .withColumn("h", hashed("norm"))
     rows = written(base.select("doc_id", "row", "h",
                                F.unhex(F.sha2("norm", 256)).alias("sha")), "dedup-rows")
     entries = written(rows.groupBy("h").agg(F.count("*").alias("n")), "dedup-entries")
     slots, deep = directory(entries, capacity)
-    shared = written(entries.where("n > 1").select("h"), "dedup-shared")
-    # Bytes are compared by grouping on them: within each task first, so that a large group of
-    # copies leaves it as one row.
-    compared = base.select("h", "norm").join(shared, "h", "left_semi").groupBy("h", "norm") \
-        .agg(F.count("*").alias("copies")).select("h", "copies", F.unhex(F.sha2("norm", 256)).alias("sha"))
+    shared = entries.where("n > 1").withColumn("cell", prefix("h", deep)).join(slots, "cell")
+    shared = written(shared.select("h", "bits", "bucket"), "dedup-shared")
     # The smallest doc_id, NULL last; of rows that repeat it, the first.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    kept = rows.join(shared, "h", "left_semi").groupBy("h", "sha").agg(first.alias("first"))
-    owned = compared.withColumn("cell", prefix("h", deep)).join(slots, "cell") \
-        .repartition("bits", "bucket")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    # A large group of copies leaves each task as one row, and the exchange as COMBINED at most.
+    some = F.pmod(F.spark_partition_id(), F.lit(COMBINED)).alias("some")
+    combined = base.join(shared, "h").select(
+        "bits", "bucket", "h", "norm", first.alias("first"), some).groupBy(
+        "bits", "bucket", "h", "norm", "some").agg(
+        F.count("*").alias("copies"), F.min("first").alias("first"))
+    owned = combined.repartition("bits", "bucket").groupBy("bits", "bucket", "h", "norm").agg(
+        F.sum("copies").alias("group_size"), F.min("first").alias("first"))
+    owned = owned.withColumn("sha", F.unhex(F.sha2("norm", 256))).drop("norm")
     chain = Window.partitionBy("bits", "bucket", "h").orderBy("sha")
-    index = owned.withColumn("link", F.row_number().over(chain)).join(kept, ["h", "sha"]).select(
-        "bits", "bucket", "h", "link", "sha", F.col("copies").alias("group_size"),
+    index = owned.withColumn("link", F.row_number().over(chain)).select(
+        "bits", "bucket", "h", "link", "sha", "group_size",
         F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"))
     return rows, written(index, "dedup-index")
 
 
-def exact_duplicates(docs, capacity=BUCKET_ENTRIES, row=None):
+def exact_duplicates(docs, capacity=BUCKET_ENTRIES, row=None, hashed=F.xxhash64):
     """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256, row.
 
     Texts are equal when identical after each run of ASCII white space became one space; NULL is
@@ -87,7 +95,7 @@ def exact_duplicates(docs, capacity=BUCKET_ENTRIES, row=None):
     group without others; of rows that repeat the doc_id, exactly one). An empty table gives no
     rows. Further columns are dropped, whatever their names. Whole texts are compared.
     """
-    rows, index = dedup_index(docs, capacity, row)
+    rows, index = dedup_index(docs, capacity, row, hashed)
     found = index.where("group_size > 1").select("h", "sha", "group_size", "keep_id", "keep_row")
     return rows.join(found, ["h", "sha"], "left").select(
         "doc_id",

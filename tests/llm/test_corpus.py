@@ -330,6 +330,27 @@ def test_exact_duplicates(odd):
     assert kept.count() == len(groups) and kept.columns == odd.columns
 
 
+def test_exact_index_tells_texts_of_one_hash_apart(odd):
+    few = lambda norm: F.pmod(F.length(norm), F.lit(3)).cast("long") * F.lit(1 << 61)
+    rows, index = exact_dedup.dedup_index(odd, capacity=1, hashed=few)
+    groups = defaultdict(list)
+    for r in rows.collect():
+        groups[r.h, bytes(r.sha)].append((r.doc_id is None, r.doc_id, r.row))
+    found = index.collect()
+    assert Counter(r.h for r in rows.collect()).most_common(1)[0][1] > 2
+    assert {(r.h, bytes(r.sha)): (r.group_size, r.keep_id, r.keep_row) for r in found} == {
+        k: (len(v), min(v)[1], min(v)[2]) for k, v in groups.items()}
+    links = defaultdict(list)
+    for r in found:
+        links[r.h].append(r.link)
+        assert r.bucket == (r.h % (1 << 64)) >> (64 - r.bits) if r.bits else r.bucket == 0
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in links.values()) and len(found) > len(links)
+    want = {(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256)
+            for r in exact_dedup.exact_duplicates(odd).collect()}
+    got = exact_dedup.exact_duplicates(odd, hashed=few).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got} == want
+
+
 @pytest.fixture
 def cut(spark, tmp_path):
     """A folder of files, and a function that sets into how many tasks the next reads cut it."""
