@@ -6,6 +6,8 @@ at most one answer per subject); from there on, work is done per item row and on
 subjects, design columns or grid points are shuffled.
 """
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Window, functions as F
 
@@ -23,6 +25,8 @@ GRID_POINTS, GRID_START, GRID_STEP = 161, -2.0, 0.025
 _COARSE = 10
 # Answers per packed list.
 PACKED = 65_536
+# Design columns of a block whose equations are inverted together.
+BLOCK_COLUMNS = 512
 # Fixed value: factors kept at least.
 MIN_FACTORS = 8
 ITEM_MEAN = "oracle_item_mean_not_coldstart"
@@ -170,20 +174,72 @@ def _scaling(design, seeds, gram, alpha, width):
     return size.select("split", "i", (F.col("d") * scale).alias("e"), (penalty * scale * scale).alias("f"))
 
 
+def _block(encoding):
+    """Number of the block that the design column `i` belongs to.
+
+    Columns count from the intercept and the numbers on to the categorical columns with the fewest
+    levels first, so that those which most items have share a block.
+    """
+    sizes = [len(labels) + 1 for labels in encoding.levels]
+    place = F.lit(encoding.width) - F.col("i")    # the intercept and the numbers
+    begin = encoding.width - encoding.first_number + 1
+    for size, offset in sorted(zip(sizes, encoding.offsets)):
+        inside = (F.col("i") >= offset) & (F.col("i") < offset + size)
+        place = F.when(inside, F.col("i") - offset + begin).otherwise(place)
+        begin += size
+    return F.floor(place / BLOCK_COLUMNS).cast("int")
+
+
+def _inverted(key, pdf):
+    """The entries of a block's inverse, as rows (split, i, j, g), without its zeros."""
+    names, at = np.unique(pdf["i"].to_numpy(), return_inverse=True)
+    matrix = np.zeros((len(names), len(names)))
+    matrix[at, np.searchsorted(names, pdf["j"].to_numpy())] = pdf["g"].to_numpy()
+    inverse = np.linalg.inv(matrix)
+    inverse = (inverse + inverse.T) / 2
+    row, column = np.nonzero(inverse)
+    return pd.DataFrame({"split": np.full(len(row), key[0]), "i": names[row], "j": names[column],
+                         "g": inverse[row, column]})
+
+
+def _block_inverses(gram, scaling, encoding):
+    """Rows (split, i, j, g) of the inverses of the diagonal blocks of the scaled normal equations.
+
+    A block has at most `BLOCK_COLUMNS` columns, so its matrix is small whatever their number.
+    """
+    mine = scaling.withColumn("block", _block(encoding))
+    other = mine.select("split", F.col("i").alias("j"), F.col("e").alias("ej"), "block")
+    inside = gram.join(mine, ["split", "i"]).join(other, ["split", "j", "block"])
+    g = F.col("g") * F.col("e") * F.col("ej") + F.when(F.col("i") == F.col("j"), F.col("f")).otherwise(0.0)
+    own = F.when((F.col("i") == F.col("j")) & (F.col("e") == 0), 1.0).otherwise(g)    # an empty column
+    return inside.select("split", "block", "i", "j", own.alias("g")).groupBy("split", "block").applyInPandas(
+        _inverted, "split int, i int, j int, g double")
+
+
 def _plus(column, other, factor):
     """The array `column` plus the array `other` times the array `factor`."""
     return F.zip_with(column, F.zip_with(other, factor, lambda a, b: a * b), lambda a, b: a + b)
 
 
+def _times(matrix, vectors, name, width):
+    """Rows (split, i, name): the matrix of rows (split, i, j, g) times the arrays `name` by (split, i)."""
+    steps = matrix.join(vectors.select("split", F.col("i").alias("j"), name), ["split", "j"])
+    sums = steps.groupBy("split", "i").agg(
+        *[F.sum(F.col("g") * F.col(name)[k]).alias(f"s{k}") for k in range(width)])
+    return sums.select("split", "i", F.array(*[f"s{k}" for k in range(width)]).alias(name))
+
+
 def ridge_coefficients(design, targets, encoding, seeds, alpha, tolerance=1e-11, max_rounds=5000):
     """Rows (i, w): per design column the coefficients of all targets, one split after the other.
 
     Ridge regression on columns of unit deviation with a free intercept, the column
-    `encoding.width`. The normal equations are never solved as a dense matrix: they are rows, and
-    conjugate gradients multiply them by a row of numbers for each column. All splits and targets
-    take their steps together; per step only a few sums for each reach the driver. Raises where
-    residuals do not fall below `tolerance` of the right-hand side. Columns without any item have
-    no row.
+    `encoding.width`. The normal equations are never solved as one dense matrix: they are rows, and
+    conjugate gradients multiply them by a row of numbers for each column. Steps are preconditioned
+    by the inverses of the diagonal blocks of `BLOCK_COLUMNS` columns, so that a design of one block
+    needs hardly more than one step, and a wider one only as many as its blocks are entangled. All
+    splits and targets take their steps together; per step only a few sums for each reach the driver.
+    Raises where residuals, weighed by the blocks' inverses, do not fall below `tolerance` of the
+    right-hand side. Columns without any item have no row.
     """
     gram = _gram(design, seeds)
     width = targets.first()
@@ -194,34 +250,40 @@ def ridge_coefficients(design, targets, encoding, seeds, alpha, tolerance=1e-11,
     products = targets.join(design.select("item_id", "row"), "item_id").select(
         "split", "t", F.explode("row").alias("e")).groupBy("split", F.col("e.i").alias("i")).agg(
         *[F.sum(F.col("e.a") * F.col("t")[k]).alias(f"t{k}") for k in numbers])
+    scaling = written(_scaling(design, seeds, gram, alpha, encoding.width), "ridge-scaling")
+    blocks = written(_block_inverses(gram, scaling, encoding), "ridge-blocks")
+    # the equations in scaled columns, penalty included
+    at_j = scaling.select("split", F.col("i").alias("j"), F.col("e").alias("ej"))
+    penalty = F.when(F.col("i") == F.col("j"), F.col("f")).otherwise(0.0)
+    equations = written(gram.join(scaling, ["split", "i"]).join(at_j, ["split", "j"]).select(
+        "split", "i", "j", (F.col("g") * F.col("e") * F.col("ej") + penalty).alias("g")), "equations")
     zero = F.array_repeat(F.lit(0.0), width)
     right = F.array(*[F.coalesce(F.col(f"t{k}"), F.lit(0.0)) * F.col("e") for k in numbers])
-    state = written(_scaling(design, seeds, gram, alpha, encoding.width).join(
-        products, ["split", "i"], "left").select(
-        "split", "i", "e", "f", zero.alias("x"), right.alias("r"), right.alias("p")), "ridge-state")
-    dot = lambda a, b, name: F.array(*[F.sum(F.col(a)[k] * F.col(b)[k]) for k in numbers]).alias(name)
+    state = written(scaling.join(products, ["split", "i"], "left").select(
+        "split", "i", "e", zero.alias("x"), right.alias("r")), "ridge-right")
+    # z is the residual times the blocks' inverses, p the direction
+    state = written(state.join(_times(blocks, state.withColumnRenamed("r", "z"), "z", width),
+                               ["split", "i"]).withColumn("p", F.col("z")), "ridge-state")
+    dot = lambda a, b: F.array(*[F.sum(F.col(a)[k] * F.col(b)[k]) for k in numbers]).alias(a + b)
     limit = None
     for _ in range(max_rounds):
-        steps = gram.join(state.select("split", F.col("i").alias("j"), "e", "p"), ["split", "j"])
-        product = steps.groupBy("split", "i").agg(
-            *[F.sum(F.col("g") * F.col("e") * F.col("p")[k]).alias(f"y{k}") for k in numbers])
-        image = F.array(*[F.coalesce(F.col(f"y{k}"), F.lit(0.0)) * F.col("e") + F.col("f") * F.col("p")[k]
-                          for k in numbers])
-        state = written(state.join(product, ["split", "i"], "left").select(
-            *state.columns, image.alias("y")), "ridge-step")
+        image = written(_times(equations, state.withColumnRenamed("p", "y").select("split", "i", "y"),
+                               "y", width), "ridge-image")
+        turned = _times(blocks, image.withColumnRenamed("y", "q"), "q", width)
+        state = written(state.join(image, ["split", "i"]).join(turned, ["split", "i"]), "ridge-step")
         sums = state.groupBy("split").agg(
-            dot("r", "r", "rr"), dot("p", "y", "py"), dot("r", "y", "ry"), dot("y", "y", "yy")).collect()
-        limit = limit or {s["split"]: [tolerance ** 2 * v for v in s["rr"]] for s in sums}
+            dot("r", "z"), dot("p", "y"), dot("r", "q"), dot("y", "z"), dot("y", "q")).collect()
+        limit = limit or {s["split"]: [tolerance ** 2 * v for v in s["rz"]] for s in sums}
         moves, done = [], True
         for s in sums:    # a row for each split
             far, near, turn = [], [], []
             for k in numbers:
-                going = s["rr"][k] > limit[s["split"]][k] and s["py"][k] > 0
-                a = s["rr"][k] / s["py"][k] if going else 0.0
-                left = max(s["rr"][k] - 2 * a * s["ry"][k] + a * a * s["yy"][k], 0.0)
+                going = s["rz"][k] > limit[s["split"]][k] and s["py"][k] > 0
+                a = s["rz"][k] / s["py"][k] if going else 0.0
+                left = max(s["rz"][k] - a * (s["rq"][k] + s["yz"][k]) + a * a * s["yq"][k], 0.0)
                 far.append(a)
                 near.append(-a)
-                turn.append(left / s["rr"][k] if going else 0.0)
+                turn.append(left / s["rz"][k] if going else 0.0)
                 done = done and not going
             moves.append((s["split"], far, near, turn))
         if done:
@@ -229,9 +291,9 @@ def ridge_coefficients(design, targets, encoding, seeds, alpha, tolerance=1e-11,
         arrays = pa.list_(pa.float64())
         moves = local_table(gram.sparkSession, moves, {
             "split": pa.int32(), "far": arrays, "near": arrays, "turn": arrays})
-        state = state.join(moves, "split").withColumn("x", _plus("x", "p", "far")).withColumn(
-            "r", _plus("r", "y", "near")).withColumn("p", _plus("r", "p", "turn")).select(
-            "split", "i", "e", "f", "x", "r", "p")
+        state = written(state.join(moves, "split").withColumn("x", _plus("x", "p", "far")).withColumn(
+            "r", _plus("r", "y", "near")).withColumn("z", _plus("z", "q", "near")).withColumn(
+            "p", _plus("z", "p", "turn")).select("split", "i", "e", "x", "r", "z", "p"), "ridge-state")
     else:
         raise RuntimeError(f"the ridge has not settled after {max_rounds} rounds")
     place = F.array_position(F.array(*[F.lit(s) for s in seeds]), F.col("split"))

@@ -48,9 +48,14 @@ def difficulty_validity_correlations(item_table, difficulty="difficulty"):
         "column", "v", F.col("rank").alias("rv"))
     x = F.col("rd") - (F.col("n") + 1) / 2
     y = F.col("rv") - (F.col("n") + 1) / 2
-    sums = joint.join(rank_d, ["column", "d"]).join(rank_v, ["column", "v"]).groupBy("column").agg(
-        F.sum("c").alias("n"), F.sum(F.col("c") * x * y).alias("xy"),
-        F.sum(F.col("c") * x * x).alias("xx"), F.sum(F.col("c") * y * y).alias("yy"))
+    c = F.col("c")
+    # a value that many items share meets its rank as one row of sums
+    by_value = joint.join(rank_d, ["column", "d"]).groupBy("column", "v").agg(
+        F.sum("c").alias("c"), F.sum(c * x).alias("x"), F.sum(c * x * x).alias("xx"),
+        F.max("n").alias("n"))
+    sums = by_value.join(rank_v, ["column", "v"]).groupBy("column").agg(
+        F.sum("c").alias("n"), F.sum(F.col("x") * y).alias("xy"), F.sum("xx").alias("xx"),
+        F.sum(c * y * y).alias("yy"))
     rho = F.when(F.col("n") >= 3, F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy"))))
     rho = clip(rho, -1.0, 1.0)
     out = names.join(sums, "column", "left").select(

@@ -204,6 +204,7 @@ def test_cold_start_summaries(run):
 def test_cold_start_ignores_partitions_and_packing(run, monkeypatch):
     cells, flat, first = run
     monkeypatch.setattr(coldstart, "PACKED", 5)  # items are now split over three lists
+    monkeypatch.setattr(coldstart, "BLOCK_COLUMNS", 7)  # and the ridge takes steps between blocks
     again = coldstart.run_cold_start(cells.repartition(3), flat.repartition(2), (1, 2), (0, 3), 20,
                                      min_observed=6)
     key = lambda r: (r["split"], r["subject"], r["item_id"])
