@@ -4,7 +4,7 @@ Candidates of all documents are counted by the distinct repositories and owners
 A value that many owners hold is a copied example; one that a single owner holds looks live.
 """
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from itemscope.session import written
 
@@ -21,41 +21,34 @@ KINDS = ("assign", "access", "hex", "opaque")
 COPIED_OWNERS = 3
 
 
+_FOUND = "array<struct<kind:int,place:int,gap:int,size:int,long:int,hash:binary>>"
+
+
 def _matches(text, pattern, kind, values=None):
-    """Spans (start, kind, end, hash) of the leftmost matches, in code points.
+    """The leftmost matches of a text in order: kind, place, gap, size, long and hash of each.
 
-    The text between matches comes from a split by the same pattern, so positions are sums of
-    lengths. Only a hash of a value leaves the expression.
+    The text between matches comes from a split by the same pattern; `gap` is its length before the
+    match, in code points. Only the length and a hash of a value leave the expression.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = found if values is None else values
-    gaps = F.split(text, pattern, -1)
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,hash:binary,long:int>>")
-
-    def step(state, at):
-        start = state["at"] + F.length(at["gap"])
-        end = start + F.length(at["match"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"),
-                        end.alias("end"), F.unhex(F.sha2(at["value"], 256)).alias("hash"),
-                        F.length(at["value"]).alias("long"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
-
-    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("match"),
-                          values.alias("value"))
-    return F.aggregate(zipped, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")),
-                       step, lambda state: state["spans"])
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+    zipped = F.arrays_zip(gaps.alias("gap"), found.alias("match"), values.alias("value"))
+    return F.transform(zipped, lambda at, place: F.struct(
+        F.lit(KINDS.index(kind)).alias("kind"), place.alias("place"), F.length(at["gap"]).alias("gap"),
+        F.length(at["match"]).alias("size"), F.length(at["value"]).alias("long"),
+        F.unhex(F.sha2(at["value"], 256)).alias("hash")))
 
 
 def _candidates(text):
-    """All candidate spans of a text, those of the base patterns and the opaque values."""
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,hash:binary,long:int>>")
+    """All matches of a text, those of the base patterns and the opaque values."""
+    none = F.array().cast(_FOUND)
     lowered = F.lower(text)
     keyed = F.lit(False)
     for word in KEYWORDS:
         keyed = keyed | lowered.contains(word)
     values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    assign = F.when(keyed, F.filter(_matches(text, ASSIGN, "assign", values),
-                                    lambda s: s["long"] >= 6)).otherwise(none)
+    assign = F.when(keyed, _matches(text, ASSIGN, "assign", values)).otherwise(none)
     access = F.when(text.contains("AKIA"), _matches(text, ACCESS, "access")).otherwise(none)
     hexes = F.when(text.rlike(HEX), _matches(text, HEX, "hex")).otherwise(none)
     mixed = r"[A-Za-z0-9+/_-]{24}"
@@ -68,7 +61,38 @@ def _opaque(text):
     # Values without a capital, a small letter and two digits are marked by an empty value.
     looks = F.transform(found, lambda v: F.when(
         v.rlike("[A-Z]") & v.rlike("[a-z]") & v.rlike("[0-9].*[0-9]"), v).otherwise(F.lit("")))
-    return F.filter(_matches(text, OPAQUE, "opaque", looks), lambda s: s["long"] > 0)
+    return _matches(text, OPAQUE, "opaque", looks)
+
+
+def _spans(rows):
+    """Rows (row, owner, kind, start, end, hash): the candidate spans of all rows, in code points.
+
+    A match ends where the gaps and matches up to it end, a running sum over its row and kind.
+    """
+    every = rows.where(F.size("found") > 0).select("row", "owner", F.inline("found"))
+    until = Window.partitionBy("row", "kind").orderBy("place").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    every = every.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(until))
+    least = F.when(F.col("kind") == KINDS.index("assign"), 6).otherwise(1)
+    return every.where(F.col("long") >= least).select(
+        "row", "owner", "kind", (F.col("end") - F.col("size")).alias("start"), "end", "hash")
+
+
+def _outside_base(spans):
+    """`spans` with `free`: whether no base span of the row overlaps the span.
+
+    Of the spans that start no later, the furthest end of a base span decides; of those that start
+    later, the first start of one.
+    """
+    base = F.col("kind") < KINDS.index("opaque")
+    forth = Window.partitionBy("row").orderBy("start", "kind", "end").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind"), F.desc("end")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return spans.withColumn("reached", F.max(F.when(base, F.col("end"))).over(forth)).withColumn(
+        "next", F.min(F.when(base, F.col("start"))).over(back)).withColumn(
+        "free", ~(F.coalesce(F.col("reached") > F.col("start"), F.lit(False))
+                  | F.coalesce(F.col("next") < F.col("end"), F.lit(False)))).drop("reached", "next")
 
 
 def ownership(spans, owner="owner"):
@@ -89,25 +113,21 @@ def secret_spans(docs, owner="source", copied_owners=COPIED_OWNERS):
     results of their own; an empty table gives no rows; further columns are dropped. Whole texts
     are searched, in the JVM.
     """
-    spans = _candidates(F.coalesce(F.col("text"), F.lit("")))
     rows = written(docs.select(
         "doc_id", F.monotonically_increasing_id().alias("row"), F.col(owner).alias("owner"),
-        F.array_sort(spans).alias("found")), "secret-rows")
-    single = rows.where(F.size("found") > 0).select("row", "owner", F.explode("found").alias("s")) \
-        .select("row", "owner", "s.*")
+        _candidates(F.coalesce(F.col("text"), F.lit(""))).alias("found")), "secret-rows")
+    single = written(_spans(rows), "secret-spans")
     owned = single.join(ownership(single), "hash").withColumn(
         "copied", F.col("owners") >= copied_owners)
-    decided = owned.groupBy("row").agg(F.array_sort(F.collect_list(
-        F.struct("start", "kind", "end", "copied"))).alias("all"))
     opaque = KINDS.index("opaque")
+    kept = _outside_base(owned.select("row", "kind", "start", "end", "copied")).where(
+        (F.col("kind") < opaque) | (F.col("free") & ~F.col("copied")))
+    decided = kept.groupBy("row").agg(F.array_sort(F.collect_list(
+        F.struct("start", "kind", "end", "copied"))).alias("kept"))
     joined = rows.drop("found", "owner").join(decided, "row", "left").withColumn(
-        "all", F.coalesce("all", F.array().cast(
+        "kept", F.coalesce("kept", F.array().cast(
             "array<struct<start:bigint,kind:int,end:bigint,copied:boolean>>")))
-    base = F.filter("all", lambda s: s["kind"] < opaque)
-    joined = joined.withColumn("base", base)
-    added = F.filter("all", lambda s: (s["kind"] == opaque) & ~s["copied"] & ~F.exists(
-        F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    joined = joined.withColumn("kept", F.array_sort(F.concat("base", added)))
+    joined = joined.withColumn("base", F.filter("kept", lambda s: s["kind"] < opaque))
 
     def listed(column):
         names = F.array(*map(F.lit, KINDS))

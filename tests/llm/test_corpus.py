@@ -1,5 +1,7 @@
 import hashlib
 import os
+import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -475,3 +477,47 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == \
         {i for i, _ in plain(kept)}
+
+
+def _secrets_by_hand(text):
+    """Base spans (kind, start, end) of a text, read one match after the other."""
+    kinds = {"assign": secret_scan.ASSIGN, "access": secret_scan.ACCESS, "hex": secret_scan.HEX}
+    return sorted((m.start(), list(kinds).index(kind), kind, m.end()) for kind, pattern in kinds.items()
+                  for m in re.finditer(pattern, text) if kind != "assign" or len(m[2]) >= 6)
+
+
+def test_secrets_of_a_long_text_with_many_matches_and_clashing_columns(spark):
+    draw = random.Random(5)
+    pieces = [lambda: "%024x" % draw.getrandbits(96), lambda: "é token = \"%06d\"" % draw.randrange(10 ** 6),
+              lambda: "secret:ab", lambda: "AKIA" + "A1B2" * 4, lambda: "Aa1" * 9 + str(draw.random())[2:12],
+              lambda: "password=" + "%030x" % draw.getrandbits(120), lambda: "plain words"]
+    long = " ".join(draw.choice(pieces)() for _ in range(12_000))
+    docs = spark.createDataFrame([(1, long, "a"), (2, "", "b"), (3, None, None)],
+                                 "doc_id long, text string, source string")
+    for name in ("row", "owner", "hash", "found", "kind", "start", "kept", "base"):
+        docs = docs.withColumn(name, F.lit("x"))
+    got = {r.doc_id: r for r in secret_scan.secret_spans(docs).collect()}
+    want = _secrets_by_hand(long)
+    listed = ",".join(f"{kind}:{start}:{end}" for start, _, kind, end in want)
+    assert len(want) > 5_000 and got[1].base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+    assert (got[1].n_assign, got[1].n_access, got[1].n_hex) == tuple(
+        sum(k == kind for _, _, k, _ in want) for kind in ("assign", "access", "hex"))
+    base = [(s, e) for s, _, _, e in want]
+    added = [tuple(map(int, s.split(":")[1:])) for s in got[1].spans.split(",") if s.startswith("opaque")]
+    alone = [m.span() for m in re.finditer(secret_scan.OPAQUE, long)
+             if re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0]) and re.search("[0-9].*[0-9]", m[0])
+             and not any(b < m.end() and m.start() < e for b, e in base)]
+    assert added == alone and added
+    assert got[2].spans == got[3].spans == ""
+
+
+def test_contamination_of_a_long_text_with_clashing_columns(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    long = ("filler words here " * 60_000) + item + (" other things" * 60_000)
+    docs = spark.createDataFrame([(1, long), (2, "w1 w2"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("a", item), ("b", None)], "item_id string, text string")
+    for name in ("item_id", "words", "hash", "row", "__row"):
+        docs = docs.withColumn(name, F.lit("x"))
+    got = {r.doc_id: r for r in decontamination.contamination(docs, items).collect()}
+    assert (got[1].n_words, got[1].n_hit, got[1].n_items) == (180_000 + 12 * 1 + 120_000, 12, 1)
+    assert got[1].contaminated and not got[2].contaminated and not got[3].contaminated
