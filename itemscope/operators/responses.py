@@ -9,15 +9,17 @@ from itemscope.schema import LONG, SHORT
 def wide_to_long(matrix, value="y"):
     """Subject x item frame to rows (subject, item_id, value); missing cells give no row.
 
-    Older exports keep the subject in the first column under another name.
+    A number other than 0 and 1 is an error. Older exports keep the subject in the first column under another name.
     """
     subject = "model" if "model" in matrix.columns else matrix.columns[0]
     items = [c for c in matrix.columns if c != subject]
     numeric = matrix.select(F.col(f"`{subject}`").cast("string").alias("subject"), *[
         F.col(f"`{c}`").try_cast("double").alias(c) for c in items])
     long = numeric.unpivot("subject", [f"`{c}`" for c in items], "item_id", value)
+    refused = F.raise_error(F.concat(F.lit("the answer of "), F.col("subject"), F.lit(" to "), F.col("item_id"),
+                                     F.lit(" is neither 0 nor 1: "), F.col(value).cast("string")))
     return long.filter(F.col(value).isNotNull() & ~F.isnan(value)).withColumn(
-        value, F.col(value).cast("int"))
+        value, F.when(F.col(value).isin(0.0, 1.0), F.col(value).cast("int")).otherwise(refused.cast("int")))
 
 
 def prediction_columns(metadata):

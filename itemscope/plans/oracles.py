@@ -485,6 +485,9 @@ select 'mock' as model, household_id, decision,
   row_number() over (order by household_id) - 1 as row_number
 from decided where decision is not null"""
 
+    out["response_matrix_file"] = _with(_BASE) + """
+select item_id as subject, subject || ', "asked"' as item_id, y from obs"""
+
     out["subject_summary"] = _with(_BASE, _MOMENTS, """
 totals as (
   select subject, cast(sum(y) as bigint) as correct, count(y) as observed_total from obs group by 1)

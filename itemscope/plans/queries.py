@@ -349,6 +349,18 @@ def saved_table_read_back(spark, sf_dir):
     return rounded(tables.read_csv(spark, f"{folder}/item_params", tables.ITEM_PARAMS))
 
 
+def response_matrix_file(spark, sf_dir):
+    """A wide matrix written as CSV, with the parts as its subjects and a comma in the names of its
+    columns, and its rows as the reader gives them."""
+    folder = f"{shared_dir(spark)}/itemscope/matrix-{uuid.uuid4().hex}"
+    nations = [r[0] for r in starschema.table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("n"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))).orderBy("n_nationkey").collect()]
+    wide = starschema.responses(spark, sf_dir).groupBy("item_id").pivot("subject", nations).agg(F.max("y"))
+    wide.select(F.col("item_id").alias("model"), *[F.col(n).alias(f'{n}, "asked"') for n in nations]).write.csv(
+        folder, header=True, escape='"')
+    return tables.read_response_matrix(spark, folder)
+
+
 ALL = {f.__name__: f for f in (
     model_performance, paired_comparisons, decision_matrix_long, vote_fraction_summary,
     flattened_metadata, severity_scores, feature_frame, ability_with_performance,
@@ -361,4 +373,4 @@ ALL = {f.__name__: f for f in (
     coldstart_by_split, coldstart_summary, coldstart_diagnostics, coldstart_diagnostics_summary,
     coldstart_decision_summary, household_complete, household_sample, agent_batch_decide,
     run_accuracy, run_metadata, agent_decisions_round_trip, subject_summary, rasch_fit, rasch_fit_items, twopl_fit, kfactor_fit,
-    saved_table_read_back)}
+    saved_table_read_back, response_matrix_file)}

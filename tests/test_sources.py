@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from itemscope.operators import households
+from itemscope.operators import households, responses
 from itemscope.plans.analysis import analysis_tables, run_analysis
 from itemscope.schema import ITEM_PARAMS, LONG, SHORT, household
 from itemscope.sources import runs, tables
@@ -231,3 +231,46 @@ def test_text_with_quotes_survives_csv(spark, tmp_path):
     tables.save_tables({"t": df}, str(tmp_path))
     back = tables.read_csv(spark, f"{tmp_path}/t", df.schema)
     assert sorted(map(tuple, back.collect())) == rows
+
+
+def test_response_matrix_cells(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(
+        '\ufeffmodel,"i,1","say ""x""",i3\r\n"m, 1",1,"0",\r\nmodel,"i,1","say ""x""",i3\r\n'.replace(
+            '\r\nmodel,"i,1","say ""x""",i3', '\r\nmodel,NA, 1.0 ,0') + "\r\nm2,,,1\r\nshort,1\r\n")
+    got = to_rows(tables.read_response_matrix(spark, str(tmp_path / "a.csv")), "subject", "item_id")
+    assert got == [("m, 1", "i,1", 1), ("m, 1", 'say "x"', 0), ("m2", "i3", 1), ("model", "i3", 0),
+                   ("model", 'say "x"', 1), ("short", "i,1", 1)]
+    # a line that equals the header is a line of answers, and names are no answers
+    for name, text, told in (("b", "model,i1\nm,0\nmodel,i1\n", "model to i1 is neither 0 nor 1: i1"),
+                             ("c", "model,i1\nm,0.7\n", "m to i1 is neither 0 nor 1: 0.7"),
+                             ("d", "model,i1\nm,0,1\n", "more cells than the header: m")):
+        (tmp_path / f"{name}.csv").write_text(text)
+        with pytest.raises(Exception, match=told):
+            tables.read_response_matrix(spark, str(tmp_path / f"{name}.csv")).collect()
+    wide = spark.createDataFrame([("s", 0.7)], "model string, i1 double")
+    with pytest.raises(Exception, match="s to i1 is neither 0 nor 1: 0.7"):
+        responses.wide_to_long(wide).collect()
+
+
+def test_core_tables_in_parquet(spark, tmp_path):
+    tables_of = {"response_matrix": spark.createDataFrame([("m", 1.0, None)], "model string, i1 double, `i.2` double"),
+                 "case_metadata": spark.createDataFrame([("i1", "x")], "item_id string, ground_truth_mapped string"),
+                 "irt_1pl_item_parameters": spark.createDataFrame([("i1", "0.5")], "item_id string, difficulty string")}
+    for name, df in tables_of.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    (tmp_path / "irt_1pl_subject_ability.csv").write_text("model,ability\nm,1.5\n")
+    core = tables.load_core_tables(spark, str(tmp_path))
+    assert to_rows(core["responses"]) == [("m", "i1", 1)]
+    assert to_rows(core["matrix_items"], "item_id") == [("i.2",), ("i1",)]
+    assert to_rows(core["item_params"]) == [("i1", 0.5)]
+    assert core["subject_ability"].first()["ability"] == 1.5
+
+
+def test_factor_tables_of_several_sizes(spark, tmp_path):
+    for k in (2, 3):
+        names = ",".join(f"factor_{i + 1}" for i in range(k))
+        (tmp_path / f"f{k}.csv").write_text(
+            f"k_factors,model,bias,{names},correct,accuracy\n{k},m,0.5," + ",".join("123"[:k]) + ",7,0.25\n")
+    got = tables.read_factors(spark, [f"{tmp_path}/f2.csv", f"{tmp_path}/f3.csv"])
+    assert got.columns == ["k_factors", "model", "bias", "factor_1", "factor_2", "factor_3", "correct", "accuracy"]
+    assert to_rows(got, "k_factors") == [(2, "m", 0.5, 1.0, 2.0, None, 7, 0.25), (3, "m", 0.5, 1.0, 2.0, 3.0, 7, 0.25)]
