@@ -521,3 +521,38 @@ def test_contamination_of_a_long_text_with_clashing_columns(spark):
     got = {r.doc_id: r for r in decontamination.contamination(docs, items).collect()}
     assert (got[1].n_words, got[1].n_hit, got[1].n_items) == (180_000 + 12 * 1 + 120_000, 12, 1)
     assert got[1].contaminated and not got[2].contaminated and not got[3].contaminated
+
+
+@pytest.mark.parametrize("prior", [0.15, 0.45])
+def test_unlabelled_learning_minimises_its_risk(prior):
+    """The weights found are those of least non-negative risk, by a plain search over slopes."""
+    rng = np.random.default_rng(11)
+    n, k = 900, 6
+    toxic = rng.random(n) < prior
+    has = rng.random((n, k)) < np.where(toxic[:, None], np.linspace(0.6, 0.2, k), 0.2)
+    known = rng.random((300, k)) < np.linspace(0.6, 0.2, k)
+    x, side = np.vstack([known, has]).astype(float), np.r_[np.ones(300, int), np.zeros(n, int)]
+
+    def risk(w):
+        f = x @ w[:-1] + w[-1]
+        pos, below = f[side == 1], np.logaddexp(0, f)
+        rest = below[side == 0].mean() - prior * below[side == 1].mean()
+        assert rest > 0    # here the estimate of the negatives needs no bound
+        return prior * np.logaddexp(0, -pos).mean() + rest + toxicity.DECAY / 2 * (w[:-1] ** 2).sum()
+
+    weights, bias = toxicity._nnpu([np.flatnonzero(r).tolist() for r in x], side, k, prior)
+    w = np.append(weights, bias)
+    eye = np.eye(k + 1)
+    slope = np.array([(risk(w + 1e-5 * e) - risk(w - 1e-5 * e)) / 2e-5 for e in eye])
+    assert np.abs(slope).max() < 2e-3
+    assert all(risk(w) <= risk(w + s * e) + 1e-6 for e in eye for s in (-0.1, 0.1))
+
+
+def test_a_negative_estimate_below_zero_is_driven_back():
+    """Unlabelled rows all like the positives: without the bound the risk has no least value."""
+    rows, side = [[0]] * 40 + [[0]] * 40 + [[1]] * 2, np.r_[np.ones(40, int), np.zeros(42, int)]
+    weights, bias = toxicity._nnpu(rows, side, 2, 0.99)
+    f = np.array([weights[r[0]] + bias for r in rows])
+    below = np.logaddexp(0, f)
+    assert np.isfinite(f).all() and np.abs(f).max() < 30
+    assert below[side == 0].mean() - 0.99 * below[side == 1].mean() > -0.2
