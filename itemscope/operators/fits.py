@@ -3,9 +3,10 @@
 Given the subjects, every item is a small ridge-penalized logistic regression on its own answers
 and is solved inside its row of the packed table. What is left is a function of the subjects
 alone: the penalized likelihood at the best items. One pass gives its value and gradient, added up
-per subject, the only rows that are shuffled. It is climbed by limited-memory quasi-Newton steps
-that count only where the likelihood rises, so a fit converges or raises. Scale and axes, which
-leave the likelihood as it is, are fixed at the end.
+per subject, the only rows that are shuffled. For few subjects a pass also adds up the whole matrix of
+second derivatives, and Newton steps settle in some ten passes; for more, it is climbed by
+limited-memory quasi-Newton steps. Either count only where the likelihood rises, so a fit converges
+or raises. Scale and axes, which leave the likelihood as it is, are fixed at the end.
 """
 
 import numpy as np
@@ -18,6 +19,9 @@ from itemscope.session import local_table, written
 
 FIT_SUBJECTS = 1_000_000  # subject parameters are held by the driver between passes
 REMEMBERED_STEPS = 12  # of the quasi-Newton direction
+WHOLE_PARAMETERS = 256  # subject parameters up to which all their second derivatives are added up
+QUASI_PASSES = 30  # after which Newton steps no longer wait for a concave likelihood
+_CROSSED = 1 << 21  # numbers of a dense block of items by subject parameters
 _EDGE = 1e-4  # mean answers are kept this far from 0 and 1
 
 
@@ -30,6 +34,10 @@ class _Model:
         self.subject_prior = np.array(subject_prior)
         self.subject_penalty = np.array(subject_penalty)
 
+    def mixed(self):
+        """Second derivatives of the log-odds, by item parameter and subject parameter."""
+        return np.zeros((len(self.item_prior), len(self.subject_prior)))
+
 
 class OnePL(_Model):
     """log-odds = theta - b; item parameter b, subject parameter theta."""
@@ -60,6 +68,9 @@ class TwoPL(_Model):
     def subject_view(self, i):
         return i[:, 1], i[:, :1]
 
+    def mixed(self):
+        return np.array([[1.0], [0.0]])
+
     def fixed(self, s):
         mean, spread = s.mean(), max(s.std(), 1e-12)
         return (s - mean) / spread, np.array([[spread, mean], [0.0, 1.0]]), np.zeros(2)
@@ -81,6 +92,10 @@ class KFactor(_Model):
     def subject_view(self, i):
         return np.zeros(len(i)), np.column_stack([np.ones(len(i)), i])
 
+    def mixed(self):
+        k = len(self.item_prior)
+        return np.hstack([np.zeros((k, 1)), np.eye(k)])
+
     def fixed(self, s):
         left, size, axes = np.linalg.svd(s[:, 1:], full_matrices=False)
         size = np.maximum(size / np.sqrt(len(s)), 1e-12)
@@ -95,7 +110,7 @@ def _solve(h, g):
 
 
 def _likelihood(eta, y):
-    return y * eta - np.logaddexp(0, eta)
+    return y * eta - np.maximum(eta, 0) - np.log1p(np.exp(-np.abs(eta)))
 
 
 def _chance(eta):
@@ -107,27 +122,50 @@ def _sums(index, size, values):
                     axis=1).reshape(size, *values.shape[1:])
 
 
+def _squares(x, weight, index, size):
+    """Weighted sums by index of the outer products of the rows of `x`."""
+    out = np.empty((size, x.shape[1], x.shape[1]))
+    for a in range(x.shape[1]):
+        for b in range(a + 1):
+            out[:, a, b] = out[:, b, a] = np.bincount(index, x[:, a] * x[:, b] * weight, size)
+    return out
+
+
 def _fit_items(model, subjects, who, item, y, n_items, steps=200):
-    """(items, likelihoods) of a block: Newton steps, halved for an item until its value rises."""
+    """(items, likelihoods) of a block: Newton steps, halved for an item until its value rises.
+
+    Items that no longer move are done, and their answers are left out of further steps.
+    """
     offset, x = model.item_view(subjects)
     offset, x = offset[who], x[who]
+    found, values = np.tile(model.item_prior, (n_items, 1)), np.zeros(n_items)
+    open_items = np.arange(n_items)
 
     def value(beta):
-        eta = offset + np.sum(x * beta[item], axis=1)
+        eta = offset + np.einsum("ij,ij->i", x, beta[item])
         penalty = np.sum(model.item_penalty * (beta - model.item_prior) ** 2, axis=1) / 2
-        return eta, np.bincount(item, _likelihood(eta, y), n_items) - penalty
+        return eta, np.bincount(item, _likelihood(eta, y), len(beta)) - penalty
 
-    beta = np.tile(model.item_prior, (n_items, 1))
+    beta = found.copy()
     eta, reached = value(beta)
     for _ in range(steps):
+        n = len(beta)
         p = _chance(eta)
-        g = _sums(item, n_items, x * (y - p)[:, None])
-        h = _sums(item, n_items, x[:, :, None] * x[:, None, :] * (p * (1 - p))[:, None, None])
+        g = _sums(item, n, x * (y - p)[:, None])
+        h = _squares(x, p * (1 - p), item, n)
         g -= model.item_penalty * (beta - model.item_prior)
         move = np.clip(_solve(h + np.diag(model.item_penalty), g), -4, 4)
-        if np.abs(move).max(initial=0) < 1e-8:
-            return beta, reached
-        size = np.ones(n_items)
+        going = np.abs(move).max(axis=1) >= 1e-6    # Newton steps leave an error of about their square
+        if not going.all():
+            done = open_items[~going]
+            found[done], values[done] = (beta + move)[~going], reached[~going]
+            if not going.any():
+                return found, values
+            kept = going[item]
+            item = (np.cumsum(going) - 1)[item[kept]]
+            offset, x, y = offset[kept], x[kept], y[kept]
+            open_items, beta, reached, move = open_items[going], beta[going], reached[going], move[going]
+        size = np.ones(len(beta))
         while True:
             eta, new = value(beta + size[:, None] * move)
             worse = new < reached - 1e-10 * (1 + np.abs(reached))
@@ -138,6 +176,30 @@ def _fit_items(model, subjects, who, item, y, n_items, steps=200):
     raise RuntimeError(f"an item did not converge in {steps} Newton steps")
 
 
+def _crossed(model, size, who, item, x, w, p, y, n_items):
+    """What the items' own best answer takes from the subjects' second derivatives, added up.
+
+    An item's share is C' H^-1 C, with H its second derivatives and C those by item and subject
+    parameters. With H = LL' it is the product of L^-1 C with itself, for many items at once.
+    """
+    q, r = x.shape[1], w.shape[1]
+    spread = (p * (1 - p))[:, None, None]
+    lower = np.linalg.cholesky(_squares(x, p * (1 - p), item, n_items) + np.diag(model.item_penalty) + 1e-9 * np.eye(q))
+    cross = x[:, :, None] * w[:, None, :] * spread - (y - p)[:, None, None] * model.mixed()
+    out = np.zeros((size * r, size * r))
+    # answers lie item by item
+    bounds, step = np.searchsorted(item, np.arange(n_items + 1)), max(1, _CROSSED // (q * size * r))
+    for a in range(0, n_items, step):
+        z = min(a + step, n_items)
+        here = slice(bounds[a], bounds[z])
+        dense = np.zeros((z - a, size, q, r))
+        np.add.at(dense, (item[here] - a, who[here]), cross[here])
+        dense = dense.transpose(0, 2, 1, 3).reshape(z - a, q, size * r)
+        dense = np.linalg.solve(lower[a:z], dense).reshape(-1, size * r)
+        out += dense.T @ dense
+    return out
+
+
 def _block(pdf):
     lengths = pdf["who"].map(len).to_numpy()
     who = np.concatenate(pdf["who"].to_numpy())
@@ -150,11 +212,16 @@ def _block(pdf):
 
 
 def _subject_sums(model, subjects):
-    """Gradient and Hessian sums by subject; a row with idx -1 holds the penalized likelihood."""
+    """Gradient and Hessian sums by subject; a row with idx -1 holds the penalized likelihood.
+
+    Up to WHOLE_PARAMETERS, rows that follow the subjects' hold what `_crossed` adds up.
+    """
     size, r = len(subjects), subjects.shape[1]
+    whole = size * r <= WHOLE_PARAMETERS
 
     def run(batches):
         total, met, likelihood = np.zeros((size, r + r * r)), np.zeros(size, bool), 0.0
+        crossed = 0.0
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -164,16 +231,27 @@ def _subject_sums(model, subjects):
             met[who] = True
             offset, w = model.subject_view(beta)
             w = w[item]
-            p = _chance(offset[item] + np.sum(w * subjects[who], axis=1))
+            p = _chance(offset[item] + np.einsum("ij,ij->i", w, subjects[who]))
             total[:, :r] += _sums(who, size, w * (y - p)[:, None])
-            total[:, r:] += _sums(who, size, (
-                w[:, :, None] * w[:, None, :] * (p * (1 - p))[:, None, None]).reshape(len(who), -1))
-        rows = np.append(np.flatnonzero(met), -1)
+            total[:, r:] += _squares(w, p * (1 - p), who, size).reshape(size, -1)
+            if whole:
+                x = model.item_view(subjects)[1][who]
+                crossed = crossed + _crossed(model, size, who, item, x, w, p, y, len(pdf))
+        if not met.any():
+            return
+        more = _cut(crossed, r + r * r) if whole else []
+        rows = np.concatenate((np.flatnonzero(met), [-1], size + np.arange(len(more))))
         yield pd.DataFrame({"idx": rows, "row": [
-            *total[met], np.append(likelihood, np.zeros(r + r * r - 1))]})
+            *total[met], np.append(likelihood, np.zeros(r + r * r - 1)), *more]})
     return run
 
 
+def _cut(matrix, width):
+    """A matrix as rows of `width` numbers, the last filled with zeros."""
+    flat = matrix.ravel()
+    return np.append(flat, np.zeros(-len(flat) % width)).reshape(-1, width)
+
+
 def _item_rows(model, subjects, m, c):
     def run(batches):
         for pdf in batches:
@@ -204,9 +282,11 @@ def pack_for_fit(responses):
 
 
 def _climb(packed, model, subjects):
-    """Value, gradient and Hessian blocks of the penalized likelihood at these subjects."""
-    r = subjects.shape[1]
+    """Value, gradient, Hessian blocks and, for few subjects, the whole negative Hessian of the
+    penalized likelihood at these subjects."""
+    size, r = subjects.shape
     width = r + r * r
+    whole = np.zeros((-(-(size * r) ** 2 // width), width)) if size * r <= WHOLE_PARAMETERS else None
     rows = packed.select("who", "ys").mapInPandas(
         _subject_sums(model, subjects), "idx int, row array<double>")
     total, value = np.zeros((len(subjects), width)), 0.0
@@ -214,12 +294,32 @@ def _climb(packed, model, subjects):
             F.array(*[F.sum(F.col("row")[j]) for j in range(width)]).alias("row")).collect():
         if s["idx"] < 0:
             value = s["row"][0]
-        else:
+        elif s["idx"] < size:
             total[s["idx"]] = s["row"]
+        else:
+            whole[s["idx"] - size] = s["row"]
     away = subjects - model.subject_prior
     value -= np.sum(model.subject_penalty * away ** 2) / 2
-    return (value, total[:, :r] - model.subject_penalty * away,
-            total[:, r:].reshape(-1, r, r) + np.diag(model.subject_penalty))
+    blocks = total[:, r:].reshape(-1, r, r) + np.diag(model.subject_penalty)
+    if whole is not None:
+        whole = -whole.ravel()[:(size * r) ** 2].reshape(size, r, size, r)
+        whole[np.arange(size), :, np.arange(size)] += blocks
+        whole = whole.reshape(size * r, size * r)
+    return value, total[:, :r] - model.subject_penalty * away, blocks, whole
+
+
+def _newton(g, whole, radius):
+    """(direction, promised rise, whether the likelihood is concave here) of the Newton step.
+
+    It is at most `radius` long along each axis of the Hessian. Where the likelihood is not concave
+    it climbs, and where it is flat it stays.
+    """
+    values, axes = np.linalg.eigh((whole + whole.T) / 2)
+    slope, size = axes.T @ g.ravel(), np.abs(values)
+    least = 1e-9 * size.max()
+    share = np.clip(np.divide(slope, size, out=np.zeros_like(size), where=size > least), -radius, radius)
+    return ((axes @ share).reshape(g.shape), np.sum(share * slope - values * share ** 2 / 2),
+            values[0] >= -least)
 
 
 def _uphill(g, h, steps):
@@ -238,32 +338,44 @@ def _uphill(g, h, steps):
 def _fit(packed, model, start, max_sweeps, tol):
     """Subjects at which the scores vanish: a Newton step by blocks moves none of them by `tol`.
 
-    A step is taken only if the likelihood rises, and halved until it does. Raises where
-    `max_sweeps` passes are not enough.
+    The first steps are quasi-Newton ones, which choose the hill. Once the likelihood is concave
+    around a point, or QUASI_PASSES are over, Newton steps end the climb where the whole Hessian is
+    known; their radius follows how well they keep what they promise. A step is taken only if the
+    likelihood rises, and made smaller until it does. Raises where `max_sweeps` passes are not enough.
     """
-    subjects, steps = start, []
-    value, g, h = _climb(packed, model, subjects)
+    subjects, steps, radius = start, [], 1.0
+    value, g, h, whole = _climb(packed, model, subjects)
     passes = 1
     while (left := np.abs(_solve(h, g)).max(initial=0)) >= tol:
-        move = _uphill(g, h, steps)
-        if np.sum(move * g) <= 0:
-            move, steps = _solve(h, g), []
-        move = move / max(1.0, np.abs(move).max())
-        rise = np.sum(move * g)
+        if whole is not None:
+            move, promised, concave = _newton(g, whole, radius)
+        newton = whole is not None and (concave or passes >= QUASI_PASSES)
+        if not newton:
+            move = _uphill(g, h, steps)
+            if np.sum(move * g) <= 0:
+                move, steps = _solve(h, g), []
+            move = move / max(1.0, np.abs(move).max())
         size = 1.0
         while True:
             if passes >= max_sweeps:
                 raise RuntimeError(f"no convergence in {max_sweeps} passes: a step still moves "
                                    f"{left:.2g}, the tolerance is {tol:.2g}")
             tried, passes = _climb(packed, model, subjects + size * move), passes + 1
-            if tried[0] >= value + 1e-4 * size * rise - 1e-11 * abs(value):
+            wanted = 0.1 * promised if newton else 1e-4 * size * np.sum(move * g)
+            if tried[0] >= value + wanted - 1e-11 * abs(value):
                 break
-            size /= 2
+            if newton:
+                radius = min(radius, np.abs(move).max()) / 4
+                move, promised, _ = _newton(g, whole, radius)
+            else:
+                size /= 2
+        if newton and tried[0] - value > 0.6 * promised:
+            radius *= 2
         turned = g - tried[1]
         if np.sum(turned * move) > 0:
             steps = [*steps[1 - REMEMBERED_STEPS:], (size * move, turned)]
         subjects = subjects + size * move
-        value, g, h = tried
+        value, g, h, whole = tried
     return subjects
 
 

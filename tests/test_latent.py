@@ -323,3 +323,47 @@ def test_a_fit_that_does_not_converge_raises(long_table):
     y = _simulate(np.linspace(-1, 1, 6), np.ones(40), np.zeros(40), 3)
     with pytest.raises(RuntimeError, match="no convergence"):
         fits.twopl_fit(long_table(y), max_sweeps=2)
+
+
+@pytest.mark.parametrize("model, passes", [(fits.TwoPL(), 40), (fits.KFactor(2), 60)])
+def test_few_subjects_settle_in_few_passes(model, passes):
+    """The whole Hessian is that of the best items, and steps with it reach the top in few passes."""
+    rng = np.random.default_rng(5)
+    n, wide = 12, len(model.subject_prior)
+    y = (rng.random((n, 1500)) < 0.5).astype(float)    # no factor stands out
+    pdf = pd.DataFrame({"who": [np.flatnonzero(s) for s in rng.random((1500, n)) < 0.7]})
+    pdf["ys"] = [y[w, i] for i, w in enumerate(pdf["who"])]
+    pdf = pdf[pdf["who"].map(len) > 0].reset_index(drop=True)
+    rows = lambda s: next(fits._subject_sums(model, s)([pdf]))
+    score = lambda s: np.array([r for i, r in zip(*rows(s).values.T) if 0 <= i < n])[:, :wide].ravel()
+    s = rng.normal(size=(n, wide)) / 2
+    found = rows(s)
+    blocks = np.array([r for i, r in zip(*found.values.T) if 0 <= i < n])[:, wide:].reshape(n, wide, wide)
+    crossed = np.concatenate([r for i, r in zip(*found.values.T) if i >= n])[:(n * wide) ** 2]
+    whole = -crossed.reshape(n, wide, n, wide)
+    whole[np.arange(n), :, np.arange(n)] += blocks
+    for j in range(n * wide):
+        step = np.zeros(n * wide)
+        step[j] = 1e-5
+        step = step.reshape(s.shape)
+        slope = (score(s + step) - score(s - step)) / 2e-5
+        assert np.allclose(-slope, whole.reshape(n * wide, -1)[:, j], atol=2e-3)
+    calls = []
+
+    def climb(packed, model, at):
+        calls.append(1)
+        out = rows(at)
+        total = np.array([r for i, r in zip(*out.values.T) if 0 <= i < n])
+        value = next(r for i, r in zip(*out.values.T) if i < 0)[0]
+        away = at - model.subject_prior
+        h = total[:, wide:].reshape(n, wide, wide) + np.diag(model.subject_penalty)
+        full = -np.concatenate([r for i, r in zip(*out.values.T) if i >= n])[:(n * wide) ** 2].reshape(n, wide, n, wide)
+        full[np.arange(n), :, np.arange(n)] += h
+        return (value - np.sum(model.subject_penalty * away ** 2) / 2,
+                total[:, :wide] - model.subject_penalty * away, h, full.reshape(n * wide, -1))
+    kept, fits._climb = fits._climb, climb
+    try:
+        fits._fit(None, model, s, 300, 1e-5)
+    finally:
+        fits._climb = kept
+    assert len(calls) <= passes
