@@ -9,14 +9,15 @@ subjects, design columns or grid points are shuffled.
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window, functions as F
 
 from itemscope.functions.scalar import (
     rasch_probability, safe_logit, sigmoid, standardized_residual)
-from itemscope.operators.design import design_entries, encode_features
+from itemscope.operators.design import design_entries, encode_features, partial_rows, sum_rows
 from itemscope.operators.performance import binary_metrics
 from itemscope.operators.ranks import hash_positions
-from itemscope.operators.residuals import factor_subjects
+from itemscope.operators.residuals import collected_rows, factor_subjects, spanned, spanned_factors
 from itemscope.operators.responses import require_metadata
 from itemscope.session import local_table, written
 
@@ -133,6 +134,146 @@ def item_targets(z, factors, kmax):
                        F.array("b", *[f"v{i}" for i in range(kmax)]).alias("t"))
 
 
+class _Few:
+    """Numbers of a few subjects as arrays by split, for tasks that hold whole items."""
+
+    def __init__(self, params, seeds, kmax):
+        rows = params.collect()    # a row for each split and subject
+        self.names = sorted({r["subject"] for r in rows if r["subject"] is not None})
+        number = {name: i for i, name in enumerate(self.names)}
+        self.seeds, self.kmax = seeds, kmax
+        self.theta = {s: np.full(len(number), np.nan) for s in seeds}
+        self.u = {s: np.zeros((len(number), kmax)) for s in seeds}
+        self.scale = {s: np.zeros(kmax) for s in seeds}
+        self.b_center = dict.fromkeys(seeds, np.nan)
+        for r in (r.asDict() for r in rows if r["subject"] is not None):
+            split, i = r["split"], number[r["subject"]]
+            self.theta[split][i] = np.nan if r["theta"] is None else r["theta"]
+            self.b_center[split] = r.get("b_center") if r.get("b_center") is not None else np.nan
+            loads = (r.get("u") or [])[:kmax]
+            self.u[split][i, :len(loads)] = loads
+            sizes = (r.get("s") or [])[:kmax]
+            self.scale[split][:len(sizes)] = sizes
+
+    def cells(self, batch):
+        """Row, subject number and answer of every packed answer of a known subject."""
+        lists = batch.column("obs")
+        flat = lists.flatten()
+        row = lists.value_parent_indices().to_numpy(zero_copy_only=False)
+        who = pc.fill_null(pc.index_in(flat.field("subject"), pa.array(self.names, pa.string())), -1).to_numpy()
+        y = flat.field("y").to_numpy(zero_copy_only=False).astype(float)
+        known = who >= 0
+        return row[known], who[known], y[known]
+
+    def train(self, batch, split):
+        """Whether each row is a train item of `split`."""
+        held = np.zeros(len(batch), bool)
+        lists = batch.column("test_splits")
+        held[lists.value_parent_indices().to_numpy(zero_copy_only=False)[
+            lists.flatten().to_numpy(zero_copy_only=False) == split]] = True
+        return ~held
+
+    def residuals(self, batch):
+        """(split, difficulties, residuals as a dense block, their squares' sums, their numbers) per split."""
+        row, who, y = self.cells(batch)
+        mean = np.clip(batch.column("item_mean").to_numpy(zero_copy_only=False), 1e-4, 1 - 1e-4)
+        raw = -np.log(mean / (1 - mean))
+        for split in self.seeds:
+            here = self.train(batch, split)[row] & ~np.isnan(self.theta[split][who])
+            r, w = row[here], who[here]
+            b = raw - self.b_center[split]
+            p = 1 / (1 + np.exp(-(self.theta[split][w] - b[r])))
+            z = (y[here] - p) / np.sqrt(np.maximum(p * (1 - p), 1e-4))
+            dense = np.zeros((len(batch), len(self.names)))
+            np.add.at(dense, (r, w), z)
+            yield split, b, dense, np.bincount(r, z * z, len(batch)), np.bincount(r, minlength=len(batch))
+
+
+def few_subject_factors(items, params, subjects, seeds, kmax):
+    """`factor_subjects` of the train residuals where the subjects are few: rows (split, subject, u, s, total).
+
+    Items are whole rows, so each task works out their residuals, adds up the subjects' Gram matrix
+    and forgets them: they are neither written nor moved.
+    """
+    few = _Few(params, seeds, kmax)
+    n = len(few.names)
+
+    def run(batches):
+        sums = {}
+        for batch in batches:
+            for split, _, dense, squares, number in few.residuals(batch):
+                part = np.zeros((n + 2, n))    # two more rows for the sum of squares and the items
+                part[:n] = dense.T @ dense
+                part[n, 0], part[n + 1, 0] = squares.sum(), np.count_nonzero(number)
+                sums[split] = sums.get(split, 0.0) + part
+        yield from partial_rows(sums)
+    found = collected_rows(sum_rows(items.select("obs", "item_mean", "test_splits").mapInArrow(
+        run, "split int, i int, row array<double>"), ["split", "i"]))
+    found = {s: m for s, m in found.items() if m[n + 1, 0]}
+    names = few.names + [r["subject"] for r in subjects.filter("subject is null").select(
+        "subject").distinct().collect()]
+    return spanned_factors(items.sparkSession, {s: m[:n] for s, m in found.items()}, names, kmax, {
+        s: {"total": m[n, 0], "items": int(m[n + 1, 0])} for s, m in found.items()})
+
+
+def few_subject_targets(items, params, factors, seeds, kmax):
+    """`item_targets` of few subjects: rows (split, item_id, t), each made in its item's task."""
+    few = _Few(params.join(factors, ["split", "subject"], "left"), seeds, kmax)
+
+    def run(batches):
+        for batch in batches:
+            for split, b, dense, _, number in few.residuals(batch):
+                s = few.scale[split]
+                share = np.divide(few.u[split], s, out=np.zeros_like(few.u[split]),
+                                  where=np.broadcast_to(s > 1e-9, few.u[split].shape))
+                here = np.flatnonzero(number)
+                t = np.hstack([b[:, None], dense @ share])[here]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(here), split), pa.int32()), batch.column("item_id").take(pa.array(here)),
+                     pa.array(list(t), pa.list_(pa.float64()))], ["split", "item_id", "t"])
+    return items.select("item_id", "obs", "item_mean", "test_splits").mapInArrow(
+        run, "split int, item_id string, t array<double>")
+
+
+def _few_subject_losses(predicted, params, ks, seeds, kmax):
+    """What `_mean_losses` gives, added up in the tasks that hold the items of few subjects."""
+    few = _Few(params, seeds, kmax)
+
+    def mean(stride, count, low=None):
+        begin = {} if low is None else {(r["split"], r["k"]): r["low"] for r in low.collect()}
+
+        def run(batches):
+            sums = {}
+            for batch in batches:
+                row, who, y = few.cells(batch)
+                pred = np.array(batch.column("pred").to_pylist(), float).reshape(len(batch), -1)
+                for at, split in enumerate(seeds):
+                    here = few.train(batch, split)[row] & ~np.isnan(few.theta[split][who])
+                    if not here.any():
+                        continue
+                    r, w, answers = row[here], who[here], y[here]
+                    t = pred[:, at * (kmax + 1):(at + 1) * (kmax + 1)]
+                    base = few.theta[split][w] - t[r, 0]
+                    for k in ks:
+                        f = (t[:, 1:k + 1] @ few.u[split][:, :k].T)[r, w]
+                        total = sums.setdefault((split, k), np.zeros(count + 1))
+                        total[count] += len(r)
+                        for i in range(count):
+                            c = (begin.get((split, k), 0) + i * stride) * GRID_STEP + GRID_START
+                            eta = base + c * f
+                            total[i] += np.sum(np.maximum(eta, 0)) + np.sum(
+                                np.log(1 + np.exp(-np.abs(eta)))) - answers @ eta
+            yield pa.RecordBatch.from_pydict({
+                "split": pa.array([s for s, _ in sums], pa.int32()), "k": pa.array([k for _, k in sums], pa.int32()),
+                "row": pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))})
+        sums = sum_rows(predicted.select("obs", "test_splits", "pred").mapInArrow(
+            run, "split int, k int, row array<double>"), ["split", "k"])
+        sums = sums.withColumn("low", F.lit(0)) if low is None else sums.join(low, ["split", "k"])
+        return sums.select("split", "k", "low", *[
+            (F.col("row")[i] / F.col("row")[count]).alias(f"l{i}") for i in range(count)])
+    return mean
+
+
 def _gram(design, seeds):
     """Rows (split, i, j, g): train sums of the products of two design columns, where any item has both.
 
@@ -334,32 +475,39 @@ def _scored_cells(rows, params, ks):
         .alias("fs") if ks else F.array().cast("array<struct<k:int,f:double>>").alias("fs"))
 
 
-def _best_of_grid(cells, stride, count, low=None):
-    """Per (split, k): the first of `count` grid numbers low, low + stride.. with the least mean
-    train log-loss. `low` is a table (split, k, low); without it the grid starts at 0."""
-    rows = cells.select("split", "y", "eta", F.explode("fs").alias("kf")).select(
-        "split", "y", "eta", "kf.k", "kf.f")
-    rows = rows.withColumn("low", F.lit(0)) if low is None else rows.join(low, ["split", "k"])
+def _mean_losses(cells):
+    """A function of (stride, count, low) that gives rows (split, k, low, l0, l1..): the mean train
+    log-loss at `count` grid numbers low, low + stride.. `low` is a table (split, k, low); without it
+    the grid starts at 0."""
+    def mean(stride, count, low=None):
+        rows = cells.select("split", "y", "eta", F.explode("fs").alias("kf")).select(
+            "split", "y", "eta", "kf.k", "kf.f")
+        rows = rows.withColumn("low", F.lit(0)) if low is None else rows.join(low, ["split", "k"])
 
-    def loss(i):
-        eta = f"(eta + ((low + {i * stride}) * {GRID_STEP}D + {GRID_START}D) * f)"
-        return F.expr(f"avg(greatest({eta}, 0D) + log1p(exp(-abs({eta}))) - y * {eta}) as l{i}")
-    mean = rows.groupBy("split", "k", "low").agg(*[loss(i) for i in range(count)])
+        def loss(i):
+            eta = f"(eta + ((low + {i * stride}) * {GRID_STEP}D + {GRID_START}D) * f)"
+            return F.expr(f"avg(greatest({eta}, 0D) + log1p(exp(-abs({eta}))) - y * {eta}) as l{i}")
+        return rows.groupBy("split", "k", "low").agg(*[loss(i) for i in range(count)])
+    return mean
+
+
+def _best_of_grid(mean, stride, count, low=None):
+    """Per (split, k): the first of `count` grid numbers low, low + stride.. with the least mean loss."""
     points = ", ".join(f"struct(l{i} as loss, low + {i * stride} as g)" for i in range(count))
     inside = F.expr(f"filter(array({points}), s -> s.g < {GRID_POINTS})")
-    return mean.select("split", "k", F.array_min(inside)["g"].alias("g"))
+    return mean(stride, count, low).select("split", "k", F.array_min(inside)["g"].alias("g"))
 
 
-def factor_scales(cells):
+def factor_scales(mean):
     """Rows (split, k, c): the first grid point with the least train loss.
 
     The loss is convex in c, so a coarse pass brackets the least point and a fine pass over the
     bracket finds it: two passes over 36 points in place of one over 161.
     """
-    coarse = _best_of_grid(cells, _COARSE, (GRID_POINTS - 1) // _COARSE + 1)
+    coarse = _best_of_grid(mean, _COARSE, (GRID_POINTS - 1) // _COARSE + 1)
     low = F.greatest(F.col("g") - (_COARSE - 1), F.lit(0))
     low = written(coarse.select("split", "k", low.alias("low")), "bracket")
-    fine = _best_of_grid(cells, 1, 2 * _COARSE - 1, low)
+    fine = _best_of_grid(mean, 1, 2 * _COARSE - 1, low)
     return fine.select("split", "k", (F.col("g") * F.lit(GRID_STEP) + F.lit(GRID_START)).alias("c"))
 
 
@@ -402,7 +550,12 @@ def run_cold_start(responses, flat, seeds=(2026, 2027, 2028, 2029, 2030), ks=(0,
 
     encoded, encoding = encoded or encode_features(flat)
     totals = written(subject_totals(responses), "subject-totals")
-    packed = written(pack_items(responses, totals.count()).join(encoded, "item_id"), "packed-items")
+    n_subjects = totals.count()
+    # A few subjects are numbers that tasks hold, so that answers stay with their items. An item with
+    # several rows of metadata has several rows, which have to meet.
+    few = n_subjects <= PACKED and spanned(n_subjects, kmax) and encoded.groupBy("item_id").count().filter(
+        "count > 1").isEmpty()
+    packed = written(pack_items(responses, n_subjects).join(encoded, "item_id"), "packed-items")
     observed = packed.filter(F.col("part") == 0).select("item_id", "n_observed")
     held = held_out_items(observed, seeds, test_size, min_observed).groupBy("item_id").agg(
         F.collect_set("split").alias("test_splits"))
@@ -414,11 +567,13 @@ def run_cold_start(responses, flat, seeds=(2026, 2027, 2028, 2029, 2030), ks=(0,
     design = written(design_entries(items.filter(F.col("part") == 0), encoding), "design")
 
     params = written(split_parameters(items, totals, seeds), "split-parameters")
-    z = written(train_residuals(items, params, seeds), "train-residuals")
-    factors = written(
-        factor_subjects(z, kmax, subjects=totals),
-        "split-factors")
-    targets = written(item_targets(z, factors, kmax), "item-targets")
+    if few:
+        factors = written(few_subject_factors(items, params, totals, seeds, kmax), "split-factors")
+        targets = written(few_subject_targets(items, params, factors, seeds, kmax), "item-targets")
+    else:
+        z = written(train_residuals(items, params, seeds), "train-residuals")
+        factors = written(factor_subjects(z, kmax, subjects=totals), "split-factors")
+        targets = written(item_targets(z, factors, kmax), "item-targets")
     coefficients = written(ridge_coefficients(design, targets, encoding, seeds, alpha), "coefficients")
 
     pred = predicted_targets(design, coefficients, len(seeds) * (kmax + 1))
@@ -428,9 +583,9 @@ def run_cold_start(responses, flat, seeds=(2026, 2027, 2028, 2029, 2030), ks=(0,
                                  "left").select("split", "subject", "theta", "model_mean", "u"),
                      "subject-parameters")
 
-    train = _scored_cells(_with_prediction(predicted, _train_splits(seeds), seeds, kmax),
-                          params, used)
-    scales = factor_scales(train) if used else responses.sparkSession.createDataFrame(
+    losses = _few_subject_losses(predicted, params, used, seeds, kmax) if few else _mean_losses(
+        _scored_cells(_with_prediction(predicted, _train_splits(seeds), seeds, kmax), params, used))
+    scales = factor_scales(losses) if used else responses.sparkSession.createDataFrame(
         [], "split int, k int, c double")
     scales = written(scales, "factor-scales")
     test = _scored_cells(

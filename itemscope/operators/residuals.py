@@ -89,10 +89,7 @@ def _crossed(rows, column):
     """{split: matrix} of the sums of outer products over the rows of each split."""
     sums = sum_rows(rows.select("split", column).mapInArrow(
         _cross(column), "split int, i int, row array<double>"), ["split", "i"])
-    out = {}
-    for r in sums.collect():    # a row for each column of the block and split
-        out.setdefault(r["split"], {})[r["i"]] = r["row"]
-    return {s: np.array([rows[i] for i in range(len(rows))]) for s, rows in out.items()}
+    return collected_rows(sums)    # a row for each column of the block and split
 
 
 def _mixed(rows, column, mixes, names):
@@ -168,7 +165,8 @@ def factor_subjects(z, k, subjects=None, tolerance=1e-12, max_rounds=200):
     A block of random columns, a row of numbers for each subject, is multiplied by Z and its
     transpose and improved over the span of the block, its residuals and its last step, until the
     residuals of all k vectors are below `tolerance` of the largest value; a block that does not get
-    there raises. Only sums of 6 x (k + SPARE) columns reach the driver, however many subjects.
+    there raises. Where the block would span all subjects, their Gram matrix is added up in one pass
+    instead. Only sums of 6 x (k + SPARE) columns reach the driver, however many subjects.
     """
     totals = {r["split"]: r for r in z.groupBy("split", "item_id").agg(
         F.sum(F.col("z") * F.col("z")).alias("q")).groupBy("split").agg(
@@ -180,6 +178,17 @@ def factor_subjects(z, k, subjects=None, tolerance=1e-12, max_rounds=200):
     if not m:
         return roster.select("split", "subject", F.lit(None).cast("array<double>").alias("u"),
                              F.lit(None).cast("array<double>").alias("s"), F.lit(None).cast("double").alias("total"))
+    if spanned(m, k):    # one pass gives the whole matrix
+        names = sorted((r["subject"] for r in roster.select("subject").distinct().collect()),
+                       key=lambda name: (name is None, name))
+        known = [name for name in names if name is not None]
+        numbers = local_table(z.sparkSession, [(name, i) for i, name in enumerate(known)],
+                              {"subject": pa.string(), "idx": pa.int32()})
+        cells = z.select("split", "item_id", "subject", "z").join(numbers, "subject").groupBy(
+            "split", "item_id").agg(F.collect_list(F.struct("idx", "z")).alias("cells"))
+        grams = _grams(cells, len(known))
+        return spanned_factors(z.sparkSession, {s: grams.get(s, np.zeros((len(known),) * 2)) for s in totals},
+                               names, k, totals)
     k = min(k, m)
     width = min(m, k + SPARE)
     noise = F.array(*[(F.xxhash64("subject", F.lit(i)) / F.lit(2.0 ** 63)) for i in range(width)])
@@ -205,22 +214,78 @@ def factor_subjects(z, k, subjects=None, tolerance=1e-12, max_rounds=200):
             "split", "subject", F.concat("x", "r", "p", "ax", "y", "ap").alias("x")), "factor-state")
     else:
         raise ValueError(f"the factors have not settled after {max_rounds} rounds")
-    counts = {s: min(k, totals[s]["items"], len(found[s][0])) for s in found}
-    singular = {s: np.sqrt(np.clip(found[s][0][:n], 0.0, None)) for s, n in counts.items()}
-    vectors = mixed.select("split", "subject", "x").withColumnRenamed("x", "u")
+    vectors = mixed.select("split", "subject", F.col("x").alias("u"))
+    return _signed(z.sparkSession, vectors, {s: values for s, (values, _) in found.items()}, totals, k)
+
+
+def _signed(spark, vectors, values, totals, k):
+    """Rows (split, subject, u, s, total) from unit vectors `u` and the Gram matrices' values."""
+    counts = {s: min(k, totals[s]["items"], len(values[s])) for s in values}
+    singular = {s: np.sqrt(np.clip(values[s][:n], 0.0, None)) for s, n in counts.items()}
     # The largest loading of a factor is positive; of equal ones, that of the first subject.
     most = vectors.select("split", "subject", F.posexplode("u").alias("i", "v")).groupBy("split", "i").agg(
         F.min_by(F.signum("v"), F.struct(-F.round(F.abs("v"), 12), "subject")).alias("sign"))
     signs = {}
     for r in most.collect():    # a row for each factor
         signs.setdefault(r["split"], {})[r["i"]] = r["sign"]
-    turned = {s: [np.eye(width)[:, :len(v)] * [signs[s][i] * np.sqrt(x) for i, x in enumerate(v)]]
+    turned = {s: [np.eye(len(values[s]))[:, :len(v)] * [signs[s][i] * np.sqrt(x) for i, x in enumerate(v)]]
               for s, v in singular.items()}
-    sizes = local_table(z.sparkSession, [(s, v.tolist(), float(totals[s]["total"])) for s, v in singular.items()],
+    sizes = local_table(spark, [(s, v.tolist(), float(totals[s]["total"])) for s, v in singular.items()],
                         {"split": pa.int32(), "s": pa.list_(pa.float64()), "total": pa.float64()})
     return _mixed(vectors, "u", turned, ["u"]).join(sizes, "split").select("split", "subject", "u", "s", "total")
 
 
+def _grams(cells, n):
+    """{split: Gram matrix} of `n` subjects from rows (split, cells), an item's residuals `z` by number `idx`.
+
+    Every task adds up the items it holds, so that residuals do not move for it.
+    """
+    def run(batches):
+        sums = {}
+        for batch in batches:
+            split, lists = batch.column("split").to_numpy(zero_copy_only=False), batch.column("cells")
+            flat = lists.flatten()
+            row = lists.value_parent_indices().to_numpy(zero_copy_only=False)
+            dense = np.zeros((len(split), n))
+            np.add.at(dense, (row, flat.field("idx").to_numpy(zero_copy_only=False)),
+                      flat.field("z").to_numpy(zero_copy_only=False))
+            for s in np.unique(split):
+                part = dense[split == s]
+                sums[s] = sums.get(s, 0.0) + part.T @ part
+        yield from partial_rows(sums)
+    return collected_rows(sum_rows(cells.select("split", "cells").mapInArrow(
+        run, "split int, i int, row array<double>"), ["split", "i"]))
+
+
+def collected_rows(rows):
+    """{split: matrix} of rows (split, i, row)."""
+    out = {}
+    for r in rows.collect():
+        out.setdefault(r["split"], {})[r["i"]] = r["row"]
+    return {s: np.array([rows[i] for i in range(len(rows))]) for s, rows in out.items()}
+
+
+def spanned(n, k):
+    """Whether a block of columns for `k` factors would span all `n` subjects, so that their Gram
+    matrix is no larger than what a round sends to the driver."""
+    return n <= k + SPARE
+
+
+def spanned_factors(spark, grams, names, k, totals):
+    """`factor_subjects` of a few subjects `names`, whose Gram matrices are known.
+
+    `totals` is {split: {"total": .., "items": ..}}.
+    """
+    values, rows = {}, []
+    for s, gram in grams.items():
+        found, vectors = np.linalg.eigh((gram + gram.T) / 2)
+        values[s], vectors = found[::-1], vectors[:, ::-1]
+        rows += [(s, name, vectors[i].tolist() if i < len(vectors) else [0.0] * len(found))
+                 for i, name in enumerate(names)]
+    vectors = local_table(spark, rows, {"split": pa.int32(), "subject": pa.string(), "u": pa.list_(pa.float64())})
+    return _signed(spark, vectors, values, totals, min(k, len(names)))
+
+
 def item_loadings(z, factors, k):
     """Rows (split, item_id, v): item loadings times the root of the singular value."""
     cells = z.join(factors.select("split", "subject", "u", "s"), ["split", "subject"])

@@ -367,3 +367,24 @@ def test_few_subjects_settle_in_few_passes(model, passes):
     finally:
         fits._climb = kept
     assert len(calls) <= passes
+
+
+def test_cold_start_of_few_subjects_moves_no_residuals(run, monkeypatch):
+    cells, flat, first = run
+    # the general way, of which a row per split and answer is written
+    monkeypatch.setattr(coldstart, "spanned", lambda n, k: False)
+    monkeypatch.setattr(residuals, "SPARE", 1)
+    general = coldstart.run_cold_start(cells, flat, (1, 2), (0, 1, 3), 20, min_observed=6)
+    monkeypatch.undo()
+
+    def refused(*_):
+        raise AssertionError("residuals of few subjects stay with their items")
+    monkeypatch.setattr(coldstart, "train_residuals", refused)
+    few = coldstart.run_cold_start(cells, flat, (1, 2), (0, 1, 3), 20, min_observed=6)
+    key = lambda r: (r["split"], r["subject"], r["item_id"])
+    want = {key(r): r["p"] for r in general.cells.collect()}
+    got = {key(r): r["p"] for r in few.cells.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][i] == pytest.approx(want[k][i], abs=1e-9) for k in want for i in (0, 1, 3))
+    scales = lambda c: sorted(map(tuple, c.scales.collect()))
+    assert scales(few) == scales(general)
