@@ -17,13 +17,14 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from itemscope.llm.common import arrow, byte_characters, slices, texts
+from itemscope.llm.common import arrow, byte_characters, release, slices, texts
 from itemscope.operators.ranks import running_sums
 from itemscope.session import written
 
 DIMENSIONS, LEVELS = 4, 15
 END = 0
-REMEMBERED = 1_500_000
+#: Chunks that a worker remembers; more of them spare hardly any time.
+REMEMBERED = 500_000
 #: Fixed value: how byte-level BPE cuts a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NUMBERS = [struct.Struct(f"<{n}H").pack for n in range(32)]
@@ -89,10 +90,16 @@ class TokenIds:
             return self._whole(text)
 
     def ids(self, batch):
-        for known in (self.first, self.spaced):
-            if len(known) > REMEMBERED:
-                known.clear()
-        return [self._one(text) for text in batch]
+        out = []
+        for text in batch:
+            if len(self.first) + len(self.spaced) > REMEMBERED:
+                self.forget()
+            out.append(self._one(text))
+        return out
+
+    def forget(self):
+        self.first.clear()
+        self.spaced.clear()
 
 
 def _signs(size):
@@ -186,6 +193,9 @@ def packed(docs, tokenizer_path, length=1024):
     placed = rows.select("row", "doc_id", "ids").join(places, "row").select("doc_id", "ids", "at")
 
     def cut(batches):
+        for known in _tokenizers.values():    # of a worker that tokenised before
+            known.forget()
+        release()
         for part in slices(batches, "ids"):
             out = []
             for doc_id, ids, at in zip(*(part.column(c).to_pylist() for c in ("doc_id", "ids", "at"))):

@@ -556,3 +556,14 @@ def test_a_negative_estimate_below_zero_is_driven_back():
     below = np.logaddexp(0, f)
     assert np.isfinite(f).all() and np.abs(f).max() < 30
     assert below[side == 0].mean() - 0.99 * below[side == 1].mean() > -0.2
+
+
+def test_packing_remembers_few_chunks(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    known = packing.TokenIds(public_tokenizers.path("byte_bpe_50k.json"))
+    batch = [f"word{i} other{i}\nline{i}" for i in range(400)]
+    got = known.ids(batch)
+    assert len(known.first) + len(known.spaced) <= 50 + 3
+    assert got == [known._whole(text) for text in batch]
+    known.forget()
+    assert not known.first and not known.spaced
