@@ -20,7 +20,7 @@ from itemscope.session import local_table, written
 FIT_SUBJECTS = 1_000_000  # subject parameters are held by the driver between passes
 REMEMBERED_STEPS = 12  # of the quasi-Newton direction
 WHOLE_PARAMETERS = 256  # subject parameters up to which all their second derivatives are added up
-QUASI_PASSES = 30  # after which Newton steps no longer wait for a concave likelihood
+QUASI_PASSES = 100  # after which Newton steps no longer wait for a concave likelihood
 _CROSSED = 1 << 21  # numbers of a dense block of items by subject parameters
 _EDGE = 1e-4  # mean answers are kept this far from 0 and 1
 
