@@ -9,6 +9,8 @@ limited-memory quasi-Newton steps. Either count only where the likelihood rises,
 or raises. Scale and axes, which leave the likelihood as it is, are fixed at the end.
 """
 
+from copy import copy
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -22,6 +24,8 @@ REMEMBERED_STEPS = 12  # of the quasi-Newton direction
 WHOLE_PARAMETERS = 256  # subject parameters up to which all their second derivatives are added up
 QUASI_PASSES = 100  # after which Newton steps no longer wait for a concave likelihood
 _CROSSED = 1 << 21  # numbers of a dense block of items by subject parameters
+_CELLS = 1 << 16  # items times subjects that are fitted at once
+_FILLED = 4  # cells of a table of items by subjects for each answer, at most
 _EDGE = 1e-4  # mean answers are kept this far from 0 and 1
 
 
@@ -131,90 +135,252 @@ def _squares(x, weight, index, size):
     return out
 
 
-def _fit_items(model, subjects, who, item, y, n_items, steps=200):
-    """(items, likelihoods) of a block: Newton steps, halved for an item until its value rises.
+class _Listed:
+    """The answers of a block of items one by one, beside what the items need of their subjects."""
+
+    def __init__(self, model, subjects, who, item, y, n_items):
+        self.offset, self.x = (part[who] for part in model.item_view(subjects))
+        self.who, self.item, self.y, self.n, self.size = who, item, y, n_items, len(subjects)
+
+    def rows(self, kept):
+        """Which of the chances that `at` gives belong to these items."""
+        return kept[self.item]
+
+    def only(self, kept):
+        out, rows = copy(self), self.rows(kept)
+        out.who, out.y, out.offset, out.x = self.who[rows], self.y[rows], self.offset[rows], self.x[rows]
+        out.item, out.n = (np.cumsum(kept) - 1)[self.item[rows]], np.count_nonzero(kept)
+        return out
+
+    def at(self, beta):
+        """(chances of the answers, likelihoods of the items) at these items."""
+        eta = self.offset + np.einsum("ij,ij->i", self.x, beta[self.item])
+        return _chance(eta), np.bincount(self.item, _likelihood(eta, self.y), self.n)
+
+    def slopes(self, p):
+        """Gradients and negative Hessians of the items' likelihoods."""
+        return (_sums(self.item, self.n, self.x * (self.y - p)[:, None]),
+                _squares(self.x, p * (1 - p), self.item, self.n))
+
+    def subject_slopes(self, w, p):
+        """The same by subject, where the log-odds are w . subject; and the subjects met."""
+        w, met = w[self.item], np.zeros(self.size, bool)
+        met[self.who] = True
+        return (_sums(self.who, self.size, w * (self.y - p)[:, None]),
+                _squares(w, p * (1 - p), self.who, self.size), met)
+
+    def crossed(self, model, w, p, lower):
+        """What the items' own best answer takes from the subjects' second derivatives, added up.
+
+        An item's share is C' H^-1 C, with H its second derivatives and C those by item and subject
+        parameters. With H = LL' it is the product of L^-1 C with itself, for many items at once.
+        """
+        q, r, size = self.x.shape[1], w.shape[1], self.size
+        spread = (p * (1 - p))[:, None, None]
+        cross = (self.x[:, :, None] * w[self.item][:, None, :] * spread
+                 - (self.y - p)[:, None, None] * model.mixed())
+        out = np.zeros((size * r, size * r))
+        # answers lie item by item
+        bounds, step = np.searchsorted(self.item, np.arange(self.n + 1)), max(1, _CROSSED // (q * size * r))
+        for a in range(0, self.n, step):
+            z = min(a + step, self.n)
+            here = slice(bounds[a], bounds[z])
+            dense = np.zeros((z - a, size, q, r))
+            np.add.at(dense, (self.item[here] - a, self.who[here]), cross[here])
+            dense = dense.transpose(2, 0, 1, 3).reshape(q, z - a, size * r)
+            for part in _forward(lower[a:z], dense):
+                out += part.T @ part
+        return out
+
+
+class _Tabled:
+    """The answers of a block as tables of items by subjects, their counts and sums.
+
+    For few subjects most cells are filled, and sums over answers are products of matrices.
+    """
+
+    def __init__(self, model, subjects, who, item, y, n_items):
+        self.offset, self.x = model.item_view(subjects)
+        self.n, self.size = n_items, len(subjects)
+        cell, cells = item * self.size + who, (n_items, self.size)
+        self.count = np.bincount(cell, minlength=n_items * self.size).reshape(cells).astype(float)
+        self.total = np.bincount(cell, y, n_items * self.size).reshape(cells)
+        # so that the product of 1 + e over the subjects, 2 at most each, needs one logarithm
+        self.once = self.size <= 1000 and self.count.max(initial=0) <= 1
+        self.met, self.pull = self.total @ self.offset, self.total @ self.x
+        self.squares = _products(self.x)
+
+    def rows(self, kept):
+        return kept
+
+    def only(self, kept):
+        out = copy(self)
+        out.count, out.total, out.met, out.pull = (t[kept] for t in (self.count, self.total, self.met, self.pull))
+        out.n = len(out.count)
+        return out
+
+    def at(self, beta):
+        eta = beta @ self.x.T
+        eta += self.offset
+        e = np.exp(-np.abs(eta))
+        if self.once:
+            log = np.log((1 + self.count * e).prod(axis=1))
+        else:
+            log = np.einsum("ij,ij->i", self.count, np.log1p(e))
+        log += np.einsum("ij,ij->i", self.count, np.maximum(eta, 0))
+        whole = 1 + e
+        np.copyto(e, 1.0, where=eta >= 0)
+        e /= whole
+        return e, self.met + np.einsum("ij,ij->i", beta, self.pull) - log
+
+    def slopes(self, p):
+        weight = self.count * p
+        g = self.pull - weight @ self.x
+        weight *= 1 - p
+        return g, _unfolded(weight @ self.squares, self.x.shape[1])
+
+    def subject_slopes(self, w, p):
+        weight = self.count * p
+        g = (self.total - weight).T @ w
+        weight *= 1 - p
+        return g, _unfolded(weight.T @ _products(w), w.shape[1]), self.count.any(axis=0)
+
+    def crossed(self, model, w, p, lower):
+        q, r, wide = self.x.shape[1], w.shape[1], self.size * w.shape[1]
+        weight, mixed = self.count * p, model.mixed()
+        off = self.total - weight
+        weight *= 1 - p
+        cross = np.empty((q, self.n, self.size, r))
+        for a in range(q):
+            scaled = weight * self.x[:, a]
+            for b in range(r):
+                np.multiply(scaled, w[:, b:b + 1], out=cross[a, :, :, b])
+                if mixed[a, b]:
+                    cross[a, :, :, b] -= off * mixed[a, b]
+        out = np.zeros((wide, wide))
+        for part in _forward(lower, cross.reshape(q, self.n, wide)):
+            out += part.T @ part
+        return out
+
+
+def _products(x):
+    return np.stack([x[:, a] * x[:, b] for a in range(x.shape[1]) for b in range(a + 1)], axis=1)
+
+
+def _unfolded(sums, wide):
+    """Symmetric matrices from rows of their lower triangles."""
+    out = np.empty((len(sums), wide, wide))
+    at = iter(sums.T)
+    for a in range(wide):
+        for b in range(a + 1):
+            out[:, a, b] = out[:, b, a] = next(at)
+    return out
+
+
+def _lower(h):
+    """Cholesky factors of many small matrices."""
+    out = np.zeros_like(h)
+    for a in range(h.shape[1]):
+        for b in range(a + 1):
+            left = h[:, a, b] - np.einsum("ij,ij->i", out[:, a, :b], out[:, b, :b])
+            out[:, a, b] = np.sqrt(np.maximum(left, 1e-12)) if a == b else left / out[:, b, b]
+    return out
+
+
+def _forward(lower, rows):
+    """L^-1 times `rows`, whose first axis is that of the matrices; changes them."""
+    for a in range(len(rows)):
+        for b in range(a):
+            rows[a] -= lower[:, a, b, None] * rows[b]
+        rows[a] /= lower[:, a, a, None]
+    return rows
+
+
+def _ridge(model):
+    return np.diag(model.item_penalty) + 1e-9 * np.eye(len(model.item_penalty))
+
+
+def _step(lower, g):
+    """H^-1 g of many items, with H = LL'."""
+    out = _forward(lower, g.T[:, :, None].copy())[:, :, 0]
+    for a in reversed(range(len(out))):
+        for b in range(a + 1, len(out)):
+            out[a] -= lower[:, b, a] * out[b]
+        out[a] /= lower[:, a, a]
+    return out.T
+
+
+def _fit_items(model, answers, steps=200):
+    """(items, likelihoods) of a block.
 
+    Newton steps, halved for an item until its value rises by a part of what the slope promises.
     Items that no longer move are done, and their answers are left out of further steps.
     """
-    offset, x = model.item_view(subjects)
-    offset, x = offset[who], x[who]
-    found, values = np.tile(model.item_prior, (n_items, 1)), np.zeros(n_items)
-    open_items = np.arange(n_items)
+    n = answers.n
+    found, values, open_items = np.tile(model.item_prior, (n, 1)), np.zeros(n), np.arange(n)
+    scale = np.maximum(1.0, np.abs(answers.x).max(axis=0, initial=0))    # of the log-odds
 
-    def value(beta):
-        eta = offset + np.einsum("ij,ij->i", x, beta[item])
-        penalty = np.sum(model.item_penalty * (beta - model.item_prior) ** 2, axis=1) / 2
-        return eta, np.bincount(item, _likelihood(eta, y), len(beta)) - penalty
+    def at(answers, beta):
+        p, likelihood = answers.at(beta)
+        return p, likelihood - np.sum(model.item_penalty * (beta - model.item_prior) ** 2, axis=1) / 2
 
     beta = found.copy()
-    eta, reached = value(beta)
+    p, reached = at(answers, beta)
     for _ in range(steps):
-        n = len(beta)
-        p = _chance(eta)
-        g = _sums(item, n, x * (y - p)[:, None])
-        h = _squares(x, p * (1 - p), item, n)
+        g, h = answers.slopes(p)
         g -= model.item_penalty * (beta - model.item_prior)
-        move = np.clip(_solve(h + np.diag(model.item_penalty), g), -4, 4)
-        going = np.abs(move).max(axis=1) >= 1e-6    # Newton steps leave an error of about their square
+        move = _step(_lower(h + _ridge(model)), g)
+        move /= np.maximum(1.0, np.abs(move).max(axis=1, keepdims=True) / 4)
+        promised = np.sum(move * g, axis=1)
+        going = np.abs(move * scale).max(axis=1) >= 1e-5    # Newton steps leave an error of about their square
         if not going.all():
             done = open_items[~going]
-            found[done], values[done] = (beta + move)[~going], reached[~going]
+            found[done], values[done] = (beta + move)[~going], (reached + promised / 2)[~going]
             if not going.any():
                 return found, values
-            kept = going[item]
-            item = (np.cumsum(going) - 1)[item[kept]]
-            offset, x, y = offset[kept], x[kept], y[kept]
-            open_items, beta, reached, move = open_items[going], beta[going], reached[going], move[going]
-        size = np.ones(len(beta))
-        while True:
-            eta, new = value(beta + size[:, None] * move)
-            worse = new < reached - 1e-10 * (1 + np.abs(reached))
-            if not worse.any():
-                break
-            size[worse] /= 2
-        beta, reached = beta + size[:, None] * move, new
+            answers, open_items = answers.only(going), open_items[going]
+            beta, reached, move, promised = beta[going], reached[going], move[going], promised[going]
+        tried = beta + move
+        p, new = at(answers, tried)
+        size = 1.0
+        while (worse := new < reached + 0.1 * size * promised - 1e-10 * (1 + np.abs(reached))).any():
+            size = np.where(worse, size / 2, size)
+            tried[worse] = (beta + size[:, None] * move)[worse]
+            p[answers.rows(worse)], new[worse] = at(answers.only(worse), tried[worse])
+        beta, reached = tried, new
     raise RuntimeError(f"an item did not converge in {steps} Newton steps")
 
 
-def _crossed(model, size, who, item, x, w, p, y, n_items):
-    """What the items' own best answer takes from the subjects' second derivatives, added up.
-
-    An item's share is C' H^-1 C, with H its second derivatives and C those by item and subject
-    parameters. With H = LL' it is the product of L^-1 C with itself, for many items at once.
-    """
-    q, r = x.shape[1], w.shape[1]
-    spread = (p * (1 - p))[:, None, None]
-    lower = np.linalg.cholesky(_squares(x, p * (1 - p), item, n_items) + np.diag(model.item_penalty) + 1e-9 * np.eye(q))
-    cross = x[:, :, None] * w[:, None, :] * spread - (y - p)[:, None, None] * model.mixed()
-    out = np.zeros((size * r, size * r))
-    # answers lie item by item
-    bounds, step = np.searchsorted(item, np.arange(n_items + 1)), max(1, _CROSSED // (q * size * r))
-    for a in range(0, n_items, step):
-        z = min(a + step, n_items)
-        here = slice(bounds[a], bounds[z])
-        dense = np.zeros((z - a, size, q, r))
-        np.add.at(dense, (item[here] - a, who[here]), cross[here])
-        dense = dense.transpose(0, 2, 1, 3).reshape(z - a, q, size * r)
-        dense = np.linalg.solve(lower[a:z], dense).reshape(-1, size * r)
-        out += dense.T @ dense
-    return out
-
-
-def _block(pdf):
-    lengths = pdf["who"].map(len).to_numpy()
-    who = np.concatenate(pdf["who"].to_numpy())
-    y = np.concatenate(pdf["ys"].to_numpy()).astype(float)
-    item = np.repeat(np.arange(len(pdf)), lengths)
+def _block(batch):
+    """(subjects, items, answers) of a batch of rows with the lists `who` and `ys`."""
+    lengths = batch.column("who").value_lengths().to_numpy(zero_copy_only=False)
+    who, y = (batch.column(name).flatten().to_numpy(zero_copy_only=False) for name in ("who", "ys"))
+    item = np.repeat(np.arange(len(lengths)), lengths)
     # an item answered all alike has no finite difficulty: its mean is kept off the edge
-    mean = np.bincount(item, y, len(pdf)) / lengths
+    mean = np.bincount(item, y, len(lengths)) / lengths
     pull = np.clip(mean, _EDGE, 1 - _EDGE) - mean
     return who, item, y + pull[item]
 
 
+def _pieces(model, subjects, batch):
+    """The items of an Arrow or pandas batch as (rows, answers).
+
+    Where most cells are filled they lie in tables, few enough for the caches, else in a list.
+    """
+    if not isinstance(batch, pa.RecordBatch):
+        batch = pa.RecordBatch.from_pandas(batch, preserve_index=False)
+    n, size = batch.num_rows, max(1, len(subjects))
+    tabled = n * size <= _FILLED * len(batch.column("who").flatten())
+    step = max(1, _CELLS // size) if tabled else max(1, n)
+    for a in range(0, n, step):
+        part = batch.slice(a, step)
+        yield part, (_Tabled if tabled else _Listed)(model, subjects, *_block(part), part.num_rows)
+
+
 def _subject_sums(model, subjects):
     """Gradient and Hessian sums by subject; a row with idx -1 holds the penalized likelihood.
 
-    Up to WHOLE_PARAMETERS, rows that follow the subjects' hold what `_crossed` adds up.
+    Up to WHOLE_PARAMETERS, rows that follow the subjects' hold what `crossed` adds up.
     """
     size, r = len(subjects), subjects.shape[1]
     whole = size * r <= WHOLE_PARAMETERS
@@ -222,21 +388,18 @@ def _subject_sums(model, subjects):
     def run(batches):
         total, met, likelihood = np.zeros((size, r + r * r)), np.zeros(size, bool), 0.0
         crossed = 0.0
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            who, item, y = _block(pdf)
-            beta, values = _fit_items(model, subjects, who, item, y, len(pdf))
-            likelihood += values.sum()
-            met[who] = True
-            offset, w = model.subject_view(beta)
-            w = w[item]
-            p = _chance(offset[item] + np.einsum("ij,ij->i", w, subjects[who]))
-            total[:, :r] += _sums(who, size, w * (y - p)[:, None])
-            total[:, r:] += _squares(w, p * (1 - p), who, size).reshape(size, -1)
-            if whole:
-                x = model.item_view(subjects)[1][who]
-                crossed = crossed + _crossed(model, size, who, item, x, w, p, y, len(pdf))
+        for batch in batches:
+            for _, answers in _pieces(model, subjects, batch):
+                beta, values = _fit_items(model, answers)
+                likelihood += values.sum()
+                w = model.subject_view(beta)[1]
+                p, _ = answers.at(beta)
+                g, h, seen = answers.subject_slopes(w, p)
+                total += np.hstack([g, h.reshape(size, -1)])
+                met |= seen
+                if whole:
+                    lower = _lower(answers.slopes(p)[1] + _ridge(model))
+                    crossed = crossed + answers.crossed(model, w, p, lower)
         if not met.any():
             return
         more = _cut(crossed, r + r * r) if whole else []
@@ -254,15 +417,27 @@ def _cut(matrix, width):
 
 def _item_rows(model, subjects, m, c):
     def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                who, item, y = _block(pdf)
-                beta, _ = _fit_items(model, subjects, who, item, y, len(pdf))
-                yield pd.DataFrame({"item_id": pdf["item_id"].to_numpy(),
+        for batch in batches:
+            for part, answers in _pieces(model, subjects, batch):
+                beta = _fit_items(model, answers)[0]
+                yield pd.DataFrame({"item_id": part.column("item_id").to_numpy(zero_copy_only=False),
                                     "beta": list(beta @ m + c)})
     return run
 
 
+def _in_arrow(run, **columns):
+    """`run` from Arrow batches, whose lists need not be taken apart, to Arrow batches."""
+    def out(batches):
+        for pdf in run(batches):
+            yield pa.RecordBatch.from_pandas(pdf, pa.schema(columns), preserve_index=False)
+    return out
+
+
+def _fitted_items(packed, model, found, m, c):
+    run = _in_arrow(_item_rows(model, found, m, c), item_id=pa.string(), beta=pa.list_(pa.float64()))
+    return packed.select("item_id", "who", "ys").mapInArrow(run, "item_id string, beta array<double>")
+
+
 def pack_for_fit(responses):
     """(packed, names): one row per item with subject numbers `who` and answers `ys`.
 
@@ -287,8 +462,8 @@ def _climb(packed, model, subjects):
     size, r = subjects.shape
     width = r + r * r
     whole = np.zeros((-(-(size * r) ** 2 // width), width)) if size * r <= WHOLE_PARAMETERS else None
-    rows = packed.select("who", "ys").mapInPandas(
-        _subject_sums(model, subjects), "idx int, row array<double>")
+    run = _in_arrow(_subject_sums(model, subjects), idx=pa.int32(), row=pa.list_(pa.float64()))
+    rows = packed.select("who", "ys").mapInArrow(run, "idx int, row array<double>")
     total, value = np.zeros((len(subjects), width)), 0.0
     for s in rows.groupBy("idx").agg(
             F.array(*[F.sum(F.col("row")[j]) for j in range(width)]).alias("row")).collect():
@@ -395,8 +570,7 @@ def rasch_fit(responses, max_sweeps=300, tol=1e-6):
     model = OnePL()
     found = _fit(packed, model, _start_abilities(responses, names), max_sweeps, tol)
     s, m, c = model.fixed(found)
-    items = packed.select("item_id", "who", "ys").mapInPandas(
-        _item_rows(model, found, m, c), "item_id string, beta array<double>")
+    items = _fitted_items(packed, model, found, m, c)
     subjects = local_table(responses.sparkSession, zip(names, s[:, 0]),
                            {"subject": pa.string(), "ability": pa.float64()})
     return subjects, items.select("item_id", F.col("beta")[0].alias("difficulty"))
@@ -413,8 +587,7 @@ def twopl_fit(responses, max_sweeps=300, tol=1e-5):
     start = start / max(start.std(), 1e-6)
     found = _fit(packed, model, start, max_sweeps, tol)
     s, m, c = model.fixed(found)
-    items = packed.select("item_id", "who", "ys").mapInPandas(
-        _item_rows(model, found, m, c), "item_id string, beta array<double>")
+    items = _fitted_items(packed, model, found, m, c)
     subjects = local_table(responses.sparkSession, zip(names, s[:, 0]),
                            {"subject": pa.string(), "ability": pa.float64()})
     a, d = F.col("beta")[0], F.col("beta")[1]
@@ -436,8 +609,7 @@ def kfactor_fit(responses, k, start_loadings, max_sweeps=300, tol=1e-5):
     start = np.hstack([_start_abilities(responses, names), u])
     found = _fit(packed, model, start, max_sweeps, tol)
     s, m, c = model.fixed(found)
-    items = packed.select("item_id", "who", "ys").mapInPandas(
-        _item_rows(model, found, m, c), "item_id string, beta array<double>")
+    items = _fitted_items(packed, model, found, m, c)
     columns = {"subject": pa.string(), "bias": pa.float64(),
                **{f"factor_{i + 1}": pa.float64() for i in range(k)}}
     subjects = local_table(responses.sparkSession, [(n, *row) for n, row in zip(names, s)], columns)

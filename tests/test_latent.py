@@ -369,6 +369,38 @@ def test_few_subjects_settle_in_few_passes(model, passes):
     assert len(calls) <= passes
 
 
+def test_items_settle_beside_far_subjects():
+    """A step whose parts are cut one by one can lead downhill, and this item never settled."""
+    s = np.array([[0.4, -162.9, 92.1], [0.1, -0.4, -0.9], [0.1, -22.0, -7.8], [0.1, -1.4, 0.1], [-47.5, -41.8, 691.1],
+                  [0.1, -0.0, -7.1], [0.1, -3.8, 10.5], [0.1, 1.5, -4.1], [0.1, -2.6, -3.5], [7.6, -42.7, -75.5],
+                  [0.1, -0.3, -2.9], [0.1, -1.8, -3.4], [0.1, 1.8, -6.5], [0.1, -2.5, 0.2], [0.1, -0.3, -3.7],
+                  [0.0, -3.3, -0.4], [0.1, -4.5, 0.0], [13.4, 826.1, -127.8], [1.0, 1.5, -16.5]])
+    y = np.array([0, 1, 0, 0, 1, 0, 1, 1, 1, 0, 0, 0, 1, 0, 1, 1, 1, 1, 0])
+    pdf = pd.DataFrame({"who": [np.arange(19)], "ys": [y], "item_id": ["a"]})
+    for strangers in (0, 100):    # in a table, and in a list
+        subjects = np.vstack([s, np.zeros((strangers, 3))])
+        beta = next(fits._item_rows(fits.KFactor(2), subjects, np.eye(2), 0.0)([pdf]))["beta"][0]
+        left = s[:, 1:].T @ (y - _sigmoid(s[:, 0] + s[:, 1:] @ beta)) - beta
+        assert np.abs(left).max() < 1e-4
+
+
+@pytest.mark.parametrize("model", [fits.OnePL(), fits.TwoPL(), fits.KFactor(2)])
+def test_sums_of_tables_and_lists_agree(model, monkeypatch):
+    rng = np.random.default_rng(3)
+    s = rng.normal(size=(9, len(model.subject_prior)))
+    for repeats in (1, 2):    # a cell may come twice
+        who = [np.repeat(np.flatnonzero(w), repeats) for w in rng.random((300, 9)) < 0.7]
+        pdf = pd.DataFrame({"who": [w for w in who if len(w)]})
+        pdf["ys"] = [rng.integers(0, 2, len(w)) for w in pdf["who"]]
+        monkeypatch.setattr(fits, "_CELLS", 400)
+        tables = next(fits._subject_sums(model, s)([pdf]))
+        monkeypatch.setattr(fits, "_FILLED", 0)
+        lists = next(fits._subject_sums(model, s)([pdf]))
+        monkeypatch.undo()
+        assert tables["idx"].tolist() == lists["idx"].tolist()
+        assert np.allclose(np.array(tables["row"].tolist()), np.array(lists["row"].tolist()), atol=1e-6)
+
+
 def test_cold_start_of_few_subjects_moves_no_residuals(run, monkeypatch):
     cells, flat, first = run
     # the general way, of which a row per split and answer is written
