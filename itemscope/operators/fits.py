@@ -31,7 +31,11 @@ _EDGE = 1e-4  # mean answers are kept this far from 0 and 1
 
 class _Model:
     """log-odds = offset(subject) + X(subject) . item, seen from the item,
-    and = offset(item) + W(item) . subject, seen from the subject."""
+    and = offset(item) + W(item) . subject, seen from the subject.
+
+    The longest quasi-Newton step is `stride` times the subjects' root mean square, 1 at least."""
+
+    stride = 0.0
 
     def __init__(self, item_prior, item_penalty, subject_prior, subject_penalty):
         self.item_prior, self.item_penalty = np.array(item_prior), np.array(item_penalty)
@@ -61,7 +65,12 @@ class OnePL(_Model):
 
 
 class TwoPL(_Model):
-    """log-odds = a theta + d; item parameters (a, d) with a drawn to 1, b = -d / a."""
+    """log-odds = a theta + d; item parameters (a, d) with a drawn to 1, b = -d / a.
+
+    The more items there are, the less theta is drawn to 0, so steps lengthen with it.
+    """
+
+    stride = 3.0
 
     def __init__(self):
         super().__init__([1.0, 0.0], [1.0, 0.01], [0.0], [1.0])
@@ -84,7 +93,7 @@ class KFactor(_Model):
     """log-odds = bias + u . v; subject parameters (bias, u), item parameters v.
 
     Only the product u . v is determined. The columns of u are its principal axes, longest first,
-    at unit mean square and with a positive largest entry.
+    at unit mean square and with a positive largest entry. Of its many hills long steps choose lower ones.
     """
 
     def __init__(self, k):
@@ -451,7 +460,9 @@ def pack_for_fit(responses):
         raise ValueError(f"the fits are limited to {FIT_SUBJECTS} subjects")
     roster = local_table(spark, [(n, i) for i, n in enumerate(names)],
                          {"subject": pa.string(), "idx": pa.int32()})
-    packed = known.join(roster, "subject").groupBy("item_id").agg(
+    # files of equal size, a multiple of the cores: every pass ends with its slowest task
+    packed = known.join(roster, "subject").repartition(
+        4 * spark.sparkContext.defaultParallelism, "item_id").groupBy("item_id").agg(
         F.collect_list("idx").alias("who"), F.collect_list("y").alias("ys"))
     return written(packed, "packed-answers"), names
 
@@ -513,23 +524,24 @@ def _uphill(g, h, steps):
 def _fit(packed, model, start, max_sweeps, tol):
     """Subjects at which the scores vanish: a Newton step by blocks moves none of them by `tol`.
 
-    The first steps are quasi-Newton ones, which choose the hill. Once the likelihood is concave
+    The first steps are quasi-Newton ones, which choose the hill. Once the likelihood was concave
     around a point, or QUASI_PASSES are over, Newton steps end the climb where the whole Hessian is
     known; their radius follows how well they keep what they promise. A step is taken only if the
     likelihood rises, and made smaller until it does. Raises where `max_sweeps` passes are not enough.
     """
-    subjects, steps, radius = start, [], 1.0
+    subjects, steps, radius, newton = start, [], 1.0, False
     value, g, h, whole = _climb(packed, model, subjects)
     passes = 1
     while (left := np.abs(_solve(h, g)).max(initial=0)) >= tol:
         if whole is not None:
             move, promised, concave = _newton(g, whole, radius)
-        newton = whole is not None and (concave or passes >= QUASI_PASSES)
+            newton = newton or concave or passes >= QUASI_PASSES
         if not newton:
             move = _uphill(g, h, steps)
             if np.sum(move * g) <= 0:
                 move, steps = _solve(h, g), []
-            move = move / max(1.0, np.abs(move).max())
+            longest = max(1.0, model.stride * np.sqrt(np.mean((subjects - model.subject_prior) ** 2)))
+            move = move / max(1.0, np.abs(move).max() / longest)
         size = 1.0
         while True:
             if passes >= max_sweeps:

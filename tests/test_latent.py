@@ -401,6 +401,38 @@ def test_sums_of_tables_and_lists_agree(model, monkeypatch):
         assert np.allclose(np.array(tables["row"].tolist()), np.array(lists["row"].tolist()), atol=1e-6)
 
 
+def _passes(model, s, pdf, times, monkeypatch):
+    """Passes of a fit to the rows of `pdf` and as many more as `times` says."""
+    n, wide = s.shape
+    calls = []
+
+    def climb(packed, model, at):
+        calls.append(1)
+        out = next(fits._subject_sums(model, at)([pdf]))
+        out = {i: times * np.array(r) for i, r in zip(out["idx"], out["row"])}
+        total, away = np.array([out[i] for i in range(n)]), at - model.subject_prior
+        h = total[:, wide:].reshape(n, wide, wide) + np.diag(model.subject_penalty)
+        crossed = np.concatenate([out[i] for i in sorted(out) if i >= n])[:(n * wide) ** 2]
+        whole = -crossed.reshape(n, wide, n, wide)
+        whole[np.arange(n), :, np.arange(n)] += h
+        return (out[-1][0] - np.sum(model.subject_penalty * away ** 2) / 2,
+                total[:, :wide] - model.subject_penalty * away, h, whole.reshape(n * wide, -1))
+    monkeypatch.setattr(fits, "_climb", climb)
+    found = fits._fit(None, model, s, 300, 1e-5)
+    assert np.abs(climb(None, model, found)[1]).max() < 1e-3 * times
+    return len(calls) - 1
+
+
+def test_twopl_steps_lengthen_with_the_abilities(monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 25
+    y = (rng.random((n, 2500)) < 0.5).astype(float)
+    pdf = pd.DataFrame({"who": [np.flatnonzero(s) for s in rng.random((2500, n)) < 0.66]})
+    pdf["ys"] = [y[w, i] for i, w in enumerate(pdf["who"])]
+    start = rng.normal(size=(n, 1))
+    assert _passes(fits.TwoPL(), start / start.std(), pdf, 2000, monkeypatch) <= 70
+
+
 def test_cold_start_of_few_subjects_moves_no_residuals(run, monkeypatch):
     cells, flat, first = run
     # the general way, of which a row per split and answer is written
