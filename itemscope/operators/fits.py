@@ -563,6 +563,9 @@ def _fit(packed, model, start, max_sweeps, tol):
             steps = [*steps[1 - REMEMBERED_STEPS:], (size * move, turned)]
         subjects = subjects + size * move
         value, g, h, whole = tried
+    if whole is not None and left >= tol / 100:    # a last Newton step needs no pass; held short where it is flat
+        move, _, concave = _newton(g, whole, 10 * tol)
+        subjects = subjects + move if concave else subjects
     return subjects
 
 
